@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,11 +51,11 @@ def labels_map(labels: Column) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """Layered merge, later arguments win."""
-    merged = F.coalesce(maps[0], empty_labels())
-    for layer in maps[1:]:
-        top = F.coalesce(layer, empty_labels())
-        merged = F.map_concat(F.map_filter(merged, lambda k, _v, top=top: ~F.map_contains_key(top, k)), top)
-    return merged
+
+    def overlay(below: Column, above: Column) -> Column:
+        return F.map_concat(F.map_filter(below, lambda key, _value: ~F.map_contains_key(above, key)), above)
+
+    return reduce(overlay, [F.coalesce(layer, empty_labels()) for layer in maps])
 
 
 def first_label(labels: Column, key: str) -> Column:

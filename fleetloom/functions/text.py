@@ -38,13 +38,12 @@ def multiselect(df: DataFrame, selected: dict[str, list[str]], getters: dict[str
 
 def facet_filter(df: DataFrame, selected: dict[str, set[str]], labels: str = "labels") -> DataFrame:
     """Any selected value of a key, all keys; empty sets are ignored."""
+
+    def carries(key: str, values: set[str]) -> Column:
+        found = F.exists(F.col(labels), lambda entry: (entry["key"] == key) & entry["value"].isin(sorted(values)))
+        return F.coalesce(found, F.lit(False))
+
     for key, values in selected.items():
         if values:
-            wanted = sorted(values)
-            df = df.filter(
-                F.coalesce(
-                    F.exists(F.col(labels), lambda e, key=key, wanted=wanted: (e["key"] == key) & e["value"].isin(wanted)),
-                    F.lit(False),
-                )
-            )
+            df = df.filter(carries(key, values))
     return df
