@@ -6,8 +6,6 @@ task before it is shuffled. Member lists are returned as rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,9 +172,3 @@ def resource_keys(containers: DataFrame) -> DataFrame:
     keys = F.array_union(F.map_keys("requests"), F.map_keys("limits"))
     return containers.select("namespace", "pod", "container", F.explode(keys).alias("resource"))
 
-
-def with_predicates(df: DataFrame, predicates: list[Callable[[], Column]]) -> DataFrame:
-    """Extra-filter callbacks: keep rows passing all of them."""
-    for predicate in predicates:
-        df = df.filter(predicate())
-    return df

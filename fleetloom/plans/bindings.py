@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom import constants as C
+from fleetloom.operators.rules import activity_rule_table, filter_rule_table
+from fleetloom.plans.rule_sets import ACTIVITY_RULES, FILTER_RULES
 
 # Fixed value: "now" of the registered queries, 2024-02-01T00:00:00Z.
 NOW_MS = 1706745600000
@@ -34,7 +36,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "display_name": "case o_orderpriority when '5-LOW' then '  ' when '4-NOT SPECIFIED' then null "
             "else 'Desk ' || STR(o_custkey) end",
             "kind": "case when o_orderpriority = '1-URGENT' and o_orderstatus = 'F' "
-            "then 'Retired#' || STR(o_custkey % 5) else 'Brand#' || STR(o_custkey % 25 + 1) end",
+            "then 'Retired#' || STR(o_custkey % 5) when o_custkey % 25 = 24 then 'Retired#9' else 'Brand#' || STR(o_custkey % 25 + 1) end",
             "image_id": "case when o_orderpriority = '2-HIGH' and o_orderstatus = 'O' "
             "then 'img-gone-' || STR(o_custkey) else 'img-' || STR(o_custkey) end",
             "pod_id": "'pod-' || STR(o_custkey % 8)",
@@ -45,10 +47,12 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "state_message": "'status ' || o_orderstatus",
             "paused": "o_orderstatus = 'F' and o_orderpriority <> '1-URGENT'",
             "last_running_ms": "case when o_orderstatus = 'P' and o_orderpriority <> '5-LOW' then 0 "
+            f"when o_orderpriority = '5-LOW' then {NOW_MS} - cast(floor(o_totalprice) as bigint) * 3 "
             "else MS(o_orderdate) end",
             "pause_ms": "case when o_orderstatus = 'F' and o_orderpriority <> '1-URGENT' "
             "then MS(o_orderdate) + 1000 else 0 end",
             "last_activity_ms": "case when o_totalprice < 20000 then 0 "
+            f"when o_orderpriority = '5-LOW' then {NOW_MS} - cast(floor(o_totalprice) as bigint) * 40 "
             "else MS(o_orderdate) + cast(floor(o_totalprice) as bigint) * 10 end",
             "last_update_ms": "case when o_totalprice < 20000 then 0 "
             "else MS(o_orderdate) + cast(floor(o_totalprice) as bigint) * 10 + 5000 end",
@@ -559,6 +563,14 @@ class Fleet:
             _labels_of({"cost": _text(n * 10), "team": F.lit("kind")}).alias("annotations"),
         )
 
+    @cached_property
+    def filter_rules(self) -> DataFrame:
+        return filter_rule_table(self.kinds, FILTER_RULES)
+
+    @cached_property
+    def activity_rules(self) -> DataFrame:
+        return activity_rule_table(self.kinds, ACTIVITY_RULES)
+
     @cached_property
     def mounts(self) -> DataFrame:
         return self.view("mounts")

@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from fleetloom.plans.queries import aggregates, filters, joins, ordering, scans, views  # noqa: F401
+from fleetloom.plans.queries import aggregates, filters, joins, ordering, rules, scans, views  # noqa: F401

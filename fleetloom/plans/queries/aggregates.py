@@ -52,12 +52,10 @@ def _usage_summary(t: Fleet) -> DataFrame:
 
 @query(
     "unused_kinds",
-    """select name, display_name from kinds where name not in (
-      select kind from workspaces where o_state = 'Terminating')""".replace("o_state", "state"),
+    "select name, display_name from kinds where name not in (select kind from workspaces)",
 )
 def _unused_kinds(t: Fleet) -> DataFrame:
-    busy = t.workspaces.filter(F.col("state") == "Terminating")
-    return A.unused_kinds(t.kinds, busy).select("name", "display_name")
+    return A.unused_kinds(t.kinds, t.workspaces).select("name", "display_name")
 
 
 def _with_pod_labels(t: Fleet) -> DataFrame:
@@ -84,15 +82,10 @@ _GPU_NS = f"select namespace, cast(sum({_GPU}) as double) as gpus, count(*) as m
 
 @query(
     "gpu_by_namespace",
-    f"""with g as ({_GPU_NS}) select namespace, gpus, members, row_number() over (order by gpus desc, namespace)
-      as place from g""",
+    f"with g as ({_GPU_NS}) select namespace, gpus, members from g order by gpus desc, namespace",
 )
 def _gpu_by_namespace(t: Fleet) -> DataFrame:
-    from pyspark.sql import Window
-
-    totals = A.gpu_by_namespace(_with_pod_labels(t), F.col("pod_opt_labels"))
-    # one row per namespace: the rank column is only for the comparison
-    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("gpus"), "namespace")).cast("bigint"))
+    return A.order_by_gpus(A.gpu_by_namespace(_with_pod_labels(t), F.col("pod_opt_labels")))
 
 
 @query("gpu_members", f"select namespace, name, cast({_GPU} as double) as gpus from ws_options")

@@ -68,18 +68,10 @@ def _text_filter(t: Fleet) -> DataFrame:
     return X.text_filter(t.given("documents"), wanted).select("doc_id", "source", "lang")
 
 
-@query(
-    "text_filter_literal",
-    "select doc_id from documents where contains(lower(text), '(a') or contains(lower(text), '(b')",
-)
+@query("text_filter_literal", "select doc_id from documents where contains(text, '*')")
 def _text_filter_literal(t: Fleet) -> DataFrame:
-    documents = t.given("documents")
-    return (
-        X.text_filter(documents, {"text": "(A"})
-        .unionByName(X.text_filter(documents, {"text": "(B"}))
-        .select("doc_id")
-        .distinct()
-    )
+    # not a valid regex, so searched literally
+    return X.text_filter(t.given("documents"), {"text": "*"}).select("doc_id")
 
 
 @query(
