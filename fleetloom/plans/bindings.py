@@ -290,7 +290,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "namespace": "'NATION_' || STR(l_partkey % 26)",
             "owner": "'ws-' || STR(l_partkey)",
             "role": "'role-' || STR(l_suppkey % 7)",
-            "name": "'obj-' || STR(l_orderkey) || '-' || STR(l_linenumber) || '-' || STR(l_suppkey)",
+            "name": "'obj-' || STR(l_orderkey) || '-' || STR(l_linenumber) || '-' || STR(l_suppkey) || '-' || "
+            "STR(cast(round(l_extendedprice * 100) as bigint))",
             "subject": "'user-' || STR(l_linenumber)",
             "mode": "l_linestatus",
             "tier": "case when l_tax < 0.045 then '' else 'gold' end",
@@ -300,6 +301,41 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "when l_tax > 0.075 then 'apps/v1' else 'fleet.example.org/v1beta1' end",
         },
     ),
+    "resource_entries": (
+        "lineitem",
+        {
+            "object": "'res-' || STR(l_orderkey) || '-' || STR(l_linenumber) || '-' || STR(l_suppkey) || '-' || "
+            "STR(cast(round(l_extendedprice * 100) as bigint))",
+            "type": "case l_suppkey % 10 when 0 then 'cpu' when 1 then 'memory' when 2 then 'ephemeral-storage' "
+            "when 3 then 'example.com/gpu' when 4 then 'hugepages-2Mi' when 5 then 'hugepages-x' when 6 then 'gpu' "
+            "when 7 then 'Example.com/gpu' when 8 then 'kubernetes.io/disk' else '' end",
+            "request": "case when l_tax < 0.015 then STR(cast(l_quantity as bigint)) || 'm' "
+            "when l_tax < 0.025 then '-' || STR(cast(l_quantity as bigint)) "
+            "when l_tax < 0.035 then STR(cast(l_quantity as bigint)) || '.5' "
+            "when l_tax < 0.045 then STR(cast(l_quantity as bigint)) || 'e3' "
+            "when l_tax < 0.055 then STR(cast(l_quantity as bigint)) || 'Mi' when l_tax < 0.065 then '' "
+            "when l_tax < 0.075 then '1.2.3' else STR(cast(l_quantity as bigint)) end",
+            "limit": "case when l_discount < 0.015 then STR(cast(l_quantity as bigint)) || 'Mi' "
+            "when l_discount < 0.025 then STR(cast(l_quantity as bigint)) "
+            "when l_discount < 0.035 then STR(cast(l_quantity as bigint)) || '.5' "
+            "when l_discount < 0.045 then null when l_discount < 0.055 then STR(cast(l_quantity as bigint)) || 'Ki' "
+            "when l_discount < 0.065 then '+' || STR(cast(l_quantity as bigint)) || '000m' "
+            "when l_discount < 0.075 then STR(cast(l_quantity as bigint)) || 'kg' "
+            "else STR(cast(l_quantity as bigint)) || 'Mi' end",
+        },
+    ),
+    "change_requests": (
+        "customer",
+        {
+            "request_id": "'chg-' || STR(c_custkey)",
+            "op": "case c_mktsegment when 'BUILDING' then 'update_secret' when 'MACHINERY' then 'delete_secret' "
+            "else 'delete_claim' end",
+            "namespace": NS_OF_ORDER.format(k="c_custkey"),
+            "name": "case when c_acctbal < -500 then 'gone-' || STR(c_custkey) "
+            "when c_mktsegment in ('BUILDING', 'MACHINERY') then 'sec-' || STR(c_custkey) "
+            "else 'pvc-' || STR(c_custkey) end",
+        },
+    ),
     "requests": (
         "orders",
         {
@@ -563,6 +599,18 @@ class Fleet:
             _labels_of({"cost": _text(n * 10), "team": F.lit("kind")}).alias("annotations"),
         )
 
+    @cached_property
+    def new_options(self) -> DataFrame:
+        """The options of an edited kind: some removed, some with another spec or redirect, some added."""
+        size = F.col("labels")[1]["value"].cast("int")
+        images = self.image_options
+        kept = images.filter((size > 3) | (F.col("labels")[0]["value"] != "STANDARD"))
+        edited = kept.withColumn(
+            "spec_hash", F.when(size % 7 == 0, F.concat("spec_hash", F.lit("x"))).otherwise(F.col("spec_hash"))
+        ).withColumn("redirect", F.when(size % 11 != 0, F.col("redirect")))
+        added = images.filter(size > 44).withColumn("id", F.concat("id", F.lit("-new")))
+        return edited.unionByName(added).unionByName(self.pod_options)
+
     @cached_property
     def filter_rules(self) -> DataFrame:
         return filter_rule_table(self.kinds, FILTER_RULES)

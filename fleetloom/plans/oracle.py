@@ -97,7 +97,10 @@ select w.*, i.id is not null as image_known, p.id is not null as pod_known, i.ty
 from workspaces w left join kinds k on k.name = w.kind
 left join image_ctx i on i.kind = w.kind and i.id = w.image_id
 left join pods_opt p on p.kind = w.kind and p.id = w.pod_id"""
-CTES["pvc_labels"] = "select * from pvcs"
+CTES["new_images"] = """
+select * replace (case when size_num % 11 <> 0 then redirect_to end as redirect_to), size_num % 7 = 0 as edited
+  from image_rows where size_num > 3 or type_label <> 'STANDARD'
+union all select * replace (id || '-new' as id), false as edited from image_rows where size_num > 44"""
 CTES["assets"] = """
 select 'assets' as namespace, 'cfg-' || source as name, 'doc-' || cast(doc_id as varchar) as key,
   sha256(text) as sha, false as is_binary, source in ('src0', 'src1', 'src2', 'src3') as labelled from documents

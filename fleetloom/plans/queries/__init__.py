@@ -1,3 +1,14 @@
 """Registered queries; importing the package registers them all."""
 
-from fleetloom.plans.queries import aggregates, filters, joins, ordering, rules, scans, views  # noqa: F401
+from fleetloom.plans.queries import (  # noqa: F401
+    aggregates,
+    audits,
+    diffs,
+    filters,
+    joins,
+    ordering,
+    quantities,
+    rules,
+    scans,
+    views,
+)
