@@ -5,6 +5,7 @@ from fleetloom.plans.queries import (  # noqa: F401
     audits,
     diffs,
     filters,
+    graphs,
     joins,
     ordering,
     quantities,
