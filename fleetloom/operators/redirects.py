@@ -105,32 +105,38 @@ def close(options: DataFrame) -> Closure:
         }
     )
     if landed:
-        nodes = nodes.unionByName(_cyclic(starts, state))
+        nodes = nodes.unionByName(_cyclic(starts, state, jumps))
     return Closure(cut_lineage(nodes), jumps)
 
 
-def _cyclic(starts: DataFrame, state: DataFrame) -> DataFrame:
+def _cyclic(starts: DataFrame, state: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """Options on a cycle (exactly those an open pointer lands on) and options leading into one."""
     looping = state.filter(~F.col("done"))
-    cycle = (
-        looping.select(*GROUP, F.col("far").alias("id")).distinct().join(looping.select(*NODE, "low"), NODE)
-    )
+    cycle = looping.select(*GROUP, F.col("far").alias("id")).distinct().join(looping.select(*NODE, "low"), NODE)
     sizes = cycle.groupBy(*GROUP, "low").agg(F.count("*").alias("cycle_length"))
     cycle = cut_lineage(cycle.join(sizes, [*GROUP, "low"]))
+    landing = cycle.select(*GROUP, F.col("id").alias("onward"), F.lit(True).alias("lands"))
+    zero = F.lit(0).cast("bigint")
+    # longest jumps first: take each one that stays off the cycle; one more redirect then enters it
     tails = looping.select(*NODE).join(cycle.select(*NODE), NODE, "left_anti")
-    # walk the tails to their cycle entry, with the cycle options as ends
-    walk = (
-        tails.join(starts, NODE)
-        .select(*NODE, F.col("to").alias("far"), F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("low"), F.lit(False).alias("done"))
-        .unionByName(
-            cycle.select(*NODE, F.col("id").alias("far"), F.lit(0).cast("bigint").alias("hops"), F.col("id").alias("low"), F.lit(True).alias("done"))
+    tails = tails.select(*NODE, F.col("id").alias("at"), zero.alias("hops"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        hop = jump.select(*GROUP, F.col("id").alias("at"), F.col("far").alias("onward"))
+        stays = F.col("lands").isNull()
+        tails = (
+            tails.join(hop, [*GROUP, "at"])
+            .join(landing, [*GROUP, "onward"], "left")
+            .select(
+                *NODE,
+                F.when(stays, F.col("onward")).otherwise(F.col("at")).alias("at"),
+                F.when(stays, F.col("hops") + (1 << k)).otherwise(F.col("hops")).alias("hops"),
+            )
         )
-    )
-    walk = cut_lineage(walk)
-    while _landings(walk)[0]:
-        walk = cut_lineage(_double(walk))
-    info = cycle.select(*GROUP, F.col("id").alias("far"), F.col("low").alias("cycle_id"), "cycle_length")
-    return walk.join(info, [*GROUP, "far"]).select(
+    last = starts.select(*GROUP, F.col("id").alias("at"), F.col("to").alias("entry"))
+    tails = tails.join(last, [*GROUP, "at"]).select(*NODE, (F.col("hops") + 1).alias("hops"), "entry")
+    every = tails.unionByName(cycle.select(*NODE, zero.alias("hops"), F.col("id").alias("entry")))
+    info = cycle.select(*GROUP, F.col("id").alias("entry"), F.col("low").alias("cycle_id"), "cycle_length")
+    return every.join(info, [*GROUP, "entry"]).select(
         *NODE,
         F.lit(None).cast("string").alias("end"),
         "hops",
@@ -139,7 +145,7 @@ def _cyclic(starts: DataFrame, state: DataFrame) -> DataFrame:
         (F.col("hops") == 0).alias("on_cycle"),
         "cycle_id",
         "cycle_length",
-        F.col("far").alias("entry"),
+        "entry",
     )
 
 

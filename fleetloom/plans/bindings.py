@@ -172,6 +172,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "generation": "1 + o_custkey % 5",
             "observed_generation": "case when o_totalprice < 30000 then o_custkey % 5 else 1 + o_custkey % 5 end",
             "update_revision": "'rev-' || STR(o_custkey % 4)",
+            "extra_set": "o_totalprice > 300000",
         },
     ),
     "pods": (
@@ -343,7 +344,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "op": "case o_orderpriority when '1-URGENT' then 'create' when '2-HIGH' then 'pause' "
             "when '3-MEDIUM' then 'update' when '4-NOT SPECIFIED' then 'start' else 'update' end",
             "namespace": ORDER_NS,
-            "name": "case when o_totalprice > 190000 then 'ws-none-' || STR(o_orderkey) "
+            "name": "case when o_totalprice > 420000 then 'ws-none-' || STR(o_orderkey) "
             "else 'ws-' || STR(o_orderkey) end",
             "kind": "case when o_totalprice < 15000 then 'Retired#0' else 'Brand#' || STR(o_custkey % 25 + 1) end",
             "image_id": "case when o_totalprice < 60000 then 'img-' || STR(o_custkey) "
@@ -666,7 +667,11 @@ class Fleet:
 
     @cached_property
     def sets(self) -> DataFrame:
-        return self.view("sets")
+        """One set per workspace, two for the most expensive orders."""
+        rows = self.view("sets")
+        second = rows.filter("extra_set").withColumn("name", F.concat("name", F.lit("-b")))
+        second = second.withColumn("uid", F.concat("uid", F.lit("-b")))
+        return rows.unionByName(second).drop("extra_set")
 
     @cached_property
     def pods(self) -> DataFrame:

@@ -28,6 +28,10 @@ def _projection(table: str, columns: dict[str, str]) -> str:
 
 CTES: dict[str, str] = {name: _projection(table, columns) for name, (table, columns) in VIEWS.items()}
 
+CTES["set_rows"] = CTES.pop("sets")
+CTES["sets"] = """
+select * from set_rows
+union all select * replace (name || '-b' as name, uid || '-b' as uid) from set_rows where extra_set"""
 CTES["ns_labels"] = (
     "select n.name, n.tier, r.r_name as region from namespaces n left join region r on r.r_regionkey = n.region_key"
 )

@@ -11,5 +11,6 @@ from fleetloom.plans.queries import (  # noqa: F401
     quantities,
     rules,
     scans,
+    states,
     views,
 )
