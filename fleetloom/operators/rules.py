@@ -538,13 +538,13 @@ def evaluate_activity_rules(
     return result.select("*", "decision.*").drop("decision", "pod_labels", "namespace_labels")
 
 
-def pause_decision(decided: DataFrame, now_ms: int, fresh_probe: Column) -> DataFrame:
+def pause_decision(decided: DataFrame, now_ms: int | Column, fresh_probe: Column) -> DataFrame:
     """Eligibility and pause of running workspaces of kinds with a probe.
 
     ``decided`` comes from :func:`evaluate_activity_rules` and also holds state, has_probe, last_activity_ms and
     last_running_ms. ``eligible_after_ms`` is null when no pausing rule applies and 0 when activity is unknown.
     """
-    now = F.lit(now_ms)
+    now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
     activity, running = F.col("last_activity_ms"), F.col("last_running_ms")
     considered = F.col("has_probe") & (F.col("state") == "Running")
     pausing = considered & (F.col("status") == "matched") & F.col("pause")

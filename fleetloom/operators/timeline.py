@@ -108,40 +108,59 @@ def probe_activity(probes: DataFrame) -> DataFrame:
     ).drop("_text", "_json")
 
 
-def fold_probes(probes: DataFrame, running: DataFrame, order: list[str]) -> DataFrame:
-    """Activity status per workspace after all probes since its latest run began.
+def probe_facts(probes: DataFrame, order: list[str]) -> DataFrame:
+    """What the probes of each workspace say, in any order of arrival: one partial aggregate.
 
-    ``probes`` come from :func:`probe_activity`; ``running`` holds last_running_ms per workspace. The activity is
-    assigned by the last success that reports one (it may go backwards); a success without one keeps it, or sets
-    it to the start of the run while it is unknown. Failures change nothing but the last probe.
+    ``probes`` come from :func:`probe_activity` and hold last_running_ms, the start of the run they belong to.
     """
-    rows = probes.join(running.select(*WORKSPACE, "last_running_ms"), WORKSPACE, "left").withColumn(
-        "last_running_ms", F.coalesce("last_running_ms", F.lit(0).cast("bigint"))
-    )
-    current = rows.filter(F.col("start_ms") >= F.col("last_running_ms"))
     success = F.col("result") == "Success"
     at = F.struct(*order)
     told = success & F.col("activity_ms").isNotNull()
     silent = success & F.col("activity_ms").isNull()
-    folded = current.groupBy(*WORKSPACE).agg(
+    return probes.groupBy(*WORKSPACE).agg(
         F.max("last_running_ms").alias("last_running_ms"),
         F.max_by("activity_ms", F.when(told, at)).alias("told_ms"),
         F.max(F.when(told, at)).alias("told_at"),
         F.max(F.when(silent, at)).alias("silent_at"),
-        F.max_by("end_ms", F.when(success, at)).alias("last_update_ms"),
-        F.max_by(F.struct("start_ms", "result"), at).alias("last_probe"),
+        F.max_by("end_ms", F.when(success, at)).alias("updated_ms"),
+        F.max_by(F.struct("start_ms", "end_ms", "result"), at).alias("last_probe"),
         F.count("*").alias("probes"),
     )
-    # a silent success after an unknown (non-positive) activity falls back to the start of the run
-    fallback = F.col("silent_at").isNotNull() & (
-        F.col("told_at").isNull() | ((F.col("told_ms") <= 0) & (F.col("silent_at") > F.col("told_at")))
-    ) & (F.col("last_running_ms") > 0)
+
+
+def folded_activity(before: Column, running: Column) -> Column:
+    """Activity after the facts, given the activity before them.
+
+    The last told value is assigned. A silent success keeps what is known, and falls back to the start of the run
+    while the activity is unknown (not positive).
+    """
+    told, silent = F.col("told_at").isNotNull(), F.col("silent_at").isNotNull()
+    silent_last = silent & (~told | (F.col("silent_at") > F.col("told_at")))
+    value = F.when(told, F.col("told_ms")).otherwise(before)
+    return F.when(silent_last & (value <= 0) & (running > 0), running).otherwise(value)
+
+
+def with_running(probes: DataFrame, running: DataFrame) -> DataFrame:
+    """Probes of the current run of each workspace, with its start."""
+    rows = probes.join(running.select(*WORKSPACE, "last_running_ms"), WORKSPACE, "left").withColumn(
+        "last_running_ms", F.coalesce("last_running_ms", F.lit(0).cast("bigint"))
+    )
+    return rows.filter(F.col("start_ms") >= F.col("last_running_ms"))
+
+
+def fold_probes(probes: DataFrame, running: DataFrame, order: list[str]) -> DataFrame:
+    """Activity status per workspace after all probes since its latest run began.
+
+    ``running`` holds last_running_ms per workspace. The activity is assigned, not maximised: it may go backwards.
+    Failures change nothing but the last probe.
+    """
+    facts = probe_facts(with_running(probes, running), order)
     zero = F.lit(0).cast("bigint")
-    return folded.select(
+    return facts.select(
         *WORKSPACE,
         "last_running_ms",
-        F.when(fallback, F.col("last_running_ms")).otherwise(F.coalesce("told_ms", zero)).alias("last_activity_ms"),
-        F.coalesce("last_update_ms", zero).alias("last_update_ms"),
+        folded_activity(zero, F.col("last_running_ms")).alias("last_activity_ms"),
+        F.coalesce("updated_ms", zero).alias("last_update_ms"),
         F.col("last_probe.start_ms").alias("last_probe_start_ms"),
         F.col("last_probe.result").alias("last_probe_result"),
         "probes",
@@ -168,11 +187,13 @@ def activity_level(workspaces: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
-def escalations(levels: DataFrame, first_snapshot: int | None = None, chunk_size: int = 24) -> DataFrame:
+def escalations(
+    levels: DataFrame, first_snapshot: int | None = None, chunk_size: int = 24, carry: list[str] | None = None
+) -> DataFrame:
     """Rises of the activity level between consecutive snapshots that a user is told about.
 
     A workspace absent from the previous snapshot starts from none; nothing is reported for the first snapshot;
-    falling from critical to warning is silent.
+    falling from critical to warning is silent. ``carry`` names extra columns to keep.
     """
     if first_snapshot is None:
         first_snapshot = levels.agg(F.min("snapshot_id")).first()[0]
@@ -184,7 +205,7 @@ def escalations(levels: DataFrame, first_snapshot: int | None = None, chunk_size
         (before == "warning") & (F.col("level") == "critical")
     )
     return rows.filter(rises & (F.col("snapshot_id") > F.lit(first_snapshot))).select(
-        *WORKSPACE, "snapshot_id", before.alias("from_level"), F.col("level").alias("to_level")
+        *WORKSPACE, "snapshot_id", before.alias("from_level"), F.col("level").alias("to_level"), *(carry or [])
     )
 
 

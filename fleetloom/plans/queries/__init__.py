@@ -12,5 +12,6 @@ from fleetloom.plans.queries import (  # noqa: F401
     rules,
     scans,
     states,
+    streams,
     views,
 )
