@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values: (unit, weight) in lookup order; an unknown unit falls back to the first of its list.
@@ -31,134 +31,154 @@ BINARY_POWERS = {"Ki": 1, "Mi": 2, "Gi": 3, "Ti": 4, "Pi": 5, "Ei": 6}
 
 AMOUNT = "decimal(38,9)"
 
+# The jobs below add their columns in steps. A step that several later expressions read stays a projection of its
+# own, so each regular expression runs once per row and the generated code stays small.
 
-def _weights(units) -> Column:
-    pairs = [part for unit, weight in units for part in (F.lit(unit), F.lit(weight).cast("decimal(20,0)"))]
-    return F.create_map(*pairs)
 
+def _literal_map(pairs, kind: str) -> Column:
+    return F.create_map(*[part for key, value in pairs for part in (F.lit(key), F.lit(value).cast(kind))])
 
-def _scaled(number: Column, weight: Column) -> Column:
-    """Exact ``number * weight`` as decimal(38,9): whole and fractional part are multiplied apart."""
-    negative = number.startswith("-")
-    unsigned = F.regexp_replace(number, "^[+-]", "")
-    whole = F.split(unsigned, r"\.")[0]
-    whole = F.when(whole == "", "0").otherwise(whole)
-    fraction = F.coalesce(F.get(F.split(unsigned, r"\."), F.lit(1)), F.lit(""))
-    big = whole.try_cast("decimal(19,0)") * weight.cast("decimal(19,0)")
-    small = F.concat(F.lit("0."), fraction, F.lit("0")).try_cast("decimal(10,9)") * weight.cast("decimal(19,0)")
-    total = big.try_cast("decimal(28,0)") + small.try_cast("decimal(28,9)")
-    total = F.when(weight == 1, unsigned.try_cast(AMOUNT)).otherwise(total.try_cast(AMOUNT))
-    return F.when(negative, -total).otherwise(total)
 
+def _with_product(df: DataFrame, number: str, weight: str, out: str) -> DataFrame:
+    """Exact ``number * weight`` of digit text as decimal(38,9): whole and fractional part are multiplied apart."""
+    parts = F.split(number, r"\.")
+    whole, fraction = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    factor = F.col(weight).cast("decimal(19,0)")
+    big = F.when(whole == "", "0").otherwise(whole).try_cast("decimal(19,0)") * factor
+    small = F.concat(F.lit("0."), fraction, F.lit("0")).try_cast("decimal(10,9)") * factor
+    product = (big.try_cast("decimal(28,0)") + small.try_cast("decimal(28,9)")).try_cast(AMOUNT)
+    return df.withColumn(out, F.when(F.col(weight) == 1, F.col(number).try_cast(AMOUNT)).otherwise(product))
 
-def display_quantity(value: Column, units) -> Column:
-    """The lenient display rule: struct(amount, unit, base, unknown_unit).
 
-    Text that is only a unit has no amount; text without digits counts as one of the first unit; an unknown
-    unit falls back to the first unit of the list and is flagged. ``base`` is the amount in the lowest unit.
+def with_display_quantity(df: DataFrame, column: str, units, prefix: str) -> DataFrame:
+    """The lenient display rule; adds ``{prefix}_amount``, ``_unit``, ``_base`` and ``_unknown``.
+
+    Text that is only a unit has no amount; text without digits counts as one of the first unit; an unknown unit
+    falls back to the first unit of the list and is flagged. ``_base`` is the amount in the lowest unit.
     """
     known = [unit for unit, _ in units]
-    first = F.lit(known[0])
-    digits = F.regexp_extract(value, r"^(\d*\.?\d*)(.*)$", 1)
-    suffix = F.regexp_extract(value, r"^(\d*\.?\d*)(.*)$", 2)
+    value, first = F.col(column), F.lit(known[0])
+    digits, suffix, number, weight = (f"_{prefix}_{part}" for part in ("digits", "suffix", "number", "weight"))
     is_unit = value.isin(known)
-    amount = F.when(is_unit, F.lit(None)).when(digits == "", F.lit("1")).when(digits != ".", digits)
-    unit = (
-        F.when(is_unit, value).when(digits == "", first).when(suffix.isin(known), suffix).when(value.isNotNull(), first)
+    pattern = r"^(\d*\.?\d*)(.*)$"
+    df = df.withColumns(
+        {digits: F.regexp_extract(value, pattern, 1), suffix: F.regexp_extract(value, pattern, 2)}
+    )
+    named = F.col(suffix).isin(known)
+    bare = F.col(digits) == ""
+    df = df.withColumns(
+        {
+            number: F.when(is_unit, F.lit(None)).when(bare, F.lit("1")).when(F.col(digits) != ".", F.col(digits)),
+            f"{prefix}_unit": F.when(is_unit, value)
+            .when(bare, first)
+            .when(named, F.col(suffix))
+            .when(value.isNotNull(), first),
+            f"{prefix}_unknown": value.isNotNull() & ~is_unit & ~bare & ~named,
+        }
     )
-    weight = F.try_element_at(_weights(units), unit)
-    return F.struct(
-        amount.try_cast(AMOUNT).alias("amount"),
-        unit.alias("unit"),
-        _scaled(amount, weight).alias("base"),
-        (value.isNotNull() & ~is_unit & (digits != "") & ~suffix.isin(known)).alias("unknown_unit"),
+    df = df.withColumns(
+        {
+            f"{prefix}_amount": F.col(number).try_cast(AMOUNT),
+            weight: F.try_element_at(_literal_map(units, "decimal(20,0)"), F.col(f"{prefix}_unit")),
+        }
     )
+    return _with_product(df, number, weight, f"{prefix}_base").drop(digits, suffix, number, weight)
+
+
+def with_converted(df: DataFrame, column: str, units, target: str, prefix: str) -> DataFrame:
+    """Adds ``{prefix}_value`` (double) and ``{prefix}_unit``: in the target unit, or unchanged when it is unknown."""
+    parsed = with_display_quantity(df, column, units, f"_{prefix}")
+    zero, weights = F.lit(0.0), dict(units)
+    if target in weights:
+        value = F.coalesce(F.col(f"_{prefix}_base").cast("double"), zero) / F.lit(float(weights[target]))
+        unit = F.lit(target)
+    else:
+        value, unit = F.coalesce(F.col(f"_{prefix}_amount").cast("double"), zero), F.col(f"_{prefix}_unit")
+    return parsed.withColumns({f"{prefix}_value": value, f"{prefix}_unit": unit}).drop(
+        *[f"_{prefix}_{part}" for part in ("amount", "unit", "base", "unknown")]
+    )
+
 
+def with_display_cpu(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Adds ``{prefix}_value`` and ``{prefix}_unit``: nanocores become cores from one core up, else millicores."""
+    parsed = with_display_quantity(df, column, CPU_UNITS, f"_{prefix}")
+    amount, unit = F.col(f"_{prefix}_amount").cast("double"), F.col(f"_{prefix}_unit")
+    base = F.col(f"_{prefix}_base")
+    nano = amount.isNotNull() & (unit == "n")
+    cores = base >= F.lit(1000**3)
+    exact = base.cast("double")
+    return parsed.withColumns(
+        {
+            f"{prefix}_value": F.when(nano & cores, exact / F.lit(1e9)).when(nano, exact / F.lit(1e6)).otherwise(amount),
+            f"{prefix}_unit": F.when(nano & cores, F.lit("")).when(nano, F.lit("m")).otherwise(unit),
+        }
+    ).drop(*[f"_{prefix}_{part}" for part in ("amount", "unit", "base", "unknown")])
 
-def convert_quantity(value: Column, units, target: str) -> Column:
-    """struct(amount double, unit): in the target unit, or unchanged when the target is not in the list."""
-    parsed = display_quantity(value, units)
-    weights = dict(units)
-    if target not in weights:
-        return F.struct(
-            F.coalesce(parsed["amount"].cast("double"), F.lit(0.0)).alias("amount"), parsed["unit"].alias("unit")
-        )
-    amount = F.coalesce(parsed["base"].cast("double"), F.lit(0.0)) / F.lit(float(weights[target]))
-    return F.struct(amount.alias("amount"), F.lit(target).alias("unit"))
-
-
-def display_cpu(value: Column) -> Column:
-    """struct(amount double, unit): nanocores become cores from one core up, else millicores."""
-    parsed = display_quantity(value, CPU_UNITS)
-    nano = parsed["amount"].isNotNull() & (parsed["unit"] == "n")
-    cores = parsed["base"] >= F.lit(1000**3)
-    return F.when(
-        nano,
-        F.when(cores, convert_quantity(value, CPU_UNITS, "")).otherwise(convert_quantity(value, CPU_UNITS, "m")),
-    ).otherwise(F.struct(parsed["amount"].cast("double").alias("amount"), parsed["unit"].alias("unit")))
-
-
-def exact_quantity(value: Column) -> Column:
-    """The strict rule: base units as decimal(38,9); null when malformed or beyond 28 whole digits."""
-    sign = F.regexp_extract(value, STRICT_PATTERN, 1)
-    number = F.regexp_extract(value, STRICT_PATTERN, 2)
-    suffix = F.regexp_extract(value, STRICT_PATTERN, 3)
-    binary = _weights([(unit, 1024**power) for unit, power in BINARY_POWERS.items()])
-    exponents = F.create_map(*[F.lit(part) for pair in DECIMAL_EXPONENTS.items() for part in pair])
-    exponent = F.when(suffix.rlike(r"^[eE][+-]?\d+$"), F.substring(suffix, 2, 20).try_cast("int")).otherwise(
-        F.try_element_at(exponents, suffix)
+
+def with_exact_quantity(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """The strict rule; adds ``{prefix}_value`` in base units, null when malformed, and ``{prefix}_beyond``.
+
+    ``_beyond`` marks well-formed text that decimal(38,9) cannot hold exactly: it is reported, never guessed.
+    """
+    value = F.col(column)
+    sign, number, suffix, exponent, weight, scaled = (
+        f"_{prefix}_{part}" for part in ("sign", "number", "suffix", "exponent", "weight", "scaled")
+    )
+    df = df.withColumns(
+        {
+            sign: F.regexp_extract(value, STRICT_PATTERN, 1),
+            number: F.regexp_extract(value, STRICT_PATTERN, 2),
+            suffix: F.regexp_extract(value, STRICT_PATTERN, 3),
+        }
     )
-    decimal = F.concat(sign, number, F.lit("E"), exponent.cast("string")).try_cast(AMOUNT)
-    scaled = _scaled(F.concat(sign, number), F.try_element_at(binary, suffix))
-    return F.when(value.rlike(STRICT_PATTERN), F.when(suffix.isin(list(BINARY_POWERS)), scaled).otherwise(decimal))
-
-
-def beyond_exact(value: Column) -> Column:
-    """True for well-formed text whose value needs more than decimal(38,9) holds (reported, never guessed)."""
-    number = F.regexp_extract(value, STRICT_PATTERN, 2)
-    suffix = F.regexp_extract(value, STRICT_PATTERN, 3)
-    exponents = F.create_map(*[F.lit(part) for pair in DECIMAL_EXPONENTS.items() for part in pair])
-    exponent = F.when(suffix.rlike(r"^[eE][+-]?\d+$"), F.substring(suffix, 2, 20).try_cast("int")).otherwise(
-        F.coalesce(F.try_element_at(exponents, suffix), F.lit(0))
+    binary = [(unit, 1024**power) for unit, power in BINARY_POWERS.items()]
+    df = df.withColumns(
+        {
+            exponent: F.coalesce(
+                F.try_element_at(_literal_map(DECIMAL_EXPONENTS.items(), "int"), F.col(suffix)),
+                F.regexp_extract(F.col(suffix), r"^[eE]([+-]?\d+)$", 1).try_cast("int"),
+            ),
+            weight: F.try_element_at(_literal_map(binary, "decimal(20,0)"), F.col(suffix)),
+        }
     )
+    df = _with_product(df, number, weight, scaled)
+    scientific = F.concat(F.col(number), F.lit("E"), F.col(exponent).cast("string")).try_cast(AMOUNT)
+    magnitude = F.when(F.col(weight).isNotNull(), F.col(scaled)).otherwise(scientific)
+    signed = F.when(F.col(sign) == "-", -magnitude).otherwise(magnitude)
     fraction = F.regexp_replace(F.coalesce(F.get(F.split(number, r"\."), F.lit(1)), F.lit("")), "0+$", "")
-    too_fine = (F.length(fraction) - exponent) > 9
-    return F.coalesce(value.rlike(STRICT_PATTERN) & (exact_quantity(value).isNull() | too_fine), F.lit(False))
+    too_fine = (F.length(fraction) - F.coalesce(exponent, F.lit(0))) > 9
+    well_formed = F.coalesce(F.col(number) != "", F.lit(False))
+    df = df.withColumn(f"{prefix}_value", F.when(well_formed, signed))
+    beyond = well_formed & (F.col(f"{prefix}_value").isNull() | F.coalesce(too_fine, F.lit(False)))
+    return df.withColumn(f"{prefix}_beyond", beyond).drop(sign, number, suffix, exponent, weight, scaled)
 
 
 def _missing(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
-def _delta(left: Column, right: Column, units) -> Column:
+def with_comparison(df: DataFrame, left: str, right: str, units, prefix: str) -> DataFrame:
+    """Adds ``{prefix}_equal`` (both missing are equal, one missing is not) and ``{prefix}_delta``: left - right."""
+    both = with_display_quantity(df, left, units, "_left")
+    both = with_display_quantity(both, right, units, "_right")
     zero = F.lit(0).cast(AMOUNT)
-    return F.coalesce(display_quantity(left, units)["base"], zero) - F.coalesce(
-        display_quantity(right, units)["base"], zero
-    )
-
-
-def quantities_equal(left: Column, right: Column, units) -> Column:
-    """Both missing are equal, one missing is not."""
-    return (
-        F.when(_missing(left) & _missing(right), F.lit(True))
-        .when(_missing(left) | _missing(right), F.lit(False))
-        .otherwise(_delta(left, right, units) == 0)
-    )
+    delta = F.coalesce("_left_base", zero) - F.coalesce("_right_base", zero)
+    a, b = _missing(F.col(left)), _missing(F.col(right))
+    compared = both.withColumn(f"{prefix}_delta", delta)
+    equal = F.when(a & b, F.lit(True)).when(a | b, F.lit(False)).otherwise(F.col(f"{prefix}_delta") == 0)
+    parts = [f"_{side}_{part}" for side in ("left", "right") for part in ("amount", "unit", "base", "unknown")]
+    return compared.withColumn(f"{prefix}_equal", equal).drop(*parts)
 
 
-def quantity_larger(left: Column, right: Column, units, or_equal: bool = False) -> Column:
-    delta = _delta(left, right, units)
-    return delta >= 0 if or_equal else delta > 0
-
-
-def limit_larger(request: Column, limit: Column, units, or_equal: bool = False) -> Column:
-    """False when either side is missing."""
-    return F.when(_missing(request) | _missing(limit), F.lit(False)).otherwise(
-        quantity_larger(limit, request, units, or_equal)
-    )
+def limit_larger(request: str, limit: str, prefix: str, or_equal: bool = False) -> Column:
+    """Is the limit larger, from :func:`with_comparison` of (limit, request)? False when either is missing."""
+    delta = F.col(f"{prefix}_delta")
+    larger = delta >= 0 if or_equal else delta > 0
+    return F.when(_missing(F.col(request)) | _missing(F.col(limit)), F.lit(False)).otherwise(larger)
 
 
 def gpu_count(label: Column) -> Column:
     """GPU label as a number: missing is 0, text without digits is 1."""
-    text = F.when(_missing(label), F.lit("0")).otherwise(label)
-    return F.coalesce(display_quantity(text, COUNT_UNITS)["amount"].cast("double"), F.lit(0.0))
+    digits = F.regexp_extract(label, r"^(\d*\.?\d*)", 1)
+    count = F.when(_missing(label), F.lit(0.0)).when(digits == "", F.lit(1.0)).otherwise(digits.try_cast("double"))
+    return F.coalesce(count, F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.constants import CAN_MOUNT, CAN_UPDATE, CAN_USE
 from fleetloom.functions.labels import label_is_true, valid_label_key, valid_label_value
-from fleetloom.functions.quantities import beyond_exact, exact_quantity
+from fleetloom.functions.quantities import with_exact_quantity
 from fleetloom.operators.report import report, violation
 
 # Name and path syntax.
@@ -219,13 +219,10 @@ def resource_audit(entries: DataFrame, keys: list[str]) -> DataFrame:
 
     Values beyond decimal(38,9) are reported as such instead of being compared.
     """
-    parsed = (
-        entries.filter(F.coalesce(F.col("type"), F.lit("")) != "")
-        .withColumn("class", resource_class(F.col("type")))
-        .withColumn("request_q", exact_quantity(F.col("request")))
-        .withColumn("limit_q", exact_quantity(F.col("limit")))
-        .withColumn("page_q", exact_quantity(F.substring("type", len(HUGE_PAGES) + 1, 64)))
-    )
+    parsed = entries.filter(F.coalesce(F.col("type"), F.lit("")) != "").withColumn("class", resource_class(F.col("type")))
+    parsed = parsed.withColumn("page", F.when(is_huge_pages(F.col("type")), F.substring("type", len(HUGE_PAGES) + 1, 64)))
+    for name in ("request", "limit", "page"):
+        parsed = with_exact_quantity(parsed, name, name)
     kind = F.col("class")
     extended, huge = kind == "extended", kind == "hugepages"
     supported = kind != "unsupported"
@@ -244,9 +241,9 @@ def resource_audit(entries: DataFrame, keys: list[str]) -> DataFrame:
         )
     ]
     for name in ("request", "limit"):
-        text, value = F.col(name), F.col(f"{name}_q")
+        text, value = F.col(name), F.col(f"{name}_value")
         given = supported & (F.coalesce(text, F.lit("")) != "")
-        beyond = beyond_exact(text)
+        beyond = F.col(f"{name}_beyond")
         malformed = F.coalesce(~beyond & (value.isNull() | (value < 0)), F.lit(True))
         tail = F.when(extended, F.lit("whole number.")).otherwise(F.lit("Kubernetes quantity."))
         checks.append(
@@ -266,30 +263,30 @@ def resource_audit(entries: DataFrame, keys: list[str]) -> DataFrame:
         checks.append(
             violation(given & beyond, field=name, message=F.concat(shown, F.lit(f" {name} is beyond exact comparison.")))
         )
-    both = supported & F.col("request_q").isNotNull() & F.col("limit_q").isNotNull()
+    both = supported & F.col("request_value").isNotNull() & F.col("limit_value").isNotNull()
     checks.append(
         violation(
-            both & (extended | huge) & (F.col("request_q") != F.col("limit_q")),
+            both & (extended | huge) & (F.col("request_value") != F.col("limit_value")),
             field="request",
             message=F.concat(shown, F.lit(" request must equal its limit, or be omitted.")),
         )
     )
     checks.append(
         violation(
-            both & (kind == "plain") & (F.col("request_q") > F.col("limit_q")),
+            both & (kind == "plain") & (F.col("request_value") > F.col("limit_value")),
             field="request",
             message=F.concat(shown, F.lit(" request must not exceed its limit.")),
         )
     )
-    page_ok = F.coalesce(F.col("page_q") > 0, F.lit(False))
+    page_ok = F.coalesce(F.col("page_value") > 0, F.lit(False))
     checks.append(
         violation(huge & ~page_ok, field="type", message=F.concat(shown, F.lit(" must specify a positive page size.")))
     )
     for name in ("request", "limit"):
-        value = F.col(f"{name}_q")
+        value = F.col(f"{name}_value")
         checks.append(
             violation(
-                huge & page_ok & value.isNotNull() & (F.try_mod(value, F.col("page_q")) != 0),
+                huge & page_ok & value.isNotNull() & (F.try_mod(value, F.col("page_value")) != 0),
                 field=name,
                 message=F.concat(shown, F.lit(" quantities must be multiples of the page size.")),
             )

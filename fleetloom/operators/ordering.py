@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetloom.session import cut_lineage
+
 
 def _sort_key(df: DataFrame, column: str, collation: str | None) -> Column:
     if collation and isinstance(df.schema[column].dataType, T.StringType):
@@ -29,11 +31,34 @@ def sort_kinds(df: DataFrame, column: str, descending: bool = False, collation:
     return sort_workspaces(df, column, descending, ("name",), collation)
 
 
-def page(df: DataFrame, number: int, size: int = 10) -> DataFrame:
-    """One page (from 1) of an ordered table; numbers outside are clamped to the first or last page."""
-    pages = max(1, -(-df.count() // size))
-    number = min(max(1, number), pages)
-    return df.offset((number - 1) * size).limit(size)
+# Rows up to which a page is cut from a top-k; deeper pages are read from the written, ordered table.
+SHALLOW_ROWS = 100_000
+
+
+def page(df: DataFrame, number: int, size: int = 10, shallow: int = SHALLOW_ROWS) -> DataFrame:
+    """One page (from 1) of an ordered table; numbers outside are clamped to the first or last page.
+
+    A deep page would make a top-k carry every row before it through one task. The ordered table is written
+    instead, each row with its partition and its position in it; the sizes of the partitions before the page (one
+    number per partition) tell which positions to read.
+    """
+    if number * size <= shallow:
+        first = df.offset(max(number - 1, 0) * size).limit(size)
+        if number <= 1 or not first.isEmpty():
+            return first
+    placed = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
+    partition = F.shiftright("_at", 33)
+    sizes = placed.groupBy(partition.alias("p")).count().orderBy("p").collect()
+    total = sum(row["count"] for row in sizes)
+    start = (min(max(1, number), max(1, -(-total // size))) - 1) * size
+    wanted, before = F.lit(False), 0
+    for row in sizes:
+        low, high = max(start - before, 0), min(start + size - before, row["count"])
+        if low < high:
+            base = row["p"] << 33
+            wanted = wanted | F.col("_at").between(base + low, base + high - 1)
+        before += row["count"]
+    return placed.filter(wanted).orderBy("_at").drop("_at")
 
 
 def stable_order(previous: DataFrame, current: DataFrame, sort_key: str, resort: bool = False) -> DataFrame:

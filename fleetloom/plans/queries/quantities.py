@@ -34,32 +34,11 @@ _SAMPLE = f"""p as (select namespace, pod, container, ts_ms, seq, cpu, memory, {
       memory <> 'Mi' and memory_digits <> '' and memory_suffix not in ('Gi', 'Mi', '') as memory_unknown from w""",
 )
 def _normalise(t: Fleet) -> DataFrame:
-    return t.usage_samples.select(
-        "namespace",
-        "pod",
-        "container",
-        "ts_ms",
-        "seq",
-        "cpu",
-        "memory",
-        Q.display_quantity(F.col("cpu"), Q.CPU_UNITS).alias("c"),
-        Q.display_quantity(F.col("memory"), Q.MEMORY_UNITS).alias("m"),
-    ).select(
-        "namespace",
-        "pod",
-        "container",
-        "ts_ms",
-        "seq",
-        "cpu",
-        "memory",
-        F.col("c.amount").cast("double").alias("cpu_amount"),
-        F.col("c.unit").alias("cpu_unit"),
-        F.col("c.base").cast("double").alias("cpu_base"),
-        F.col("m.amount").cast("double").alias("memory_amount"),
-        F.col("m.unit").alias("memory_unit"),
-        F.col("m.base").cast("double").alias("memory_base"),
-        F.col("m.unknown_unit").alias("memory_unknown"),
-    )
+    rows = t.usage_samples.drop("ts")
+    rows = Q.with_display_quantity(rows, "cpu", Q.CPU_UNITS, "cpu")
+    rows = Q.with_display_quantity(rows, "memory", Q.MEMORY_UNITS, "memory").drop("cpu_unknown")
+    numbers = ("cpu_amount", "cpu_base", "memory_amount", "memory_base")
+    return rows.withColumns({name: F.col(name).cast("double") for name in numbers})
 
 
 @query(
@@ -73,28 +52,17 @@ def _normalise(t: Fleet) -> DataFrame:
         as cpu_shown_unit from w""",
 )
 def _convert(t: Fleet) -> DataFrame:
-    return t.usage_samples.select(
-        "namespace",
-        "pod",
-        "container",
-        "ts_ms",
-        "seq",
-        "memory",
-        Q.convert_quantity(F.col("memory"), Q.MEMORY_UNITS, "Mi").alias("a"),
-        Q.convert_quantity(F.col("memory"), Q.MEMORY_UNITS, "bushel").alias("b"),
-        Q.display_cpu(F.col("cpu")).alias("c"),
-    ).select(
-        "namespace",
-        "pod",
-        "container",
-        "ts_ms",
-        "seq",
-        "memory",
-        F.col("a.amount").alias("mib"),
-        F.col("b.amount").alias("unchanged"),
-        F.col("b.unit").alias("unchanged_unit"),
-        F.col("c.amount").alias("cpu_shown"),
-        F.col("c.unit").alias("cpu_shown_unit"),
+    rows = t.usage_samples.drop("ts")
+    rows = Q.with_converted(rows, "memory", Q.MEMORY_UNITS, "Mi", "mib")
+    rows = Q.with_converted(rows, "memory", Q.MEMORY_UNITS, "bushel", "unchanged")
+    rows = Q.with_display_cpu(rows, "cpu", "shown").drop("cpu", "mib_unit")
+    return rows.withColumnsRenamed(
+        {
+            "mib_value": "mib",
+            "unchanged_value": "unchanged",
+            "shown_value": "cpu_shown",
+            "shown_unit": "cpu_shown_unit",
+        }
     )
 
 
@@ -107,12 +75,8 @@ def _convert(t: Fleet) -> DataFrame:
       else cast(request as double) end as amount, false as beyond from resource_entries""",
 )
 def _exact(t: Fleet) -> DataFrame:
-    return t.view("resource_entries").select(
-        "object",
-        "request",
-        Q.exact_quantity(F.col("request")).cast("double").alias("amount"),
-        Q.beyond_exact(F.col("request")).alias("beyond"),
-    )
+    rows = Q.with_exact_quantity(t.view("resource_entries").select("object", "request"), "request", "q")
+    return rows.select("object", "request", F.col("q_value").cast("double").alias("amount"), F.col("q_beyond").alias("beyond"))
 
 
 @query(
@@ -125,16 +89,15 @@ def _exact(t: Fleet) -> DataFrame:
       coalesce(mr = ml, false) as memory_equal, coalesce(ml >= mr, false) as memory_limit_enough from b""",
 )
 def _compare(t: Fleet) -> DataFrame:
-    pods = t.view("pods")
-    return pods.select(
+    rows = Q.with_comparison(t.view("pods"), "cpu_limit", "cpu_request", Q.CPU_UNITS, "cpu")
+    rows = Q.with_comparison(rows, "memory_limit", "memory_request", Q.MEMORY_UNITS, "memory")
+    return rows.select(
         "namespace",
         "name",
-        Q.quantities_equal(F.col("cpu_request"), F.col("cpu_limit"), Q.CPU_UNITS).alias("cpu_equal"),
-        Q.limit_larger(F.col("cpu_request"), F.col("cpu_limit"), Q.CPU_UNITS).alias("cpu_limit_larger"),
-        Q.quantities_equal(F.col("memory_request"), F.col("memory_limit"), Q.MEMORY_UNITS).alias("memory_equal"),
-        Q.limit_larger(F.col("memory_request"), F.col("memory_limit"), Q.MEMORY_UNITS, True).alias(
-            "memory_limit_enough"
-        ),
+        "cpu_equal",
+        Q.limit_larger("cpu_request", "cpu_limit", "cpu").alias("cpu_limit_larger"),
+        "memory_equal",
+        Q.limit_larger("memory_request", "memory_limit", "memory", True).alias("memory_limit_enough"),
     )
 
 
