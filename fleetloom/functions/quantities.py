@@ -40,14 +40,24 @@ def _literal_map(pairs, kind: str) -> Column:
 
 
 def _with_product(df: DataFrame, number: str, weight: str, out: str) -> DataFrame:
-    """Exact ``number * weight`` of digit text as decimal(38,9): whole and fractional part are multiplied apart."""
-    parts = F.split(number, r"\.")
-    whole, fraction = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    """Exact ``number * weight`` of digit text as decimal(38,9).
+
+    Short whole numbers are multiplied as longs. Otherwise the whole and the fractional part are multiplied apart,
+    because one wide decimal product would lose digits.
+    """
+    whole = F.substring_index(number, ".", 1)
+    fraction = F.when(F.instr(number, ".") > 0, F.substring_index(number, ".", -1)).otherwise(F.lit(""))
+    short = (F.instr(number, ".") == 0) & F.length(number).between(1, 9) & (F.col(weight) <= 1024**3)
     factor = F.col(weight).cast("decimal(19,0)")
     big = F.when(whole == "", "0").otherwise(whole).try_cast("decimal(19,0)") * factor
     small = F.concat(F.lit("0."), fraction, F.lit("0")).try_cast("decimal(10,9)") * factor
-    product = (big.try_cast("decimal(28,0)") + small.try_cast("decimal(28,9)")).try_cast(AMOUNT)
-    return df.withColumn(out, F.when(F.col(weight) == 1, F.col(number).try_cast(AMOUNT)).otherwise(product))
+    wide = (big.try_cast("decimal(28,0)") + small.try_cast("decimal(28,9)")).try_cast(AMOUNT)
+    return df.withColumn(
+        out,
+        F.when(F.col(weight) == 1, F.col(number).try_cast(AMOUNT))
+        .when(short, (F.col(number).cast("bigint") * F.col(weight)).cast(AMOUNT))
+        .otherwise(wide),
+    )
 
 
 def with_display_quantity(df: DataFrame, column: str, units, prefix: str) -> DataFrame:
@@ -60,10 +70,8 @@ def with_display_quantity(df: DataFrame, column: str, units, prefix: str) -> Dat
     value, first = F.col(column), F.lit(known[0])
     digits, suffix, number, weight = (f"_{prefix}_{part}" for part in ("digits", "suffix", "number", "weight"))
     is_unit = value.isin(known)
-    pattern = r"^(\d*\.?\d*)(.*)$"
-    df = df.withColumns(
-        {digits: F.regexp_extract(value, pattern, 1), suffix: F.regexp_extract(value, pattern, 2)}
-    )
+    df = df.withColumn(digits, F.regexp_extract(value, r"^(\d*\.?\d*)", 1))
+    df = df.withColumn(suffix, value.substr(F.length(digits) + 1, F.length(value)))
     named = F.col(suffix).isin(known)
     bare = F.col(digits) == ""
     df = df.withColumns(
@@ -79,7 +87,7 @@ def with_display_quantity(df: DataFrame, column: str, units, prefix: str) -> Dat
     df = df.withColumns(
         {
             f"{prefix}_amount": F.col(number).try_cast(AMOUNT),
-            weight: F.try_element_at(_literal_map(units, "decimal(20,0)"), F.col(f"{prefix}_unit")),
+            weight: F.try_element_at(_literal_map(units, "bigint"), F.col(f"{prefix}_unit")),
         }
     )
     return _with_product(df, number, weight, f"{prefix}_base").drop(digits, suffix, number, weight)
@@ -124,28 +132,26 @@ def with_exact_quantity(df: DataFrame, column: str, prefix: str) -> DataFrame:
     sign, number, suffix, exponent, weight, scaled = (
         f"_{prefix}_{part}" for part in ("sign", "number", "suffix", "exponent", "weight", "scaled")
     )
-    df = df.withColumns(
-        {
-            sign: F.regexp_extract(value, STRICT_PATTERN, 1),
-            number: F.regexp_extract(value, STRICT_PATTERN, 2),
-            suffix: F.regexp_extract(value, STRICT_PATTERN, 3),
-        }
-    )
+    # one match gives the number; sign and suffix are what surrounds it
+    df = df.withColumns({number: F.regexp_extract(value, STRICT_PATTERN, 2), sign: F.left(value, F.lit(1))})
+    signed_length = F.when(F.col(sign).isin("+", "-"), 1).otherwise(0) + F.length(number)
+    df = df.withColumn(suffix, F.when(F.col(number) != "", value.substr(signed_length + 1, F.lit(20))))
     binary = [(unit, 1024**power) for unit, power in BINARY_POWERS.items()]
     df = df.withColumns(
         {
             exponent: F.coalesce(
                 F.try_element_at(_literal_map(DECIMAL_EXPONENTS.items(), "int"), F.col(suffix)),
-                F.regexp_extract(F.col(suffix), r"^[eE]([+-]?\d+)$", 1).try_cast("int"),
+                # cast only what is a number: a failing try_cast costs an exception per row
+                F.when(F.col(suffix).rlike(r"^[eE][+-]?\d+$"), F.col(suffix).substr(2, 20).try_cast("int")),
             ),
-            weight: F.try_element_at(_literal_map(binary, "decimal(20,0)"), F.col(suffix)),
+            weight: F.try_element_at(_literal_map(binary, "bigint"), F.col(suffix)),
         }
     )
     df = _with_product(df, number, weight, scaled)
     scientific = F.concat(F.col(number), F.lit("E"), F.col(exponent).cast("string")).try_cast(AMOUNT)
     magnitude = F.when(F.col(weight).isNotNull(), F.col(scaled)).otherwise(scientific)
     signed = F.when(F.col(sign) == "-", -magnitude).otherwise(magnitude)
-    fraction = F.regexp_replace(F.coalesce(F.get(F.split(number, r"\."), F.lit(1)), F.lit("")), "0+$", "")
+    fraction = F.when(F.instr(number, ".") > 0, F.rtrim(F.substring_index(number, ".", -1), F.lit("0"))).otherwise("")
     too_fine = (F.length(fraction) - F.coalesce(exponent, F.lit(0))) > 9
     well_formed = F.coalesce(F.col(number) != "", F.lit(False))
     df = df.withColumn(f"{prefix}_value", F.when(well_formed, signed))

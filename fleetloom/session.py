@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    # wide projections: past this size the JVM no longer compiles the generated method, so let Spark split it
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
