@@ -14,9 +14,6 @@ CREATED_BY = "fleet/created-by"
 UPDATED_BY = "fleet/updated-by"
 UPDATED_AT = "fleet/updated-at"
 
-# Workspace states.
-STATES = ("Running", "Terminating", "Paused", "Pending", "Error", "Unknown")
-
 # Sentinels for unknown references.
 UNKNOWN_IMAGE = "__UNKNOWN_IMAGE_CONFIG__"
 UNKNOWN_POD = "__UNKNOWN_POD_CONFIG__"
@@ -30,7 +27,6 @@ SCOPE_POD = "POD_CONFIG"
 # Probe interval defaults in seconds.
 PROBE_INTERVAL_S = 3600
 PROBE_MIN_INTERVAL_S = 300
-PROBE_TIMEOUT_S = 60
 
 # Activity thresholds in milliseconds.
 CRITICAL_MS = 5 * 60 * 1000

@@ -17,10 +17,6 @@ def parse_rfc3339(text: Column) -> Column:
     return F.when(text.rlike(RFC3339_PATTERN), F.regexp_replace(text, ",", ".").try_cast("timestamp"))
 
 
-def known_or(value: Column, sentinel: str, known: Column) -> Column:
-    return F.when(known, value).otherwise(F.lit(sentinel))
-
-
 def redirect_level(level: Column) -> Column:
     """Info, Warning or Danger; anything else is Info."""
     return F.when(level.isin("Info", "Warning", "Danger"), level).otherwise(F.lit("Info"))

@@ -10,6 +10,7 @@ A label map may be absent (null). Filter rules never match an absent map; activi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +26,16 @@ from fleetloom.functions.labels import (
     stored_selector_valid,
 )
 from fleetloom.operators.report import violation
+from fleetloom.session import settled
 
 # Rules per (kind, scope) up to which the array form is used.
 MAX_ARRAY_RULES = 200
 
 SOURCES = ("namespace", "image", "pod")
 
+# What an activity decision depends on.
+CONTEXT = ["kind", "namespace", "pod_id"]
+
 
 @dataclass(frozen=True)
 class Condition:
@@ -181,7 +186,7 @@ def with_context(df: DataFrame, options: DataFrame, namespaces: DataFrame) -> Da
     return df.join(labels, "namespace", "left")
 
 
-def _source_maps(df: DataFrame) -> dict[str, Column]:
+def source_maps(df: DataFrame) -> dict[str, Column]:
     """Condition source to label map; an option reads its own labels in its own scope."""
     column = {name: F.col(name) for name in ("namespace_labels", "image_labels", "pod_labels", "target_labels")}
     scope = F.col("scope")
@@ -206,7 +211,7 @@ def _no_effect() -> Column:
 
 
 def _filter_case(targets: DataFrame, rules: list[FilterRule]) -> DataFrame:
-    maps = _source_maps(targets)
+    maps = source_maps(targets)
     chain = None
     for rule in rules:
         conditions = [c for c in rule.conditions if _selector_valid(c.selector)]
@@ -257,14 +262,16 @@ def _ordered_lists(rules: DataFrame, keys: list[str]) -> DataFrame:
 def _filter_array(targets: DataFrame, rules: DataFrame) -> DataFrame:
     lists = _ordered_lists(rules, ["kind", "scope"])
     joined = targets.join(lists, ["kind", "scope"], "left")
-    maps = _source_maps(targets)
-    hit = F.get(F.filter("rules", lambda r: _conditions_match_ctx(r["conditions"], maps)), F.lit(0))
-    effect = _effect(hit["ui_hide"], hit["api_hide"], hit["deny"], hit["deny_message"])
-    return joined.withColumn("effect", effect).drop("rules")
+    maps = source_maps(targets)
+    # found once in a step of its own, then read field by field
+    first = F.get(F.filter("rules", lambda r: _conditions_match_ctx(r["conditions"], maps)), F.lit(0))
+    joined = joined.withColumn("hit", first).drop("rules")
+    effect = _effect(F.col("hit.ui_hide"), F.col("hit.api_hide"), F.col("hit.deny"), F.col("hit.deny_message"))
+    return joined.withColumn("effect", effect).drop("hit")
 
 
 def _filter_rows(targets: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    maps = _source_maps(targets)
+    maps = source_maps(targets)
     matched = (
         targets.join(rules, ["kind", "scope"])
         .filter(_conditions_match_ctx(F.col("conditions"), maps))
@@ -454,40 +461,43 @@ def _rule_status(conditions: Column) -> Column:
     """matched, no, or error: conditions are read in order and the first one not matching decides."""
     maps = {"namespace": F.col("namespace_labels"), "image": F.col("pod_labels"), "pod": F.col("pod_labels")}
 
-    def stops(c: Column) -> Column:
-        labels = _pick(c["source"], maps)
-        return ~stored_selector_valid(c["match_labels"], c["match_exprs"]) | ~stored_selector_matches(
-            labels, c["match_labels"], c["match_exprs"]
-        )
+    def outcome(c: Column) -> Column:
+        matches = stored_selector_matches(_pick(c["source"], maps), c["match_labels"], c["match_exprs"])
+        return F.when(~c["valid"], F.lit("error")).when(~matches, F.lit("no"))
 
-    first = F.get(F.filter(conditions, stops), F.lit(0))
-    valid = stored_selector_valid(first["match_labels"], first["match_exprs"])
-    return F.when(first.isNull(), F.lit("matched")).when(valid, F.lit("no")).otherwise(F.lit("error"))
+    stops = F.filter(F.transform(conditions, outcome), lambda o: o.isNotNull())
+    return F.coalesce(F.get(stops, F.lit(0)), F.lit("matched"))
+
+
+def _with_validity(rules: DataFrame) -> DataFrame:
+    """Rules of the pause effect, each condition marked valid or not: checked once per rule, not per workspace."""
+    marked = F.transform(
+        "conditions", lambda c: c.withField("valid", stored_selector_valid(c["match_labels"], c["match_exprs"]))
+    )
+    return rules.filter(F.col("pause").isNotNull()).withColumn("conditions", marked)
 
 
 def _activity_table(workspaces: DataFrame, rules: DataFrame) -> DataFrame:
-    effective = rules.filter(F.col("pause").isNotNull())
-    lists = _ordered_lists(effective, ["kind"])
+    lists = _ordered_lists(rules, ["kind"])
     joined = workspaces.join(lists, "kind", "left")
     judged = F.transform("rules", lambda r: F.struct(_rule_status(r["conditions"]).alias("status"), r.alias("rule")))
-    hit = F.get(F.filter(judged, lambda j: j["status"] != "no"), F.lit(0))
-    status = F.coalesce(hit["status"], F.lit("none"))
-    rule = hit["rule"]
+    joined = joined.withColumn("hit", F.get(F.filter(judged, lambda j: j["status"] != "no"), F.lit(0))).drop("rules")
+    status = F.coalesce("hit.status", F.lit("none"))
     good = status == "matched"
     decision = _activity_struct(
         status,
-        rule["rule_idx"],
-        F.when(good, rule["pause"]),
-        F.when(good, rule["seconds_since_active"]),
-        rule["min_running_seconds"],
+        F.col("hit.rule.rule_idx"),
+        F.when(good, F.col("hit.rule.pause")),
+        F.when(good, F.col("hit.rule.seconds_since_active")),
+        F.col("hit.rule.min_running_seconds"),
     )
-    return joined.withColumn("decision", decision).drop("rules")
+    return joined.withColumn("decision", decision).drop("hit")
 
 
 def _activity_rows(workspaces: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     status = _rule_status(F.col("conditions"))
     reached = (
-        workspaces.join(rules.filter(F.col("pause").isNotNull()), "kind")
+        workspaces.join(rules, "kind")
         .withColumn("status", status)
         .filter(F.col("status") != "no")
         .groupBy(*keys)
@@ -526,16 +536,26 @@ def evaluate_activity_rules(
         "kind", F.col("id").alias("pod_id"), labels_map(F.col("labels")).alias("pod_labels")
     )
     labels = namespaces.select(F.col("name").alias("namespace"), F.col("labels").alias("namespace_labels"))
-    joined = workspaces.join(pods, ["kind", "pod_id"], "left").join(labels, "namespace", "left")
-    for column in ("pod_labels", "namespace_labels"):
-        joined = joined.withColumn(column, F.coalesce(column, empty_labels()))
+
+    def with_labels(df: DataFrame) -> DataFrame:
+        joined = df.join(pods, ["kind", "pod_id"], "left").join(labels, "namespace", "left")
+        return joined.withColumns(
+            {column: F.coalesce(column, empty_labels()) for column in ("pod_labels", "namespace_labels")}
+        )
+
     if isinstance(rules, list):
-        result = _activity_case(joined, rules)
-    else:
-        if form is None:
-            form = "array" if _longest_list(rules, ["kind"]) <= MAX_ARRAY_RULES else "rows"
-        result = _activity_table(joined, rules) if form == "array" else _activity_rows(joined, rules, ["namespace", "name"])
-    return result.select("*", "decision.*").drop("decision", "pod_labels", "namespace_labels")
+        decided = _activity_case(with_labels(workspaces), rules)
+        return decided.select("*", "decision.*").drop("decision", "pod_labels", "namespace_labels")
+    # rules in a table cost more per row, and the answer depends on kind, namespace and pod option only:
+    # judge each combination once and join the answers back
+    contexts = with_labels(workspaces.select(*CONTEXT).distinct())
+    if form is None:
+        form = "array" if _longest_list(rules, ["kind"]) <= MAX_ARRAY_RULES else "rows"
+    rules = _with_validity(rules)
+    judged = _activity_table(contexts, rules) if form == "array" else _activity_rows(contexts, rules, CONTEXT)
+    answers = settled(judged.select(*[F.col(key).alias(f"_{key}") for key in CONTEXT], "decision.*"))
+    same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in CONTEXT]
+    return workspaces.join(answers, reduce(Column.__and__, same)).drop(*[f"_{key}" for key in CONTEXT])
 
 
 def pause_decision(decided: DataFrame, now_ms: int | Column, fresh_probe: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fleetloom import constants as C
 from fleetloom.operators.rules import activity_rule_table, filter_rule_table
 from fleetloom.plans.rule_sets import ACTIVITY_RULES, FILTER_RULES
+from fleetloom.session import settled
 
 # Fixed value: "now" of the registered queries, 2024-02-01T00:00:00Z.
 NOW_MS = 1706745600000
@@ -469,7 +470,7 @@ class Fleet:
     def pod_options(self) -> DataFrame:
         """One pod option per (kind, size class) seen in the part table."""
         k = F.col("k")
-        rows = (
+        rows = settled(
             self.given("part")
             .select(
                 F.expr(spark_sql_text("'Brand#' || STR(p_partkey % 25 + 1)")).alias("kind"),
@@ -523,7 +524,7 @@ class Fleet:
     def kinds(self) -> DataFrame:
         n = F.col("n")
         none = F.lit(None).cast("string")
-        rows = (
+        rows = settled(
             self.given("part")
             .groupBy((F.col("p_partkey") % 25 + 1).alias("n"))
             .agg(F.min("p_partkey").alias("first_part"), F.min(F.col("p_size") % 8).alias("first_pod"))

@@ -79,7 +79,7 @@ def _filter_rows(t: Fleet) -> DataFrame:
 )
 def _condition_source(t: Fleet) -> DataFrame:
     targets = R.workspace_targets(t.workspaces, t.options, t.namespaces)
-    maps = R._source_maps(targets)
+    maps = R.source_maps(targets)
     return targets.select(
         "namespace",
         "name",

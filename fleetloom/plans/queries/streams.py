@@ -72,6 +72,23 @@ def _stream_impacted(t: Fleet) -> DataFrame:
     return t.spark.read.schema(columns.schema).parquet(f"{folder}/out")
 
 
+@query(
+    "stream_impacted_kinds",
+    """select namespace, name as workspace, kind from workspaces where kind in (
+      select 'Brand#' || cast(user_id % 25 + 1 as varchar) from events where event_type = 'signup')""",
+)
+def _stream_impacted_kinds(t: Fleet) -> DataFrame:
+    folder = _folder(t)
+    signups = StreamFleet(t, {"events"}).given("events").filter("event_type = 'signup'")
+    changes = signups.select(
+        F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("name"),
+        F.col("ts").cast("timestamp").alias("changed_ts"),
+    )
+    columns = X.stream_impacted_kinds(changes, t.workspaces).select("namespace", "workspace", "kind")
+    _finish(X.append_rows(columns, f"{folder}/out", f"{folder}/checkpoint"))
+    return t.spark.read.schema(columns.schema).parquet(f"{folder}/out")
+
+
 @query(
     "stream_last_warning",
     "select namespace, uid, event_id, message, last_ms from last_warnings",

@@ -51,3 +51,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/fleetloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Estimated size from which a derived table is written before it is joined.
+UNSETTLED_BYTES = 8 * 1024 * 1024
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A derived table whose real size Spark can see.
+
+    Aggregates and distincts are estimated as large as their input, so the table they are joined to would be
+    shuffled first, however few rows they turn out to have. Above the limit the table is written and read back:
+    its file size then decides between a broadcast and a shuffle.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if estimate <= UNSETTLED_BYTES else cut_lineage(df)

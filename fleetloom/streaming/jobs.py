@@ -69,11 +69,11 @@ def stream_impacted(events: DataFrame, workspaces: DataFrame, delay: str = "10 m
     )
 
 
-def stream_impacted_kinds(changes: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """Workspaces of the kinds that changed."""
-    return changes.select(F.col("name").alias("kind")).join(
-        workspaces.select("kind", "namespace", F.col("name").alias("workspace")), "kind"
-    )
+def stream_impacted_kinds(changes: DataFrame, workspaces: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Workspaces of the kinds that changed (name, changed_ts), each kind once per watermark delay."""
+    kinds = changes.withWatermark("changed_ts", delay).dropDuplicatesWithinWatermark(["name"])
+    fleet = workspaces.select(F.col("kind").alias("name"), "namespace", F.col("name").alias("workspace"))
+    return kinds.join(fleet, "name").withColumnRenamed("name", "kind")
 
 
 def stream_last_warning(events: DataFrame, keep: str = "1 hour") -> DataFrame:
