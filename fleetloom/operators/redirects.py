@@ -256,16 +256,6 @@ def redirect_cycles(closure: Closure) -> DataFrame:
     return closure.nodes.filter("on_cycle").select(*NODE, "cycle_id", "cycle_length")
 
 
-def selected_rows(workspaces: DataFrame) -> DataFrame:
-    pair = F.array(
-        F.struct(F.lit("image").alias("option_type"), F.col("image_id").alias("id")),
-        F.struct(F.lit("pod").alias("option_type"), F.col("pod_id").alias("id")),
-    )
-    return workspaces.select("namespace", "name", "kind", F.explode(pair).alias("o")).select(
-        "namespace", "name", "kind", "o.*"
-    )
-
-
 def resolve_workspaces(workspaces: DataFrame, options: DataFrame, closure: Closure) -> DataFrame:
     """Desired image and pod of each workspace, their errors, and whether a restart is pending.
 

@@ -243,3 +243,9 @@ def test_stable_order(spark):
     order = lambda resort: [r["id"] for r in O.stable_order(previous, current, "key", resort).orderBy("order_key").collect()]
     assert order(False) == ["b", "a", "x", "y"]
     assert order(True) == ["a", "b", "x", "y"]
+
+
+def test_persisted_rank_keeps_the_order(spark):
+    ordered = spark.range(50).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("id")).orderBy(F.desc("id"))
+    kept = O.persist_rank(ordered).orderBy("prev_rank")
+    assert [r["id"] for r in kept.collect()] == [r["id"] for r in ordered.collect()]
