@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.llm.chunks import Chunk, chunk_table, each_chunk, pack, text_bytes, unpack, with_answers
-from fleetloom.llm.textops import BYTE_VALUES, U64, bucket_of, shingles, sliding_minimum, words
+from fleetloom.llm.textops import BYTE_VALUES, U64, bucket_of, mix, shingles, sliding_minimum, words
 from fleetloom.session import cut_lineage
 
 #: Windows of one segment at most (a longer stretch under one anchor is cut, as every window is judged on its own).
@@ -82,7 +82,7 @@ class Windows:
             row = np.repeat(np.arange(len(starts)), pieces)
             part = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             starts, ends, doc = starts[row] + part * SEGMENT_WINDOWS, np.minimum(ends[row], starts[row] + (part + 1) * SEGMENT_WINDOWS), doc[row]
-        return least[starts], starts, ends - starts, doc
+        return mix(least[starts]), starts, ends - starts, doc  # smallest values are mixed, to fill the buckets evenly
 
     def anchor_places(self, tokens: np.ndarray) -> np.ndarray:
         """The anchor at every place where a run of tokens is the smallest of some window."""
@@ -92,7 +92,7 @@ class Windows:
         grams = self._grams(tokens)
         least = ~sliding_minimum(grams, span)
         rim = np.full(span - 1, ~U64(0))
-        return grams[~sliding_minimum(np.concatenate([rim, least, rim]), span) == grams]
+        return mix(grams[~sliding_minimum(np.concatenate([rim, least, rim]), span) == grams])
 
     def content(self, tokens: np.ndarray) -> tuple[bytes, int]:
         """The tokens as bytes, and the bytes of a token."""
@@ -100,17 +100,20 @@ class Windows:
 
 
 def _asked(windows: Windows, tokens: np.ndarray, anchors: np.ndarray, doc: np.ndarray, other_documents: bool):
-    """The chunk's distinct anchors in order, and which of them it has in several documents, or several places."""
+    """The chunk's distinct anchors in order, which of them it has in several documents, or several places, and which
+    of them each stretch has."""
     if not other_documents:
         values, times = np.unique(windows.anchor_places(tokens), return_counts=True)
-        return values, times > 1
-    order = np.lexsort((doc, anchors))
+        return values, times > 1, np.searchsorted(values, anchors)
+    order = np.argsort(anchors, kind="stable")  # documents stay in order
     a, d = anchors[order], doc[order]
     first = np.ones(len(a), bool)
     first[1:] = a[1:] != a[:-1]
     edges = np.append(np.flatnonzero(first), len(a))
     several = d[edges[:-1]] != d[edges[1:] - 1] if len(a) else np.zeros(0, bool)
-    return a[first], several
+    index = np.empty(len(a), np.int64)
+    index[order] = np.cumsum(first) - 1
+    return a[first], several, index
 
 
 def _bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -133,7 +136,7 @@ def _ask(windows: Windows, buckets: int, other_documents: bool):
         for chunk in each_chunk(batches):
             tokens, places = windows.tokens(chunk)
             anchors, _, _, doc = windows.stretches(tokens, places)
-            asked, several = _asked(windows, tokens, anchors, doc, other_documents)
+            asked, several, _ = _asked(windows, tokens, anchors, doc, other_documents)
             bounds, rows = _bounds(asked, buckets), []
             for bucket in np.flatnonzero(np.diff(bounds)).tolist():
                 s, e = bounds[bucket], bounds[bucket + 1]
@@ -169,13 +172,13 @@ def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_d
     """
     tokens, places = windows.tokens(chunk)
     anchors, starts, counts, doc = windows.stretches(tokens, places)
-    asked, _ = _asked(windows, tokens, anchors, doc, other_documents)
+    asked, _, index = _asked(windows, tokens, anchors, doc, other_documents)
     bounds, shared = _bounds(asked, buckets), np.zeros(len(asked), bool)
     for answer in chunk.answers:
         if answer["kind"] == 0:
             s, e = bounds[answer["bucket"]], bounds[answer["bucket"] + 1]
             shared[s:e] = np.unpackbits(np.frombuffer(answer["blob"], np.uint8), count=int(e - s)).astype(bool)
-    good = shared[np.searchsorted(asked, anchors)] if len(asked) else np.zeros(0, bool)
+    good = shared[index]
     anchors, starts, counts, doc = anchors[good], starts[good], counts[good], doc[good]
     shard = bucket_of(anchors * U64(0x9E3779B97F4A7C15), shards)
     raw, width = windows.content(tokens)

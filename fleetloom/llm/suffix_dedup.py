@@ -26,6 +26,14 @@ def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int
     return names + 1, len(values)
 
 
+def _merged(values: np.ndarray, added: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``values`` come before each of ``added``, sorted too: one merge of two runs."""
+    order = np.argsort(np.concatenate([added, values]), kind="stable")
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
+    return places[: len(added)] - np.arange(len(added))
+
+
 def suffix_array(letters: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of integers from 1 up, in their order, by the difference cover {1, 2} modulo 3.
 
@@ -54,17 +62,17 @@ def suffix_array(letters: np.ndarray) -> np.ndarray:
     base = n + 4
     rest = np.arange(0, n, 3)
     key_one = s[rest] * base + rank[rest + 1]
-    by_key = np.argsort(key_one, kind="stable")
+    by_key = np.argsort(key_one)
     rest, key_one = rest[by_key], key_one[by_key]
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    before = np.searchsorted(s[first] * base + rank[first + 1], key_one)
+    before = _merged(s[first] * base + rank[first + 1], key_one)
     if int(letters.max()) < 1 << _BITS and base <= 1 << _BITS:
         pair = (s[:-1] << _BITS) | s[1:]
         shift = 1 << _BITS
     else:
         _, pair = np.unique(s[:-1] * (int(letters.max()) + 1) + s[1:], return_inverse=True)
         shift = base
-    before += np.searchsorted(pair[second] * shift + rank[second + 2], pair[rest] * shift + rank[rest + 2])
+    before += _merged(pair[second] * shift + rank[second + 2], pair[rest] * shift + rank[rest + 2])
     out = np.empty(n, np.int64)
     places = np.arange(len(rest)) + before
     out[places] = rest
@@ -103,7 +111,7 @@ def earliest_windows(shard: Shard, width: int):
     data = np.frombuffer(b"".join(shard.contents), np.uint8)
     ends = np.cumsum(shard.lengths)
     order = byte_suffixes(data)
-    content = np.searchsorted(ends, order, "right")
+    content = np.repeat(np.arange(len(ends)), shard.lengths)[order]
     good = order + width <= ends[content]
     order, content = order[good], content[good]
     eights = _eights(data)
@@ -115,7 +123,7 @@ def earliest_windows(shard: Shard, width: int):
     least = np.minimum.reduceat(shard.low[content], starts) if len(starts) else np.zeros(0, np.int64)
     least = np.repeat(least, np.diff(np.append(starts, len(order))))
     window = order - (ends - shard.lengths)[content]
-    back = np.lexsort((window, content))
+    back = np.argsort(order)
     return content[back], window[back], least[back]
 
 
