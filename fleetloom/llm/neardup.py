@@ -152,44 +152,97 @@ def _labelled(postings: DataFrame, components: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of every list's members with the hubs of its first and last component: linear in the list."""
-    hub = lambda best: best(F.struct("component", "node", "n"))
-    hubs = lists.groupBy("value").agg(hub(F.min).alias("low"), hub(F.max).alias("high")).where("low.component <> high.component")
-    met = lists.join(hubs, "value").select("node", "n", "component", F.explode(F.array("low", "high")).alias("hub"))
+    """Pairs of every list's members with its hubs: the first document, and those of the first and last component.
+
+    Linear in the list. Near copies mostly come after what they are copies of, so the first document is a good hub.
+    """
+    hub = F.struct("first_id", "node", "n", "component")
+    hubs = lists.groupBy("value").agg(F.min(hub).alias("first"), F.min_by(hub, "component").alias("low"), F.max_by(hub, "component").alias("high"))
+    hubs = hubs.where("low.component <> high.component").select("value", F.array_distinct(F.array("first", "low", "high")).alias("hubs"))
+    met = lists.join(hubs, "value").select("node", "n", "component", F.explode("hubs").alias("hub"))
     fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     pairs = met.where((F.col("component") != F.col("hub.component")) & fits)
     return pairs.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
 
 
-def _compare_block(table: pa.Table, retained: int, least: int, percent: int) -> pa.Table:
-    """Pairs of a block's rows whose sketches share enough, from different components and, for two blocks, sides."""
-    nodes, comps, sizes, sides = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "component", "n", "side"))
-    sketches = table.column("sketch").combine_chunks()
-    flat = sketches.flatten().to_numpy(zero_copy_only=False)
-    places = np.concatenate([[0], np.cumsum(sketches.value_lengths().to_numpy(zero_copy_only=False))])
-    _, codes = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(nodes)), np.diff(places))
-    order = np.argsort(codes, kind="stable")
-    codes, row = codes[order], row[order]
-    shared = np.zeros((len(nodes), len(nodes)), np.int16)
-    edges = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
-    for s, e in zip(edges[:-1], edges[1:], strict=True):
-        if e - s > 1:
-            held = row[s:e]
-            shared[np.ix_(held, held)] += 1
-    needed = np.minimum(least, -(-np.minimum(np.minimum.outer(sizes, sizes), retained) * percent // 100))
-    good = (shared >= needed) & (comps[:, None] != comps[None, :]) & (np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * percent)
+def _held(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the row of each."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _holders(values: np.ndarray, row: np.ndarray):
+    """For every value with several rows, in order: the value and its rows."""
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
+    several = np.flatnonzero(np.diff(edges) > 1)
+    for s, e in zip(edges[several].tolist(), edges[several + 1].tolist(), strict=True):
+        yield values[s], row[s:e]
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(name).combine_chunks().to_numpy(zero_copy_only=False) for name in names]
+
+
+def _apart(comps: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which pairs are of different components and, for two blocks, of both."""
+    apart = comps[:, None] != comps[None, :]
     if sides.max(initial=0) > 0:
-        good &= sides[:, None] != sides[None, :]
-    i, j = np.nonzero(np.triu(good, 1))
-    return pa.table({"a": np.maximum(nodes[i], nodes[j]), "b": np.minimum(nodes[i], nodes[j])})
+        apart &= sides[:, None] != sides[None, :]
+    return apart
+
+
+def _candidates(table: pa.Table, retained: int, least: int, percent: int) -> pa.Table:
+    """The rows of a block that have a partner there whose sketch shares enough.
+
+    A pair counts in the first list only that has both, so that it is looked at once.
+    """
+    comps, sizes, sides, value = _columns(table, "component", "n", "side", "value")
+    fits = np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * percent
+    open_pairs = _apart(comps, sides) & fits
+    for code, held in _holders(*_held(table.column("listed"))):
+        if code >= value[0]:
+            break
+        open_pairs[np.ix_(held, held)] = False
+    if open_pairs.any():
+        shared = np.zeros(open_pairs.shape, np.int16)
+        for _, held in _holders(*_held(table.column("sketch"))):
+            shared[np.ix_(held, held)] += 1
+        open_pairs &= shared >= np.minimum(least, -(-np.minimum(np.minimum.outer(sizes, sizes), retained) * percent // 100))
+    return table.select(["value", "home", "other", "side", "node", "n", "component"]).filter(pa.array(open_pairs.any(axis=0)))
+
+
+def _forest(table: pa.Table, percent: int) -> pa.Table:
+    """Links by exact Jaccard among the rows of a block, only as many as join their components: fewer than rows."""
+    nodes, comps, sizes, sides = _columns(table, "node", "component", "n", "side")
+    blobs = [np.frombuffer(x.as_buffer(), U64) for x in table.column("members")]
+    both = np.zeros((len(nodes), len(nodes)), np.int32)
+    for _, held in _holders(np.concatenate(blobs), np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])):
+        both[np.ix_(held, held)] += 1
+    linked = _apart(comps, sides) & (100 * both >= percent * (np.add.outer(sizes, sizes) - both))
+    leader = {c: c for c in comps.tolist()}
+
+    def find(c):
+        while leader[c] != c:
+            leader[c] = c = leader[leader[c]]
+        return c
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
+        p, q = find(int(comps[i])), find(int(comps[j]))
+        if p != q:
+            leader[p] = q
+            links.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
-def _block_pairs(lists: DataFrame, sketches: DataFrame, retained: int, least: int, percent: int, block: int) -> DataFrame:
-    """The candidates of lists that still hold several components, compared in blocks of about ``block`` rows.
+def _block_links(lists: DataFrame, described: DataFrame, sets: DataFrame, retained: int, least: int, percent: int, block: int) -> DataFrame:
+    """What still links the components of a list, compared in blocks of about ``block`` rows.
 
     A component of that size has blocks of its own, which are compared with all blocks but its own; smaller ones share
-    blocks. Only pairs whose sketches agree leave a task.
+    blocks. The sketches choose which rows of two blocks have partners, the full sets of these decide; at most a
+    forest of links leaves a task.
     """
     mixed = lists.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
     held = lists.join(mixed, "value").groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
@@ -204,11 +257,15 @@ def _block_pairs(lists: DataFrame, sketches: DataFrame, retained: int, least: in
     blocks = dealt.select("value", "home").distinct()
     pairs = blocks.join(blocks.select("value", F.col("home").alias("other")), "value")
     pairs = pairs.where((F.col("home") <= F.col("other")) & (F.col("home.own").isNull() | ~F.col("home.own").eqNullSafe(F.col("other.own"))))
-    first = dealt.join(pairs, ["value", "home"]).select("value", "home", "other", "node", "n", "component", F.lit(0).alias("side"))
+    key = ["value", "home", "other"]
+    first = dealt.join(pairs, ["value", "home"]).select(*key, "node", "n", "component", F.lit(0).alias("side"))
     second = dealt.withColumnRenamed("home", "other").join(pairs.where("home <> other"), ["value", "other"])
-    second = second.select("value", "home", "other", "node", "n", "component", F.lit(1).alias("side"))
-    met = first.unionByName(second).join(sketches.select("node", "sketch"), "node")
-    return met.groupBy("value", "home", "other").applyInArrow(lambda t: _compare_block(t, retained, least, percent), "a long, b long").distinct()
+    second = second.select(*key, "node", "n", "component", F.lit(1).alias("side"))
+    met = first.unionByName(second).join(described, "node")
+    chosen = met.select(*key, "side", "node", "n", "component").schema
+    partners = met.groupBy(*key).applyInArrow(lambda t: _candidates(t, retained, least, percent), chosen)
+    full = cut_lineage(partners).join(sets, "node")
+    return full.groupBy(*key).applyInArrow(lambda t: _forest(t, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -233,14 +290,15 @@ def near_duplicates(
     # an id with several texts leads several classes, so the classes have numbers of their own
     classes = some.groupBy(*key).agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("first_id"))
     nodes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id())).withColumnRenamed("n_shingles", "n")
-    values = nodes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+    values = nodes.select("node", "n", "first_id", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     needed = F.least(F.lit(least), F.ceil(F.col("held") * percent / 100))
-    listed = values.join(shared, "value").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("lists", "value"))).alias("by_rarity"))
+    listed = values.join(shared, "value").groupBy("node", "n", "first_id", "held")
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("lists", "value"))).alias("by_rarity"))
     # values that nobody else has come first in the order by rarity and use up places
     places = (F.col("held") - needed + 1 - (F.col("held") - F.size("by_rarity"))).cast("int")
-    prefix = listed.where(places > 0).select("node", "n", F.explode(F.slice("by_rarity", 1, F.greatest(places, F.lit(1)))).alias("v"))
-    prefix = prefix.select("node", "n", F.col("v.value").alias("value"))
+    prefix = listed.where(places > 0).select("node", "n", "first_id", F.explode(F.slice("by_rarity", 1, F.greatest(places, F.lit(1)))).alias("v"))
+    prefix = prefix.select("node", "n", "first_id", F.col("v.value").alias("value"))
     again = prefix.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
     postings = cut_lineage(prefix.join(again, "value"))
 
@@ -259,8 +317,8 @@ def near_duplicates(
     more = cut_lineage(confirmed(_star_pairs(_labelled(postings, components), percent)))
     links = links.unionByName(more)
     components = connected(links)
-    rest = _block_pairs(cut_lineage(_labelled(postings, components)), nodes, retained, least, percent, block)
-    rest = cut_lineage(confirmed(rest))
+    described = postings.groupBy("node").agg(F.collect_list("value").alias("listed")).join(nodes.select("node", "sketch"), "node")
+    rest = cut_lineage(_block_links(cut_lineage(_labelled(postings, components)), described, sets, retained, least, percent, block))
     # rows that share an id are one document of several texts
     same = nodes.groupBy("first_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")
     same = nodes.join(same, "first_id").select(F.col("node").alias("a"), "b").where("a <> b")
