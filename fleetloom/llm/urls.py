@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 #: Hash buckets of the n-grams, which bound the weights that the plan carries.
 BUCKETS = 4096
 GRAM = 4
-STEPS = 24
-RATE = 40.0
-SHRINK = 0.002
+STEPS = 40
+RATE = 80.0
+SHRINK = 0.001
 
 # fixed values: words that make up the small labelled table (1: unwanted site, 0: ordinary site)
 _UNWANTED = (
