@@ -17,10 +17,9 @@ BRANCHES = 8
 LEAF = 128
 #: Queries whose neighbours are found by brute force to set the number of leaves to visit, and the recall they must reach.
 CALIBRATION = 128
-RECALL = 0.97
-#: Rows of a leaf, and queries, that one task compares.
-PART_ROWS = 8192
-PART_QUERIES = 1024
+RECALL = 0.96
+#: Queries that are compared with the visited leaves in one pass over the index.
+QUERY_BLOCK = 4096
 
 
 class Tree:
@@ -168,33 +167,18 @@ def nearest_neighbours(
 
     def choose(batches):
         for batch in batches:
-            v, search = _matrix(batch.column("v")), batch.column("search").to_numpy(zero_copy_only=False)
-            leaves = [sent.value.visits(q, visits) for q in v]
-            n = [len(x) for x in leaves]
-            again = np.repeat(np.arange(len(v)), n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(search[again]), batch.column("v").take(pa.array(again)), pa.array([x for y in leaves for x in y], pa.int32())], names=["search", "v", "leaf"]
-            )
-
-    chosen = searches.select("search", "v").mapInArrow(choose, "search long, v array<double>, leaf int")
-    # full leaves and their queries are dealt to several tasks
-    rows_in = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    left = placed.join(rows_in, "leaf").select("leaf", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "ids")
-    right = chosen.join(rows_in, "leaf").select("search", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-    def compare(bin_rows: pa.Table, bin_queries: pa.Table) -> pa.Table:
-        search, ids, scores = [], [], []
-        if bin_rows.num_rows and bin_queries.num_rows:
-            index_rows, held = _matrix(bin_rows.column("v")), bin_rows.column("ids").to_pylist()
-            numbers = bin_queries.column("search").to_numpy()
-            for number, (distance, found, _) in zip(numbers, _nearest(_matrix(bin_queries.column("v")), index_rows, held, k + 1), strict=True):
-                search.append(np.full(len(found), number))
-                ids.append(found)
-                scores.append(distance)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"search": join(search, np.int64), "vec_id": join(ids, np.int64), "score": join(scores, float)})
-
-    near = left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(lambda a, b: compare(a, b), "search long, vec_id long, score double")
+            leaves = [sent.value.visits(q, visits) for q in _matrix(batch.column("v"))]
+            yield pa.RecordBatch.from_arrays([batch.column("search"), batch.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["search", "v", "leaves"])
+
+    chosen = cut_lineage(searches.select("search", "v").mapInArrow(choose, "search long, v array<double>, leaves array<int>"))
+    blocks = -(-chosen.count() // QUERY_BLOCK)
+    near = None
+    for i in range(blocks):
+        block = chosen.where(F.pmod(F.xxhash64("search"), F.lit(blocks)) == i).collect()
+        part = placed.mapInArrow(_scan(spark.sparkContext.broadcast(block), tree.leaves, k + 1), "search long, vec_id long, score double")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return spark.createDataFrame([], out)
     by_score = Window.partitionBy("search").orderBy("score", "vec_id")
     near = near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1).select("search", "vec_id", "score")
     named = asked.select(F.col("vec_id").alias("query_id"), "v").join(searches, "v").select("query_id", "search")
@@ -203,6 +187,39 @@ def nearest_neighbours(
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
+def _scan(sent, leaves: int, k: int):
+    """The nearest rows of a partition for each query of a block, among the rows of the leaves that it visits."""
+
+    def run(batches):
+        block = sent.value
+        if not block:
+            return
+        queries = np.array([r["v"] for r in block], float)
+        visited = np.zeros((len(block), leaves), bool)
+        for i, r in enumerate(block):
+            visited[i, r["leaves"]] = True
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(block)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            leaf, rows, ids = batch.column("leaf").to_numpy(zero_copy_only=False), _matrix(batch.column("v")), batch.column("ids").to_pylist()
+            for i in range(len(block)):
+                own = np.flatnonzero(visited[i][leaf])
+                if len(own) == 0:
+                    continue
+                ((distance, found, _),) = _nearest(queries[i : i + 1], rows[own], [ids[j] for j in own.tolist()], k)
+                distance, found = np.concatenate([best[i][0], distance]), np.concatenate([best[i][1], found])
+                order = np.lexsort((found, distance))[:k]
+                best[i] = (distance[order], found[order])
+        n = [len(x) for x, _ in best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([r["search"] for r in block], n), pa.int64()), pa.array(np.concatenate([x for _, x in best])), pa.array(np.concatenate([x for x, _ in best]))],
+            names=["search", "vec_id", "score"],
+        )
+
+    return run
+
+
 def _calibrated(placed: DataFrame, tree: Tree, trial: np.ndarray, k: int, recall: float) -> int:
     """The fewest leaves whose visit covers ``recall`` of the true neighbours of the trial queries."""
     if tree.leaves == 1 or len(trial) == 0:
