@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import long_column, slices, text_column
+from fleetloom.llm.textops import bounded_batches, long_column, slices, text_column
 from fleetloom.session import cut_lineage
 
 CHUNK_BYTES = 4 << 20
@@ -54,6 +54,7 @@ def _chunked(batches):
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """The texts and ids of ``docs`` (null text: empty) as a written table of chunks."""
+    bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut_lineage(columns.mapInArrow(_chunked, _SCHEMA))
 

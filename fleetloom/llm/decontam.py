@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import FOLDED_VALUES, NOT_ALNUM, U64, mix, slices, text_column, words
+from fleetloom.llm.textops import FOLDED_VALUES, NOT_ALNUM, U64, bounded_batches, frugal, mix, slices, text_beside, text_column, words
 from fleetloom.session import cut_lineage
 
 #: Places that each seed looks at. Any two substitutions in thirteen words leave a place for one of the seeds.
@@ -90,11 +90,11 @@ class Benchmark:
         return good
 
 
-def _scan(sent, columns: list[str]):
+def _scan(sent, carried: list[str], name: str):
     def run(batches):
         blocks = [Benchmark(items) for items in sent.value]
         for batch in batches:
-            data, offsets = text_column(batch.column("_text"))
+            data, offsets = text_column(batch.column(name))
             rows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low, high in slices(offsets):
                 base = offsets[low]
@@ -111,10 +111,10 @@ def _scan(sent, columns: list[str]):
             found: list[set] = [set(x) for x in batch.column("_items").to_pylist()]
             for row, item in zip(np.concatenate(rows).tolist(), np.concatenate(ids).tolist(), strict=True):
                 found[row].add(item)
-            kept = [batch.column(name) for name in columns]
-            yield pa.RecordBatch.from_arrays([*kept, batch.column("_text"), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=[*columns, "_text", "_items"])
+            kept = [batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=[*carried, "_items"])
 
-    return run
+    return frugal(run)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,15 +128,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> Dat
     The benchmark goes to the executors in blocks of bounded size, a few in a pass over the documents.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_BYTES)
-    out = docs.select(*columns, F.col("text").cast("string").alias("_text"), F.array().cast("array<long>").alias("_items"))
+    extra, name = text_beside(docs, columns)
+    out = docs.select(*columns, *(F.col("text").cast("string").alias(c) for c in extra), F.array().cast("array<long>").alias("_items"))
     for first in range(0, blocks, BLOCKS_A_PASS):
         taken = range(first, min(first + BLOCKS_A_PASS, blocks))
         block = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([[tuple(r) for r in block(k).collect()] for k in taken])
         if first:
             out = cut_lineage(out)
-        out = out.mapInArrow(_scan(sent, columns), out.schema)
+        out = out.mapInArrow(_scan(sent, [*columns, *extra], name), out.schema)
     return out.select(*columns, F.col("_items").alias("items"))

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import LOWER_BYTES, U64, mix, slices, text_column
+from fleetloom.llm.textops import LOWER_BYTES, U64, bounded_batches, frugal, mix, slices, text_beside, text_column
 
 #: Hash buckets of the n-grams, and the longest n-gram.
 BUCKETS = 1 << 15
@@ -87,8 +87,9 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -
             )
 
     schema = "lang string, part long, docs long, counts binary"
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sums = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(count, schema)
+    sums = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(frugal(count), schema)
     sums = sums.groupBy("lang", F.expr("part div 1024")).applyInArrow(lambda t: _sum_blobs(t), schema)
     rows = sorted(sums.groupBy("lang").applyInArrow(lambda t: _sum_blobs(t), schema).limit(MOST_LANGUAGES + 1).collect())
     if len(rows) > MOST_LANGUAGES:
@@ -111,12 +112,14 @@ def predict(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
     the first language in the order of the names. Only ``text`` is looked at; other columns are handed through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+    extra, name = text_beside(docs, columns)
 
     def score(batches):
         m = sent.value
         names = np.array([*m["langs"], UNDETERMINED], object)
         for batch in batches:
-            data, offsets = text_column(batch.column("_text"))
+            data, offsets = text_column(batch.column(name))
             best, sure = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             for low, high in slices(offsets) if m["langs"] else ():
                 own, rows = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
@@ -133,9 +136,9 @@ def predict(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
                     plain[i] = _ANY_LETTER.search(own[rows[i] : rows[i + 1]].tobytes().decode()) is not None
                 best[low:high] = np.where(plain, winner, len(names) - 1)
                 sure[low:high] = np.where(plain, posterior, 0.0)
-            kept = [batch.column(name) for name in columns]
+            kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(sure)], names=[*columns, "lang_pred", "score"])
 
-    chosen = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    chosen = docs.select(*columns, *(F.col("text").cast("string").alias(c) for c in extra))
     schema = chosen.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return chosen.mapInArrow(score, schema)
+    return chosen.mapInArrow(frugal(score), schema)

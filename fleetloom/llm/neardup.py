@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import U64, mix, shingles, slices, text_column, words
+from fleetloom.llm.textops import U64, bounded_batches, frugal, mix, shingles, slices, text_column, words
 from fleetloom.session import cut_lineage
 
 #: Values that a sketch retains, and how many two sketches must at least share to be candidates: at a similarity of
@@ -283,8 +283,9 @@ def near_duplicates(
     Lists are joined to their hubs, and what is confirmed is contracted; what still lies in several components of
     a list is compared in blocks. So no list is ever written out as all its pairs, and no pair is left out by a cap.
     """
+    bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = cut_lineage(columns.mapInArrow(_sketched(size, retained), "doc_id long, n_shingles long, sum_a long, sum_b long, sketch array<long>"))
+    sketched = cut_lineage(columns.mapInArrow(frugal(_sketched(size, retained)), "doc_id long, n_shingles long, sum_a long, sum_b long, sketch array<long>"))
     key = ["n_shingles", "sum_a", "sum_b"]
     some = sketched.where("n_shingles > 0 and doc_id is not null")
     # an id with several texts leads several classes, so the classes have numbers of their own
@@ -304,13 +305,13 @@ def near_duplicates(
 
     leaders = postings.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id"), "node", *[F.col(c) for c in ("n", "sum_a", "sum_b")])
     texts = columns.join(leaders.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = texts.mapInArrow(_keyed_sets(size), "doc_id long, n long, sum_a long, sum_b long, members binary")
+    full = texts.mapInArrow(frugal(_keyed_sets(size)), "doc_id long, n long, sum_a long, sum_b long, members binary")
     sets = cut_lineage(full.join(leaders, ["doc_id", "n", "sum_a", "sum_b"]).groupBy("node").agg(F.first("members").alias("members")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("members").alias("left_members"))
         right = sets.select(F.col("node").alias("b"), F.col("members").alias("right_members"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(_confirm(percent, retained, least), "a long, b long")
+        return pairs.join(left, "a").join(right, "b").mapInArrow(frugal(_confirm(percent, retained, least)), "a long, b long")
 
     links = cut_lineage(confirmed(_star_pairs(_labelled(postings, None), percent)))
     components = connected(links)

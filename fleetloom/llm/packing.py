@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import long_column
+from fleetloom.llm.textops import bounded_batches, frugal, long_column
 from fleetloom.session import cut_lineage
 
 #: Items that one packing task takes; later rounds use fewer tasks, never larger ones.
 ITEMS_PER_TASK = 65_536
 #: A bin with at most this share of a sequence free is nearly full and leaves the rounds.
 NEARLY_FULL = 1 / 512
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _TAIL = re.compile(rb"([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([!-&(-/:-@\[-`{-~]+)")
 _tokenizers: dict[str, _Words] = {}
@@ -99,8 +99,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int =
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(cut, _PIECES)
+    return columns.mapInArrow(frugal(cut), _PIECES)
 
 
 #: A piece in a bin: which row it is (id, known, piece, start, length, checksum) and where it lies in the bin.

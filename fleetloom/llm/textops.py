@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at a time (a longer document is a slice of its own).
-SLICE = 4 << 20
+SLICE = 1 << 20
 _BLOCK = 1 << 20
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -135,3 +136,29 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the upper half of a hash, in the order of the hashes."""
     return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def frugal(run):
+    """``run`` over a partition's batches; afterwards free memory goes back to the system, as workers live on."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
+def bounded_batches(spark) -> None:
+    """Arrow batches of at most 16 MB, unless the session has another size than Spark's own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, "16m")
+
+
+def text_beside(docs, columns: list[str]) -> tuple[list[str], str]:
+    """The columns to select for ``columns`` and the whole text, and the text's name there: it travels once."""
+    if "text" in columns and docs.schema["text"].dataType.typeName() == "string":
+        return [], "text"
+    return ["_text"], "_text"
