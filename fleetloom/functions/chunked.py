@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetloom.functions.columns import join_null_safe
+
 
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: Column, name: str = "prev"
@@ -13,7 +15,8 @@ def with_previous(
 
     Rows are windowed by (key, chunk) only; ``chunk`` must grow with ``order`` (a time bucket). The last row of
     each chunk, found by a partial aggregate, is handed to the next non-empty chunk. A key holding a third of all
-    rows is therefore spread over its chunks, and only one row per chunk is ever windowed by key.
+    rows is therefore spread over its chunks, and only one row per chunk is ever windowed by key. Null keys and times
+    are values like any other: no row is lost.
     """
     rows = df.withColumn("_chunk", chunk)
     packed = F.struct(*values)
@@ -25,8 +28,7 @@ def with_previous(
         .select(*keys, "_chunk", F.lag("_last").over(across).alias("_carry"))
     )
     return (
-        rows.withColumn("_prev", F.lag(packed).over(inside))
-        .join(carried, [*keys, "_chunk"])
+        join_null_safe(rows.withColumn("_prev", F.lag(packed).over(inside)), carried, [*keys, "_chunk"], "left")
         .withColumn(name, F.coalesce("_prev", "_carry"))
         .drop("_prev", "_carry", "_chunk")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom import constants as C
@@ -77,3 +77,10 @@ def stamp_update(annotations: Column, actor: Column, now_text: Column) -> Column
     return F.when(actor.isNull(), unmarked).otherwise(
         F.map_concat(unmarked, F.create_map(F.lit(C.UPDATED_BY), actor))
     )
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys of the left side stay."""
+    renamed = right.select([F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns])
+    equal = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
+    return left.join(renamed, equal, how).drop(*[f"_right_{key}" for key in keys])

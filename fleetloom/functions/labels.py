@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -130,6 +131,19 @@ def stored_selector_matches(labels: Column, match_labels: Column, match_exprs: C
     return F.coalesce(labels_ok, F.lit(True)) & F.coalesce(F.forall(match_exprs, matches), F.lit(True))
 
 
+def is_label_value(value: str) -> bool:
+    """:func:`valid_label_value` of a known value."""
+    return value == "" or (len(value) <= 63 and re.search(LABEL_NAME_PATTERN, value) is not None)
+
+
+def is_label_key(key: str) -> bool:
+    """:func:`valid_label_key` of a known key."""
+    prefix, slash, name = key.rpartition("/")
+    if slash and (len(prefix) > 253 or re.search(LABEL_PREFIX_PATTERN, prefix) is None):
+        return False
+    return name != "" and is_label_value(name)
+
+
 def valid_label_key(key: Column) -> Column:
     """Optional DNS prefix of at most 253 characters, a slash, and a name of at most 63."""
     parts = F.split(key, "/")

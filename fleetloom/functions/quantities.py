@@ -135,14 +135,14 @@ def with_exact_quantity(df: DataFrame, column: str, prefix: str) -> DataFrame:
     # one match gives the number; sign and suffix are what surrounds it
     df = df.withColumns({number: F.regexp_extract(value, STRICT_PATTERN, 2), sign: F.left(value, F.lit(1))})
     signed_length = F.when(F.col(sign).isin("+", "-"), 1).otherwise(0) + F.length(number)
-    df = df.withColumn(suffix, F.when(F.col(number) != "", value.substr(signed_length + 1, F.lit(20))))
+    df = df.withColumn(suffix, F.when(F.col(number) != "", F.substr(value, signed_length + 1)))
     binary = [(unit, 1024**power) for unit, power in BINARY_POWERS.items()]
     df = df.withColumns(
         {
             exponent: F.coalesce(
                 F.try_element_at(_literal_map(DECIMAL_EXPONENTS.items(), "int"), F.col(suffix)),
                 # cast only what is a number: a failing try_cast costs an exception per row
-                F.when(F.col(suffix).rlike(r"^[eE][+-]?\d+$"), F.col(suffix).substr(2, 20).try_cast("int")),
+                F.when(F.col(suffix).rlike(r"^[eE][+-]?\d+$"), F.substr(F.col(suffix), F.lit(2)).try_cast("int")),
             ),
             weight: F.try_element_at(_literal_map(binary, "bigint"), F.col(suffix)),
         }

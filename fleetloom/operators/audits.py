@@ -220,7 +220,7 @@ def resource_audit(entries: DataFrame, keys: list[str]) -> DataFrame:
     Values beyond decimal(38,9) are reported as such instead of being compared.
     """
     parsed = entries.filter(F.coalesce(F.col("type"), F.lit("")) != "").withColumn("class", resource_class(F.col("type")))
-    parsed = parsed.withColumn("page", F.when(is_huge_pages(F.col("type")), F.substring("type", len(HUGE_PAGES) + 1, 64)))
+    parsed = parsed.withColumn("page", F.when(is_huge_pages(F.col("type")), F.substr("type", F.lit(len(HUGE_PAGES) + 1))))
     for name in ("request", "limit", "page"):
         parsed = with_exact_quantity(parsed, name, name)
     kind = F.col("class")

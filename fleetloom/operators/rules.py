@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.constants import SCOPE_IMAGE, SCOPE_KIND, SCOPE_POD
+from fleetloom.functions.columns import join_null_safe
 from fleetloom.functions.labels import (
     Requirement,
     Selector,
     empty_labels,
+    is_label_key,
+    is_label_value,
     labels_map,
     selector_matches,
     stored_selector_matches,
@@ -74,7 +77,14 @@ def _requirement_valid(requirement: Requirement) -> bool:
 
 
 def _selector_valid(selector: Selector) -> bool:
-    return all(_requirement_valid(requirement) for requirement in selector.match_exprs)
+    """The same rule as for selectors held in columns: arity, and the syntax of keys and values."""
+    keys = [*selector.match_labels, *(requirement.key for requirement in selector.match_exprs)]
+    values = [*selector.match_labels.values(), *(v for requirement in selector.match_exprs for v in requirement.values)]
+    return (
+        all(_requirement_valid(requirement) for requirement in selector.match_exprs)
+        and all(is_label_key(key) for key in keys)
+        and all(is_label_value(value) for value in values)
+    )
 
 
 # --- rules as tables -------------------------------------------------------------------------------------------
@@ -279,7 +289,7 @@ def _filter_rows(targets: DataFrame, rules: DataFrame, keys: list[str]) -> DataF
         .agg(F.min(F.struct("rule_idx", "ui_hide", "api_hide", "deny", "deny_message")).alias("hit"))
     )
     effect = _effect(F.col("hit.ui_hide"), F.col("hit.api_hide"), F.col("hit.deny"), F.col("hit.deny_message"))
-    return targets.join(matched, [*keys, "scope"], "left").withColumn("effect", effect).drop("hit")
+    return join_null_safe(targets, matched, [*keys, "scope"], "left").withColumn("effect", effect).drop("hit")
 
 
 def evaluate_filter_rules(
@@ -507,7 +517,7 @@ def _activity_rows(workspaces: DataFrame, rules: DataFrame, keys: list[str]) ->
             ).alias("hit")
         )
     )
-    joined = workspaces.join(reached, keys, "left")
+    joined = join_null_safe(workspaces, reached, keys, "left")
     found = F.coalesce(F.col("hit.status"), F.lit("none"))
     good = found == "matched"
     decision = _activity_struct(

@@ -215,9 +215,9 @@ def log_tail(
     since: Column | None = None,
     previous: bool = False,
     container: str | None = None,
-    byte_cap: int = C.LOG_BYTE_CAP,
+    byte_cap: int | None = None,
 ) -> DataFrame:
-    """The last lines of each container, oldest first, cut where their bytes exceed the cap.
+    """The last lines of each container, oldest first, cut where their bytes exceed the cap, if there is one.
 
     The row number filter lets Spark keep only ``lines`` rows per container and task before the shuffle.
     """
@@ -229,7 +229,8 @@ def log_tail(
     oldest = Window.partitionBy(*group).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     tail = wanted.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= lines).drop("_n")
     size = F.sum(F.octet_length("line").cast("bigint") + 1).over(oldest)
-    return tail.withColumn("bytes", size).filter(F.col("bytes") <= byte_cap)
+    tail = tail.withColumn("bytes", size)
+    return tail if byte_cap is None else tail.filter(F.col("bytes") <= byte_cap)
 
 
 def log_availability(requests: DataFrame, workspaces: DataFrame, pods: DataFrame) -> DataFrame:

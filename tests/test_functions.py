@@ -10,6 +10,7 @@ from fleetloom.functions import columns as K
 from fleetloom.functions import labels as L
 from fleetloom.functions import quantities as Q
 from fleetloom.functions import text as X
+from fleetloom.functions.chunked import with_previous
 from fleetloom.operators.audits import mount_path_audit, resource_audit, resource_class
 from fleetloom.operators.views import merge_env
 
@@ -189,3 +190,24 @@ def test_mount_paths(spark):
     )
     got = [(row[0], row[1].split(" must ")[-1][:8]) for row in rows(mount_path_audit(df), "workspace", "message")]
     assert got == [("a", "Mount pa"), ("a", "Mount pa"), ("b", "be an ab"), ("b", "be at le"), ("d", "Mount pa"), ("e", "be at mo")]
+
+
+def test_exact_quantity_reads_the_whole_suffix(spark):
+    long_exponent = "1e" + "0" * 23 + "5"
+    df = spark.createDataFrame([(long_exponent,), ("1e5",), ("2Mi",)], "q string")
+    got = Q.with_exact_quantity(df, "q", "x").select("q", F.col("x_value").cast("long"), "x_beyond").collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {long_exponent: (100000, False), "1e5": (100000, False), "2Mi": (2097152, False)}
+
+
+def test_previous_row_keeps_null_keys_and_times(spark):
+    data = [("a", 1), ("a", 2), (None, 3), (None, 5), ("b", None)]
+    df = spark.createDataFrame(data, "k string, t long")
+    got = with_previous(df, ["k"], ["t"], ["t"], F.floor(F.col("t") / 2)).select("k", "t", F.col("prev.t"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 1, None), ("a", 2, 1), (None, 3, None), (None, 5, 3), ("b", None, None)], key=repr)
+
+
+def test_known_and_stored_label_syntax_agree(spark):
+    keys = ["a", "bad key!", "x/y", "X/y", "a/b/c", "", "/a", "a/", "a" * 64, "p.q/r_s", "-a", "a-"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    for row in df.select("k", L.valid_label_key(F.col("k")), L.valid_label_value(F.col("k"))).collect():
+        assert (L.is_label_key(row[0]), L.is_label_value(row[0])) == (row[1], row[2]), row[0]
