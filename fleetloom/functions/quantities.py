@@ -39,19 +39,26 @@ def _literal_map(pairs, kind: str) -> Column:
     return F.create_map(*[part for key, value in pairs for part in (F.lit(key), F.lit(value).cast(kind))])
 
 
+def _fraction_digits(number: str) -> Column:
+    """Significant digits after the point of digit text."""
+    fraction = F.when(F.instr(number, ".") > 0, F.substring_index(number, ".", -1)).otherwise(F.lit(""))
+    return F.length(F.rtrim(fraction, F.lit("0")))
+
+
 def _with_product(df: DataFrame, number: str, weight: str, out: str) -> DataFrame:
-    """Exact ``number * weight`` of digit text as decimal(38,9).
+    """Exact ``number * weight`` of digit text as decimal(38,9), null where that type cannot hold it.
 
     Short whole numbers are multiplied as longs. Otherwise the whole and the fractional part are multiplied apart,
-    because one wide decimal product would lose digits.
+    because one wide decimal product would lose digits. A fraction of more than nine digits is not exact here:
+    the callers flag it with :func:`_fraction_digits`.
     """
-    whole = F.substring_index(number, ".", 1)
+    whole = F.ltrim(F.substring_index(number, ".", 1), F.lit("0"))
     fraction = F.when(F.instr(number, ".") > 0, F.substring_index(number, ".", -1)).otherwise(F.lit(""))
     short = (F.instr(number, ".") == 0) & F.length(number).between(1, 9) & (F.col(weight) <= 1024**3)
     factor = F.col(weight).cast("decimal(19,0)")
-    big = F.when(whole == "", "0").otherwise(whole).try_cast("decimal(19,0)") * factor
+    big = F.try_multiply(F.when(whole == "", "0").otherwise(whole).try_cast("decimal(38,0)"), factor)
     small = F.concat(F.lit("0."), fraction, F.lit("0")).try_cast("decimal(10,9)") * factor
-    wide = (big.try_cast("decimal(28,0)") + small.try_cast("decimal(28,9)")).try_cast(AMOUNT)
+    wide = F.try_add(big.try_cast(AMOUNT), small.try_cast("decimal(28,9)")).try_cast(AMOUNT)
     return df.withColumn(
         out,
         F.when(F.col(weight) == 1, F.col(number).try_cast(AMOUNT))
@@ -61,10 +68,11 @@ def _with_product(df: DataFrame, number: str, weight: str, out: str) -> DataFram
 
 
 def with_display_quantity(df: DataFrame, column: str, units, prefix: str) -> DataFrame:
-    """The lenient display rule; adds ``{prefix}_amount``, ``_unit``, ``_base`` and ``_unknown``.
+    """The lenient display rule; adds ``{prefix}_amount``, ``_unit``, ``_base``, ``_unknown`` and ``_beyond``.
 
     Text that is only a unit has no amount; text without digits counts as one of the first unit; an unknown unit
     falls back to the first unit of the list and is flagged. ``_base`` is the amount in the lowest unit.
+    ``_beyond`` marks an amount that decimal(38,9) cannot hold exactly, in its unit or in the lowest one.
     """
     known = [unit for unit, _ in units]
     value, first = F.col(column), F.lit(known[0])
@@ -90,27 +98,38 @@ def with_display_quantity(df: DataFrame, column: str, units, prefix: str) -> Dat
             weight: F.try_element_at(_literal_map(units, "bigint"), F.col(f"{prefix}_unit")),
         }
     )
-    return _with_product(df, number, weight, f"{prefix}_base").drop(digits, suffix, number, weight)
+    df = _with_product(df, number, weight, f"{prefix}_base")
+    lost = F.col(f"{prefix}_amount").isNull() | F.col(f"{prefix}_base").isNull() | (_fraction_digits(number) > 9)
+    beyond = F.col(number).isNotNull() & lost
+    return df.withColumn(f"{prefix}_beyond", beyond).drop(digits, suffix, number, weight)
+
+
+_DISPLAY = ("amount", "unit", "base", "unknown", "beyond")
 
 
 def with_converted(df: DataFrame, column: str, units, target: str, prefix: str) -> DataFrame:
-    """Adds ``{prefix}_value`` (double) and ``{prefix}_unit``: in the target unit, or unchanged when it is unknown."""
+    """Adds ``{prefix}_value`` (double), ``_unit`` and ``_beyond``: in the target unit, or unchanged when it is unknown.
+
+    Text without an amount counts as zero; an amount beyond the exact range has no value and is flagged.
+    """
     parsed = with_display_quantity(df, column, units, f"_{prefix}")
-    zero, weights = F.lit(0.0), dict(units)
+    weights, beyond = dict(units), F.col(f"_{prefix}_beyond")
+    source = "base" if target in weights else "amount"
+    value = F.when(~beyond, F.coalesce(F.col(f"_{prefix}_{source}").cast("double"), F.lit(0.0)))
     if target in weights:
-        value = F.coalesce(F.col(f"_{prefix}_base").cast("double"), zero) / F.lit(float(weights[target]))
-        unit = F.lit(target)
+        value, unit = value / F.lit(float(weights[target])), F.lit(target)
     else:
-        value, unit = F.coalesce(F.col(f"_{prefix}_amount").cast("double"), zero), F.col(f"_{prefix}_unit")
-    return parsed.withColumns({f"{prefix}_value": value, f"{prefix}_unit": unit}).drop(
-        *[f"_{prefix}_{part}" for part in ("amount", "unit", "base", "unknown")]
+        unit = F.col(f"_{prefix}_unit")
+    return parsed.withColumns({f"{prefix}_value": value, f"{prefix}_unit": unit, f"{prefix}_beyond": beyond}).drop(
+        *[f"_{prefix}_{part}" for part in _DISPLAY]
     )
 
 
 def with_display_cpu(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Adds ``{prefix}_value`` and ``{prefix}_unit``: nanocores become cores from one core up, else millicores."""
+    """Adds ``{prefix}_value``, ``_unit`` and ``_beyond``: nanocores become cores from one core up, else millicores."""
     parsed = with_display_quantity(df, column, CPU_UNITS, f"_{prefix}")
-    amount, unit = F.col(f"_{prefix}_amount").cast("double"), F.col(f"_{prefix}_unit")
+    beyond, unit = F.col(f"_{prefix}_beyond"), F.col(f"_{prefix}_unit")
+    amount = F.when(~beyond, F.col(f"_{prefix}_amount").cast("double"))
     base = F.col(f"_{prefix}_base")
     nano = amount.isNotNull() & (unit == "n")
     cores = base >= F.lit(1000**3)
@@ -119,8 +138,9 @@ def with_display_cpu(df: DataFrame, column: str, prefix: str) -> DataFrame:
         {
             f"{prefix}_value": F.when(nano & cores, exact / F.lit(1e9)).when(nano, exact / F.lit(1e6)).otherwise(amount),
             f"{prefix}_unit": F.when(nano & cores, F.lit("")).when(nano, F.lit("m")).otherwise(unit),
+            f"{prefix}_beyond": beyond,
         }
-    ).drop(*[f"_{prefix}_{part}" for part in ("amount", "unit", "base", "unknown")])
+    ).drop(*[f"_{prefix}_{part}" for part in _DISPLAY])
 
 
 def with_exact_quantity(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -151,8 +171,7 @@ def with_exact_quantity(df: DataFrame, column: str, prefix: str) -> DataFrame:
     scientific = F.concat(F.col(number), F.lit("E"), F.col(exponent).cast("string")).try_cast(AMOUNT)
     magnitude = F.when(F.col(weight).isNotNull(), F.col(scaled)).otherwise(scientific)
     signed = F.when(F.col(sign) == "-", -magnitude).otherwise(magnitude)
-    fraction = F.when(F.instr(number, ".") > 0, F.rtrim(F.substring_index(number, ".", -1), F.lit("0"))).otherwise("")
-    too_fine = (F.length(fraction) - F.coalesce(exponent, F.lit(0))) > 9
+    too_fine = (_fraction_digits(number) - F.coalesce(exponent, F.lit(0))) > 9
     well_formed = F.coalesce(F.col(number) != "", F.lit(False))
     df = df.withColumn(f"{prefix}_value", F.when(well_formed, signed))
     beyond = well_formed & (F.col(f"{prefix}_value").isNull() | F.coalesce(too_fine, F.lit(False)))
@@ -164,22 +183,32 @@ def _missing(value: Column) -> Column:
 
 
 def with_comparison(df: DataFrame, left: str, right: str, units, prefix: str) -> DataFrame:
-    """Adds ``{prefix}_equal`` (both missing are equal, one missing is not) and ``{prefix}_delta``: left - right."""
+    """Adds ``{prefix}_equal`` (both missing are equal, one missing is not), ``_delta``: left - right, and ``_beyond``.
+
+    Text without an amount counts as zero. Where a side is beyond the exact range, ``_beyond`` is true and there is
+    no delta; such values are equal only as the same text.
+    """
     both = with_display_quantity(df, left, units, "_left")
     both = with_display_quantity(both, right, units, "_right")
-    zero = F.lit(0).cast(AMOUNT)
-    delta = F.coalesce("_left_base", zero) - F.coalesce("_right_base", zero)
+    zero, beyond = F.lit(0).cast(AMOUNT), F.col("_left_beyond") | F.col("_right_beyond")
+    delta = F.try_subtract(F.coalesce("_left_base", zero), F.coalesce("_right_base", zero)).try_cast(AMOUNT)
     a, b = _missing(F.col(left)), _missing(F.col(right))
-    compared = both.withColumn(f"{prefix}_delta", delta)
-    equal = F.when(a & b, F.lit(True)).when(a | b, F.lit(False)).otherwise(F.col(f"{prefix}_delta") == 0)
-    parts = [f"_{side}_{part}" for side in ("left", "right") for part in ("amount", "unit", "base", "unknown")]
-    return compared.withColumn(f"{prefix}_equal", equal).drop(*parts)
+    compared = both.withColumns({f"{prefix}_delta": F.when(~beyond, delta), f"{prefix}_beyond": beyond})
+    same = F.col(left) == F.col(right)
+    equal = F.when(a & b, F.lit(True)).when(a | b, F.lit(False)).when(same, F.lit(True))
+    compared = compared.withColumn(f"{prefix}_equal", equal.otherwise(F.col(f"{prefix}_delta") == 0))
+    return compared.drop(*[f"_{side}_{part}" for side in ("left", "right") for part in _DISPLAY])
 
 
 def limit_larger(request: str, limit: str, prefix: str, or_equal: bool = False) -> Column:
-    """Is the limit larger, from :func:`with_comparison` of (limit, request)? False when either is missing."""
+    """Is the limit larger, from :func:`with_comparison` of (limit, request)? False when either is missing.
+
+    Null where a side is beyond the exact range, unless equality of the texts decides.
+    """
     delta = F.col(f"{prefix}_delta")
     larger = delta >= 0 if or_equal else delta > 0
+    same = F.col(request) == F.col(limit)
+    larger = F.when(same, F.lit(or_equal)).otherwise(larger)
     return F.when(_missing(F.col(request)) | _missing(F.col(limit)), F.lit(False)).otherwise(larger)
 
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from fleetloom.constants import CAN_MOUNT, CAN_UPDATE, CAN_USE
 from fleetloom.functions.labels import label_is_true, valid_label_key, valid_label_value
 from fleetloom.functions.quantities import with_exact_quantity
-from fleetloom.operators.report import report, violation
+from fleetloom.operators.report import coded_report, report, violation
 
 # Name and path syntax.
-DNS_LABEL_PATTERN = "^[a-z0-9]([-a-z0-9]*[a-z0-9])?$"
-DNS_SUBDOMAIN_PATTERN = r"^[a-z0-9]([-a-z0-9]*[a-z0-9])?(\.[a-z0-9]([-a-z0-9]*[a-z0-9])?)*$"
-RESOURCE_NAME_PATTERN = "^[a-zA-Z0-9]([-_.a-zA-Z0-9]*[a-zA-Z0-9])?$"
-MOUNT_PATH_PATTERN = "^/[^/].*$"
+DNS_LABEL = "[a-z0-9]([-a-z0-9]*[a-z0-9])?"
+MOUNT_PATH_LENGTH = (2, 4096)
 ANNOTATION_BYTES = 262144
 PLAIN_RESOURCES = ("cpu", "memory", "ephemeral-storage")
 HUGE_PAGES = "hugepages-"
+RESERVED_DOMAIN = "kubernetes.io"
+QUOTA_PREFIX = "requests."
+QUALIFIED_NAME = "[a-zA-Z0-9]([-_.a-zA-Z0-9]*[a-zA-Z0-9])?"
+SUBDOMAIN_LENGTH, QUALIFIED_LENGTH = 253, 63
 
 
 def unknown_kinds(workspaces: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -185,20 +187,18 @@ def change_request_audit(requests: DataFrame, secrets: DataFrame, pvcs: DataFram
 
 
 def is_extended_resource(name: Column) -> Column:
-    """A domain-prefixed resource name outside the reserved domain."""
-    parts = F.split(F.concat(F.lit("requests."), name), "/")
-    prefix, resource = parts[0], F.get(parts, F.lit(1))
-    return F.coalesce(
-        name.contains("/")
-        & ~name.contains("kubernetes.io/")
-        & ~name.startswith("requests.")
-        & (F.size(parts) == 2)
-        & (F.length(prefix) <= 253)
-        & prefix.rlike(DNS_SUBDOMAIN_PATTERN)
-        & (F.length(resource) <= 63)
-        & resource.rlike(RESOURCE_NAME_PATTERN),
-        F.lit(False),
-    )
+    """A domain-prefixed resource name outside the reserved domain, short enough to be counted by a quota.
+
+    A quota names the resource with its own prefix in front, so that prefix is not allowed in the name and its
+    length is taken off the domain's.
+    """
+    domain = F.substring_index(name, "/", 1)
+    local = F.substr(name, F.length(domain) + 2)
+    fits = (F.length(domain) <= SUBDOMAIN_LENGTH - len(QUOTA_PREFIX)) & F.length(local).between(1, QUALIFIED_LENGTH)
+    free = ~domain.endswith(RESERVED_DOMAIN) & ~domain.startswith(QUOTA_PREFIX)
+    # the pattern runs on short text only
+    spelled = F.when(fits & free, name.rlike(rf"^{DNS_LABEL}(\.{DNS_LABEL})*/{QUALIFIED_NAME}\z"))
+    return F.coalesce(spelled, F.lit(False))
 
 
 def is_huge_pages(name: Column) -> Column:
@@ -207,91 +207,47 @@ def is_huge_pages(name: Column) -> Column:
 
 def resource_class(name: Column) -> Column:
     return (
-        F.when(is_extended_resource(name), F.lit("extended"))
+        F.when(name.isin(*PLAIN_RESOURCES), F.lit("plain"))
         .when(is_huge_pages(name), F.lit("hugepages"))
-        .when(name.isin(*PLAIN_RESOURCES), F.lit("plain"))
+        .when(is_extended_resource(name), F.lit("extended"))
         .otherwise(F.lit("unsupported"))
     )
 
 
 def resource_audit(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Violations of (type, request, limit) rows. Entries without a type are ignored.
+    """Findings of (type, request, limit) rows as (keys, type, field, code). Entries without a type are ignored.
 
-    Values beyond decimal(38,9) are reported as such instead of being compared.
+    Codes: ``unknown_type``; ``bad_page_size``; for each of request and limit ``malformed``, ``negative``,
+    ``fractional`` (a counted resource), ``not_in_pages``, ``beyond`` (decimal(38,9) cannot hold the value, so it is
+    reported instead of compared); for the pair ``differs_from_limit`` (counted resources and huge pages do not
+    overcommit) and ``above_limit``. Findings are bits of one number, so only rows that have one are exploded.
     """
-    parsed = entries.filter(F.coalesce(F.col("type"), F.lit("")) != "").withColumn("class", resource_class(F.col("type")))
-    parsed = parsed.withColumn("page", F.when(is_huge_pages(F.col("type")), F.substr("type", F.lit(len(HUGE_PAGES) + 1))))
+    rows = entries.filter(F.length("type") > 0).withColumn("class", resource_class(F.col("type")))
+    sized, counted = F.col("class") == "hugepages", F.col("class") == "extended"
+    rows = rows.withColumn("page", F.when(sized, F.substr("type", F.lit(len(HUGE_PAGES) + 1))))
+    for name in ("request", "limit"):
+        # an unknown type says nothing about its quantities
+        rows = rows.withColumn(name, F.when((F.col("class") != "unsupported") & (F.length(name) > 0), F.col(name)))
     for name in ("request", "limit", "page"):
-        parsed = with_exact_quantity(parsed, name, name)
-    kind = F.col("class")
-    extended, huge = kind == "extended", kind == "hugepages"
-    supported = kind != "unsupported"
-    shown = F.when(F.col("type") == "cpu", F.lit("CPU")).when(F.col("type") == "memory", F.lit("Memory")).otherwise(F.col("type"))
-    checks = [
-        violation(
-            ~supported,
-            field="type",
-            message=F.concat(
-                F.col("type"),
-                F.lit(
-                    " is not a supported resource name. Extended resources require a valid domain prefix, "
-                    "such as example.com/device."
-                ),
-            ),
-        )
+        rows = with_exact_quantity(rows, name, name)
+    request, limit, page = F.col("request_value"), F.col("limit_value"), F.col("page_value")
+
+    findings = [
+        ("type", "unknown_type", F.col("class") == "unsupported"),
+        ("type", "bad_page_size", sized & ~F.coalesce(page > 0, F.col("page_beyond"))),
+        ("request", "differs_from_limit", (counted | sized) & (request != limit)),
+        ("request", "above_limit", ~(counted | sized) & (request > limit)),
     ]
-    for name in ("request", "limit"):
-        text, value = F.col(name), F.col(f"{name}_value")
-        given = supported & (F.coalesce(text, F.lit("")) != "")
+    for name, value in (("request", request), ("limit", limit)):
         beyond = F.col(f"{name}_beyond")
-        malformed = F.coalesce(~beyond & (value.isNull() | (value < 0)), F.lit(True))
-        tail = F.when(extended, F.lit("whole number.")).otherwise(F.lit("Kubernetes quantity."))
-        checks.append(
-            violation(
-                given & malformed,
-                field=name,
-                message=F.concat(shown, F.lit(f" {name} must be a non-negative "), tail),
-            )
-        )
-        checks.append(
-            violation(
-                given & ~malformed & ~beyond & extended & (value != F.floor(value)),
-                field=name,
-                message=F.concat(shown, F.lit(f" {name} must be a non-negative whole number.")),
-            )
-        )
-        checks.append(
-            violation(given & beyond, field=name, message=F.concat(shown, F.lit(f" {name} is beyond exact comparison.")))
-        )
-    both = supported & F.col("request_value").isNotNull() & F.col("limit_value").isNotNull()
-    checks.append(
-        violation(
-            both & (extended | huge) & (F.col("request_value") != F.col("limit_value")),
-            field="request",
-            message=F.concat(shown, F.lit(" request must equal its limit, or be omitted.")),
-        )
-    )
-    checks.append(
-        violation(
-            both & (kind == "plain") & (F.col("request_value") > F.col("limit_value")),
-            field="request",
-            message=F.concat(shown, F.lit(" request must not exceed its limit.")),
-        )
-    )
-    page_ok = F.coalesce(F.col("page_value") > 0, F.lit(False))
-    checks.append(
-        violation(huge & ~page_ok, field="type", message=F.concat(shown, F.lit(" must specify a positive page size.")))
-    )
-    for name in ("request", "limit"):
-        value = F.col(f"{name}_value")
-        checks.append(
-            violation(
-                huge & page_ok & value.isNotNull() & (F.try_mod(value, F.col("page_value")) != 0),
-                field=name,
-                message=F.concat(shown, F.lit(" quantities must be multiples of the page size.")),
-            )
-        )
-    return report(parsed, keys, checks)
+        findings += [
+            (name, "malformed", F.col(name).isNotNull() & value.isNull() & ~beyond),
+            (name, "negative", value < 0),
+            (name, "fractional", counted & (value >= 0) & (value != F.floor(value))),
+            (name, "not_in_pages", (page > 0) & (F.try_mod(value, page) != 0)),
+            (name, "beyond", beyond),
+        ]
+    return coded_report(rows, [*keys, "type"], findings)
 
 
 # --- names, paths and metadata ---------------------------------------------------------------------------------
@@ -303,33 +259,33 @@ def normalised_path(path: Column) -> Column:
 
 
 def mount_path_audit(mounts: DataFrame) -> DataFrame:
-    """Syntax of each mount path, and paths used twice in one workspace.
+    """Syntax of each mount path, and paths used twice in one workspace, as rows with a ``code``.
 
-    Uses are counted by a partial aggregate and joined back, so no workspace is gathered in one task.
+    Codes: ``empty``, ``too_short``, ``too_long``, ``not_absolute`` (one slash, then a name) and ``in_use``. Uses are counted by a partial aggregate and joined back, so no workspace is gathered in one task.
     """
     rows = mounts.withColumn("path", normalised_path(F.col("mount_path")))
     keys = ["namespace", "workspace", "path"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("uses")).filter((F.col("uses") > 1) & (F.col("path") != ""))
+    least, most = MOUNT_PATH_LENGTH
     trimmed = F.regexp_replace("mount_path", r"^\s+|\s+$", "")
     length = F.length(trimmed)
-    syntax = (
-        F.when(length == 0, F.lit("Mount path is required"))
-        .when(length < 2, F.lit("Mount path must be at least 2 characters"))
-        .when(length > 4096, F.lit("Mount path must be at most 4096 characters"))
-        .when(~trimmed.rlike(MOUNT_PATH_PATTERN), F.lit("Mount path must be an absolute path (e.g. /path/to/dir)"))
-    )
-    return report(
-        rows.join(counts, keys, "left").withColumn("syntax", syntax),
+    sized = length.between(least, most)
+    absolute = trimmed.startswith("/") & ~trimmed.startswith("//")
+    return coded_report(
+        rows.join(counts, keys, "left"),
         ["namespace", "workspace", "source", "target", "mount_path"],
         [
-            violation(F.col("syntax").isNotNull(), message=F.col("syntax")),
-            violation(F.col("uses") > 1, message="Mount path is already in use"),
+            (None, "empty", length == 0),
+            (None, "too_short", (length > 0) & (length < least)),
+            (None, "too_long", length > most),
+            (None, "not_absolute", sized & ~absolute),
+            (None, "in_use", F.col("uses") > 1),
         ],
     )
 
 
 def valid_dns_label(name: Column) -> Column:
-    return F.coalesce(name.rlike(DNS_LABEL_PATTERN) & (F.length(name) <= 63), F.lit(False))
+    return F.coalesce((F.length(name) <= 63) & name.rlike(rf"^{DNS_LABEL}\z"), F.lit(False))
 
 
 def name_audit(df: DataFrame, object_type: str, keys: list[str], name: str = "name") -> DataFrame:

@@ -151,31 +151,26 @@ def _milli(column: str) -> str:
       when ends_with({column}, 'Ki') then {digits} * 1024000 else {digits} * 1000 end"""
 
 
+def _findings(field: str) -> str:
+    value = "r" if field == "request" else "l"
+    return f"""union all select object, type, '{field}', 'malformed' from s where "{field}" <> '' and {value} is null
+    union all select object, type, '{field}', 'negative' from s where {value} < 0
+    union all select object, type, '{field}', 'fractional' from s where counted and {value} >= 0 and {value} % 1000 <> 0
+    union all select object, type, '{field}', 'not_in_pages' from s
+      where type = 'hugepages-2Mi' and {value} % 2097152000 <> 0"""
+
+
 @query(
     "resource_audit",
     f"""with e as (select object, type, request, "limit", {_milli("request")} as r, {_milli('"limit"')} as l,
-        case type when 'cpu' then 'CPU' when 'memory' then 'Memory' else type end as shown,
-        type = 'example.com/gpu' as ext, type like 'hugepages-%' as huge,
+        type = 'example.com/gpu' as counted, type like 'hugepages-%' as sized,
         type in ('cpu', 'memory', 'ephemeral-storage') as plain from resource_entries where type <> ''),
-    s as (select * from e where ext or huge or plain)
-    select object, 'type' as field, type || ' is not a supported resource name. Extended resources require a valid ' ||
-      'domain prefix, such as example.com/device.' as message from e where not (ext or huge or plain)
-    union all select object, 'request', shown || ' request must be a non-negative ' || case when ext then 'whole number.'
-      else 'Kubernetes quantity.' end from s where request <> '' and (r is null or r < 0)
-    union all select object, 'limit', shown || ' limit must be a non-negative ' || case when ext then 'whole number.'
-      else 'Kubernetes quantity.' end from s where "limit" <> '' and (l is null or l < 0)
-    union all select object, 'request', shown || ' request must be a non-negative whole number.' from s
-      where ext and r >= 0 and r % 1000 <> 0
-    union all select object, 'limit', shown || ' limit must be a non-negative whole number.' from s
-      where ext and l >= 0 and l % 1000 <> 0
-    union all select object, 'request', shown || ' request must equal its limit, or be omitted.' from s
-      where (ext or huge) and r <> l
-    union all select object, 'request', shown || ' request must not exceed its limit.' from s where plain and r > l
-    union all select object, 'type', shown || ' must specify a positive page size.' from s where type = 'hugepages-x'
-    union all select object, 'request', shown || ' quantities must be multiples of the page size.' from s
-      where type = 'hugepages-2Mi' and r % 2097152000 <> 0
-    union all select object, 'limit', shown || ' quantities must be multiples of the page size.' from s
-      where type = 'hugepages-2Mi' and l % 2097152000 <> 0""",
+    s as (select * from e where counted or sized or plain)
+    select object, type, 'type' as field, 'unknown_type' as code from e where not (counted or sized or plain)
+    union all select object, type, 'type', 'bad_page_size' from s where type = 'hugepages-x'
+    union all select object, type, 'request', 'differs_from_limit' from s where not plain and r <> l
+    union all select object, type, 'request', 'above_limit' from s where plain and r > l
+    {_findings("request")} {_findings("limit")}""",
 )
 def _resource_audit(t: Fleet) -> DataFrame:
     return V.resource_audit(t.view("resource_entries"), ["object"])
@@ -185,11 +180,10 @@ def _resource_audit(t: Fleet) -> DataFrame:
     "mount_path_audit",
     """with m as (select *, trim(mount_path) as trimmed, rtrim(trim(mount_path), '/') as path from mounts),
     c as (select *, count(*) over (partition by namespace, workspace, path) as uses from m)
-    select namespace, workspace, source, target, mount_path, case when trimmed = '' then 'Mount path is required'
-      when length(trimmed) < 2 then 'Mount path must be at least 2 characters'
-      else 'Mount path must be an absolute path (e.g. /path/to/dir)' end as message from c
+    select namespace, workspace, source, target, mount_path, case when trimmed = '' then 'empty'
+      when length(trimmed) < 2 then 'too_short' else 'not_absolute' end as code from c
       where length(trimmed) < 2 or not starts_with(trimmed, '/') or starts_with(trimmed, '//')
-    union all select namespace, workspace, source, target, mount_path, 'Mount path is already in use' from c
+    union all select namespace, workspace, source, target, mount_path, 'in_use' from c
       where uses > 1 and path <> ''""",
 )
 def _mount_path_audit(t: Fleet) -> DataFrame:

@@ -31,7 +31,8 @@ _SAMPLE = f"""p as (select namespace, pod, container, ts_ms, seq, cpu, memory, {
     "normalise_quantities",
     f"""with {_SAMPLE} select namespace, pod, container, ts_ms, seq, cpu, memory, cpu_amount, cpu_suffix as cpu_unit,
       cpu_amount * cpu_weight as cpu_base, memory_amount, memory_unit, memory_amount * memory_weight as memory_base,
-      memory <> 'Mi' and memory_digits <> '' and memory_suffix not in ('Gi', 'Mi', '') as memory_unknown from w""",
+      memory <> 'Mi' and memory_digits <> '' and memory_suffix not in ('Gi', 'Mi', '') as memory_unknown,
+      false as cpu_beyond, false as memory_beyond from w""",
 )
 def _normalise(t: Fleet) -> DataFrame:
     rows = t.usage_samples.drop("ts")
@@ -56,6 +57,7 @@ def _convert(t: Fleet) -> DataFrame:
     rows = Q.with_converted(rows, "memory", Q.MEMORY_UNITS, "Mi", "mib")
     rows = Q.with_converted(rows, "memory", Q.MEMORY_UNITS, "bushel", "unchanged")
     rows = Q.with_display_cpu(rows, "cpu", "shown").drop("cpu", "mib_unit")
+    rows = rows.drop("mib_beyond", "unchanged_beyond", "shown_beyond")
     return rows.withColumnsRenamed(
         {
             "mib_value": "mib",
@@ -66,6 +68,39 @@ def _convert(t: Fleet) -> DataFrame:
     )
 
 
+@query(
+    "wide_quantities",
+    """with w as (select object, regexp_extract(request, '[0-9]+') as n from resource_entries
+      where regexp_matches(request, '^[0-9]+'))
+    select object, cast(cast(n as hugeint) * 1024 * cast('1000000000000000000000' as hugeint) as double) as wide_bytes,
+      false as wide_beyond, true as far_beyond, cast(null as double) as far_gib, false as wide_at_limit,
+      true as same_text from w""",
+)
+def _wide(t: Fleet) -> DataFrame:
+    """Quantities of more digits than a long holds: exact while a decimal can hold them, else flagged."""
+    digits = F.regexp_extract("request", "[0-9]+", 0)
+    rows = t.view("resource_entries").filter(F.col("request").rlike("^[0-9]+")).select(
+        "object",
+        F.concat(digits, F.lit("0" * 21 + "Ki")).alias("wide"),
+        F.concat(digits, F.lit("0" * 30 + "Gi")).alias("far"),
+    )
+    rows = Q.with_display_quantity(rows, "wide", Q.MEMORY_UNITS, "wide")
+    rows = Q.with_converted(rows, "far", Q.MEMORY_UNITS, "Gi", "far")
+    rows = Q.with_comparison(rows.withColumn("small", F.lit("1Ki")), "small", "wide", Q.MEMORY_UNITS, "cmp")
+    rows = rows.withColumn("copy", F.col("far"))
+    larger = Q.limit_larger("wide", "small", "cmp")
+    rows = Q.with_comparison(rows.withColumn("wide_at_limit", larger), "far", "copy", Q.MEMORY_UNITS, "twin")
+    return rows.select(
+        "object",
+        F.col("wide_base").cast("double").alias("wide_bytes"),
+        "wide_beyond",
+        "far_beyond",
+        F.col("far_value").alias("far_gib"),
+        "wide_at_limit",
+        F.col("twin_equal").alias("same_text"),
+    )
+
+
 @query(
     "exact_quantities",
     """select object, request, case when request in ('', '1.2.3') then null
