@@ -373,7 +373,7 @@ def list_option_values(
     counts = usage.select("kind", "option_type", F.col("id").alias("target_id"), "workspaces")
     found = F.col("found")
     message = F.format_string(
-        'provided %s config id "%s" not found in workspace kind "%s"',
+        "no %s option %s in kind %s",
         F.col("option_type"),
         F.col("target_id"),
         F.col("kind"),
@@ -604,7 +604,7 @@ def lint_filter_rules(rules: DataFrame) -> DataFrame:
     no_effect = violation(
         ~has_effect,
         field="effect",
-        message="must specify at least one effect: one of 'ui.hide', 'api.hide', or 'api.deny' must be true",
+        message="rule has no effect",
     )
 
     def condition_violations(c: Column, i: Column) -> Column:

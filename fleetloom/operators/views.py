@@ -89,10 +89,14 @@ def service_urls(workspaces: DataFrame, options: DataFrame, kinds: DataFrame) ->
     )
 
 
-def asset_ref(kinds: DataFrame, assets: DataFrame, url_prefix: str = "") -> DataFrame:
+# Fixed value: the path under which the images of a kind are served.
+ASSET_PATH = "/api/v1/workspacekinds/"
+
+
+def asset_ref(kinds: DataFrame, assets: DataFrame, url_prefix: str = "", path: str = ASSET_PATH) -> DataFrame:
     """URL and error code of each kind's icon and logo."""
     stored = F.concat(
-        F.lit(url_prefix.rstrip("/") + "/api/v1/workspacekinds/"),
+        F.lit(url_prefix.rstrip("/") + path),
         F.col("kind"),
         F.lit("/assets/"),
         F.col("asset"),

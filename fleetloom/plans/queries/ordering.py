@@ -71,7 +71,7 @@ _STABLE = """with prev as (select name as id, generation * 1000000000 + cast(sub
 
 @query("stable_order", _STABLE)
 def _stable_order(t: Fleet) -> DataFrame:
-    rank = F.col("generation") * 1000000000 + F.substring("name", 4, 20).cast("bigint")
+    rank = F.col("generation") * 1000000000 + F.substr("name", F.lit(4)).cast("bigint")
     previous = t.workspaces.filter("state <> 'Pending'").select(F.col("name").alias("id"), rank.alias("prev_rank"))
     current = t.workspaces.filter("state <> 'Error'").select(
         F.col("name").alias("id"), F.col("last_activity_ms").alias("sort_key")

@@ -163,15 +163,15 @@ _LIST = f"""with c as (
       coalesce(e.hidden, false) or e.ui_hide as hidden, e.deny, e.deny_message, u.workspaces, null as error
     from effects e join usage u on u.kind = e.kind and u.option_type = e.option_type and u.id = e.id where not e.api_hide
     union all select context_id, kind, 'image', image_id, null, null, null, null, null,
-      'provided image config id "' || image_id || '" not found in workspace kind "' || kind || '"'
+      'no image option ' || image_id || ' in kind ' || kind
       from ctx where image_id is not null and not sel_image
     union all select context_id, kind, 'pod', pod_id, null, null, null, null, null,
-      'provided pod config id "' || pod_id || '" not found in workspace kind "' || kind || '"'
+      'no pod option ' || pod_id || ' in kind ' || kind
       from ctx where pod_id is not null and not sel_pod)"""
 
 
 def _contexts(t: Fleet) -> DataFrame:
-    n = F.substring("name", 7, 5).cast("bigint")
+    n = F.substr("name", F.lit(7)).cast("bigint")
     open_contexts = t.kinds.select(
         F.concat(F.lit("open-"), F.col("name")).alias("context_id"),
         F.concat(F.lit("NATION_"), (n % 26).cast("string")).alias("namespace"),
@@ -381,10 +381,9 @@ def _pause_decision(t: Fleet) -> DataFrame:
     "lint_filter_rules",
     """select name as kind, 4 as rule_idx, 'match[0]' as field, 'invalid label selector' as message from kinds
     union all select name, 5, 'match[0]', 'invalid label selector' from kinds
-    union all select name, 9, 'effect', 'must specify at least one effect: one of ''ui.hide'', ''api.hide'', or
- ''api.deny'' must be true' from kinds where name = 'Brand#5'
+    union all select name, 9, 'effect', 'rule has no effect' from kinds where name = 'Brand#5'
     union all select name, 9, 'match[0]', 'image conditions are only valid in option scopes' from kinds
-      where name = 'Brand#5'""".replace("or\n ''api", "or ''api"),
+      where name = 'Brand#5'""",
 )
 def _lint_filter_rules(t: Fleet) -> DataFrame:
     return R.lint_filter_rules(t.filter_rules)

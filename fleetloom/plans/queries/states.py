@@ -261,7 +261,7 @@ def _log_availability(t: Fleet) -> DataFrame:
     "usage_status",
     """with by_label as (select namespace, workspace_label, min(name) as pod from pods
       where workspace_label is not null group by 1, 2),
-    sampled as (select distinct namespace, pod from usage_samples where container = 'proxy')
+    sampled as (select distinct namespace, pod from usage_samples)
     select r.request_id, r.namespace, r.name as workspace, l.pod, case when w.name is null then 'WORKSPACE_NOT_FOUND'
       when l.pod is null then 'WORKSPACE_NOT_RUNNING' when s.pod is null then 'PENDING' else 'AVAILABLE' end as status
     from reqs r left join workspaces w on w.namespace = r.namespace and w.name = r.name
@@ -271,4 +271,4 @@ def _log_availability(t: Fleet) -> DataFrame:
 def _usage_status(t: Fleet) -> DataFrame:
     requests = t.requests.select("request_id", "namespace", F.col("name").alias("workspace"))
     pods = workspace_pods_by_label(t.workspaces.select("namespace", "name"), t.pods)
-    return T.usage_status(requests, t.workspaces, pods, t.usage_samples.filter("container = 'proxy'"))
+    return T.usage_status(requests, t.workspaces, pods, t.usage_samples)

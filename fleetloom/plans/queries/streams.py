@@ -171,7 +171,7 @@ def _stream_pause(t: Fleet) -> DataFrame:
     handler = X.keep_activity(status, _split(t), ["start_ms", "event_id"], decide)
     events = StreamFleet(t, {"events"}).given("events")
     batches = _finish(X.run_batches(events, handler, f"{folder}/checkpoint"))
-    return decisions.read(t.spark, batches - 1)
+    return decisions.read(t.spark, batches - 1).drop("fresh")
 
 
 @query(

@@ -111,10 +111,15 @@ STATUS = (
 def fold_status(status: DataFrame, states: DataFrame, probes: DataFrame, order: list[str]) -> DataFrame:
     """New activity status from the old one and one batch of state changes and probes.
 
-    Entering Running resets the activity; probes not newer than the last one seen are ignored and counted.
+    Entering Running resets the activity. State changes not newer than the last one and probes not newer than the
+    last one seen are ignored and counted: a late row never rewinds the status.
     """
     zero = F.lit(0).cast("bigint")
-    history = states.select(*WORKSPACE, "ts_ms", "seq", "state").withColumn("old", F.lit(False))
+    stored = status.filter(F.col("state").isNotNull()).select(*WORKSPACE, "state_ms", "state_seq")
+    late = F.coalesce(F.struct("ts_ms", "seq") <= F.struct("state_ms", "state_seq"), F.lit(False))
+    placed = states.join(stored, WORKSPACE, "left").withColumn("late", F.col("state_ms").isNotNull() & late)
+    late_states = placed.filter("late").groupBy(*WORKSPACE).agg(F.count("*").alias("late_states"))
+    history = placed.filter("not late").select(*WORKSPACE, "ts_ms", "seq", "state", F.lit(False).alias("old"))
     last = status.filter(F.col("state").isNotNull()).select(
         *WORKSPACE, F.col("state_ms").alias("ts_ms"), F.col("state_seq").alias("seq"), "state", F.lit(True).alias("old")
     )
@@ -155,6 +160,7 @@ def fold_status(status: DataFrame, states: DataFrame, probes: DataFrame, order:
     current = judged.filter(~stale & (F.col("start_ms") >= F.col("last_running_ms")))
     facts = T.probe_facts(current, order).withColumnRenamed("last_running_ms", "run_ms")
     joined = base.join(facts, WORKSPACE, "full_outer").join(ignored, WORKSPACE, "left")
+    joined = joined.join(late_states, WORKSPACE, "left")
     running = F.coalesce("last_running_ms", "run_ms", zero)
     return joined.select(
         *WORKSPACE,
@@ -168,7 +174,7 @@ def fold_status(status: DataFrame, states: DataFrame, probes: DataFrame, order:
         F.coalesce("last_probe.end_ms", "last_probe_end_ms").alias("last_probe_end_ms"),
         F.coalesce("last_probe.result", "last_probe_result").alias("last_probe_result"),
         (F.coalesce(F.col("last_probe.result"), F.lit("")) == "Success").alias("fresh"),
-        (F.coalesce("ignored", zero) + F.coalesce("new_ignored", zero)).alias("ignored"),
+        (F.coalesce("ignored", zero) + F.coalesce("new_ignored", zero) + F.coalesce("late_states", zero)).alias("ignored"),
     )
 
 
@@ -193,19 +199,20 @@ def keep_activity(
 def decide_pauses(
     decisions: VersionedTable, workspaces: DataFrame, kinds: DataFrame, options: DataFrame, namespaces: DataFrame, rules
 ) -> Callable[[DataFrame, int], None]:
-    """After each batch: the pause decision of every workspace whose newest probe is a fresh success.
+    """After each batch: the pause decision of every workspace whose newest probe is a success.
 
-    The probe's end is the current time, so a decision never rests on stale activity.
+    The probe's end is the current time, so a decision never rests on stale activity. A version holds the decisions
+    of all batches so far; ``fresh`` marks those whose probe came with the last one.
     """
 
     def handle(status: DataFrame, batch_id: int) -> None:
-        fresh = status.filter("fresh").drop("state_ms", "state_seq")
+        probed = status.filter(F.col("last_probe_result") == "Success").drop("state_ms", "state_seq")
         fixed = workspaces.select("namespace", F.col("name").alias("workspace"), "kind", "pod_id")
         probes = kinds.select(F.col("name").alias("kind"), F.col("probe").isNotNull().alias("has_probe"))
-        rows = fresh.join(fixed, WORKSPACE).join(probes, "kind").withColumnRenamed("workspace", "name")
+        rows = probed.join(fixed, WORKSPACE).join(probes, "kind").withColumnRenamed("workspace", "name")
         decided = evaluate_activity_rules(rows, options, namespaces, rules)
         judged = pause_decision(decided, F.col("last_probe_end_ms"), F.lit(True))
-        out = judged.select("namespace", "name", "last_activity_ms", "eligible_after_ms", "pause_now")
+        out = judged.select("namespace", "name", "last_activity_ms", "eligible_after_ms", "pause_now", "fresh")
         decisions.write(out, batch_id)
 
     return handle
@@ -238,12 +245,16 @@ def keep_escalations(levels: VersionedTable, found: VersionedTable) -> Callable[
 def keep_usage_counts(
     counts: VersionedTable, current: Callable[[], DataFrame], options: DataFrame
 ) -> Callable[[DataFrame, int], None]:
-    """Recount the options of the kinds touched by a batch of workspace changes."""
+    """Recount the options of the kinds touched by a batch of workspace changes; other kinds keep their counts."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("kind").distinct()
         workspaces = current().join(touched, "kind", "left_semi")
-        counts.write(option_usage(workspaces, options.join(touched, "kind", "left_semi")), batch_id)
+        recounted = option_usage(workspaces, options.join(touched, "kind", "left_semi"))
+        if batch_id > 0:
+            untouched = counts.read(batch.sparkSession, batch_id - 1).join(touched, "kind", "left_anti")
+            recounted = recounted.unionByName(untouched)
+        counts.write(recounted, batch_id)
 
     return handle
 

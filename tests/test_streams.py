@@ -63,6 +63,50 @@ def test_late_probes_are_counted_and_ignored(spark):
     assert (two["last_activity_ms"], two["ignored"], two["fresh"]) == (110, 2, False)
 
 
+def test_late_states_do_not_rewind(spark):
+    status = spark.createDataFrame(
+        [("n", "w", "Running", 100, 4, 100, 150, 150, 140, 150, "Success", True, 0)], X.STATUS
+    )
+    schema = "namespace string, workspace string, ts_ms bigint, seq bigint, state string"
+    probe = "namespace string, workspace string, start_ms bigint, end_ms bigint, result string, output string"
+    late = spark.createDataFrame([("n", "w", 50, 1, "Running"), ("n", "new", 50, 1, "Running")], schema)
+    got = X.fold_status(status, late, spark.createDataFrame([], probe), ["start_ms", "end_ms"])
+    columns = ["workspace", "state_ms", "last_running_ms", "last_activity_ms", "ignored"]
+    assert rows(got, *columns) == [("new", 50, 50, 0, 0), ("w", 100, 100, 150, 1)]
+
+
+def test_pauses_of_earlier_batches_stay(spark, fleets, tmp_path):
+    batch, stream = fleets
+    status, decisions = X.VersionedTable(str(tmp_path / "status")), X.VersionedTable(str(tmp_path / "decisions"))
+    fixed = (batch.workspaces, batch.kinds, batch.options, batch.namespaces, batch.activity_rules)
+    handler = X.keep_activity(status, _split(batch), ["start_ms", "event_id"], X.decide_pauses(decisions, *fixed))
+    batches = _finish(X.run_batches(stream.given("events"), handler, str(tmp_path / "cp")))
+    assert batches == 4
+    whole = X.VersionedTable(str(tmp_path / "whole"))
+    X.decide_pauses(whole, *fixed)(status.read(spark, batches - 1).withColumn("fresh", F.lit(True)), 0)
+    columns = ["namespace", "name", "last_activity_ms", "eligible_after_ms", "pause_now"]
+    assert rows(decisions.read(spark, batches - 1), *columns) == rows(whole.read(spark, 0), *columns)
+    probed = status.read(spark, batches - 1).filter("last_probe_result = 'Success'").select("namespace", "workspace")
+    kinds = batch.kinds.select(F.col("name").alias("kind"))
+    known = batch.workspaces.join(kinds, "kind", "left_semi").select("namespace", F.col("name").alias("workspace"))
+    assert decisions.read(spark, batches - 1).count() == probed.join(known, ["namespace", "workspace"]).count() > 0
+
+
+def test_usage_counts_keep_other_kinds(spark, tmp_path):
+    workspaces = spark.createDataFrame(
+        [("n", "a", "k1", "i", "p"), ("n", "b", "k2", "i", "p"), ("n", "c", "k2", "i", "p")],
+        "namespace string, name string, kind string, image_id string, pod_id string",
+    )
+    options = spark.createDataFrame(
+        [("k1", "image", "i"), ("k2", "image", "i"), ("k3", "image", "i")], "kind string, option_type string, id string"
+    )
+    counts = X.VersionedTable(str(tmp_path / "counts"))
+    handle = X.keep_usage_counts(counts, lambda: workspaces, options)
+    for batch_id, kind in enumerate(("k1", "k2", "k1")):
+        handle(spark.createDataFrame([(kind,)], "kind string"), batch_id)
+    assert rows(counts.read(spark, 2), "kind", "workspaces") == [("k1", 1), ("k2", 2)]
+
+
 def test_entering_running_resets_activity(spark):
     status = spark.createDataFrame(
         [("n", "w", "Paused", 5, 5, 1, 77, 78, 4, 5, "Success", True, 0)], X.STATUS
