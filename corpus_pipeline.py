@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.llm import decontam, langid, lines, neardup, packing
 from fleetloom.llm.queries import LANGUAGE_FOLDS, LANGUAGE_HELD_OUT, SEQUENCE, TOKENIZER, fold_of
-from fleetloom.session import checkpoint_folder, prepare_session
+from fleetloom.session import checkpoint_folder, cut_lineage, prepare_session
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate on their source; ``n_chars`` follows the text."""
-    kept = lines.drop_boilerplate(docs)
+    """All documents, without the lines that are boilerplate on their source; ``n_chars`` follows the text.
+
+    A group of near-duplicates is one page, so a document that was copied often keeps its lines.
+    """
+    found = neardup.near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    groups = cut_lineage(found.select("doc_id", F.col("component_id").alias("group")).distinct())
+    kept = lines.drop_boilerplate(docs, groups=groups)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

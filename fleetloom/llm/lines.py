@@ -10,6 +10,9 @@ from fleetloom.session import cut_lineage
 #: A line on more than this share of its site's pages is boilerplate, if at least so many of them carry it.
 MOST_SHARE = 0.02
 LEAST_PAGES = 5
+#: Where copies are known: a line on more than this share of the site's distinct texts is boilerplate even if those
+#: texts are near-duplicates of each other, as pages of mostly boilerplate are.
+MOST_TEXTS = 0.5
 
 
 def _trimmed(line: Column) -> Column:
@@ -20,13 +23,32 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def line_flags(docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source") -> DataFrame:
+def _common_by_groups(pages: DataFrame, groups: DataFrame, most_share: float, least_pages: int) -> DataFrame:
+    """Sites with the keys of their boilerplate lines, where a line counts once for each group of copies on the site."""
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    own = pages.select(F.col("doc.doc_id").alias("doc_id"), "site", _key(text).alias("text"), "keys").join(groups.select("doc_id", "group"), "doc_id", "left")
+    # a page without a group is one with the pages of its text
+    own = own.select("site", "text", "keys", F.struct("group", F.when(F.col("group").isNull(), F.col("text"))).alias("group"))
+    lines = own.select("site", F.explode("keys").alias("key"), "group", "text").distinct()
+    counts = lines.groupBy("site", "key", "group").agg(F.count(F.lit(1)).alias("texts"))
+    counts = counts.groupBy("site", "key").agg(F.count(F.lit(1)).alias("carrying"), F.sum("texts").alias("texts")).where(F.col("texts") >= least_pages)
+    totals = own.select("site", "group", "text").distinct().groupBy("site", "group").agg(F.count(F.lit(1)).alias("all_texts"))
+    totals = totals.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.sum("all_texts").alias("all_texts"))
+    often = (F.col("carrying") >= least_pages) & (F.col("carrying") > F.lit(most_share) * F.col("pages"))
+    mostly = F.col("texts") > F.lit(MOST_TEXTS) * F.col("all_texts")
+    return counts.join(totals, "site").where(often | mostly).groupBy("site").agg(F.collect_set("key").alias("drop"))
+
+
+def line_flags(
+    docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source", groups: DataFrame | None = None
+) -> DataFrame:
     """Rows (doc, lines, drop) of a written table: the columns of ``docs`` as a struct, the lines of the text, and the
     keys of those that are boilerplate on the page's site.
 
     A line is what stands between newlines, compared without white space at its ends; blank lines never count. The
     pages of a site are its rows; a line counts once a page. A null site is a site of its own; a null text has no
-    lines. Equal rows are pages of their own.
+    lines. Equal rows are pages of their own, unless ``groups`` (doc_id, group) tells which documents are copies: a group
+    is one page of a site then, and so are equal texts without a group.
 
     Sites and lines are counted by partial sums, so neither a site with most of the pages nor a line on most of its
     pages is gathered anywhere. A 96-bit key stands for a line.
@@ -36,7 +58,10 @@ def line_flags(docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int
         "doc", F.coalesce(F.col(f"doc.{site}").cast("string"), F.lit("\0")).alias("site"), F.split(text, "\n").alias("lines")
     )
     trimmed = F.transform("lines", _trimmed)
-    keys = pages.select("site", F.explode(F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))).alias("key"))
+    own_keys = F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
+    if groups is not None:
+        return pages.join(cut_lineage(_common_by_groups(pages.withColumn("keys", own_keys), groups, most_share, least_pages)), "site", "left")
+    keys = pages.select("site", F.explode(own_keys).alias("key"))
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     counts = keys.groupBy("site", "key").agg(F.count(F.lit(1)).alias("carrying")).where(F.col("carrying") >= least_pages)
     common = (
@@ -46,13 +71,15 @@ def line_flags(docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int
     return pages.join(cut_lineage(common), "site", "left")
 
 
-def drop_boilerplate(docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source") -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source", groups: DataFrame | None = None
+) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; added are ``_lines`` and ``_dropped`` counts.
 
     Whole lines go, the others keep their bytes and order. A text that loses nothing is unchanged, a null stays null
     with no lines, a text of boilerplate alone becomes empty. All other columns are handed through.
     """
-    flagged = line_flags(docs, most_share, least_pages, site)
+    flagged = line_flags(docs, most_share, least_pages, site, groups)
     drop = F.coalesce("drop", F.array().cast(flagged.schema["drop"].dataType))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("_drop"), _key(_trimmed(x))) | (_trimmed(x) == ""))
     out = flagged.withColumn("_drop", drop).withColumn("_kept", F.when(F.size("_drop") > 0, kept).otherwise(F.col("lines")))

@@ -297,3 +297,20 @@ def test_pipeline_stages_equal_plain_versions(spark, docs, rows, tmp_path):
             assert 9 not in left and 13 in left
         given = out
     assert {r[0] for r in given.select("doc_id").collect()} == left
+
+
+def test_pipeline_keeps_one_whole_document_of_copies(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+    one, near = "\n".join(say(12) for _ in range(20)), "\n".join(say(12) for _ in range(20))
+    texts = [one] * 40 + [near + f"\n{say(3)}" for _ in range(40)] + [say(60) + "\nall rights reserved" * (i % 3 == 0) for i in range(90)]
+    nav = "\n".join(say(12) for _ in range(20))
+    given = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1000 + i, f"{nav}\n{say(4)}", "en", "mostly", 0) for i in range(30)]
+    table = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.boilerplate(spark, table, str(tmp_path))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, out, str(tmp_path)).collect()}
+    assert left[0] == one and left[40] == texts[40]
+    assert sorted(i for i in left if i < 80) == [0, 40]
+    assert all(left[80 + i] == texts[80 + i].split("\n")[0] for i in range(90))
+    # pages of mostly boilerplate lose it, and what they say themselves stays
+    assert all(left[i] == t.split("\n")[-1] for i, t, _, source, _ in given if source == "mostly")
