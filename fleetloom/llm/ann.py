@@ -77,17 +77,18 @@ class Tree:
             moving = np.concatenate(ahead) if ahead else moving[:0]
         return np.array(self.leaf_number)[node]
 
-    def visits(self, vector: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves in the order of a best-bin-first traversal."""
+    def visits(self, vector: np.ndarray, enough: int, sizes: np.ndarray | None = None, fewest: int = 0) -> list[int]:
+        """``enough`` leaves in the order of a best-bin-first traversal, and more until they hold ``fewest`` of ``sizes``."""
         distance = ((self.centres - vector) ** 2).sum(axis=1)
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < enough or held < fewest):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
                     heapq.heappush(queue, (distance[child], child))
             else:
                 found.append(self.leaf_number[node])
+                held += 0 if sizes is None else int(sizes[found[-1]])
         return found
 
 
@@ -133,7 +134,7 @@ def nearest_neighbours(
     Equal vectors are one row of the index with their ``k + 1`` smallest ids, more of which no result can hold, so a
     vector in a third of all rows is no hot leaf. The tree is fitted on at most ``fit_sample`` of the vectors and
     indexes all. How many leaves are visited is widened until the true neighbours of ``calibration`` queries, found by
-    brute force over all rows, are covered to ``recall``.
+    brute force over all rows, are covered to ``recall``; a query whose leaves hold too few ids for ``k`` visits more.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors)
@@ -164,10 +165,13 @@ def nearest_neighbours(
     searches = cut_lineage(asked.select("v").distinct().withColumn("search", F.monotonically_increasing_id()))
     trial = np.array([r["v"] for r in searches.orderBy(F.xxhash64("v")).limit(calibration).collect()], float).reshape(-1, common["d"])
     visits = _calibrated(placed, tree, trial, k, recall)
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("ids")).collect():
+        sizes[r["leaf"]] = r["ids"]
 
     def choose(batches):
         for batch in batches:
-            leaves = [sent.value.visits(q, visits) for q in _matrix(batch.column("v"))]
+            leaves = [sent.value.visits(q, visits, sizes, k + 1) for q in _matrix(batch.column("v"))]
             yield pa.RecordBatch.from_arrays([batch.column("search"), batch.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["search", "v", "leaves"])
 
     chosen = cut_lineage(searches.select("search", "v").mapInArrow(choose, "search long, v array<double>, leaves array<int>"))

@@ -262,6 +262,15 @@ def test_neighbours_reach_recall_and_exact_scores(spark):
     assert ann.nearest_neighbours(few).count() == 3
 
 
+def test_every_query_has_all_its_neighbours_where_leaves_are_small(spark):
+    rng = np.random.default_rng(4)
+    tight = np.repeat(rng.normal(size=(12, 8)) * 100, 60, axis=0) + rng.normal(size=(720, 8)) * 0.01
+    v = np.concatenate([tight, rng.normal(size=(80, 8)) * 10_000])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = Counter(r["query_id"] for r in ann.nearest_neighbours(table, every=2, leaf=4, recall=0.5).collect())
+    assert out == Counter({i: 10 for i in range(0, 800, 2)})
+
+
 def test_empty_tables(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert fm_dedup.remove_repeated_words(empty).count() == 0
