@@ -4,11 +4,13 @@ The anchor of a window is the smallest hash of the short runs of tokens inside i
 and neighbouring windows mostly share theirs. Chunks tell hash buckets which anchors they have; where more than one
 place has an anchor, the stretch of windows under it (a segment) goes to the shard of that anchor, and the shard's
 index decides which of its windows are equal. Equal segments of a chunk travel once, so a passage in a third of all
-documents costs its shard one segment a chunk.
+documents costs its shard one segment a chunk. Under an anchor with more stretches than a shard should get, every
+window travels by itself, to the shard of its own hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -41,6 +43,16 @@ class Windows:
         """Tokens of a segment on average, if anchors were random."""
         return self.width + (self.width - self.gram) / 2
 
+    @property
+    def most_stretches(self) -> float:
+        """Stretches of one anchor that may share a shard."""
+        return self.shard_tokens / self.segment_tokens
+
+    @property
+    def spread(self) -> float:
+        """Segments' worth of tokens that a stretch is when its windows travel one by one."""
+        return ((self.width - self.gram) / 2 + 1) * self.width / self.segment_tokens
+
     def tokens(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of a chunk and the documents' offsets among them."""
         if not self.of_words:
@@ -136,33 +148,45 @@ def _ask(windows: Windows, buckets: int, other_documents: bool):
         for chunk in each_chunk(batches):
             tokens, places = windows.tokens(chunk)
             anchors, _, _, doc = windows.stretches(tokens, places)
-            asked, several, _ = _asked(windows, tokens, anchors, doc, other_documents)
+            asked, several, index = _asked(windows, tokens, anchors, doc, other_documents)
+            times = np.bincount(index, minlength=len(asked)).astype("<u4")
             bounds, rows = _bounds(asked, buckets), []
             for bucket in np.flatnonzero(np.diff(bounds)).tolist():
                 s, e = bounds[bucket], bounds[bucket + 1]
-                rows.append((bucket, chunk.id, int(e - s), asked[s:e].astype(np.uint32).tobytes() + np.packbits(several[s:e]).tobytes()))
+                rows.append((bucket, chunk.id, int(e - s), asked[s:e].astype(np.uint32).tobytes() + np.packbits(several[s:e]).tobytes() + pack(times[s:e])))
             yield _rows(rows)
 
     return run
 
 
-def _tell(table: pa.Table) -> pa.Table:
-    """For every chunk of a bucket, which of its anchors are in several places (a bit for each, in order), and their number."""
-    counts = table.column("n").to_pylist()
-    low, several = [], []
-    for n, blob in zip(counts, table.column("blob"), strict=True):
-        raw = np.frombuffer(blob.as_buffer(), np.uint8)
-        low.append(raw[: 4 * n].view(np.uint32))
-        several.append(np.unpackbits(raw[4 * n :], count=n))
-    _, index, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-    several = np.concatenate(several).astype(bool)
-    shared = times > 1
-    shared[index[several]] = True
-    shared = shared[index]
-    ends = np.cumsum(counts)
-    own = [shared[e - n : e] for n, e in zip(counts, ends, strict=True)]
-    totals, blobs = [int(x.sum()) for x in own], [np.packbits(x).tobytes() for x in own]
-    return pa.table({"bucket": table.column("bucket"), "chunk_id": table.column("chunk_id"), "n": pa.array(totals, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+def _tell(windows: Windows):
+    """For every chunk of a bucket, which of its anchors are in several places and which of them have too many stretches
+    for one shard (a bit for each, in order), and about how many segments the chunk sends for them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = table.column("n").to_pylist()
+        low, several, stretches = [], [], []
+        for n, blob in zip(counts, table.column("blob"), strict=True):
+            raw = np.frombuffer(blob.as_buffer(), np.uint8)
+            bits = 4 * n + -(-n // 8)
+            low.append(raw[: 4 * n].view(np.uint32))
+            several.append(np.unpackbits(raw[4 * n : bits], count=n))
+            stretches.append(unpack(raw[bits:].tobytes(), 4 * n).view("<u4"))
+        _, index, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        several, stretches = np.concatenate(several).astype(bool), np.concatenate(stretches).astype(np.int64)
+        shared = times > 1
+        shared[index[several]] = True
+        total = np.zeros(len(times), np.int64)
+        np.add.at(total, index, stretches)
+        hot = (shared & (total > windows.most_stretches))[index]
+        shared = shared[index]
+        sent = np.where(shared, stretches, 0) * np.where(hot, windows.spread, 1.0)
+        ends = np.cumsum(counts)
+        own = [slice(e - n, e) for n, e in zip(counts, ends.tolist(), strict=True)]
+        totals, blobs = [int(sent[x].sum()) for x in own], [np.packbits(shared[x]).tobytes() + np.packbits(hot[x]).tobytes() for x in own]
+        return pa.table({"bucket": table.column("bucket"), "chunk_id": table.column("chunk_id"), "n": pa.array(totals, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
 
 
 def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_documents: bool):
@@ -173,15 +197,25 @@ def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_d
     tokens, places = windows.tokens(chunk)
     anchors, starts, counts, doc = windows.stretches(tokens, places)
     asked, _, index = _asked(windows, tokens, anchors, doc, other_documents)
-    bounds, shared = _bounds(asked, buckets), np.zeros(len(asked), bool)
+    bounds, shared, hot = _bounds(asked, buckets), np.zeros(len(asked), bool), np.zeros(len(asked), bool)
     for answer in chunk.answers:
         if answer["kind"] == 0:
             s, e = bounds[answer["bucket"]], bounds[answer["bucket"] + 1]
-            shared[s:e] = np.unpackbits(np.frombuffer(answer["blob"], np.uint8), count=int(e - s)).astype(bool)
+            bits, half = np.frombuffer(answer["blob"], np.uint8), len(answer["blob"]) // 2
+            shared[s:e] = np.unpackbits(bits[:half], count=int(e - s)).astype(bool)
+            hot[s:e] = np.unpackbits(bits[half:], count=int(e - s)).astype(bool)
     good = shared[index]
-    anchors, starts, counts, doc = anchors[good], starts[good], counts[good], doc[good]
-    shard = bucket_of(anchors * U64(0x9E3779B97F4A7C15), shards)
+    anchors, starts, counts, doc, alone = anchors[good], starts[good], counts[good], doc[good], hot[index][good]
     raw, width = windows.content(tokens)
+    homes = anchors * U64(0x9E3779B97F4A7C15)
+    if alone.any():  # equal windows have equal hashes, so they still meet
+        n = np.where(alone, counts, 1)
+        row = np.repeat(np.arange(len(n)), n)
+        starts = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        counts, doc, homes, alone = np.where(alone, 1, counts)[row], doc[row], homes[row], alone[row]
+        spans = (starts[alone] * width).tolist()
+        homes[alone] = mix(np.array([zlib.crc32(raw[s : s + windows.width * width]) for s in spans], U64))
+    shard = bucket_of(homes, shards)
     number, seen = np.zeros(len(starts), np.int64), {}
     per_shard: dict[int, list[int]] = {}
     spans = zip(shard.tolist(), (starts * width).tolist(), ((starts + counts + windows.width - 1) * width).tolist(), strict=True)
@@ -313,7 +347,8 @@ def repeated(docs: DataFrame, windows: Windows, solver: Callable, finish: Callab
     chunks = chunk_table(docs)
     buckets = max(FEWEST_BUCKETS, text_bytes(chunks) // BUCKET_BYTES)
     asked = chunks.mapInArrow(_ask(windows, buckets, other_documents), _BLOBS)
-    told = cut_lineage(asked.groupBy("bucket").applyInArrow(lambda t: _tell(t), _BLOBS))
+    tell = _tell(windows)
+    told = cut_lineage(asked.groupBy("bucket").applyInArrow(lambda t: tell(t), _BLOBS))
     shared = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(FEWEST_BUCKETS, int(shared * windows.segment_tokens / windows.shard_tokens))
     sent = with_answers(chunks, told).mapInArrow(_send(windows, buckets, shards, other_documents), _BLOBS)

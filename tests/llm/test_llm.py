@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, queries, suffix_dedup, urls
+from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, queries, repeats, suffix_dedup, urls
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +97,25 @@ def test_fm_dedup_equals_brute_force(docs, rows):
     assert told(fm_dedup.remove_repeated_words(docs), "*") == expected
 
 
+@pytest.mark.parametrize("of_words", [False, True])
+def test_a_frequent_phrase_in_different_texts_is_spread_over_shards(spark, of_words):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    phrase = say(33) if of_words else "a line of license text that a great many pages have"
+    texts = [f"{say(30)} {phrase} {say(30)}" for _ in range(600)]
+    texts += [texts[3], texts[9][20:400], f"{say(9)} {texts[7][100:]}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    module, solver, whole = (fm_dedup, fm_dedup.repeated_windows, fm_dedup.remove_repeated_words) if of_words else (suffix_dedup, suffix_dedup.earliest_windows, suffix_dedup.remove_repeats)
+    windows = repeats.Windows(35, 10, True, 1000) if of_words else repeats.Windows(50, 24, False, 1000)
+
+    def guarded(shard, width):
+        assert shard.lengths.sum() < 12_000
+        return solver(shard, width)
+
+    columns = f"{module._COLUMNS}, kept_sha256 string"
+    assert told(repeats.repeated(table, windows, guarded, module._digested, columns, not of_words), "*") == told(whole(table, digest=True), "*")
+
+
 def test_near_duplicates_equal_brute_force(docs, rows):
     sets = []
     for _, text, *_ in rows:
