@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, suffix_dedup, urls
+from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, simhash, suffix_dedup, urls
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 _SPACE = r"'[\x20\x09-\x0D]+'"
 _LINES_SQL = rf"""
 with pages as (select row_number() over () as r, doc_id, text, coalesce(source, chr(1)) as site from documents),
@@ -118,7 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = [
         op1_url_filter, op2_decontamination, op3_packing, op4_language_id, op5_minhash, op6_suffix_array, op7_nearest_neighbours,
-        op8_lm_scoring, op9_fm_index, op10_line_dedup,
+        op8_lm_scoring, op9_fm_index, op10_line_dedup, op13_simhash,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
