@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, simhash, suffix_dedup, urls
+from fleetloom.llm import ann, brown, conversation_sql, decontam, fm_dedup, langid, lines, neardup, packing, prefix_trie, repair, simhash, suffix_dedup, urls
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,14 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(_table(spark, folder, "conversations")))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.shared_prefix_trie(_table(spark, folder, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -122,7 +130,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = [
         op1_url_filter, op2_decontamination, op3_packing, op4_language_id, op5_minhash, op6_suffix_array, op7_nearest_neighbours,
-        op8_lm_scoring, op9_fm_index, op10_line_dedup, op13_simhash,
+        op8_lm_scoring, op9_fm_index, op10_line_dedup, op11_conversation_repair,
+        op12_prefix_trie, op13_simhash,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -131,4 +140,5 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     found = {"op10_line_dedup": _LINES_SQL, "op5_minhash": _NEAR_SQL}
+    found |= {"op11_conversation_repair": conversation_sql.REPAIR, "op12_prefix_trie": conversation_sql.TRIE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
