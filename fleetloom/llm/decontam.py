@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import FOLDED_VALUES, NOT_ALNUM, U64, bounded_batches, frugal, mix, slices, text_beside, text_column, words
+from fleetloom.llm.textops import FOLDED_VALUES, NOT_ALNUM, U64, bounded_batches, free_name, frugal, mix, slices, text_beside, text_column, words
 from fleetloom.session import cut_lineage
 
 #: Places that each seed looks at. Any two substitutions in thirteen words leave a place for one of the seeds.
@@ -90,7 +90,7 @@ class Benchmark:
         return good
 
 
-def _scan(sent, carried: list[str], name: str):
+def _scan(sent, carried: list[str], name: str, so_far: str):
     def run(batches):
         blocks = [Benchmark(items) for items in sent.value]
         for batch in batches:
@@ -108,11 +108,11 @@ def _scan(sent, carried: list[str], name: str):
                         rows.append(pairs[0])
                         ids.append(pairs[1])
             # rows without a text or a hit keep what earlier blocks have found
-            found: list[set] = [set(x) for x in batch.column("_items").to_pylist()]
+            found: list[set] = [set(x) for x in batch.column(so_far).to_pylist()]
             for row, item in zip(np.concatenate(rows).tolist(), np.concatenate(ids).tolist(), strict=True):
                 found[row].add(item)
             kept = [batch.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=[*carried, "_items"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=[*carried, so_far])
 
     return frugal(run)
 
@@ -123,7 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> Dat
     Words are runs of ASCII letters, digits and all beyond ASCII, lower-cased in A-Z. A text overlaps an item if, laid
     beside it, thirteen neighbouring words of both agree in at least eleven places; an item of nine to twelve words
     must be there whole; shorter items are too little evidence and are not looked for. Null texts, ids and tables
-    without rows overlap nothing; items without an id are left out; repeated rows are judged alike.
+    without rows overlap nothing; items without an id are left out; repeated rows are judged alike. The new column is
+    ``items``, with an underscore more where ``columns`` has that name.
 
     The benchmark goes to the executors in blocks of bounded size, a few in a pass over the documents.
     """
@@ -133,12 +134,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> Dat
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_BYTES)
     extra, name = text_beside(docs, columns)
-    out = docs.select(*columns, *(F.col("text").cast("string").alias(c) for c in extra), F.array().cast("array<long>").alias("_items"))
+    so_far = free_name("_items", [*columns, *extra])
+    out = docs.select(*columns, *(F.col("text").cast("string").alias(c) for c in extra), F.array().cast("array<long>").alias(so_far))
     for first in range(0, blocks, BLOCKS_A_PASS):
         taken = range(first, min(first + BLOCKS_A_PASS, blocks))
         block = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([[tuple(r) for r in block(k).collect()] for k in taken])
         if first:
             out = cut_lineage(out)
-        out = out.mapInArrow(_scan(sent, [*columns, *extra], name), out.schema)
-    return out.select(*columns, F.col("_items").alias("items"))
+        out = out.mapInArrow(_scan(sent, [*columns, *extra], name, so_far), out.schema)
+    return out.select(*columns, F.col(so_far).alias(free_name("items", columns)))

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.textops import LOWER_BYTES, U64, bounded_batches, frugal, mix, slices, text_beside, text_column
+from fleetloom.llm.textops import LOWER_BYTES, U64, bounded_batches, free_name, frugal, mix, slices, text_beside, text_column
 
 #: Hash buckets of the n-grams, and the longest n-gram.
 BUCKETS = 1 << 15
@@ -109,8 +109,10 @@ def predict(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
     """``columns`` of every row with the likeliest language of its whole text and that language's probability.
 
     A null text, one without letters and any text under a model without languages is ``und`` with score 0. Ties go to
-    the first language in the order of the names. Only ``text`` is looked at; other columns are handed through.
+    the first language in the order of the names. Only ``text`` is looked at; other columns are handed through. The new
+    columns are ``lang_pred`` and ``score``, with an underscore more where ``columns`` has such a name.
     """
+    told, sureness = free_name("lang_pred", columns), free_name("score", columns)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
     extra, name = text_beside(docs, columns)
@@ -137,8 +139,8 @@ def predict(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
                 best[low:high] = np.where(plain, winner, len(names) - 1)
                 sure[low:high] = np.where(plain, posterior, 0.0)
             kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(sure)], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(sure)], names=[*columns, told, sureness])
 
     chosen = docs.select(*columns, *(F.col("text").cast("string").alias(c) for c in extra))
-    schema = chosen.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = chosen.select(*columns, F.lit("").alias(told), F.lit(0.0).alias(sureness)).schema
     return chosen.mapInArrow(frugal(score), schema)

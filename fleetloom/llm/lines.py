@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.llm.textops import free_name
 from fleetloom.session import cut_lineage
 
-#: A line on more than this share of its site's pages is boilerplate, if at least so many of them carry it.
-MOST_SHARE = 0.02
+#: A line on more than this share of its site's distinct texts is boilerplate, if at least so many of them carry it.
+MOST_SHARE = 0.1
 LEAST_PAGES = 5
-#: Where copies are known: a line on more than this share of the site's distinct texts is boilerplate even if those
-#: texts are near-duplicates of each other, as pages of mostly boilerplate are.
-MOST_TEXTS = 0.5
+#: A page of which more than this share of characters is in such lines is a copy of others rather than a page with
+#: boilerplate: it keeps them.
+MOST_OF_PAGE = 0.5
 
 
 def _trimmed(line: Column) -> Column:
@@ -23,71 +24,52 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def _common_by_groups(pages: DataFrame, groups: DataFrame, most_share: float, least_pages: int) -> DataFrame:
-    """Sites with the keys of their boilerplate lines, where a line counts once for each group of copies on the site."""
-    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
-    own = pages.select(F.col("doc.doc_id").alias("doc_id"), "site", _key(text).alias("text"), "keys").join(groups.select("doc_id", "group"), "doc_id", "left")
-    # a page without a group is one with the pages of its text
-    own = own.select("site", "text", "keys", F.struct("group", F.when(F.col("group").isNull(), F.col("text"))).alias("group"))
-    lines = own.select("site", F.explode("keys").alias("key"), "group", "text").distinct()
-    counts = lines.groupBy("site", "key", "group").agg(F.count(F.lit(1)).alias("texts"))
-    counts = counts.groupBy("site", "key").agg(F.count(F.lit(1)).alias("carrying"), F.sum("texts").alias("texts")).where(F.col("texts") >= least_pages)
-    totals = own.select("site", "group", "text").distinct().groupBy("site", "group").agg(F.count(F.lit(1)).alias("all_texts"))
-    totals = totals.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.sum("all_texts").alias("all_texts"))
-    often = (F.col("carrying") >= least_pages) & (F.col("carrying") > F.lit(most_share) * F.col("pages"))
-    mostly = F.col("texts") > F.lit(MOST_TEXTS) * F.col("all_texts")
-    return counts.join(totals, "site").where(often | mostly).groupBy("site").agg(F.collect_set("key").alias("drop"))
+def boilerplate_lines(docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source") -> DataFrame:
+    """(site, drop) as a written table: the keys of the lines that are boilerplate on each site that has some.
 
+    A line is what stands between newlines, compared without white space at its ends; blank lines never count. Pages of
+    equal text are one page of their site, and a line counts once a page. A null site is a site of its own; a null text
+    is the empty one.
 
-def line_flags(
-    docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source", groups: DataFrame | None = None
-) -> DataFrame:
-    """Rows (doc, lines, drop) of a written table: the columns of ``docs`` as a struct, the lines of the text, and the
-    keys of those that are boilerplate on the page's site.
-
-    A line is what stands between newlines, compared without white space at its ends; blank lines never count. The
-    pages of a site are its rows; a line counts once a page. A null site is a site of its own; a null text has no
-    lines. Equal rows are pages of their own, unless ``groups`` (doc_id, group) tells which documents are copies: a group
-    is one page of a site then, and so are equal texts without a group.
-
-    Sites and lines are counted by partial sums, so neither a site with most of the pages nor a line on most of its
-    pages is gathered anywhere. A 96-bit key stands for a line.
+    Distinct texts are found by their keys, and each of n equal texts weighs 1/n, so texts and lines never travel and
+    copies need no representative: what sums up for a line is a whole number but for rounding. Sites and lines are counted
+    by partial sums, so neither a site with most of the pages nor a line on most of its pages is gathered anywhere. A
+    site has at most (lines a page / share) such lines, which bounds its list. A 96-bit key stands for a line or text.
     """
-    text = F.col("doc.text").cast("string")
-    pages = docs.select(F.struct(*docs.columns).alias("doc")).select(
-        "doc", F.coalesce(F.col(f"doc.{site}").cast("string"), F.lit("\0")).alias("site"), F.split(text, "\n").alias("lines")
-    )
-    trimmed = F.transform("lines", _trimmed)
-    own_keys = F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
-    if groups is not None:
-        return pages.join(cut_lineage(_common_by_groups(pages.withColumn("keys", own_keys), groups, most_share, least_pages)), "site", "left")
-    keys = pages.select("site", F.explode(own_keys).alias("key"))
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    counts = keys.groupBy("site", "key").agg(F.count(F.lit(1)).alias("carrying")).where(F.col("carrying") >= least_pages)
-    common = (
-        counts.join(totals, "site").where(F.col("carrying") > F.lit(most_share) * F.col("pages")).groupBy("site").agg(F.collect_set("key").alias("drop"))
-    )
-    # a site has at most (lines a page / share) such lines, so its list is bounded; Spark picks the join by its size
-    return pages.join(cut_lineage(common), "site", "left")
-
-
-def drop_boilerplate(
-    docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source", groups: DataFrame | None = None
-) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    pages = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), _key(text).alias("page"), text.alias("text"))
+    texts = cut_lineage(pages.groupBy("site", "page").agg(F.count(F.lit(1)).alias("copies")))
+    totals = texts.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    trimmed = F.transform(F.split("text", "\n"), _trimmed)
+    keys = F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
+    held = pages.join(texts.where("copies > 1"), ["site", "page"], "left").select("site", F.explode(keys).alias("key"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    counts = held.groupBy("site", "key").agg(F.round(F.sum("weight")).cast("long").alias("carrying")).where(F.col("carrying") >= least_pages)
+    common = counts.join(totals, "site").where(F.col("carrying") > F.lit(most_share) * F.col("pages"))
+    return cut_lineage(common.groupBy("site").agg(F.collect_set("key").alias("drop")))
+
+
+def drop_boilerplate(docs: DataFrame, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, site: str = "source", most_of_page: float = MOST_OF_PAGE) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; added are ``_lines`` and ``_dropped`` counts.
 
-    Whole lines go, the others keep their bytes and order. A text that loses nothing is unchanged, a null stays null
-    with no lines, a text of boilerplate alone becomes empty. All other columns are handed through.
+    What is boilerplate tells :func:`boilerplate_lines`. Whole lines go, the others keep their bytes and order. A text that
+    loses nothing is unchanged, a null stays null with no lines. A page whose boilerplate lines hold more than
+    ``most_of_page`` of the characters of its lines (without white space at their ends) is what near copies of a text look
+    like, and keeps them all, so a text that was copied is never emptied. Repeated rows are treated alike. All other
+    columns are handed through; the two new ones have an underscore more where ``docs`` has such a name.
     """
-    flagged = line_flags(docs, most_share, least_pages, site, groups)
-    drop = F.coalesce("drop", F.array().cast(flagged.schema["drop"].dataType))
-    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("_drop"), _key(_trimmed(x))) | (_trimmed(x) == ""))
-    out = flagged.withColumn("_drop", drop).withColumn("_kept", F.when(F.size("_drop") > 0, kept).otherwise(F.col("lines")))
-    columns = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "text"]
-    out = out.select(
-        *columns,
-        F.when(F.col("doc.text").isNotNull(), F.array_join("_kept", "\n")).alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).alias("_lines"),
-        F.coalesce(F.size("lines") - F.size("_kept"), F.lit(0)).alias("_dropped"),
+    common = boilerplate_lines(docs, most_share, least_pages, site)
+    # the columns stay one struct, so that none of their names can clash
+    pages = docs.select(F.struct(*docs.columns).alias("doc")).select(
+        "doc", F.coalesce(F.col(f"doc.`{site}`").cast("string"), F.lit("\0")).alias("site"), F.split(F.col("doc.text").cast("string"), "\n").alias("lines")
     )
-    return out.select(*docs.columns, "_lines", "_dropped")
+    # Spark picks the join by the size of the table; only pages of sites with boilerplate look at their lines
+    flagged = pages.join(common, "site", "left").withColumn("trimmed", F.when(F.col("drop").isNotNull(), F.transform("lines", _trimmed)))
+    gone = F.transform("trimmed", lambda x: (x != "") & F.array_contains(F.col("drop"), _key(x)))
+    size = lambda chosen: F.aggregate(chosen, F.lit(0), lambda total, x: total + F.char_length(x))
+    lost = size(F.filter("trimmed", lambda x, i: F.get("gone", i)))
+    flagged = flagged.withColumn("gone", gone).withColumn("copied", F.coalesce(lost > F.lit(most_of_page) * size(F.col("trimmed")), F.lit(True)))
+    kept = F.when(F.col("copied"), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.get("gone", i)))
+    out = flagged.select("doc", "lines", kept.alias("kept"))
+    columns = [F.when(F.col("lines").isNotNull(), F.array_join("kept", "\n")).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    n_lines, n_kept = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("kept"), F.lit(0))
+    return out.select(*columns, n_lines.alias(free_name("_lines", docs.columns)), (n_lines - n_kept).alias(free_name("_dropped", docs.columns)))

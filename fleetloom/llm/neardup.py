@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.llm.textops import U64, bounded_batches, frugal, mix, shingles, slices, text_column, words
-from fleetloom.session import cut_lineage
+from fleetloom.session import cut_lineage, forget
 
 #: Values that a sketch retains, and how many two sketches must at least share to be candidates: at a similarity of
 #: 0.75 fewer than ten of 32 has a chance of 1e-8.
@@ -138,7 +138,9 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         done = cut_lineage(small.where("a <> b").distinct())
-        if (now := _digest(done)) == before:
+        settled = (now := _digest(done)) == before
+        forget(large, done if settled else links)
+        if settled:
             break
         links, before = done, now
     inner = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -319,7 +321,9 @@ def near_duplicates(
     links = links.unionByName(more)
     components = connected(links)
     described = postings.groupBy("node").agg(F.collect_list("value").alias("listed")).join(nodes.select("node", "sketch"), "node")
-    rest = cut_lineage(_block_links(cut_lineage(_labelled(postings, components)), described, sets, retained, least, percent, block))
+    labelled = cut_lineage(_labelled(postings, components))
+    rest = cut_lineage(_block_links(labelled, described, sets, retained, least, percent, block))
+    forget(sets, postings, labelled)
     # rows that share an id are one document of several texts
     same = nodes.groupBy("first_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")
     same = nodes.join(same, "first_id").select(F.col("node").alias("a"), "b").where("a <> b")

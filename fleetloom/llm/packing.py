@@ -50,7 +50,7 @@ class _Words(dict):
         return found
 
     def _encode(self, word: bytes) -> bytes:
-        if (parts := _TAIL.fullmatch(word)) and _plain(parts[1].decode()):
+        if (parts := _TAIL.fullmatch(word)) and _plain(parts[1].decode()) and _plain(parts[1].decode().lower()):
             return self[parts[1]] + self[parts[2]]
         text = word.decode()
         lower = text.lower()

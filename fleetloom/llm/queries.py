@@ -90,12 +90,16 @@ lines as (
     select r, doc_id, site, text, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from pages
 ),
 trimmed as (select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as t from lines),
-totals as (select site, count(*) as pages from pages group by 1),
+totals as (select site, count(distinct coalesce(text, '')) as pages from pages group by 1),
 common as (
-    select site, t from (select site, t, count(distinct r) as n from trimmed where t <> '' group by 1, 2) join totals using (site)
+    select site, t from (select site, t, count(distinct text) as n from trimmed where t <> '' group by 1, 2) join totals using (site)
     where n >= {lines.LEAST_PAGES} and n > {lines.MOST_SHARE} * pages
 ),
-flagged as (select l.*, c.t is not null as dropped from trimmed l left join common c on c.site = l.site and c.t = l.t),
+found as (select l.*, c.t is not null as common from trimmed l left join common c on c.site = l.site and c.t = l.t),
+flagged as (
+    select *, common and not sum(case when common then length(t) else 0 end) over (partition by r)
+        > {lines.MOST_OF_PAGE} * sum(length(t)) over (partition by r) as dropped from found
+),
 per_page as (
     select r, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
         coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '') as kept

@@ -145,13 +145,16 @@ def near_fingerprints(fps: DataFrame, radius: int = 3, direct: int = DIRECT) ->
     apart. So no bucket is capped, and none is written out as all its pairs.
     """
     spark: SparkSession = fps.sparkSession
-    links, held, rows = None, [0], fps.select("fp", F.lit(0).cast("long").alias("held"))
+    links, held, rows = None, [0], fps.select("fp")
     while True:
         steps = _refined(held, radius)
-        # at most 15, 225, 3375 rows for a radius of three
-        masks = spark.createDataFrame([(_signed(m), _signed(n)) for m, n in steps], "held long, next long")
-        met = rows.join(F.broadcast(masks), "held").select("fp", F.col("next").alias("held"), F.expr("fp & next").alias("value"))
-        met = met if held == [0] else met.distinct()  # two steps may lead to one mask
+        if held == [0]:
+            dealt = rows.select("fp", F.explode(F.array(*[F.lit(_signed(n)) for _, n in steps])).alias("held"))
+        else:
+            # at most 225, then 3375 rows for a radius of three; two steps may lead to one mask
+            masks = spark.createDataFrame([(_signed(m), _signed(n)) for m, n in steps], "held long, next long")
+            dealt = rows.join(F.broadcast(masks), "held").select("fp", F.col("next").alias("held")).distinct()
+        met = dealt.withColumn("value", F.expr("fp & held"))
         counts = met.groupBy("held", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1")
         counts = cut_lineage(counts)
         free = BITS - min(n.bit_count() for _, n in steps)

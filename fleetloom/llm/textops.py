@@ -157,8 +157,17 @@ def bounded_batches(spark) -> None:
         spark.conf.set(key, "16m")
 
 
+def free_name(name: str, taken) -> str:
+    """``name`` with as many underscores after it as make it differ from all that are taken, in upper or lower case."""
+    lower = {other.lower() for other in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def text_beside(docs, columns: list[str]) -> tuple[list[str], str]:
     """The columns to select for ``columns`` and the whole text, and the text's name there: it travels once."""
     if "text" in columns and docs.schema["text"].dataType.typeName() == "string":
         return [], "text"
-    return ["_text"], "_text"
+    name = free_name("_text", columns)
+    return [name], name

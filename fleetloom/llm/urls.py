@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetloom.llm.textops import free_name
+
 #: Hash buckets of the n-grams, which bound the weights that the plan carries.
 BUCKETS = 4096
 GRAM = 4
@@ -107,7 +109,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, size: int = GRAM, steps:
     )
     rows = urls.count()
     weights, bias = [0.0] * buckets, 0.0
-    urls = urls.coalesce(1).persist() if rows < 100_000 else urls.persist()
+    urls = urls.persist()
     for _ in range(steps if rows else 0):
         missing = F.col("y") - 1 / (1 + F.exp(-_logit(F.col("grams"), _as_array(weights), bias)))
         part = urls.select("grams", missing.alias("e")).select(F.col("e") / F.sqrt(F.size("grams")), F.explode(F.concat(F.array(F.lit(-1)), "grams")), F.col("e"))
@@ -125,20 +127,16 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], model: tuple[list
     The longest fitting rule decides; without one the model does, at one half. A null url, or one without ``://``,
     has an empty host and path, which no rule with a path fits and the model judges by its bias alone with that of an
     empty name. Repeated rows are judged alike. ``rules`` are (allow or block, host/path) and few: the plan holds them.
+    A new column whose name is among ``columns`` gets an underscore more.
     """
     weights, bias = model
     url = F.col("url").cast("string")
-    parts = pages.select(*columns, host_of(url).alias("_host"), path_of(url).alias("_path"))
+    # what is handed through stays one struct, so that none of its names can clash
+    parts = pages.select(F.struct(*columns).alias("_held"), host_of(url).alias("_host"), path_of(url).alias("_path"))
     name, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     grams = _grams(F.col("_host"), F.col("_path"), len(weights), size)
     unwanted = 1 / (1 + F.exp(-_logit(grams, _as_array(weights), bias)))
     judged = parts.select("*", name.alias("_rule"), verdict.alias("_verdict"), unwanted.alias("_unwanted"))
     by_model = F.when(F.col("_unwanted") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(
-        *columns,
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_rule").alias("rule"),
-        F.coalesce("_verdict", by_model).alias("verdict"),
-        F.col("_unwanted").alias("unwanted"),
-    )
+    added = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule"), "verdict": F.coalesce("_verdict", by_model), "unwanted": F.col("_unwanted")}
+    return judged.select(*[F.col(f"_held.`{c}`").alias(c) for c in columns], *[value.alias(free_name(c, columns)) for c, value in added.items()])

@@ -232,19 +232,70 @@ def test_language_of_awkward_and_held_out_texts(spark, docs):
     assert langid.predict(docs, model, docs.columns).count() == docs.count()
 
 
-def test_lines_equal_brute_force(docs, rows):
-    pages, carry = Counter(), Counter()
+def test_lines_equal_brute_force(spark, docs, rows):
     trim = lambda x: x.strip(" \t\n\r\x0b\f")
-    for _, text, _, source, _ in rows:
-        pages[source] += 1
-        carry.update((source, t) for t in {trim(x) for x in (text or "").split("\n")} if t)
+    copied = [(900 + i, f"{rows[9][1]}\nsame footer line\n{i}" if i % 2 else rows[9][1], "en", "s1", 0) for i in range(12)]
+    every = [*rows, *copied]
+    pages = {(source, text or "") for _, text, _, source, _ in every}
+    carry = Counter((source, t) for source, text in pages for t in {trim(x) for x in text.split("\n")} if t)
     expected = Counter()
-    for i, text, _, source, _ in rows:
+    for i, text, _, source, _ in every:
         all_lines = text.split("\n") if text is not None else []
-        drop = lambda x, s=source: carry[(s, trim(x))] >= 5 and carry[(s, trim(x))] > 0.02 * pages[s]
-        kept = [x for x in all_lines if not drop(x)]
+        n = sum(s == source for s, _ in pages)
+        common = [carry[(source, trim(x))] >= 5 and carry[(source, trim(x))] > 0.1 * n for x in all_lines]
+        size = [len(trim(x)) for x in all_lines]
+        whole = sum(c * k for c, k in zip(common, size, strict=True)) > 0.5 * sum(size)
+        kept = [x for x, c in zip(all_lines, common, strict=True) if whole or not c]
         expected[(i, None if text is None else "\n".join(kept), len(all_lines), len(all_lines) - len(kept))] += 1
-    assert told(lines.drop_boilerplate(docs), "doc_id", "text", "_lines", "_dropped") == expected
+    assert sum(n for (*_, dropped), n in expected.items() if dropped)
+    table = docs.unionByName(spark.createDataFrame([(*r, 1, "v", 2, 3) for r in copied], SCHEMA))
+    assert told(lines.drop_boilerplate(table), "doc_id", "text", "_lines", "_dropped") == expected
+
+
+def test_clashing_names_are_handed_through(spark, rows):
+    clashing = ["score", "lang_pred", "items", "_items", "_text", "_lines", "_dropped", "host", "path", "rule", "Verdict", "unwanted", "site", "drop", "doc", "keys"]
+    given = [(i, t, lang, source, n, *range(len(clashing))) for i, t, lang, source, n in rows]
+    table = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clashing))
+    own = tuple(range(len(clashing)))
+    found = langid.predict(table, langid.train(table), table.columns)
+    assert found.columns == [*table.columns, "lang_pred_", "score_"]
+    assert {r[5:-2] for r in found.collect()} == {own}
+    found = lines.drop_boilerplate(table)
+    assert found.columns == [*table.columns, "_lines_", "_dropped_"]
+    assert {r[5:-2] for r in found.collect()} == {own}
+    bench = spark.createDataFrame([(1, rows[9][1])], "item_id long, text string")
+    found = decontam.find_leaks(table, bench, table.columns)
+    assert found.columns == [*table.columns, "items_"]
+    assert {(r["doc_id"], tuple(r["items_"])) for r in found.where(F.size("items_") > 0).collect()} >= {(9, (1,))}
+    pages = table.withColumn("url", F.lit("http://casino-win.example.org/x"))
+    found = urls.judge_urls(pages, queries.URL_RULES, urls.train(urls.labelled_urls(spark)), pages.columns)
+    assert found.columns == [*pages.columns, "host_", "path_", "rule_", "verdict_", "unwanted_"]
+    assert {(r["host"], r["host_"], r["verdict_"]) for r in found.collect()} == {(7, "casino-win.example.org", "block")}
+
+
+def test_pipeline_with_clashing_names_and_with_empty_tables(spark, rows, tmp_path):
+    spark.createDataFrame([(1, rows[9][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score int, lang_pred string, items int, _lines int, _dropped int"
+    for given in ([(*r, 1, "x", 2, 3, 4) for r in rows], []):
+        table = spark.createDataFrame(given, columns)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{len(given)}-{name}")
+            table, before = spark.read.parquet(f"{tmp_path}/{len(given)}-{name}"), table
+            if name != "packing":
+                assert table.columns == before.columns
+                assert {tuple(r)[5:] for r in table.collect()} == ({(1, "x", 2, 3, 4)} if given else set())
+        assert (table.count() > 0) == bool(given)
+
+
+def test_token_ids_of_random_words_with_punctuation():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(TOKENIZER), np.random.default_rng(11)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + list("漢字текстαβ\u0301\u0307½İıſßẞ")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 7))) + "".join(rng.choice(list(".,!?;:-'\")("), rng.integers(0, 3)))
+    for text in ["DENİZLİ.", "İ!", "BİLGİ,", *(" ".join(word() for _ in range(4)) for _ in range(3000))]:
+        assert np.frombuffer(packing.token_bytes(TOKENIZER, text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_url_rules_and_model(spark):
@@ -259,6 +310,7 @@ def test_url_rules_and_model(spark):
     assert all(out[i][:3] == ("", "", None) for i in (4, 5, 6))
     assert (out[7][3], out[8][3]) == ("block", "allow")
     assert urls.train(spark.createDataFrame([], "url string, unwanted int"))[1] == 0.0
+    assert urls.judge_urls(pages.where("false"), queries.URL_RULES, model, ["page_id"]).count() == 0
 
 
 def test_neighbours_reach_recall_and_exact_scores(spark):
@@ -332,13 +384,17 @@ def test_pipeline_keeps_one_whole_document_of_copies(spark, tmp_path):
     say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
     one, near = "\n".join(say(12) for _ in range(20)), "\n".join(say(12) for _ in range(20))
     texts = [one] * 40 + [near + f"\n{say(3)}" for _ in range(40)] + [say(60) + "\nall rights reserved" * (i % 3 == 0) for i in range(90)]
-    nav = "\n".join(say(12) for _ in range(20))
-    given = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1000 + i, f"{nav}\n{say(4)}", "en", "mostly", 0) for i in range(30)]
+    given = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    # six near copies of a text among ten of a site
+    given += [(1000 + i, f"{near}\n{say(3)}", "en", "small", 0) for i in range(6)] + [(1100 + i, say(80), "en", "small", 0) for i in range(4)]
     table = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.boilerplate(spark, table, str(tmp_path))
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, out, str(tmp_path)).collect()}
     assert left[0] == one and left[40] == texts[40]
     assert sorted(i for i in left if i < 80) == [0, 40]
     assert all(left[80 + i] == texts[80 + i].split("\n")[0] for i in range(90))
-    # pages of mostly boilerplate lose it, and what they say themselves stays
-    assert all(left[i] == t.split("\n")[-1] for i, t, _, source, _ in given if source == "mostly")
+    small = {i: t for i, t, _, source, _ in given if source == "small"}
+    assert {i: t for i, t in left.items() if i >= 1000} == {i: small[i] for i in range(1100, 1104)}  # near copies of document 40
+    apart = corpus_pipeline.boilerplate(spark, table.where("source = 'small'"), str(tmp_path))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, apart, str(tmp_path)).collect()}
+    assert left == {i: small[i] for i in (1000, *range(1100, 1104))}
