@@ -84,3 +84,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     renamed = right.select([F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns])
     equal = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
     return left.join(renamed, equal, how).drop(*[f"_right_{key}" for key in keys])
+
+
+def join_full_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join on ``keys`` where null equals null; the keys of either side are told."""
+    renamed = right.select(F.lit(True).alias("_right_there"), *[F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns])
+    equal = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
+    joined = left.withColumn("_left_there", F.lit(True)).join(renamed, equal, "full_outer")
+    chosen = [F.when(F.col("_left_there"), F.col(key)).otherwise(F.col(f"_right_{key}")).alias(key) for key in keys]
+    return joined.select(*chosen, *[c for c in joined.columns if c not in keys and not c.startswith(("_right_", "_left_there"))])

@@ -21,11 +21,16 @@ def _time_chunk(column: str, width_ms: int) -> Column:
     return F.floor(F.col(column) / F.lit(width_ms))
 
 
-def running_epochs(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
-    """Rows of the state history that enter Running: the start of each continuous run."""
+def with_entered(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
+    """The state history with ``entered``: does the row enter Running?"""
     rows = with_previous(history, WORKSPACE, ["ts_ms", "seq"], ["state"], _time_chunk("ts_ms", chunk_ms))
     entered = (F.col("state") == "Running") & ~F.coalesce(F.col("prev.state") == "Running", F.lit(False))
-    return rows.filter(entered).drop("prev")
+    return rows.withColumn("entered", F.coalesce(entered, F.lit(False))).drop("prev")
+
+
+def running_epochs(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
+    """Rows of the state history that enter Running: the start of each continuous run."""
+    return with_entered(history, chunk_ms).filter("entered").drop("entered")
 
 
 def running_since(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:

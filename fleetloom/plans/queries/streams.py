@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.operators.filters import relevant_event
 from fleetloom.plans.bindings import Fleet
 from fleetloom.plans.queries.rules import _ACTIVITY
 from fleetloom.plans.queries.states import _HISTORY, _PROBES
 from fleetloom.plans.registry import query
 from fleetloom.session import checkpoint_folder
+from fleetloom.sources.snapshots import labelled_source
 from fleetloom.streaming import jobs as X
 
 
@@ -57,6 +59,38 @@ def _stream_warnings(t: Fleet) -> DataFrame:
     return t.spark.read.schema(columns.schema).parquet(f"{folder}/out")
 
 
+_EVENT_CHANGES = """select 'event' as source, namespace, involved_uid as name, last_ms as ts_ms from object_events
+    where type = 'Warning' and involved_kind in ('Pod', 'StatefulSet') and change_op in ('create', 'update')
+      and involved_uid <> ''"""
+_KIND_CHANGES = """select 'kind', '', 'Brand#' || cast(user_id % 25 + 1 as varchar), epoch_us(ts) // 1000 from events
+    where event_type = 'signup'"""
+_ASSET_CHANGES = """select 'asset', namespace, name, cast(substr(key, 5) as bigint) * 1000 from assets where labelled"""
+_ALL_CHANGES = f"c as ({_EVENT_CHANGES} union all {_KIND_CHANGES} union all {_ASSET_CHANGES})"
+
+
+def _kind_changes(fleet: Fleet) -> DataFrame:
+    signups = fleet.given("events").filter("event_type = 'signup'")
+    return signups.select(
+        F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("name"),
+        F.col("ts").cast("timestamp").alias("changed_ts"),
+    )
+
+
+def _all_changes(fleet: Fleet) -> DataFrame:
+    """Events, kinds and labelled stored objects; an object's key tells when it was stored."""
+    stored = labelled_source(fleet.assets)
+    stored = stored.select("namespace", "name", F.timestamp_seconds(F.substring("key", 5, 20).cast("bigint")).alias("changed_ts"))
+    return X.changed_objects(fleet.object_events, _kind_changes(fleet), stored)
+
+
+def _changed(t: Fleet, changes: DataFrame) -> DataFrame:
+    """What the keyed table holds after the streams have run as far as they go."""
+    folder = _folder(t)
+    table = X.changes_table(f"{folder}/changes")
+    _finish(X.run_batches(changes, X.keep_changes(table), f"{folder}/checkpoint"))
+    return table.read(t.spark)
+
+
 @query(
     "stream_impacted",
     """select distinct e.namespace, w.name as workspace from object_events e join workspaces w
@@ -65,11 +99,9 @@ def _stream_warnings(t: Fleet) -> DataFrame:
       and e.involved_uid <> ''""",
 )
 def _stream_impacted(t: Fleet) -> DataFrame:
-    folder = _folder(t)
-    touched = X.stream_impacted(StreamFleet(t, {"events"}).object_events, t.workspaces)
-    columns = touched.select("namespace", "workspace")
-    _finish(X.append_rows(columns, f"{folder}/out", f"{folder}/checkpoint"))
-    return t.spark.read.schema(columns.schema).parquet(f"{folder}/out")
+    events = relevant_event(StreamFleet(t, {"events"}).object_events).filter(F.col("involved_uid") != "")
+    changes = X.change_rows("event", events, F.col("namespace"), F.col("involved_uid"), F.col("last_ts"))
+    return X.impacted_workspaces(_changed(t, changes), t.workspaces, t.kinds).select("namespace", "workspace")
 
 
 @query(
@@ -78,15 +110,34 @@ def _stream_impacted(t: Fleet) -> DataFrame:
       select 'Brand#' || cast(user_id % 25 + 1 as varchar) from events where event_type = 'signup')""",
 )
 def _stream_impacted_kinds(t: Fleet) -> DataFrame:
-    folder = _folder(t)
-    signups = StreamFleet(t, {"events"}).given("events").filter("event_type = 'signup'")
-    changes = signups.select(
-        F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("name"),
-        F.col("ts").cast("timestamp").alias("changed_ts"),
-    )
-    columns = X.stream_impacted_kinds(changes, t.workspaces).select("namespace", "workspace", "kind")
-    _finish(X.append_rows(columns, f"{folder}/out", f"{folder}/checkpoint"))
-    return t.spark.read.schema(columns.schema).parquet(f"{folder}/out")
+    kinds = _kind_changes(StreamFleet(t, {"events"}))
+    changed = _changed(t, X.change_rows("kind", kinds, F.lit(""), F.col("name"), F.col("changed_ts")))
+    fleet = t.workspaces.select("namespace", F.col("name").alias("workspace"), "kind")
+    return changed.select(F.col("name").alias("kind")).join(fleet, "kind").select("namespace", "workspace", "kind")
+
+
+@query(
+    "stream_changes",
+    f"""with {_ALL_CHANGES} select source, namespace, name, count(*) as changes, max(ts_ms) as last_ms, cast(0 as bigint) as late
+    from c group by 1, 2, 3""",
+)
+def _stream_changes(t: Fleet) -> DataFrame:
+    return _changed(t, _all_changes(StreamFleet(t, {"events", "documents", "pages"})))
+
+
+@query(
+    "stream_impacted_by_source",
+    f"""with {_ALL_CHANGES}, d as (select distinct source, namespace, name from c), touched as (
+      select 'kind' as source, name as kind from d where source = 'kind'
+      union select 'asset', k.name from kinds k join d on d.source = 'asset' and (k.icon_url is null and k.icon_name = d.name
+        or k.logo_name = d.name))
+    select distinct 'event' as source, w.namespace, w.name as workspace from d join workspaces w
+      on d.source = 'event' and w.namespace = d.namespace and d.name in (w.pod_uid, w.set_uid)
+    union all select t.source, w.namespace, w.name from touched t join workspaces w on w.kind = t.kind""",
+)
+def _stream_impacted_by_source(t: Fleet) -> DataFrame:
+    changed = _changed(t, _all_changes(StreamFleet(t, {"events", "documents", "pages"})))
+    return X.impacted_workspaces(changed, t.workspaces, t.kinds)
 
 
 @query(
@@ -95,12 +146,10 @@ def _stream_impacted_kinds(t: Fleet) -> DataFrame:
 )
 def _stream_last_warning(t: Fleet) -> DataFrame:
     folder = _folder(t)
-    table = X.VersionedTable(f"{folder}/last")
-    newest = X.stream_last_warning(StreamFleet(t, {"events"}).object_events)
-    writer = newest.writeStream.outputMode("update").foreachBatch(X.keep_last_warning(table))
-    batches = _finish(writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    rows = table.read(t.spark, batches - 1)
-    return rows.withColumn("last_ms", F.unix_millis("last_ts")).drop("last_ts")
+    table = X.last_warning_table(f"{folder}/last")
+    events = StreamFleet(t, {"events"}).object_events
+    _finish(X.run_batches(events, X.keep_last_warning(table), f"{folder}/checkpoint"))
+    return table.read(t.spark).withColumn("last_ms", F.unix_millis("last_ts")).drop("last_ts")
 
 
 def _split(t: Fleet):
@@ -137,15 +186,14 @@ _FOLD = f"""{_HISTORY}, {_PROBES}, cur as (select r.*, s.last_running_ms, s.stat
 @query(
     "stream_activity",
     f"""with {_FOLD} select namespace, workspace, state, last_running_ms, last_activity_ms, last_update_ms,
-      last_probe_start_ms, last_probe_result, cast(0 as bigint) as ignored from folded""",
+      last_probe_start_ms, last_probe_result, cast(0 as bigint) as late from folded""",
 )
 def _stream_activity(t: Fleet) -> DataFrame:
     folder = _folder(t)
-    table = X.VersionedTable(f"{folder}/status")
-    handler = X.keep_activity(table, _split(t), ["start_ms", "event_id"])
+    table = X.ActivityTable(f"{folder}/activity")
     events = StreamFleet(t, {"events"}).given("events")
-    batches = _finish(X.run_batches(events, handler, f"{folder}/checkpoint"))
-    return table.read(t.spark, batches - 1).drop("state_ms", "state_seq", "fresh", "last_probe_end_ms")
+    _finish(X.run_batches(events, X.keep_activity(table, _split(t)), f"{folder}/checkpoint"))
+    return table.read(t.spark).drop("state_ms", "state_seq", "fresh", "last_probe_end_ms")
 
 
 @query(
@@ -166,12 +214,11 @@ def _stream_activity(t: Fleet) -> DataFrame:
 )
 def _stream_pause(t: Fleet) -> DataFrame:
     folder = _folder(t)
-    status, decisions = X.VersionedTable(f"{folder}/status"), X.VersionedTable(f"{folder}/decisions")
+    status, decisions = X.ActivityTable(f"{folder}/activity"), X.decisions_table(f"{folder}/decisions")
     decide = X.decide_pauses(decisions, t.workspaces, t.kinds, t.options, t.namespaces, t.activity_rules)
-    handler = X.keep_activity(status, _split(t), ["start_ms", "event_id"], decide)
     events = StreamFleet(t, {"events"}).given("events")
-    batches = _finish(X.run_batches(events, handler, f"{folder}/checkpoint"))
-    return decisions.read(t.spark, batches - 1).drop("fresh")
+    _finish(X.run_batches(events, X.keep_activity(status, _split(t), after=decide), f"{folder}/checkpoint"))
+    return X.current_decisions(decisions, t.spark).drop("batch", "eligible")
 
 
 @query(
@@ -186,7 +233,7 @@ def _stream_escalations(t: Fleet) -> DataFrame:
     folder = _folder(t)
     t.snapshot_levels.write.parquet(f"{folder}/levels")
     polls = t.spark.readStream.schema(t.snapshot_levels.schema).parquet(f"{folder}/levels")
-    levels, found = X.VersionedTable(f"{folder}/last"), X.VersionedTable(f"{folder}/found")
+    levels, found = X.levels_table(f"{folder}/last"), X.VersionedTable(f"{folder}/found")
     batches = _finish(X.run_batches(polls, X.keep_escalations(levels, found), f"{folder}/checkpoint"))
     return X.all_versions(t.spark, found, batches).drop("batch_id")
 
@@ -202,8 +249,7 @@ def _stream_escalations(t: Fleet) -> DataFrame:
 )
 def _stream_usage_counts(t: Fleet) -> DataFrame:
     folder = _folder(t)
-    counts = X.VersionedTable(f"{folder}/counts")
+    counts = X.counts_table(f"{folder}/counts")
     changes = StreamFleet(t, {"orders"}).workspaces.select("namespace", "name", "kind")
-    handler = X.keep_usage_counts(counts, lambda: t.workspaces, t.options)
-    batches = _finish(X.run_batches(changes, handler, f"{folder}/checkpoint"))
-    return counts.read(t.spark, batches - 1)
+    _finish(X.run_batches(changes, X.keep_usage_counts(counts, lambda: t.workspaces, t.options), f"{folder}/checkpoint"))
+    return counts.read(t.spark)

@@ -1,9 +1,9 @@
 """Streaming jobs.
 
-Row filters and joins to static tables run as plain streaming queries. Jobs that keep a status per workspace run
-the batch operators on each micro-batch and write the new status as one version per batch id: re-running a batch
-after a failure overwrites its own version, and a workspace holding a third of the rows is spread by the same
-chunked windows and partial aggregates as in batch, instead of filling one stateful task.
+Row filters and joins to static tables run as plain streaming queries. Jobs that keep a status by key run the batch
+operators on each micro-batch and merge what it changes into a keyed table: re-running a batch after a failure gives the
+same table, and a workspace holding a third of the rows is spread by the same chunked windows and partial aggregates as
+in batch, instead of filling one stateful task.
 """
 
 from __future__ import annotations
@@ -14,17 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetloom.functions.columns import join_full_null_safe, join_null_safe
 from fleetloom.operators import timeline as T
 from fleetloom.operators.aggregates import option_usage
 from fleetloom.operators.filters import relevant_event
-from fleetloom.operators.joins import workspace_uids
+from fleetloom.operators.joins import affected_kinds, workspace_uids
 from fleetloom.operators.rules import evaluate_activity_rules, pause_decision
+from fleetloom.session import cut_lineage, forget
+from fleetloom.streaming.keyed import KeyedTable
 
 WORKSPACE = T.WORKSPACE
 
 
 class VersionedTable:
-    """A table with one full version per micro-batch."""
+    """What each micro-batch has to tell, as one folder per batch id; a batch that is run again overwrites its own."""
 
     def __init__(self, path: str):
         self.path = path.rstrip("/")
@@ -35,10 +38,6 @@ class VersionedTable:
     def read(self, spark: SparkSession, version: int) -> DataFrame:
         return spark.read.parquet(f"{self.path}/v={version}")
 
-    def before(self, spark: SparkSession, version: int, schema: str) -> DataFrame:
-        """The version written by the preceding batch; empty before the first one."""
-        return self.read(spark, version - 1) if version > 0 else spark.createDataFrame([], schema)
-
 
 def run_batches(
     stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None
@@ -58,203 +57,327 @@ def stream_warnings(events: DataFrame) -> DataFrame:
     return relevant_event(events)
 
 
-def stream_impacted(events: DataFrame, workspaces: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Workspaces touched by relevant events, each once per watermark delay."""
-    involved = relevant_event(events).filter(F.col("involved_uid") != "").withWatermark("last_ts", delay)
-    owners = workspace_uids(workspaces).withColumnRenamed("uid", "involved_uid")
-    return (
-        involved.join(owners, ["namespace", "involved_uid"])
-        .select("namespace", "workspace", "last_ts")
-        .dropDuplicatesWithinWatermark(["namespace", "workspace"])
-    )
+CHANGES = "source STRING, namespace STRING, name STRING, changes BIGINT, last_ms BIGINT, late BIGINT"
 
 
-def stream_impacted_kinds(changes: DataFrame, workspaces: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Workspaces of the kinds that changed (name, changed_ts), each kind once per watermark delay."""
-    kinds = changes.withWatermark("changed_ts", delay).dropDuplicatesWithinWatermark(["name"])
-    fleet = workspaces.select(F.col("kind").alias("name"), "namespace", F.col("name").alias("workspace"))
-    return kinds.join(fleet, "name").withColumnRenamed("name", "kind")
+def change_rows(source: str, df: DataFrame, namespace: Column, name: Column, ts: Column) -> DataFrame:
+    """Changes of one source as (source, namespace, name, ts_ms)."""
+    return df.select(F.lit(source).alias("source"), namespace.alias("namespace"), name.alias("name"), F.unix_millis(ts).alias("ts_ms"))
 
 
-def stream_last_warning(events: DataFrame, keep: str = "1 hour") -> DataFrame:
-    """Newest warning per (namespace, uid) and hour, in update mode; state older than ``keep`` is dropped."""
-    warnings = events.filter((F.col("type") == "Warning") & (F.col("involved_uid") != "")).withWatermark("last_ts", keep)
-    newest = F.max_by(F.struct("event_id", "message", "last_ts"), F.struct("last_ts", -F.col("event_id")))
-    return (
-        warnings.groupBy(F.window("last_ts", keep), "namespace", F.col("involved_uid").alias("uid"))
-        .agg(newest.alias("w"))
-        .select("namespace", "uid", "w.*")
-    )
+def changed_objects(events: DataFrame, kinds: DataFrame, assets: DataFrame) -> DataFrame:
+    """The three streams that touch workspaces as one: relevant events, kinds (name, changed_ts) and labelled stored
+    objects (namespace, name, changed_ts)."""
+    relevant = relevant_event(events).filter(F.col("involved_uid") != "")
+    every = change_rows("event", relevant, F.col("namespace"), F.col("involved_uid"), F.col("last_ts"))
+    every = every.unionByName(change_rows("kind", kinds, F.lit(""), F.col("name"), F.col("changed_ts")))
+    return every.unionByName(change_rows("asset", assets, F.col("namespace"), F.col("name"), F.col("changed_ts")))
+
+
+def impacted_workspaces(changed: DataFrame, workspaces: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(source, namespace, workspace): the workspaces that changed things (source, namespace, name) touch, each once a source.
+
+    An event touches the owner of its uid, in its own namespace; a kind its workspaces; a stored object the workspaces of
+    the kinds whose icon or logo lives in it.
+    """
+    by_source = lambda source: changed.filter(F.col("source") == source)
+    owners = by_source("event").select("namespace", F.col("name").alias("uid")).join(workspace_uids(workspaces), ["namespace", "uid"])
+    owners = owners.select(F.lit("event").alias("source"), "namespace", "workspace")
+    touched = by_source("kind").select(F.lit("kind").alias("source"), F.col("name").alias("kind"))
+    by_asset = affected_kinds(by_source("asset"), kinds).select(F.lit("asset").alias("source"), "kind")
+    fleet = workspaces.select("kind", "namespace", F.col("name").alias("workspace"))
+    of_kinds = touched.unionByName(by_asset).distinct().join(fleet, "kind").select("source", "namespace", "workspace")
+    return owners.unionByName(of_kinds).distinct()
+
+
+def changes_table(path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(path, CHANGES, ["source", "namespace", "name"], buckets)
+
+
+def keep_changes(
+    table: KeyedTable, requests: VersionedTable | None = None, workspaces: DataFrame | None = None, kinds: DataFrame | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Fold :func:`changed_objects` into one row per changed thing: how many changes, and when the newest was.
+
+    Neither depends on how the changes are cut into batches or in which order they come; ``late`` counts those that came
+    after a newer one of an earlier batch, and none is dropped. ``requests`` gets the workspaces that each batch touches,
+    once a batch and source. A thing that changes all the time is one row, found by partial sums.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        # changes of one moment are counted first, so that a thing that changes all the time is not joined change by change
+        batch = batch.groupBy("source", "namespace", "name", "ts_ms").agg(F.count(F.lit(1)).alias("n"))
+        batch = cut_lineage(batch)
+        known = table.like(batch, batch_id).withColumnRenamed("last_ms", "known_ms").withColumnRenamed("late", "known_late")
+        rows = join_null_safe(batch, known, table.keys, "left").withColumn("known_changes", F.coalesce("changes", F.lit(0)))
+        late = F.sum(F.when(F.col("ts_ms") < F.col("known_ms"), F.col("n")).otherwise(0))
+        found = rows.groupBy(*table.keys).agg(
+            (F.max("known_changes") + F.sum("n")).alias("changes"),
+            F.greatest(F.max("ts_ms"), F.max("known_ms")).alias("last_ms"),
+            (F.coalesce(F.max("known_late"), F.lit(0)) + late).alias("late"),
+        )
+        table.merge(found, batch_id)
+        if requests is not None:
+            requests.write(impacted_workspaces(batch, workspaces, kinds), batch_id)
+        forget(batch)
+
+    return handle
 
 
 LAST_WARNING = "namespace STRING, uid STRING, event_id BIGINT, message STRING, last_ts TIMESTAMP"
 
 
-def keep_last_warning(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """Fold updates of :func:`stream_last_warning` into one row per uid."""
+def last_warning_table(path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(path, LAST_WARNING, ["namespace", "uid"], buckets)
+
+
+def keep_last_warning(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Fold object events into the newest warning per uid, in any order of arrival."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = table.before(batch.sparkSession, batch_id, LAST_WARNING).unionByName(batch)
         newest = F.max_by(F.struct("event_id", "message", "last_ts"), F.struct("last_ts", -F.col("event_id")))
-        table.write(known.groupBy("namespace", "uid").agg(newest.alias("w")).select("namespace", "uid", "w.*"), batch_id)
+        fold = lambda rows: rows.groupBy("namespace", "uid").agg(newest.alias("w")).select("namespace", "uid", "w.*")
+        warnings = batch.filter((F.col("type") == "Warning") & (F.col("involved_uid") != ""))
+        told = cut_lineage(fold(warnings.select("namespace", F.col("involved_uid").alias("uid"), "event_id", "message", "last_ts")))
+        table.merge(fold(told.unionByName(table.like(told, batch_id))), batch_id)
+        forget(told)
 
     return handle
 
 
+FACTS = (
+    "namespace STRING, workspace STRING, fact STRING, ts_ms BIGINT, seq BIGINT, state STRING, end_ms BIGINT, result STRING, "
+    "activity_ms BIGINT"
+)
 STATUS = (
     "namespace STRING, workspace STRING, state STRING, state_ms BIGINT, state_seq BIGINT, last_running_ms BIGINT, "
     "last_activity_ms BIGINT, last_update_ms BIGINT, last_probe_start_ms BIGINT, last_probe_end_ms BIGINT, "
-    "last_probe_result STRING, fresh BOOLEAN, ignored BIGINT"
+    "last_probe_result STRING, fresh BOOLEAN, late BIGINT"
 )
 
 
-def fold_status(status: DataFrame, states: DataFrame, probes: DataFrame, order: list[str]) -> DataFrame:
-    """New activity status from the old one and one batch of state changes and probes.
+def activity_facts(states: DataFrame, probes: DataFrame, tie: str = "event_id") -> DataFrame:
+    """State changes and probes as rows of one journal; probe outputs are read here, once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    changes = states.select(
+        *WORKSPACE, F.lit("state").alias("fact"), "ts_ms", F.col("seq").cast("bigint").alias("seq"), "state",
+        none("bigint").alias("end_ms"), none("string").alias("result"), none("bigint").alias("activity_ms"),
+    )
+    judged = T.probe_activity(probes).select(
+        *WORKSPACE, F.lit("probe").alias("fact"), F.col("start_ms").alias("ts_ms"), F.col(tie).cast("bigint").alias("seq"),
+        none("string").alias("state"), "end_ms", "result", "activity_ms",
+    )
+    return changes.unionByName(judged)
+
+
+def fold_facts(status: DataFrame, facts: DataFrame) -> DataFrame:
+    """New status of each workspace from its old one and facts that are all newer than what it was made of.
 
-    Entering Running resets the activity. State changes not newer than the last one and probes not newer than the
-    last one seen are ignored and counted: a late row never rewinds the status.
+    Entering Running resets the activity, and probes begun before that do not count. Workspaces without a status start
+    from nothing, so all facts of a workspace give its status from any state of affairs.
     """
-    zero = F.lit(0).cast("bigint")
-    stored = status.filter(F.col("state").isNotNull()).select(*WORKSPACE, "state_ms", "state_seq")
-    late = F.coalesce(F.struct("ts_ms", "seq") <= F.struct("state_ms", "state_seq"), F.lit(False))
-    placed = states.join(stored, WORKSPACE, "left").withColumn("late", F.col("state_ms").isNotNull() & late)
-    late_states = placed.filter("late").groupBy(*WORKSPACE).agg(F.count("*").alias("late_states"))
-    history = placed.filter("not late").select(*WORKSPACE, "ts_ms", "seq", "state", F.lit(False).alias("old"))
+    zero, states = F.lit(0).cast("bigint"), F.col("fact") == "state"
     last = status.filter(F.col("state").isNotNull()).select(
         *WORKSPACE, F.col("state_ms").alias("ts_ms"), F.col("state_seq").alias("seq"), "state", F.lit(True).alias("old")
     )
-    every = last.unionByName(history)
-    entered = T.running_epochs(every).filter(~F.col("old")).groupBy(*WORKSPACE).agg(F.max("ts_ms").alias("entered_ms"))
-    newest = every.groupBy(*WORKSPACE).agg(
-        F.max_by(F.struct("state", "ts_ms", "seq"), F.struct("ts_ms", "seq")).alias("s")
-    )
-    base = (
-        status.drop("state", "state_ms", "state_seq", "fresh")
-        .join(newest, WORKSPACE, "full_outer")
-        .join(entered, WORKSPACE, "left")
+    every = last.unionByName(facts.filter(states).select(*WORKSPACE, "ts_ms", "seq", "state", F.lit(False).alias("old")))
+    # one aggregate tells the newest state and when the last new run began
+    newest = T.with_entered(every).groupBy(*WORKSPACE).agg(
+        F.max_by(F.struct("state", "ts_ms", "seq"), F.struct("ts_ms", "seq")).alias("s"),
+        F.max(F.when(F.col("entered") & ~F.col("old"), F.col("ts_ms"))).alias("entered_ms"),
     )
+    base = join_full_null_safe(status.drop("state", "state_ms", "state_seq", "fresh"), newest, WORKSPACE)
     reset = F.col("entered_ms").isNotNull()
 
     def kept(column: str, otherwise: Column) -> Column:
         return F.when(reset, otherwise).otherwise(F.coalesce(column, otherwise))
 
     base = base.select(
-        *WORKSPACE,
-        F.col("s.state").alias("state"),
-        F.col("s.ts_ms").alias("state_ms"),
-        F.col("s.seq").alias("state_seq"),
+        *WORKSPACE, F.col("s.state").alias("state"), F.col("s.ts_ms").alias("state_ms"), F.col("s.seq").alias("state_seq"),
         F.coalesce("entered_ms", "last_running_ms", zero).alias("last_running_ms"),
-        kept("last_activity_ms", zero).alias("last_activity_ms"),
-        kept("last_update_ms", zero).alias("last_update_ms"),
-        kept("last_probe_start_ms", F.lit(None).cast("bigint")).alias("last_probe_start_ms"),
-        kept("last_probe_end_ms", F.lit(None).cast("bigint")).alias("last_probe_end_ms"),
-        kept("last_probe_result", F.lit(None).cast("string")).alias("last_probe_result"),
-        F.coalesce("ignored", zero).alias("ignored"),
-    )
-    seen = base.select(*WORKSPACE, F.col("last_running_ms"), F.col("last_probe_start_ms").alias("seen_ms"))
-    judged = T.probe_activity(probes).join(seen, WORKSPACE, "left").withColumn(
-        "last_running_ms", F.coalesce("last_running_ms", zero)
-    )
-    stale = F.col("seen_ms").isNotNull() & (F.col("start_ms") <= F.col("seen_ms"))
-    ignored = judged.filter(stale).groupBy(*WORKSPACE).agg(F.count("*").alias("new_ignored"))
-    current = judged.filter(~stale & (F.col("start_ms") >= F.col("last_running_ms")))
-    facts = T.probe_facts(current, order).withColumnRenamed("last_running_ms", "run_ms")
-    joined = base.join(facts, WORKSPACE, "full_outer").join(ignored, WORKSPACE, "left")
-    joined = joined.join(late_states, WORKSPACE, "left")
+        kept("last_activity_ms", zero).alias("last_activity_ms"), kept("last_update_ms", zero).alias("last_update_ms"),
+        *[kept(c, F.lit(None)).alias(c) for c in ("last_probe_start_ms", "last_probe_end_ms", "last_probe_result")],
+        F.coalesce("late", zero).alias("late"),
+    )
+    began = base.select(*WORKSPACE, "last_running_ms")
+    probes = join_null_safe(facts.filter(~states).withColumnRenamed("ts_ms", "start_ms"), began, WORKSPACE, "left")
+    probes = probes.withColumn("last_running_ms", F.coalesce("last_running_ms", zero)).filter("start_ms >= last_running_ms")
+    told = T.probe_facts(probes, ["start_ms", "seq"]).withColumnRenamed("last_running_ms", "run_ms")
+    joined = join_full_null_safe(base, told, WORKSPACE)
     running = F.coalesce("last_running_ms", "run_ms", zero)
+    result = F.coalesce("last_probe.result", "last_probe_result")
     return joined.select(
-        *WORKSPACE,
-        "state",
-        "state_ms",
-        "state_seq",
-        running.alias("last_running_ms"),
+        *WORKSPACE, "state", "state_ms", "state_seq", running.alias("last_running_ms"),
         T.folded_activity(F.coalesce("last_activity_ms", zero), running).alias("last_activity_ms"),
         F.coalesce("updated_ms", "last_update_ms", zero).alias("last_update_ms"),
         F.coalesce("last_probe.start_ms", "last_probe_start_ms").alias("last_probe_start_ms"),
         F.coalesce("last_probe.end_ms", "last_probe_end_ms").alias("last_probe_end_ms"),
-        F.coalesce("last_probe.result", "last_probe_result").alias("last_probe_result"),
-        (F.coalesce(F.col("last_probe.result"), F.lit("")) == "Success").alias("fresh"),
-        (F.coalesce("ignored", zero) + F.coalesce("new_ignored", zero) + F.coalesce("late_states", zero)).alias("ignored"),
-    )
+        result.alias("last_probe_result"),
+        (F.col("last_probe.result").eqNullSafe("Success")).alias("fresh"), F.coalesce("late", zero).alias("late"),
+    )
+
+
+class ActivityTable:
+    """The activity status of workspaces, with the journal of the facts it was made of."""
+
+    def __init__(self, path: str, buckets: int = 64):
+        self.status = KeyedTable(f"{path.rstrip('/')}/status", STATUS, WORKSPACE, buckets)
+        self.journal = KeyedTable(f"{path.rstrip('/')}/journal", FACTS, WORKSPACE, buckets)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.status.read(spark)
+
+
+def late_workspaces(stored: DataFrame, facts: DataFrame) -> DataFrame:
+    """Workspaces with facts not newer than those their status was made of, with the number of such facts.
+
+    A state change is late behind a stored one or behind a probe, which it may part from its run; a probe behind a stored
+    probe.
+    """
+    known = stored.select(*WORKSPACE, F.struct("state_ms", "state_seq").alias("seen"), "state", "last_probe_start_ms")
+    rows = join_null_safe(facts.select(*WORKSPACE, "fact", "ts_ms", "seq"), known, WORKSPACE, "inner")
+    behind_state = F.col("state").isNotNull() & (F.struct("ts_ms", "seq") <= F.col("seen"))
+    behind_probe = F.coalesce(F.col("ts_ms") <= F.col("last_probe_start_ms"), F.lit(False))
+    late = ((F.col("fact") == "state") & behind_state) | behind_probe
+    return rows.filter(late).groupBy(*WORKSPACE).agg(F.count(F.lit(1)).alias("new_late"))
 
 
 def keep_activity(
-    table: VersionedTable,
+    table: ActivityTable,
     split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
-    order: list[str],
+    tie: str = "event_id",
     after: Callable[[DataFrame, int], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """Fold each micro-batch into the activity status. ``split`` gives its state changes and its probes."""
+    """Fold each micro-batch into the activity status. ``split`` gives its state changes and its probes, ``tie`` orders
+    probes of equal start.
+
+    Facts are added to the journal. Where they are newer than what a status was made of, they are folded into it. Where
+    one is late, the status is withdrawn and made again from all facts of the workspace, so the status never depends on
+    the order of arrival; only the buckets of such workspaces are read from the journal. ``late`` counts such facts, and
+    ``fresh`` tells that the newest probe came with this batch. ``after`` gets the statuses that the batch has changed.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         states, probes = split(batch)
-        status = table.before(batch.sparkSession, batch_id, STATUS)
-        table.write(fold_status(status, states, probes, order), batch_id)
+        facts = cut_lineage(activity_facts(states, probes, tie))
+        table.journal.append(facts, batch_id)
+        stored = table.status.like(facts, batch_id)
+        known = table.status.manifest(spark, batch_id)["version"] >= 0
+        late = cut_lineage(late_workspaces(stored, facts)) if known else None
+        if late is None or late.isEmpty():
+            found = fold_facts(stored, facts)
+        else:
+            again = table.journal.like(late, batch_id + 1)
+            found = fold_facts(_without(stored, late), _without(facts, late).unionByName(again))
+            counted = late.unionByName(_held_late(stored, late))
+            counted = counted.groupBy(*WORKSPACE).agg(F.sum("new_late").alias("new_late"))
+            found = join_null_safe(found, counted, WORKSPACE, "left").withColumn("late", F.coalesce("new_late", "late")).drop("new_late")
+        arrived = facts.filter("fact = 'probe'").groupBy(*WORKSPACE).agg(F.max("ts_ms").alias("arrived_ms"))
+        found = join_null_safe(found, arrived, WORKSPACE, "left")
+        fresh = F.col("last_probe_result").eqNullSafe("Success") & F.col("last_probe_start_ms").eqNullSafe(F.col("arrived_ms"))
+        changed = cut_lineage(found.withColumn("fresh", fresh & F.col("arrived_ms").isNotNull()).drop("arrived_ms"))
+        table.status.merge(changed, batch_id)
         if after is not None:
-            after(table.read(batch.sparkSession, batch_id), batch_id)
+            after(changed, batch_id)
+        forget(facts, changed, *([late] if late is not None else []))
 
     return handle
 
 
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return join_null_safe(rows, keys.select(*WORKSPACE, F.lit(True).alias("_there")), WORKSPACE, "left").filter("_there is null").drop("_there")
+
+
+def _held_late(stored: DataFrame, late: DataFrame) -> DataFrame:
+    return join_null_safe(late.select(*WORKSPACE), stored.select(*WORKSPACE, F.col("late").alias("new_late")), WORKSPACE, "inner")
+
+
+DECISIONS = (
+    "namespace STRING, name STRING, last_activity_ms BIGINT, eligible_after_ms BIGINT, eligible BOOLEAN, pause_now BOOLEAN, batch BIGINT"
+)
+
+
+def decisions_table(path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(path, DECISIONS, ["namespace", "name"], buckets)
+
+
 def decide_pauses(
-    decisions: VersionedTable, workspaces: DataFrame, kinds: DataFrame, options: DataFrame, namespaces: DataFrame, rules
+    decisions: KeyedTable, workspaces: DataFrame, kinds: DataFrame, options: DataFrame, namespaces: DataFrame, rules
 ) -> Callable[[DataFrame, int], None]:
-    """After each batch: the pause decision of every workspace whose newest probe is a success.
+    """After each batch: the pause decision of every workspace whose status changed and whose newest probe is a success.
 
-    The probe's end is the current time, so a decision never rests on stale activity. A version holds the decisions
-    of all batches so far; ``fresh`` marks those whose probe came with the last one.
+    The probe's end is the current time. ``eligible`` is what the rules say, ``pause_now`` holds only where the probe is
+    fresh, so that a decision never rests on stale activity; ``batch`` tells which batch decided. A decision whose status
+    was changed, or withdrawn by a late fact, is replaced; it is taken back where the newest probe is no success any more.
     """
 
-    def handle(status: DataFrame, batch_id: int) -> None:
-        probed = status.filter(F.col("last_probe_result") == "Success").drop("state_ms", "state_seq")
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        probed = changed.filter(F.col("last_probe_result") == "Success").drop("state_ms", "state_seq", "late")
         fixed = workspaces.select("namespace", F.col("name").alias("workspace"), "kind", "pod_id")
         probes = kinds.select(F.col("name").alias("kind"), F.col("probe").isNotNull().alias("has_probe"))
         rows = probed.join(fixed, WORKSPACE).join(probes, "kind").withColumnRenamed("workspace", "name")
         decided = evaluate_activity_rules(rows, options, namespaces, rules)
-        judged = pause_decision(decided, F.col("last_probe_end_ms"), F.lit(True))
-        out = judged.select("namespace", "name", "last_activity_ms", "eligible_after_ms", "pause_now", "fresh")
-        decisions.write(out, batch_id)
+        judged = pause_decision(decided, F.col("last_probe_end_ms"), F.lit(True)).withColumn("eligible", F.col("pause_now"))
+        out = judged.select(
+            "namespace", "name", "last_activity_ms", "eligible_after_ms", "eligible",
+            (F.col("eligible") & F.col("fresh")).alias("pause_now"), F.lit(batch_id).cast("bigint").alias("batch"),
+        )
+        decisions.merge(out, batch_id, gone=changed.select("namespace", F.col("workspace").alias("name")))
 
     return handle
 
 
-LEVELS = "namespace STRING, workspace STRING, snapshot_id BIGINT, level STRING, first_snapshot BIGINT"
+def current_decisions(decisions: KeyedTable, spark: SparkSession) -> DataFrame:
+    """All decisions; ``pause_now`` holds for those of the last batch only, as older probes are stale by now."""
+    last = decisions.manifest(spark)["version"]
+    return decisions.read(spark).withColumn("pause_now", F.col("pause_now") & (F.col("batch") == last))
+
+
+LEVELS = "namespace STRING, workspace STRING, snapshot_id BIGINT, level STRING"
 
 
-def keep_escalations(levels: VersionedTable, found: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """Report rises of the activity level across snapshots; only the last level per workspace is kept."""
+def levels_table(path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(path, LEVELS, WORKSPACE, buckets)
+
+
+def keep_escalations(levels: KeyedTable, found: VersionedTable) -> Callable[[DataFrame, int], None]:
+    """Report rises of the activity level across snapshots; only the last level per workspace is kept.
+
+    The first snapshot of all, which reports nothing, is told by the first batch and noted in the manifest.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = levels.before(spark, batch_id, LEVELS)
-        known_first = before.agg(F.min("first_snapshot")).first()[0]
-        batch_first = batch.agg(F.min("snapshot_id")).first()[0]
-        first = known_first if known_first is not None else batch_first
-        every = before.drop("first_snapshot").withColumn("old", F.lit(True)).unionByName(
-            batch.select("namespace", "workspace", "snapshot_id", "level").withColumn("old", F.lit(False))
-        )
-        rises = T.escalations(every, first, carry=["old"]).filter(~F.col("old")).drop("old")
-        found.write(rises, batch_id)
+        batch = cut_lineage(batch.select("namespace", "workspace", "snapshot_id", "level"))
+        first = levels.manifest(batch.sparkSession, batch_id)["notes"].get("first_snapshot")
+        if first is None:
+            first = batch.agg(F.min("snapshot_id")).first()[0]
+        before = levels.like(batch, batch_id)
+        every = before.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
+        found.write(T.escalations(every, first, carry=["old"]).filter(~F.col("old")).drop("old"), batch_id)
         last = every.groupBy(*WORKSPACE).agg(F.max_by(F.struct("snapshot_id", "level"), "snapshot_id").alias("l"))
-        kept = last.select(*WORKSPACE, "l.snapshot_id", "l.level", F.lit(first).cast("bigint").alias("first_snapshot"))
-        levels.write(kept, batch_id)
+        levels.merge(last.select(*WORKSPACE, "l.snapshot_id", "l.level"), batch_id, {"first_snapshot": first})
+        forget(batch)
 
     return handle
 
 
-def keep_usage_counts(
-    counts: VersionedTable, current: Callable[[], DataFrame], options: DataFrame
-) -> Callable[[DataFrame, int], None]:
+COUNTS = "kind STRING, option_type STRING, id STRING, workspaces BIGINT"
+
+
+def counts_table(path: str, buckets: int = 16) -> KeyedTable:
+    return KeyedTable(path, COUNTS, ["kind"], buckets)
+
+
+def keep_usage_counts(counts: KeyedTable, current: Callable[[], DataFrame], options: DataFrame) -> Callable[[DataFrame, int], None]:
     """Recount the options of the kinds touched by a batch of workspace changes; other kinds keep their counts."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("kind").distinct()
+        touched = cut_lineage(batch.select("kind").distinct())
         workspaces = current().join(touched, "kind", "left_semi")
         recounted = option_usage(workspaces, options.join(touched, "kind", "left_semi"))
-        if batch_id > 0:
-            untouched = counts.read(batch.sparkSession, batch_id - 1).join(touched, "kind", "left_anti")
-            recounted = recounted.unionByName(untouched)
-        counts.write(recounted, batch_id)
+        counts.merge(recounted, batch_id, gone=touched)
+        forget(touched)
 
     return handle
 

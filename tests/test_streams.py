@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from pathlib import Path
 
@@ -13,7 +14,9 @@ from fleetloom.operators import timeline as T
 from fleetloom.operators.aggregates import last_warning
 from fleetloom.plans.bindings import Fleet
 from fleetloom.plans.queries.streams import StreamFleet, _finish, _split
+from fleetloom.sources.files import names
 from fleetloom.streaming import jobs as X
+from fleetloom.streaming.keyed import KeyedTable
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="given tables are not here")
@@ -37,59 +40,145 @@ def fleets(spark, tmp_path):
     return split, StreamFleet(split, {"events"}, files_per_batch=1)
 
 
-def test_activity(spark, fleets, tmp_path):
-    batch, stream = fleets
-    table = X.VersionedTable(str(tmp_path / "status"))
-    handler = X.keep_activity(table, _split(batch), ["start_ms", "event_id"])
-    batches = _finish(X.run_batches(stream.given("events"), handler, str(tmp_path / "cp")))
-    assert batches == 4
-    status = table.read(spark, batches - 1)
+def _parts(spark, events, bounds):
+    return [events.filter((F.col("event_id") >= low) & (F.col("event_id") < high)) for low, high in itertools.pairwise(bounds)]
+
+
+def _twin(batch, spark):
     running = T.running_since(batch.state_history)
-    folded = T.fold_probes(T.probe_activity(batch.probes), running, ["start_ms", "event_id"])
-    columns = ["namespace", "workspace", "last_running_ms", "last_activity_ms", "last_update_ms", "last_probe_start_ms"]
-    assert rows(status, *columns) == rows(folded, *columns)
-    assert rows(status, "workspace", "state") == rows(running, "workspace", "state")
-
-
-def test_late_probes_are_counted_and_ignored(spark):
-    status = spark.createDataFrame([], X.STATUS)
-    states = spark.createDataFrame([], "namespace string, workspace string, ts_ms bigint, seq bigint, state string")
-    probe = "namespace string, workspace string, start_ms bigint, end_ms bigint, result string, output string"
-    first = spark.createDataFrame([("n", "w", 100, 110, "Success", "")], probe)
-    late = spark.createDataFrame([("n", "w", 50, 60, "Success", ""), ("n", "w", 100, 110, "Success", "")], probe)
-    order = ["start_ms", "end_ms"]
-    one = X.fold_status(status, states, first, order)
-    two = X.fold_status(one, states, late, order).first()
-    assert (two["last_activity_ms"], two["ignored"], two["fresh"]) == (110, 2, False)
-
-
-def test_late_states_do_not_rewind(spark):
-    status = spark.createDataFrame(
-        [("n", "w", "Running", 100, 4, 100, 150, 150, 140, 150, "Success", True, 0)], X.STATUS
-    )
-    schema = "namespace string, workspace string, ts_ms bigint, seq bigint, state string"
-    probe = "namespace string, workspace string, start_ms bigint, end_ms bigint, result string, output string"
-    late = spark.createDataFrame([("n", "w", 50, 1, "Running"), ("n", "new", 50, 1, "Running")], schema)
-    got = X.fold_status(status, late, spark.createDataFrame([], probe), ["start_ms", "end_ms"])
-    columns = ["workspace", "state_ms", "last_running_ms", "last_activity_ms", "ignored"]
-    assert rows(got, *columns) == [("new", 50, 50, 0, 0), ("w", 100, 100, 150, 1)]
+    return running, T.fold_probes(T.probe_activity(batch.probes), running, ["start_ms", "event_id"])
+
 
+FOLDED = ["namespace", "workspace", "last_running_ms", "last_activity_ms", "last_update_ms", "last_probe_start_ms"]
 
-def test_pauses_of_earlier_batches_stay(spark, fleets, tmp_path):
+
+def test_activity(spark, fleets, tmp_path):
     batch, stream = fleets
-    status, decisions = X.VersionedTable(str(tmp_path / "status")), X.VersionedTable(str(tmp_path / "decisions"))
-    fixed = (batch.workspaces, batch.kinds, batch.options, batch.namespaces, batch.activity_rules)
-    handler = X.keep_activity(status, _split(batch), ["start_ms", "event_id"], X.decide_pauses(decisions, *fixed))
-    batches = _finish(X.run_batches(stream.given("events"), handler, str(tmp_path / "cp")))
+    table = X.ActivityTable(str(tmp_path / "activity"), buckets=4)
+    batches = _finish(X.run_batches(stream.given("events"), X.keep_activity(table, _split(batch)), str(tmp_path / "cp")))
     assert batches == 4
-    whole = X.VersionedTable(str(tmp_path / "whole"))
-    X.decide_pauses(whole, *fixed)(status.read(spark, batches - 1).withColumn("fresh", F.lit(True)), 0)
-    columns = ["namespace", "name", "last_activity_ms", "eligible_after_ms", "pause_now"]
-    assert rows(decisions.read(spark, batches - 1), *columns) == rows(whole.read(spark, 0), *columns)
-    probed = status.read(spark, batches - 1).filter("last_probe_result = 'Success'").select("namespace", "workspace")
-    kinds = batch.kinds.select(F.col("name").alias("kind"))
-    known = batch.workspaces.join(kinds, "kind", "left_semi").select("namespace", F.col("name").alias("workspace"))
-    assert decisions.read(spark, batches - 1).count() == probed.join(known, ["namespace", "workspace"]).count() > 0
+    running, folded = _twin(batch, spark)
+    assert rows(table.read(spark), *FOLDED) == rows(folded, *FOLDED)
+    assert rows(table.read(spark), "workspace", "state") == rows(running, "workspace", "state")
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+def test_activity_and_pauses_in_any_order_of_batches(spark, order, tmp_path):
+    base = Fleet(spark, FOLDER)
+    parts = _parts(spark, base.given("events"), [0, 300, 420, 1000])
+    table, decisions = X.ActivityTable(str(tmp_path / "activity"), buckets=4), X.decisions_table(str(tmp_path / "d"), buckets=4)
+    fixed = (base.workspaces, base.kinds, base.options, base.namespaces, base.activity_rules)
+    handle = X.keep_activity(table, _split(base), after=X.decide_pauses(decisions, *fixed))
+    for batch_id, part in enumerate(order):
+        handle(parts[part], batch_id)
+    handle(parts[order[-1]], 2)  # a batch that is run again
+    running, folded = _twin(base, spark)
+    assert rows(table.read(spark), *FOLDED) == rows(folded, *FOLDED)
+    assert rows(table.read(spark), "workspace", "state") == rows(running, "workspace", "state")
+    late = table.read(spark).agg(F.sum("late")).first()[0]
+    assert (late > 0) == (order != (0, 1, 2))
+    whole = X.decisions_table(str(tmp_path / "whole"), buckets=4)
+    X.decide_pauses(whole, *fixed)(table.read(spark).withColumn("fresh", F.lit(True)), 0)
+    columns = ["namespace", "name", "last_activity_ms", "eligible_after_ms", "eligible"]
+    assert rows(decisions.read(spark), *columns) == rows(whole.read(spark), *columns)
+    now = X.current_decisions(decisions, spark)
+    assert now.filter("pause_now and (batch < 2 or not eligible)").isEmpty()
+
+
+def _facts(spark, *given):
+    """Facts (workspace, state or None, ts, seq or (end, result))."""
+    found = [("n", w, "state", ts, seq, state, None, None, None) for w, state, ts, seq in given if state]
+    found += [("n", w, "probe", ts, ts, None, ts + 10, result, ts + 10 if result == "Success" else None) for w, state, ts, result in given if not state]
+    return spark.createDataFrame(found, X.FACTS)
+
+
+def _kept(spark, table, batches):
+    """The table after batches of facts, which are given as they are."""
+    empty = spark.createDataFrame([], "namespace string, workspace string, ts_ms bigint, seq bigint, state string")
+    probes = spark.createDataFrame([], "namespace string, workspace string, start_ms bigint, end_ms bigint, result string, output string, event_id bigint")
+    for batch_id, facts in enumerate(batches):
+        states = facts.filter("fact = 'state'").select(empty.columns)
+        judged = facts.filter("fact = 'probe'").select("namespace", "workspace", F.col("ts_ms").alias("start_ms"), "end_ms", "result", F.lit("").alias("output"), F.col("seq").alias("event_id"))
+        handle = X.keep_activity(table, lambda _, s=states, p=judged: (empty.unionByName(s), probes.unionByName(p)))
+        handle(empty, batch_id)
+    return table.read(spark)
+
+
+def test_late_facts_withdraw_what_they_change(spark, tmp_path):
+    columns = ["workspace", "state", "last_running_ms", "last_activity_ms", "last_probe_start_ms", "fresh", "late"]
+    runs = [("w", "Running", 100, 1), ("w", None, 120, "Success"), ("w", "Running", 200, 2)]
+    # a late pause parts the run in two: the probe was of the first one
+    got = _kept(spark, X.ActivityTable(str(tmp_path / "a"), 4), [_facts(spark, *runs), _facts(spark, ("w", "Paused", 150, 3))])
+    assert rows(got, *columns) == [("w", "Running", 200, 0, None, False, 1)]
+    # a late start of the run brings back a probe that did not count
+    given = [_facts(spark, ("w", "Paused", 50, 1), ("w", "Running", 200, 2), ("w", None, 150, "Success")), _facts(spark, ("w", "Running", 140, 3))]
+    got = _kept(spark, X.ActivityTable(str(tmp_path / "b"), 4), given)
+    assert rows(got, *columns) == [("w", "Running", 140, 160, 150, False, 1)]
+    # a late probe changes nothing that a newer one told, and is counted
+    given = [_facts(spark, ("w", None, 100, "Success")), _facts(spark, ("w", None, 50, "Success"), ("v", None, 10, "Success"))]
+    got = _kept(spark, X.ActivityTable(str(tmp_path / "c"), 4), given)
+    assert rows(got, *columns) == [("v", None, 0, 20, 10, True, 0), ("w", None, 0, 110, 100, False, 1)]
+
+
+def test_a_decision_is_taken_back_when_its_probe_is_no_success_any_more(spark, tmp_path):
+    base = Fleet(spark, FOLDER)
+    ws = base.workspaces.join(base.kinds.select(F.col("name").alias("kind")), "kind", "left_semi").first()
+    decisions = X.decisions_table(str(tmp_path / "d"), 4)
+    decide = X.decide_pauses(decisions, base.workspaces, base.kinds, base.options, base.namespaces, base.activity_rules)
+    status = lambda result: spark.createDataFrame(
+        [(ws["namespace"], ws["name"], "Running", 1, 1, 1, 5, 5, 6, 7, result, True, 0)], X.STATUS
+    )
+    decide(status("Success"), 0)
+    assert decisions.read(spark).count() == 1
+    decide(status("Failure"), 1)
+    assert decisions.read(spark).count() == 0
+
+
+def test_an_empty_stream_has_a_first_version(spark, tmp_path):
+    for table in (X.ActivityTable(str(tmp_path / "a")), X.changes_table(str(tmp_path / "b")), X.counts_table(str(tmp_path / "c"))):
+        assert table.read(spark).count() == 0
+
+
+CHANGE = "source string, namespace string, name string, ts_ms bigint"
+
+
+def test_changes_do_not_depend_on_batches(spark, tmp_path):
+    given = [("event", "n", f"u{i % 3}", 100 * i) for i in range(12)] + [("kind", "", "k", 7), ("kind", "", "k", 7), ("asset", "a", None, 3)]
+    whole = spark.createDataFrame(given, CHANGE)
+    expected = rows(whole.groupBy("source", "namespace", "name").agg(F.count("*"), F.max("ts_ms")))
+    for name, cut in {"one": [given], "three": [given[8:], given[:4], given[4:8]], "rows": [[r] for r in given[::-1][:6]] + [given[:9]]}.items():
+        table, requests = X.changes_table(str(tmp_path / name), 4), X.VersionedTable(str(tmp_path / f"r-{name}"))
+        workspaces = spark.createDataFrame([("n", "w0", "k", "u0", "s0"), ("n", "w1", "other", "u1", "")], "namespace string, name string, kind string, pod_uid string, set_uid string")
+        kinds = Fleet(spark, FOLDER).kinds
+        handle = X.keep_changes(table, requests, workspaces, kinds)
+        for batch_id, part in enumerate(cut):
+            handle(spark.createDataFrame(part, CHANGE), batch_id)
+        assert rows(table.read(spark), "source", "namespace", "name", "changes", "last_ms") == expected
+        assert (table.read(spark).agg(F.sum("late")).first()[0] > 0) == (name != "one")
+    told = rows(requests.read(spark, len(cut) - 1))
+    assert told == [("event", "n", "w0"), ("event", "n", "w1")]
+
+
+def test_a_batch_reads_and_writes_the_buckets_of_its_keys_only(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "t"), "k BIGINT, v BIGINT", ["k"], buckets=8, merge_at=3, history=2)
+    table.merge(spark.range(100).selectExpr("id as k", "0 as v"), 0)
+    first = table.manifest(spark)["buckets"]
+    table.merge(spark.createDataFrame([(5, 1)], "k bigint, v bigint"), 1)
+    second = table.manifest(spark)["buckets"]
+    assert sum(first[b] != second[b] for b in first) == 1
+    assert rows(table.read(spark)) == sorted([(k, int(k == 5)) for k in range(100)], key=repr)
+    assert rows(table.read(spark, 0)) == sorted([(k, 0) for k in range(100)], key=repr)
+    table.merge(spark.createDataFrame([(5, 2)], "k bigint, v bigint"), 1)  # run again, with another outcome
+    assert rows(table.read(spark).filter("k = 5")) == [(5, 2)]
+    table.merge(spark.createDataFrame([], "k bigint, v bigint"), 2, gone=spark.range(0, 99).withColumnRenamed("id", "k"))
+    assert rows(table.read(spark)) == [(99, 0)]
+    log = KeyedTable(str(tmp_path / "log"), "k BIGINT, v BIGINT", ["k"], buckets=2, merge_at=3, history=2)
+    for version in range(9):
+        log.append(spark.createDataFrame([(version % 2, version), (None, version)], "k bigint, v bigint"), version)
+    assert rows(log.read(spark)) == sorted([(v % 2, v) for v in range(9)] + [(None, v) for v in range(9)], key=repr)
+    assert rows(log.like(spark.createDataFrame([(None,)], "k bigint"))) == sorted([(None, v) for v in range(9)], key=repr)
+    assert max(len(f) for f in log.manifest(spark)["buckets"].values()) <= 4
+    assert len(names(spark, f"{log.path}/manifests")) <= 5
 
 
 def test_usage_counts_keep_other_kinds(spark, tmp_path):
@@ -100,37 +189,19 @@ def test_usage_counts_keep_other_kinds(spark, tmp_path):
     options = spark.createDataFrame(
         [("k1", "image", "i"), ("k2", "image", "i"), ("k3", "image", "i")], "kind string, option_type string, id string"
     )
-    counts = X.VersionedTable(str(tmp_path / "counts"))
+    counts = X.counts_table(str(tmp_path / "counts"), 4)
     handle = X.keep_usage_counts(counts, lambda: workspaces, options)
     for batch_id, kind in enumerate(("k1", "k2", "k1")):
         handle(spark.createDataFrame([(kind,)], "kind string"), batch_id)
-    assert rows(counts.read(spark, 2), "kind", "workspaces") == [("k1", 1), ("k2", 2)]
-
-
-def test_entering_running_resets_activity(spark):
-    status = spark.createDataFrame(
-        [("n", "w", "Paused", 5, 5, 1, 77, 78, 4, 5, "Success", True, 0)], X.STATUS
-    )
-    schema = "namespace string, workspace string, ts_ms bigint, seq bigint, state string"
-    probe = "namespace string, workspace string, start_ms bigint, end_ms bigint, result string, output string"
-    none = spark.createDataFrame([], probe)
-    entered = spark.createDataFrame([("n", "w", 200, 9, "Running")], schema)
-    row = X.fold_status(status, entered, none, ["start_ms", "end_ms"]).first()
-    assert (row["last_running_ms"], row["last_activity_ms"], row["last_probe_start_ms"]) == (200, 0, None)
-    same = spark.createDataFrame([("n", "w", 200, 9, "Error")], schema)
-    row = X.fold_status(status, same, none, ["start_ms", "end_ms"]).first()
-    assert (row["last_running_ms"], row["last_activity_ms"], row["last_probe_start_ms"]) == (1, 77, 4)
+    assert rows(counts.read(spark), "kind", "workspaces") == [("k1", 1), ("k2", 2)]
 
 
 def test_last_warning(spark, fleets, tmp_path):
     batch, stream = fleets
-    table = X.VersionedTable(str(tmp_path / "last"))
-    newest = X.stream_last_warning(stream.object_events)
-    writer = newest.writeStream.outputMode("update").foreachBatch(X.keep_last_warning(table))
-    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    batches = _finish(query)
+    table = X.last_warning_table(str(tmp_path / "last"), 4)
+    assert _finish(X.run_batches(stream.object_events, X.keep_last_warning(table), str(tmp_path / "cp"))) == 4
     columns = ["namespace", "uid", "event_id", "message"]
-    assert rows(table.read(spark, batches - 1), *columns) == rows(last_warning(batch.object_events), *columns)
+    assert rows(table.read(spark), *columns) == rows(last_warning(batch.object_events), *columns)
 
 
 def test_escalations(spark, fleets, tmp_path):
@@ -141,7 +212,7 @@ def test_escalations(spark, fleets, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "levels"))
         time.sleep(1.1)
     polls = spark.readStream.schema(levels.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "levels"))
-    kept, found = X.VersionedTable(str(tmp_path / "kept")), X.VersionedTable(str(tmp_path / "found"))
+    kept, found = X.levels_table(str(tmp_path / "kept"), 4), X.VersionedTable(str(tmp_path / "found"))
     batches = _finish(X.run_batches(polls, X.keep_escalations(kept, found), str(tmp_path / "cp")))
     assert batches == 3
     got = X.all_versions(spark, found, batches).drop("batch_id")
