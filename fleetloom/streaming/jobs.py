@@ -90,7 +90,7 @@ def impacted_workspaces(changed: DataFrame, workspaces: DataFrame, kinds: DataFr
     return owners.unionByName(of_kinds).distinct()
 
 
-def changes_table(path: str, buckets: int = 64) -> KeyedTable:
+def changes_table(path: str, buckets: int = 16) -> KeyedTable:
     return KeyedTable(path, CHANGES, ["source", "namespace", "name"], buckets)
 
 
@@ -127,7 +127,7 @@ def keep_changes(
 LAST_WARNING = "namespace STRING, uid STRING, event_id BIGINT, message STRING, last_ts TIMESTAMP"
 
 
-def last_warning_table(path: str, buckets: int = 64) -> KeyedTable:
+def last_warning_table(path: str, buckets: int = 16) -> KeyedTable:
     return KeyedTable(path, LAST_WARNING, ["namespace", "uid"], buckets)
 
 
@@ -220,7 +220,7 @@ def fold_facts(status: DataFrame, facts: DataFrame) -> DataFrame:
 class ActivityTable:
     """The activity status of workspaces, with the journal of the facts it was made of."""
 
-    def __init__(self, path: str, buckets: int = 64):
+    def __init__(self, path: str, buckets: int = 16):
         self.status = KeyedTable(f"{path.rstrip('/')}/status", STATUS, WORKSPACE, buckets)
         self.journal = KeyedTable(f"{path.rstrip('/')}/journal", FACTS, WORKSPACE, buckets)
 
@@ -260,8 +260,7 @@ def keep_activity(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         states, probes = split(batch)
-        facts = cut_lineage(activity_facts(states, probes, tie))
-        table.journal.append(facts, batch_id)
+        facts = table.journal.append(activity_facts(states, probes, tie), batch_id)
         stored = table.status.like(facts, batch_id)
         known = table.status.manifest(spark, batch_id)["version"] >= 0
         late = cut_lineage(late_workspaces(stored, facts)) if known else None
@@ -280,7 +279,7 @@ def keep_activity(
         table.status.merge(changed, batch_id)
         if after is not None:
             after(changed, batch_id)
-        forget(facts, changed, *([late] if late is not None else []))
+        forget(changed, *([late] if late is not None else []))
 
     return handle
 
@@ -298,7 +297,7 @@ DECISIONS = (
 )
 
 
-def decisions_table(path: str, buckets: int = 64) -> KeyedTable:
+def decisions_table(path: str, buckets: int = 16) -> KeyedTable:
     return KeyedTable(path, DECISIONS, ["namespace", "name"], buckets)
 
 
@@ -337,7 +336,7 @@ def current_decisions(decisions: KeyedTable, spark: SparkSession) -> DataFrame:
 LEVELS = "namespace STRING, workspace STRING, snapshot_id BIGINT, level STRING"
 
 
-def levels_table(path: str, buckets: int = 64) -> KeyedTable:
+def levels_table(path: str, buckets: int = 16) -> KeyedTable:
     return KeyedTable(path, LEVELS, WORKSPACE, buckets)
 
 

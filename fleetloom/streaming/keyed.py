@@ -34,7 +34,7 @@ class KeyedTable:
     and files that only manifests older than the last ``history`` use are deleted.
     """
 
-    def __init__(self, path: str, schema: str, keys: list[str], buckets: int = 64, merge_at: int = 16, history: int = 8):
+    def __init__(self, path: str, schema: str, keys: list[str], buckets: int = 16, merge_at: int = 16, history: int = 8):
         self.path, self.keys, self.buckets, self.merge_at, self.history = path.rstrip("/"), keys, buckets, merge_at, history
         self.schema = StructType.fromDDL(schema)
 
@@ -57,6 +57,7 @@ class KeyedTable:
         return sorted(r[0] for r in rows.select(self.bucket(buckets)).distinct().collect())
 
     def _files(self, spark: SparkSession, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of all buckets, or of some."""
         chosen = manifest["buckets"] if buckets is None else {str(b): manifest["buckets"].get(str(b), []) for b in buckets}
         paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folders in chosen.items() for folder in folders]
         return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
@@ -73,15 +74,18 @@ class KeyedTable:
         held = self._files(rows.sparkSession, manifest, self._touched(rows, manifest["of"]))
         return _with_keys_of(held, rows, self.keys, "left_semi")
 
-    def _commit(self, spark: SparkSession, rows: DataFrame, version: int, touched: list[int], kept: dict, manifest: dict, notes: dict | None) -> None:
+    def _write(self, spark: SparkSession, rows: DataFrame, version: int, of: int) -> tuple[str, set[str]]:
+        """The folder that was written and the buckets there."""
         folder = f"{version}-{uuid.uuid4().hex}"
-        out = rows.select(*self.schema.names, self.bucket(manifest["of"]).alias("bucket"))
+        out = rows.select(*self.schema.names, self.bucket(of).alias("bucket"))
         # buckets are spread by size: a large one is many files, small ones share a task
         out.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        written = {name.removeprefix("bucket=") for name in names(spark, f"{self.path}/data/{folder}") if name.startswith("bucket=")}
-        buckets = {b: folders for b, folders in manifest["buckets"].items() if int(b) not in touched}
-        buckets |= {str(b): found for b in touched if (found := [*kept.get(str(b), []), *([folder] if str(b) in written else [])])}
-        told = {"version": version, "of": manifest["of"], "buckets": buckets, "notes": manifest["notes"] | (notes or {}), "written": folder}
+        found = names(spark, f"{self.path}/data/{folder}")
+        return folder, {name.removeprefix("bucket=") for name in found if name.startswith("bucket=")}
+
+    def _commit(self, spark: SparkSession, version: int, manifest: dict, buckets: dict, written: tuple[str, set[str]], notes: dict | None) -> None:
+        told = {"version": version, "of": manifest["of"], "buckets": buckets, "notes": manifest["notes"] | (notes or {})}
+        told |= {"written": written[0], "written_buckets": sorted(written[1])}
         publish_text(spark, f"{self.path}/manifests/{version}.json", json.dumps(told))
         self._clean(spark)
 
@@ -97,31 +101,43 @@ class KeyedTable:
             delete_path(spark, f"{self.path}/data/{folder}")
 
     def merge(self, rows: DataFrame, version: int, notes: dict | None = None, gone: DataFrame | None = None) -> None:
-        """Batch ``version`` puts ``rows`` in place of what the table holds under their keys, and under those of ``gone``."""
+        """Batch ``version`` puts ``rows`` in place of what the table holds under their keys, and under those of ``gone``.
+
+        Rows that were written already, by :func:`fleetloom.session.cut_lineage`, are not written once more.
+        """
         spark = rows.sparkSession
         manifest = self.manifest(spark, version)
-        changed = cut_lineage(rows.select(*self.schema.names))
-        out_of = changed if gone is None else changed.select(*self.keys).unionByName(gone.select(*self.keys))
-        touched = self._touched(out_of, manifest["of"])
-        held = self._files(spark, manifest, touched)
-        self._commit(spark, _with_keys_of(held, out_of, self.keys, "left_anti").unionByName(changed), version, touched, {}, manifest, notes)
-        forget(changed)
-
-    def append(self, rows: DataFrame, version: int) -> None:
-        """Batch ``version`` adds ``rows``; what is there stays, and is read only where a bucket has become many files."""
+        settled = hasattr(rows, "written_path")
+        changed = rows if settled else cut_lineage(rows.select(*self.schema.names))
+        buckets, out = manifest["buckets"], changed
+        if buckets:
+            out_of = changed if gone is None else changed.select(*self.keys).unionByName(gone.select(*self.keys))
+            touched = self._touched(out_of, manifest["of"])
+            held = _with_keys_of(self._files(spark, manifest, touched), out_of, self.keys, "left_anti")
+            out = held.unionByName(changed.select(*self.schema.names))
+            buckets = {b: folders for b, folders in buckets.items() if int(b) not in touched}
+        written = self._write(spark, out, version, manifest["of"])
+        self._commit(spark, version, manifest, buckets | {b: [written[0]] for b in written[1]}, written, notes)
+        if not settled:
+            forget(changed)
+
+    def append(self, rows: DataFrame, version: int) -> DataFrame:
+        """Batch ``version`` adds ``rows``, which are returned as written; only where a bucket has become many files is
+        read, and written as one, what is there."""
         spark = rows.sparkSession
         manifest = self.manifest(spark, version)
-        full = [int(b) for b, folders in manifest["buckets"].items() if len(folders) >= self.merge_at]
-        added = rows.select(*self.schema.names)
+        folder, there = self._write(spark, rows, version, manifest["of"])
+        buckets = {b: list(folders) for b, folders in manifest["buckets"].items()}
+        for b in there:
+            buckets.setdefault(b, []).append(folder)
+        full = [int(b) for b in there if len(buckets[b]) > self.merge_at]
         if full:
-            added = cut_lineage(added)
-            full = [b for b in full if b in self._touched(added, manifest["of"])]
-            added = added.unionByName(self._files(spark, manifest, full))
-        kept = {b: folders for b, folders in manifest["buckets"].items() if int(b) not in full}
-        self._commit(spark, added, version, list(range(manifest["of"])), kept, manifest, None)
+            merged, _ = self._write(spark, self._files(spark, {"buckets": buckets}, full), version, manifest["of"])
+            buckets |= {str(b): [merged] for b in full}
+        self._commit(spark, version, manifest, buckets, (folder, there), None)
+        return self.written(spark, version)
 
     def written(self, spark: SparkSession, version: int) -> DataFrame:
-        """The rows that batch ``version`` wrote: those it added, where it merged no buckets."""
+        """The rows that batch ``version`` added, or the buckets that it merged."""
         manifest = self.manifest(spark, version + 1)
-        folders = {b: [f for f in folders if f == manifest.get("written")] for b, folders in manifest["buckets"].items()}
-        return self._files(spark, {"buckets": folders})
+        return self._files(spark, {"buckets": {b: [manifest["written"]] for b in manifest.get("written_buckets", [])}})

@@ -179,6 +179,7 @@ def test_a_batch_reads_and_writes_the_buckets_of_its_keys_only(spark, tmp_path):
     assert rows(log.like(spark.createDataFrame([(None,)], "k bigint"))) == sorted([(None, v) for v in range(9)], key=repr)
     assert max(len(f) for f in log.manifest(spark)["buckets"].values()) <= 4
     assert len(names(spark, f"{log.path}/manifests")) <= 5
+    assert rows(log.written(spark, 8)) == sorted([(0, 8), (None, 8)], key=repr)
 
 
 def test_usage_counts_keep_other_kinds(spark, tmp_path):
