@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1024)
 def search_pattern(pattern: str) -> str:
-    """Case-insensitive regex; text that is not a valid regex is searched literally."""
+    """Case-insensitive regex; text that the JVM's engine, which searches, cannot compile is searched literally.
+
+    Each distinct pattern is compiled once, by the driver's JVM.
+    """
+    engine = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
     try:
-        re.compile(pattern)
-    except re.error:
-        pattern = re.sub(r"[.*+?^${}()|\[\]\\]", lambda m: "\\" + m.group(0), pattern)
-    return "(?iu)" + pattern
+        engine.compile(f"(?iu){pattern}")
+    except (Py4JJavaError, IllegalArgumentException):
+        pattern = engine.quote(pattern)
+    return f"(?iu){pattern}"
 
 
 def text_filter(df: DataFrame, patterns: dict[str, str], getters: dict[str, Column] | None = None) -> DataFrame:

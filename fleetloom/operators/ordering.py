@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetloom.session import cut_lineage
+from fleetloom.session import cut_lineage, forget
 
 
 def _sort_key(df: DataFrame, column: str, collation: str | None) -> Column:
@@ -15,6 +15,18 @@ def _sort_key(df: DataFrame, column: str, collation: str | None) -> Column:
     return F.col(column)
 
 
+def row_order(
+    df: DataFrame,
+    column: str = "last_activity_ms",
+    descending: bool = True,
+    keys: tuple[str, ...] = ("namespace", "name"),
+    collation: str | None = "UNICODE",
+) -> list[Column]:
+    """Numbers by value, text in locale order, nulls last; a unique key breaks ties."""
+    key = _sort_key(df, column, collation)
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), *[F.col(k).asc() for k in keys]]
+
+
 def sort_workspaces(
     df: DataFrame,
     column: str = "last_activity_ms",
@@ -22,43 +34,36 @@ def sort_workspaces(
     keys: tuple[str, ...] = ("namespace", "name"),
     collation: str | None = "UNICODE",
 ) -> DataFrame:
-    """Numbers by value, text in locale order; a unique key breaks ties."""
-    key = _sort_key(df, column, collation)
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *keys)
+    """``df`` in the order of :func:`row_order`."""
+    return df.orderBy(*row_order(df, column, descending, keys, collation))
 
 
 def sort_kinds(df: DataFrame, column: str, descending: bool = False, collation: str | None = "UNICODE") -> DataFrame:
     return sort_workspaces(df, column, descending, ("name",), collation)
 
 
-# Rows up to which a page is cut from a top-k; deeper pages are read from the written, ordered table.
-SHALLOW_ROWS = 100_000
-
-
-def page(df: DataFrame, number: int, size: int = 10, shallow: int = SHALLOW_ROWS) -> DataFrame:
-    """One page (from 1) of an ordered table; numbers outside are clamped to the first or last page.
+def page(df: DataFrame, order: list[Column], number: int, size: int = 10) -> DataFrame:
+    """One page (from 1) of ``df`` in ``order``; numbers outside are clamped to the first or last page.
 
-    A deep page would make a top-k carry every row before it through one task. The ordered table is written
-    instead, each row with its partition and its position in it; the sizes of the partitions before the page (one
-    number per partition) tell which positions to read.
+    ``df`` is computed once and dealt by ranges of the order, unsorted. The number of rows in each range, one number per
+    range, tells which ranges the page lies in; only these are sorted. So a page costs the same at every depth, and no
+    task holds the rows before it. ``order`` must be unique, or the place of equal rows is open.
     """
-    if number * size <= shallow:
-        first = df.offset(max(number - 1, 0) * size).limit(size)
-        if number <= 1 or not first.isEmpty():
-            return first
-    placed = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
-    partition = F.shiftright("_at", 33)
-    sizes = placed.groupBy(partition.alias("p")).count().orderBy("p").collect()
-    total = sum(row["count"] for row in sizes)
+    whole = cut_lineage(df)
+    dealt = cut_lineage(whole.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    forget(whole)
+    sizes = dict(dealt.groupBy("_range").count().collect())
+    total = sum(sizes.values())
     start = (min(max(1, number), max(1, -(-total // size))) - 1) * size
-    wanted, before = F.lit(False), 0
-    for row in sizes:
-        low, high = max(start - before, 0), min(start + size - before, row["count"])
-        if low < high:
-            base = row["p"] << 33
-            wanted = wanted | F.col("_at").between(base + low, base + high - 1)
-        before += row["count"]
-    return placed.filter(wanted).orderBy("_at").drop("_at")
+    chosen, before, skipped = [], 0, 0
+    for part in sorted(sizes):
+        if before + sizes[part] <= start:
+            skipped += sizes[part]
+        elif before < start + size:
+            chosen.append(part)
+        before += sizes[part]
+    rows = dealt.filter(F.col("_range").isin(chosen)).orderBy("_range", *order)
+    return rows.offset(start - skipped).limit(size).drop("_range")
 
 
 def stable_order(previous: DataFrame, current: DataFrame, sort_key: str, resort: bool = False) -> DataFrame:

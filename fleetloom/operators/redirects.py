@@ -186,8 +186,8 @@ def resolve_redirects(selected: DataFrame, options: DataFrame, closure: Closure)
 def _positions(chains: DataFrame, closure: Closure) -> DataFrame:
     """(start, pos, source) for pos 0 .. length-1 of each (kind, option_type, id, length).
 
-    The option at a position is found by following the binary digits of the position through the jump tables,
-    one join per digit. The rows are the chains themselves, which is the size of the answer.
+    The option at a position is found by following the binary digits of the position through the jump tables, one join
+    for each digit that the longest chain has. The rows are the chains themselves, which is the size of the answer.
     """
     rows = chains.filter(F.col("length") > 0).select(
         *GROUP,
@@ -197,32 +197,38 @@ def _positions(chains: DataFrame, closure: Closure) -> DataFrame:
     )
     for k, jump in enumerate(closure.jumps):
         hop = jump.select(*GROUP, F.col("id").alias("source"), F.col("far").alias("onward"))
-        bit = (F.shiftright("pos", k) % 2) == 1
-        moving = rows.filter(bit).join(hop, [*GROUP, "source"]).select(
-            *GROUP, "start", "pos", F.col("onward").alias("source")
+        moves = F.shiftright("pos", k) % 2 == 1
+        rows = rows.join(hop, [*GROUP, "source"]).select(
+            *GROUP, "start", "pos", F.when(moves, F.col("onward")).otherwise(F.col("source")).alias("source")
         )
-        rows = rows.filter(~bit).unionByName(moving)
     return rows
 
 
+def _asked(nodes: DataFrame, asked: DataFrame | None) -> DataFrame:
+    return nodes if asked is None else nodes.join(asked.select(*NODE).distinct(), NODE, "left_semi")
+
+
 def chain_length(missing_counts: bool) -> Column:
     """Steps of a chain: up to its end, plus the step to a missing target if asked, or once around its cycle."""
     extra = F.when(F.col("missing_target").isNotNull() & F.lit(missing_counts), 1).otherwise(0)
     return F.when(F.col("circular"), F.col("hops") + F.col("cycle_length") - 1).otherwise(F.col("hops") + extra)
 
 
-def redirect_steps(options: DataFrame, closure: Closure) -> DataFrame:
-    """(kind, option_type, start, pos, source, target) of every chain that resolves."""
-    good = closure.nodes.filter(~F.col("circular") & F.col("missing_target").isNull())
+def redirect_steps(options: DataFrame, closure: Closure, asked: DataFrame | None = None) -> DataFrame:
+    """(kind, option_type, start, pos, source, target) of every chain that resolves.
+
+    ``asked`` (kind, option_type, id) names the starts that are wanted; the answer is as long as their chains together.
+    """
+    good = _asked(closure.nodes, asked).filter(~F.col("circular") & F.col("missing_target").isNull())
     steps = _positions(good.withColumn("length", chain_length(False)), closure)
     edges = options.select(*GROUP, F.col("id").alias("source"), F.col("redirect.to").alias("target"))
     return steps.join(edges, [*GROUP, "source"])
 
 
-def redirect_preview(options: DataFrame, closure: Closure) -> DataFrame:
-    """Steps of every chain, never failing: cycles stop before the repeated option, a missing target is a last
-    step shown as "(not found)". Messages are attached to each step."""
-    steps = _positions(closure.nodes.withColumn("length", chain_length(True)), closure)
+def redirect_preview(options: DataFrame, closure: Closure, asked: DataFrame | None = None) -> DataFrame:
+    """Steps of every chain, or of those that begin at an ``asked`` option, never failing: cycles stop before the
+    repeated option, a missing target is a last step shown as "(not found)". Messages are attached to each step."""
+    steps = _positions(_asked(closure.nodes, asked).withColumn("length", chain_length(True)), closure)
     edges = options.select(
         *GROUP,
         F.col("id").alias("source"),

@@ -42,7 +42,8 @@ def _sort_by_gpu(t: Fleet) -> DataFrame:
     limit 10 offset 20""",
 )
 def _page(t: Fleet) -> DataFrame:
-    return O.page(O.sort_workspaces(t.workspaces.select("namespace", "name", "last_activity_ms")), 3)
+    rows = t.workspaces.select("namespace", "name", "last_activity_ms")
+    return O.page(rows, O.row_order(rows), 3)
 
 
 @query(
@@ -54,7 +55,7 @@ def _page(t: Fleet) -> DataFrame:
 )
 def _page_clamped(t: Fleet) -> DataFrame:
     rows = t.workspaces.select("namespace", "name", "last_activity_ms")
-    return O.page(O.sort_workspaces(rows), 10**6, 40).select("namespace", "name")
+    return O.page(rows, O.row_order(rows), 10**6, 40).select("namespace", "name")
 
 
 @query("sort_kinds", "select name, display_name, coalesce(hidden, false) as hidden from kinds order by hidden, name")

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.plans.bindings import Fleet
 from fleetloom.plans.registry import query
-from fleetloom.sources.logs import parse_log_lines
+from fleetloom.session import checkpoint_folder
+from fleetloom.sources.logs import read_logs, stream_logs
 from fleetloom.sources.snapshots import (
-    changed_rows,
     flatten_mounts,
     flatten_options,
     get_by_key,
     in_namespace,
     labelled_source,
+    load_snapshot,
     lookup_keys,
     prune_events,
     secret_metadata,
     warning_events,
+    write_snapshot,
 )
-from fleetloom.sources.usage import flatten_usage
+from fleetloom.sources.usage import read_usage
+from fleetloom.streaming.jobs import append_rows
+
+
+def _folder(t: Fleet) -> str:
+    return f"{checkpoint_folder(t.spark).rstrip('/')}/fleetloom-files/{uuid.uuid4().hex}"
 
 
 @query(
@@ -28,7 +37,9 @@ from fleetloom.sources.usage import flatten_usage
     "select namespace, name, uid, kind, image_id, pod_id, state, paused, last_activity_ms from workspaces",
 )
 def _load_snapshot(t: Fleet) -> DataFrame:
-    return t.workspaces.select(
+    folder = _folder(t)
+    t.workspaces.write.parquet(folder)
+    return load_snapshot(t.spark, "workspaces", folder).select(
         "namespace", "name", "uid", "kind", "image_id", "pod_id", "state", "paused", "last_activity_ms"
     )
 
@@ -87,14 +98,36 @@ def _secret_metadata(t: Fleet) -> DataFrame:
     )
 
 
-@query("read_logs", "select namespace, workspace, container, seq, ts_ms, line from log_lines")
+_ONE_LINE = "select namespace, workspace, container, ts_ms, regexp_replace(line, '[\\r\\n]+', ' ', 'g') as line from log_lines"
+
+
+def _log_files(t: Fleet) -> str:
+    """The logs as text files, a folder for each container; a line break inside a line becomes a space."""
+    folder = _folder(t)
+    lines = t.log_text.withColumn("value", F.regexp_replace("value", "[\\r\\n]+", " ")).drop("seq")
+    containers = ["namespace", "workspace", "container"]
+    lines.repartition(*containers).write.partitionBy(*containers).text(folder)
+    return folder
+
+
+@query("read_logs", _ONE_LINE)
 def _read_logs(t: Fleet) -> DataFrame:
-    return parse_log_lines(t.log_text).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+    return read_logs(t.spark, _log_files(t)).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+
+
+@query("stream_logs", _ONE_LINE)
+def _stream_logs(t: Fleet) -> DataFrame:
+    folder = _folder(t)
+    lines = stream_logs(t.spark, _log_files(t)).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+    append_rows(lines, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.schema(lines.schema).parquet(f"{folder}/out")
 
 
 @query("read_usage", "select namespace, pod, container, ts_ms, cpu, memory from usage_samples")
 def _read_usage(t: Fleet) -> DataFrame:
-    return flatten_usage(t.usage_reports).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+    folder = _folder(t)
+    t.usage_reports.write.json(folder)
+    return read_usage(t.spark, folder).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
 
 
 @query(
@@ -162,7 +195,7 @@ def _flatten_mounts(t: Fleet) -> DataFrame:
     """select namespace, name, state, last_activity_ms from workspaces
     where not (state <> 'Running' and created_by is not null)""",
 )
-def _changed_rows(t: Fleet) -> DataFrame:
+def _write_snapshot(t: Fleet) -> DataFrame:
     columns = ["namespace", "name", "state", "last_activity_ms", "annotations"]
     current = t.workspaces.select(*columns)
     previous = t.workspaces.select(
@@ -174,4 +207,6 @@ def _changed_rows(t: Fleet) -> DataFrame:
         ),
         "annotations",
     )
-    return changed_rows(current, previous, ["namespace", "name"]).drop("annotations")
+    folder = _folder(t)
+    write_snapshot(current, previous, folder, ["namespace", "name"])
+    return t.spark.read.schema(current.schema).parquet(folder).drop("annotations")

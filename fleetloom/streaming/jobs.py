@@ -269,13 +269,13 @@ def keep_activity(
         else:
             again = table.journal.like(late, batch_id + 1)
             found = fold_facts(_without(stored, late), _without(facts, late).unionByName(again))
-            counted = late.unionByName(_held_late(stored, late))
-            counted = counted.groupBy(*WORKSPACE).agg(F.sum("new_late").alias("new_late"))
-            found = join_null_safe(found, counted, WORKSPACE, "left").withColumn("late", F.coalesce("new_late", "late")).drop("new_late")
-        arrived = facts.filter("fact = 'probe'").groupBy(*WORKSPACE).agg(F.max("ts_ms").alias("arrived_ms"))
-        found = join_null_safe(found, arrived, WORKSPACE, "left")
-        fresh = F.col("last_probe_result").eqNullSafe("Success") & F.col("last_probe_start_ms").eqNullSafe(F.col("arrived_ms"))
-        changed = cut_lineage(found.withColumn("fresh", fresh & F.col("arrived_ms").isNotNull()).drop("arrived_ms"))
+            counted = late.unionByName(_held_late(stored, late)).groupBy(*WORKSPACE).agg(F.sum("new_late").alias("new_late"))
+            # of a status that was made again the newest probe may have come long ago
+            arrived = facts.filter("fact = 'probe'").groupBy(*WORKSPACE).agg(F.max("ts_ms").alias("arrived_ms"))
+            found = join_null_safe(join_null_safe(found, counted, WORKSPACE, "left"), arrived, WORKSPACE, "left")
+            fresh = F.col("fresh") & F.coalesce(F.col("last_probe_start_ms") == F.col("arrived_ms"), F.lit(False))
+            found = found.withColumn("late", F.coalesce("new_late", "late")).withColumn("fresh", fresh).drop("new_late", "arrived_ms")
+        changed = cut_lineage(found)
         table.status.merge(changed, batch_id)
         if after is not None:
             after(changed, batch_id)

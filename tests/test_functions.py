@@ -115,6 +115,12 @@ def test_text_filter(spark):
     assert found({"name": "^b.*\\d$"}) == ["beta 2"]
     assert found({"name": "(am"}) == ["g(amma"]
     assert found({"name": "a", "kind": "x"}) == ["Alpha-1", "g(amma"]
+    # what is a regex tells the engine that searches, not another one
+    assert found({"name": r"^\p{L}+-"}) == ["Alpha-1"]
+    other = spark.createDataFrame([("x(?P<a>a)y",), ("a",), (r"end\E",)], "name string")
+    assert rows(X.text_filter(other, {"name": "(?P<a>a)"})) == [("x(?P<a>a)y",)]
+    assert rows(X.text_filter(other, {"name": "*d\\E"})) == rows(other.filter("false"))
+    assert rows(X.text_filter(other, {"name": "d\\E("})) == []
     assert found({"name": ""}) == ["Alpha-1", "beta 2", "g(amma"]
     assert found({"name": " "}) == ["beta 2"]
     assert rows(X.multiselect(df, {"kind": ["X"], "name": ["ALPHA-1", "none"]}), "name") == [("Alpha-1",)]

@@ -226,15 +226,29 @@ def test_log_tail_hot_container(spark):
 
 
 def test_pages(spark):
-    df = spark.range(95).withColumn("k", F.col("id") % 7)
-    ordered = df.orderBy("k", "id")
-    full = [row["id"] for row in ordered.collect()]
+    df = spark.range(95).withColumn("k", F.when(F.col("id") % 9 > 0, F.col("id") % 7)).repartition(5)
+    order = [F.col("k").desc_nulls_last(), F.col("id").asc()]
+    full = [row["id"] for row in df.orderBy(*order).collect()]
     for number in (0, 1, 4, 10, 99):
         at = min(max(number, 1), 10)
-        expected = full[(at - 1) * 10 : at * 10]
-        assert [row["id"] for row in O.page(ordered, number).collect()] == expected
-        assert [row["id"] for row in O.page(ordered, number, shallow=0).collect()] == expected
-    assert O.page(ordered.filter("id < 0"), 3).count() == 0
+        assert [row["id"] for row in O.page(df, order, number).collect()] == full[(at - 1) * 10 : at * 10]
+    assert [row["id"] for row in O.page(df, order, 2, 60).collect()] == full[60:]
+    assert O.page(df.filter("id < 0"), order, 3).count() == 0
+    ordered = O.row_order(df, "k", True, ("id",))
+    assert [row["id"] for row in O.page(df, ordered, 1, 95).collect()] == [r["id"] for r in O.sort_workspaces(df, "k", True, ("id",)).collect()]
+
+
+def test_chain_of_4096_and_plan_that_grows_by_its_logarithm(spark):
+    edges = {f"c{i:04d}": f"c{i + 1:04d}" if i < 4095 else None for i in range(4096)} | {"a": "b", "b": None}
+    df = options(spark, edges)
+    closure = G.close(df)
+    asked = spark.createDataFrame([("k", "image", "c0000"), ("k", "image", "a"), ("k", "image", "none")], "kind string, option_type string, id string")
+    steps = G.redirect_steps(df, closure, asked)
+    got = rows(steps, "start", "pos", "source", "target")
+    assert got == sorted([("a", 0, "a", "b"), *[("c0000", i, f"c{i:04d}", f"c{i + 1:04d}") for i in range(4095)]], key=repr)
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= len(closure.jumps) + 4 <= 18
+    assert rows(G.redirect_preview(df, closure, asked), "start", "pos", "source", "target") == got
 
 
 def test_stable_order(spark):
