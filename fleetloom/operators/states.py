@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fleetloom.operators.aggregates import last_warning
 from fleetloom.operators.audits import first_port_error
-from fleetloom.operators.diffs import first_by_name
 from fleetloom.operators.joins import main_container
 from fleetloom.operators.redirects import Closure, resolve_workspaces
 
@@ -15,7 +14,7 @@ from fleetloom.operators.redirects import Closure, resolve_workspaces
 MSG_UNKNOWN_KIND = "Workspace references unknown WorkspaceKind: %s"
 MSG_INVALID_IMAGE = "Workspace has invalid imageConfig: %s"
 MSG_INVALID_POD = "Workspace has invalid podConfig: %s"
-MSG_MULTIPLE_SETS = "Workspace owns multiple StatefulSets: %s"
+MSG_MULTIPLE = "Workspace owns multiple %ss: %s and %d more"
 MSG_SERVICE_FAILED = "Failed to generate Service with error: %s"
 MSG_POD_FOREIGN = "Workspace Pod %s is not owned by the Workspace StatefulSet %s"
 MSG_UNKNOWN = "Workspace is in an unknown state"
@@ -47,6 +46,32 @@ def _last_condition(kind: str) -> Column:
     return F.try_element_at(F.filter("pod.conditions", lambda c: c["type"] == kind), F.lit(-1))
 
 
+# Types of which a workspace owns one object each, in the order in which doubles are found.
+ACCOUNT, SET, SERVICE, ROUTE = "ServiceAccount", "StatefulSet", "Service", "VirtualService"
+
+
+def owned_census(sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(namespace, name, set, owned): what each workspace owns, by one aggregate over the objects of all types.
+
+    ``owned`` has the number and the smallest name of the objects of each type, ``set`` is the set of smallest name.
+    ``others`` are (namespace, owner, type, name); types that a workspace may own many of are not counted. Objects are
+    reduced before they move, so an owner of most objects is one row a task.
+    """
+    chosen = F.struct("name", "uid", "generation", "observed_generation", "update_revision").alias("set")
+    rows = sets.select("namespace", "owner", F.lit(SET).alias("type"), "name", chosen)
+    if others is not None:
+        told = others.filter(F.col("type").isin(ACCOUNT, SERVICE, ROUTE)).select("namespace", "owner", "type", "name")
+        rows = rows.unionByName(told, allowMissingColumns=True)
+
+    def counted(kind: str) -> Column:
+        own = F.col("type") == kind
+        return F.struct(F.count_if(own).alias("count"), F.min(F.when(own, F.col("name"))).alias("first")).alias(kind)
+
+    census = F.struct(*[counted(kind) for kind in (ACCOUNT, SET, SERVICE, ROUTE)]).alias("owned")
+    first = F.min_by("set", F.when(F.col("type") == SET, F.struct("name", "set.uid"))).alias("set")
+    return rows.groupBy("namespace", F.col("owner").alias("name")).agg(first, census)
+
+
 def state_inputs(
     workspaces: DataFrame,
     kinds: DataFrame,
@@ -55,8 +80,9 @@ def state_inputs(
     sets: DataFrame,
     pods: DataFrame,
     events: DataFrame,
+    others: DataFrame | None = None,
 ) -> DataFrame:
-    """Everything the decision list reads, one row per workspace.
+    """Everything the decision list reads, one row per workspace. ``others`` are owned objects besides sets.
 
     Events are reduced to the last warning per uid before they are joined, so a crashing pod that owns most of
     them adds a single row.
@@ -65,16 +91,6 @@ def state_inputs(
         workspaces.select("namespace", "name", "kind", "paused", "image_id", "pod_id"), options, closure
     )
     known = kinds.select(F.col("name").alias("kind"), F.lit(True).alias("kind_known"))
-    owned = sets.withColumnRenamed("name", "set_name").withColumnRenamed("owner", "name")
-    several = owned.groupBy("namespace", "name").agg(
-        F.count("*").alias("set_count"), F.min("set_name").alias("first_set"), F.max("set_name").alias("last_set")
-    )
-    first = first_by_name(sets.withColumn("workspace", F.col("owner")), ["namespace", "workspace"])
-    one_set = first.select(
-        "namespace",
-        F.col("workspace").alias("name"),
-        F.struct("name", "uid", "generation", "observed_generation", "update_revision").alias("set"),
-    )
     ports = first_port_error(options, kinds)
     pod = pods.select(
         "namespace",
@@ -84,8 +100,7 @@ def state_inputs(
     warnings = last_warning(events).select("namespace", "uid", F.struct("message").alias("w"))
     return (
         rows.join(known, "kind", "left")
-        .join(several, ["namespace", "name"], "left")
-        .join(one_set, ["namespace", "name"], "left")
+        .join(owned_census(sets, others), ["namespace", "name"], "left")
         .join(ports, ["kind", "image_id"], "left")
         .withColumn("pod_name", F.concat("set.name", F.lit("-0")))
         .join(pod, ["namespace", "pod_name"], "left")
@@ -107,16 +122,21 @@ def derive_state(inputs: DataFrame) -> DataFrame:
     ready = F.coalesce(col("ready.status") == "True", F.lit(False))
     reason, phase = col("scheduled.reason"), col("pod.phase")
     waiting, waiting_text = col("main.waiting_reason"), col("main.waiting_message")
-    several = F.when(
-        col("set_count") == 2, F.concat_ws(", ", "first_set", "last_set")
-    ).otherwise(F.concat_ws(" ", "first_set", F.lit("to"), "last_set", F.concat(F.lit("("), col("set_count"), F.lit(")"))))
+
+    def doubled(kind: str) -> tuple[Column, str, Column]:
+        count = col(f"owned.{kind}.count")
+        message = F.format_string(MSG_MULTIPLE, F.lit(kind), F.coalesce(f"owned.{kind}.first", F.lit("")), F.coalesce(count, F.lit(0)) - 1)
+        return count > 1, "Error", message
 
     decisions = [
         (col("kind_known").isNull(), "Error", _text(MSG_UNKNOWN_KIND, col("kind"))),
         (col("image_error").isNotNull(), "Error", _text(MSG_INVALID_IMAGE, col("image_error"))),
         (col("pod_error").isNotNull(), "Error", _text(MSG_INVALID_POD, col("pod_error"))),
-        (col("set_count") > 1, "Error", _text(MSG_MULTIPLE_SETS, several)),
+        doubled(ACCOUNT),
+        doubled(SET),
         (col("port_error").isNotNull(), "Error", _text(MSG_SERVICE_FAILED, col("port_error"))),
+        doubled(SERVICE),
+        doubled(ROUTE),
         (
             ~no_pod & ~F.coalesce(col("pod.owner_uid") == col("set.uid"), F.lit(False)),
             "Error",

@@ -303,6 +303,17 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "when l_tax > 0.075 then 'apps/v1' else 'fleet.example.org/v1beta1' end",
         },
     ),
+    "helper_objects": (
+        "lineitem",
+        {
+            "namespace": NS_OF_ORDER.format(k="l_orderkey"),
+            "owner": "'ws-' || STR(l_orderkey)",
+            "type": "case when l_linenumber = 1 or l_linenumber = 4 and l_suppkey % 10 = 0 then 'Service' "
+            "when l_linenumber = 2 or l_linenumber >= 5 and l_suppkey % 10 = 1 then 'ServiceAccount' "
+            "when l_linenumber = 3 or l_linenumber >= 5 and l_suppkey % 10 = 2 then 'VirtualService' else 'ConfigMap' end",
+            "name": "'help-' || STR(l_orderkey) || '-' || STR(l_linenumber)",
+        },
+    ),
     "resource_entries": (
         "lineitem",
         {
@@ -674,6 +685,11 @@ class Fleet:
         second = second.withColumn("uid", F.concat("uid", F.lit("-b")))
         return rows.unionByName(second).drop("extra_set")
 
+    @cached_property
+    def helper_objects(self) -> DataFrame:
+        """Services, accounts and routes of workspaces, and other objects; some workspaces own two of a type."""
+        return self.view("helper_objects")
+
     @cached_property
     def pods(self) -> DataFrame:
         none = F.lit(None).cast("string")

@@ -24,14 +24,31 @@ _PORT_ERROR = """ports as (select i.*, k.id is not null as known, k.protocol, la
       from ports where port in (b1, b2) or not known or protocol <> 'HTTP' group by 1, 2)"""
 
 
+@query(
+    "owned_census",
+    """with o as (select namespace, owner, type, name from helper_objects where type <> 'ConfigMap'
+      union all select namespace, owner, 'StatefulSet', name from sets)
+    select namespace, owner as name, type, count(*) as n, min(name) as first from o group by 1, 2, 3""",
+)
+def _owned_census(t: Fleet) -> DataFrame:
+    census = S.owned_census(t.sets, t.helper_objects)
+    kinds = [F.struct(F.lit(k).alias("type"), f"owned.{k}.count", f"owned.{k}.first") for k in (S.ACCOUNT, S.SET, S.SERVICE, S.ROUTE)]
+    rows = census.select("namespace", "name", F.explode(F.array(*kinds)).alias("k")).filter("k.count > 0")
+    return rows.select("namespace", "name", "k.type", F.col("k.count").alias("n"), "k.first")
+
+
 @query(
     "derive_state",
     f"""{_RESOLVED}, {_PORT_ERROR},
-    owned as (select namespace, owner, count(*) as n, min(name) as name, max(name) as last_name from sets group by 1, 2),
+    owned as (select namespace, owner, count(*) as n, min(name) as name from sets group by 1, 2),
+    helped as (select namespace, owner, count(*) filter (type = 'ServiceAccount') as na,
+      min(name) filter (type = 'ServiceAccount') as account, count(*) filter (type = 'Service') as ns,
+      min(name) filter (type = 'Service') as service, count(*) filter (type = 'VirtualService') as nr,
+      min(name) filter (type = 'VirtualService') as route from helper_objects group by 1, 2),
     x as (select w.namespace, w.name, w.kind, w.paused, k.name is not null as kind_known,
       case when i.id is null then 'imageConfig with id "' || w.image_id || '" not found' else i.error end as ie,
       case when p.id is null then 'podConfig with id "' || w.pod_id || '" not found' else p.error end as pe,
-      o.n, o.name as set_name, o.last_name, q.error as port_error, s.uid as set_uid, s.generation,
+      o.n, o.name as set_name, na, account, ns, service, nr, route, q.error as port_error, s.uid as set_uid, s.generation,
       s.observed_generation, s.update_revision, d.name as pod, d.uid as pod_uid, d.owner_uid, d.deleting, d.revision,
       d.scheduled_status, d.scheduled_reason, d.scheduled_message, d.phase, d.ready_status, d.ready_message,
       d.waiting_reason, d.waiting_message
@@ -40,6 +57,7 @@ _PORT_ERROR = """ports as (select i.*, k.id is not null as known, k.protocol, la
     left join resolved p on p.option_type = 'pod' and p.kind = w.kind and p.id = w.pod_id
     left join port_error q on q.kind = w.kind and q.option_id = w.image_id
     left join owned o on o.namespace = w.namespace and o.owner = w.name
+    left join helped h on h.namespace = w.namespace and h.owner = w.name
     left join sets s on s.namespace = o.namespace and s.name = o.name
     left join pods d on d.namespace = w.namespace and d.name = o.name || '-0'),
     y as (select x.*, sw.message as sw, sw.uid is not null as has_sw, pw.message as pw, pw.uid is not null as has_pw
@@ -49,8 +67,11 @@ _PORT_ERROR = """ports as (select i.*, k.id is not null as known, k.protocol, la
       when not kind_known then 'Error|Workspace references unknown WorkspaceKind: ' || kind
       when ie is not null then 'Error|Workspace has invalid imageConfig: ' || ie
       when pe is not null then 'Error|Workspace has invalid podConfig: ' || pe
-      when n > 1 then 'Error|Workspace owns multiple StatefulSets: ' || set_name || ', ' || last_name
+      when na > 1 then 'Error|Workspace owns multiple ServiceAccounts: ' || account || ' and ' || (na - 1) || ' more'
+      when n > 1 then 'Error|Workspace owns multiple StatefulSets: ' || set_name || ' and ' || (n - 1) || ' more'
       when port_error is not null then 'Error|Failed to generate Service with error: ' || port_error
+      when ns > 1 then 'Error|Workspace owns multiple Services: ' || service || ' and ' || (ns - 1) || ' more'
+      when nr > 1 then 'Error|Workspace owns multiple VirtualServices: ' || route || ' and ' || (nr - 1) || ' more'
       when pod is not null and owner_uid <> set_uid then 'Error|Workspace Pod ' || pod ||
         ' is not owned by the Workspace StatefulSet ' || set_name
       when set_uid is null then 'Unknown|Workspace is in an unknown state'
@@ -81,7 +102,7 @@ _PORT_ERROR = """ports as (select i.*, k.id is not null as known, k.protocol, la
 )
 def _derive_state(t: Fleet) -> DataFrame:
     closure = G.close(t.options)
-    inputs = S.state_inputs(t.workspaces, t.kinds, t.options, closure, t.sets, t.pods, t.object_events)
+    inputs = S.state_inputs(t.workspaces, t.kinds, t.options, closure, t.sets, t.pods, t.object_events, t.helper_objects)
     return S.derive_state(inputs)
 
 

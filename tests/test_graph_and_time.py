@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions.chunked import with_previous
 from fleetloom.operators import ordering as O
 from fleetloom.operators import redirects as G
+from fleetloom.operators import states as S
 from fleetloom.operators import timeline as T
 
 OPTION = (
@@ -263,3 +264,23 @@ def test_persisted_rank_keeps_the_order(spark):
     ordered = spark.range(50).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("id")).orderBy(F.desc("id"))
     kept = O.persist_rank(ordered).orderBy("prev_rank")
     assert [r["id"] for r in kept.collect()] == [r["id"] for r in ordered.collect()]
+
+
+def test_census_of_owned_types_counts_and_names_the_first(spark):
+    schema = "namespace string, owner string, name string, uid string, generation bigint, observed_generation bigint, update_revision string"
+    sets = spark.createDataFrame([("n", "w", "s2", "u2", 1, 1, "r"), ("n", "w", "s1", "u1", 2, 2, "q"), ("n", "v", "s9", "u9", 1, 1, "r")], schema)
+    helpers = [("n", "w", "Service", f"svc-{i}") for i in (3, 1, 2)] + [("n", "w", "ConfigMap", "c")] * 3 + [("n", "lone", "ServiceAccount", "a")]
+    census = S.owned_census(sets, spark.createDataFrame(helpers, "namespace string, owner string, type string, name string"))
+    got = {r["name"]: ({k: tuple(v) for k, v in r["owned"].asDict().items()}, r["set"] and r["set"]["uid"]) for r in census.collect()}
+    none = (0, None)
+    assert got["w"] == ({"ServiceAccount": none, "StatefulSet": (2, "s1"), "Service": (3, "svc-1"), "VirtualService": none}, "u1")
+    assert got["v"][0]["StatefulSet"] == (1, "s9") and got["lone"] == ({**got["v"][0], "StatefulSet": none, "ServiceAccount": (1, "a")}, None)
+    row = census.filter("name = 'w'").withColumns({c: F.lit(None).cast("string") for c in ("kind", "image_error", "pod_error", "port_error", "set_warning", "pod_warning")})
+    pod = "struct<name:string,uid:string,owner_uid:string,revision:string,phase:string,deleting:boolean>"
+    row = row.withColumns({"kind_known": F.lit(True), "paused": F.lit(False), "pod": F.lit(None).cast(pod)})
+    condition, main = "struct<status:string,reason:string,message:string>", "struct<waiting_reason:string,waiting_message:string>"
+    row = row.withColumns({"scheduled": F.lit(None).cast(condition), "ready": F.lit(None).cast(condition), "main": F.lit(None).cast(main)})
+    row = row.withColumns({c: F.lit(None).cast("struct<message:string>") for c in ("set_warning", "pod_warning")})
+    assert S.derive_state(row).first()["state_message"] == "Workspace owns multiple StatefulSets: s1 and 1 more"
+    alone = row.withColumn("owned", F.col("owned").withField("StatefulSet", F.struct(F.lit(1).cast("bigint").alias("count"), F.lit("s1").alias("first"))))
+    assert S.derive_state(alone).first()["state_message"] == "Workspace owns multiple Services: svc-1 and 2 more"
