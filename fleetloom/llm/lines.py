@@ -37,12 +37,12 @@ def boilerplate_lines(docs: DataFrame, most_share: float = MOST_SHARE, least_pag
     site has at most (lines a page / share) such lines, which bounds its list. A 96-bit key stands for a line or text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    pages = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), _key(text).alias("page"), text.alias("text"))
+    trimmed = F.transform(F.split(text, "\n"), _trimmed)
+    keys = F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
+    pages = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), _key(text).alias("page"), keys.alias("keys"))
     texts = cut_lineage(pages.groupBy("site", "page").agg(F.count(F.lit(1)).alias("copies")))
     totals = texts.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    trimmed = F.transform(F.split("text", "\n"), _trimmed)
-    keys = F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
-    held = pages.join(texts.where("copies > 1"), ["site", "page"], "left").select("site", F.explode(keys).alias("key"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    held = pages.join(texts.where("copies > 1"), ["site", "page"], "left").select("site", F.explode("keys").alias("key"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
     counts = held.groupBy("site", "key").agg(F.round(F.sum("weight")).cast("long").alias("carrying")).where(F.col("carrying") >= least_pages)
     common = counts.join(totals, "site").where(F.col("carrying") > F.lit(most_share) * F.col("pages"))
     return cut_lineage(common.groupBy("site").agg(F.collect_set("key").alias("drop")))
