@@ -62,7 +62,7 @@ def test_activity(spark, fleets, tmp_path):
     assert rows(table.read(spark), "workspace", "state") == rows(running, "workspace", "state")
 
 
-@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
 def test_activity_and_pauses_in_any_order_of_batches(spark, order, tmp_path):
     base = Fleet(spark, FOLDER)
     parts = _parts(spark, base.given("events"), [0, 300, 420, 1000])
