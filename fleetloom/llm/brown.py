@@ -13,10 +13,12 @@ from fleetloom.llm.chunks import Chunk, chunk_table, each_chunk, pack, text_byte
 from fleetloom.llm.textops import FOLDED_VALUES, U64, bucket_of, words
 from fleetloom.session import cut_lineage
 
-#: Classes; words that are at least this share of the training tokens are clustered, so there are at most 16,384 of
-#: them at any size of the corpus. All rarer words, known or not, form one more class.
+#: Classes. Words that are at least this share of the training tokens (so at most 16,384) are exchanged among them in
+#: rounds; all others that occur so often join the class that they lift the likelihood most in. They stay in their hash
+#: buckets, so their number grows with the corpus. Still rarer words, known or not, form one more class.
 CLASSES = 96
 LEAST_SHARE = 1 / 16_384
+LEAST_COUNT = 5
 #: Rounds of exchange; in each, half of the words may move.
 ROUNDS = 8
 #: Weight of a class's share of all tokens in each transition from it.
@@ -301,26 +303,137 @@ def exchange_clustering(pairs: DataFrame, counts: np.ndarray, end: int, k: int,
     return best[1], best[2]
 
 
+class _Classed:
+    """Tokens of a chunk with the counts of its distinct words, and which of them the buckets give classes."""
+
+    def __init__(self, chunk: Chunk, folds: int, fold: int, buckets: int, model: dict):
+        self.tokens = _Tokens(chunk, folds, fold)
+        self.distinct, self.index = np.unique(self.tokens.hashes, return_inverse=True)
+        self.bounds, self.counts = _bounds(self.distinct, buckets), np.zeros(len(self.distinct), np.int64)
+        for answer in chunk.answers:
+            if answer["kind"] == 0:
+                s, e = self.bounds[answer["bucket"]], self.bounds[answer["bucket"] + 1]
+                self.counts[s:e] = unpack(answer["blob"], 8 * answer["n"]).view(np.int64)
+        self.ids = _ids(model["common"], self.distinct)
+        self.klass = model["classes"][self.ids].copy()
+        self.joined = np.flatnonzero((self.ids == len(model["common"])) & (self.counts >= model["least_count"]))
+        self.joined_bounds = np.searchsorted(bucket_of(self.distinct[self.joined], buckets), np.arange(buckets + 1))
+        for answer in chunk.answers:
+            if answer["kind"] == 1:
+                s, e = self.joined_bounds[answer["bucket"]], self.joined_bounds[answer["bucket"] + 1]
+                self.klass[self.joined[s:e]] = unpack(answer["blob"], 2 * answer["n"]).view("<u2")
+
+    def before(self, end_class: int) -> np.ndarray:
+        """The class before each token; the end of a text stands before its first word."""
+        now = self.klass[self.index]
+        out = np.empty_like(now)
+        out[1:] = now[:-1]
+        out[self.tokens.places[:-1]] = end_class
+        return out
+
+
+_JOIN = "bucket int, chunk_id long, n int, blob binary, entries int, words long, tokens long"
+_JOIN_ARROW = pa.schema([("bucket", pa.int32()), ("chunk_id", pa.int64()), ("n", pa.int32()), ("blob", pa.binary()), ("entries", pa.int32()), ("words", pa.int64()), ("tokens", pa.int64())])
+
+
+def _ask_classes(folds: int, fold: int, buckets: int, model, k: int):
+    """To each bucket a chunk's words that are to join a class, and how often each class stands before and after them."""
+
+    def run(batches):
+        m = model.value
+        for chunk in each_chunk(batches):
+            c = _Classed(chunk, folds, fold, buckets, m)
+            now, training = c.klass[c.index], c.tokens.training
+            after = np.empty_like(now)
+            after[:-1], after[-1] = now[1:], 0
+            place = np.full(len(c.distinct), -1)
+            place[c.joined] = np.arange(len(c.joined))
+            own = place[c.index]
+            # the tokens to join are words, and a word always has an end after it
+            chosen = (own >= 0) & training
+            codes = np.concatenate([own[chosen] * 2 * k + c.before(m["end_class"])[chosen], own[chosen] * 2 * k + k + after[chosen]])
+            codes, counts = np.unique(codes, return_counts=True)
+            edges = np.searchsorted(codes // (2 * k), c.joined_bounds)
+            rows = []
+            for b in range(buckets):
+                (s, e), (x, y) = c.joined_bounds[b : b + 2].tolist(), edges[b : b + 2].tolist()
+                if e > s:
+                    blob = c.distinct[c.joined[s:e]].tobytes() + (codes[x:y] - s * 2 * k).astype("<i4").tobytes() + counts[x:y].astype("<i4").tobytes()
+                    rows.append((b, chunk.id, e - s, pack(np.frombuffer(blob, np.uint8)), y - x, 0, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, _JOIN_ARROW, strict=True)], schema=_JOIN_ARROW)
+
+    return run
+
+
+def joining_class(codes: np.ndarray, counts: np.ndarray, bigrams: np.ndarray, movable: int) -> int:
+    """The class, of the first ``movable``, in which a new word lifts the likelihood of the class bigrams most.
+
+    ``codes`` are classes before the word, and ``len(bigrams)`` more than classes after it, with their ``counts``.
+    """
+    k = len(bigrams)
+    ahead = codes < k
+    gain = np.zeros(movable)
+    for rows, n in ((bigrams[codes[ahead], :movable], counts[ahead]), (bigrams[:movable, codes[~ahead] - k].T, counts[~ahead])):
+        gain += (_xlogx(rows + n[:, None]) - _xlogx(rows)).sum(axis=0)
+    for sums, n in ((bigrams.sum(axis=0)[:movable], counts[ahead].sum()), (bigrams.sum(axis=1)[:movable], counts[~ahead].sum())):
+        gain -= _xlogx(sums + n) - _xlogx(sums)
+    return int(gain.argmax())
+
+
+def _tell_classes(bigrams: np.ndarray, movable: int):
+    """A bucket gives each of its words a class, against the bigrams of the exchanged words, and tells every chunk."""
+    k, table_of = len(bigrams), bigrams.astype(float)
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = list(zip(table.column("chunk_id").to_pylist(), table.column("n").to_pylist(), table.column("entries").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        hashes, places, codes, counts, first = [], [], [], [], 0
+        for _, n, m, blob in asked:
+            raw = unpack(blob, 8 * n + 8 * m).tobytes()
+            hashes.append(np.frombuffer(raw, U64, n))
+            code = np.frombuffer(raw, "<i4", m, 8 * n).astype(np.int64)
+            places.append(first + code // (2 * k))
+            codes.append(code % (2 * k))
+            counts.append(np.frombuffer(raw, "<i4", m, 8 * n + 4 * m).astype(np.int64))
+            first += n
+        distinct, index = np.unique(np.concatenate(hashes), return_inverse=True)
+        keys, where = np.unique(index[np.concatenate(places)] * 2 * k + np.concatenate(codes), return_inverse=True)
+        sums = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys))
+        edges = np.searchsorted(keys // (2 * k), np.arange(len(distinct) + 1)).tolist()
+        found = np.array([joining_class(keys[s:e] % (2 * k), sums[s:e], table_of, movable) for s, e in zip(edges[:-1], edges[1:], strict=True)], "<u2")
+        bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
+        for chunk, n, _, _ in asked:
+            rows.append((bucket, chunk, n, pack(found[index[at : at + n]]), 0, 0, 0))
+            at += n
+        rows.append((bucket, _NO_CHUNK, 0, b"", 0, len(distinct), int(sums.sum()) // 2))
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _JOIN_ARROW, strict=True)], schema=_JOIN_ARROW)
+
+    return run
+
+
+def _class_bigrams(folds: int, fold: int, buckets: int, model, k: int):
+    """Class bigrams of a partition's training texts, as (code, n)."""
+
+    def run(batches):
+        m, total = model.value, np.zeros(k * k, np.int64)
+        for chunk in each_chunk(batches):
+            c = _Classed(chunk, folds, fold, buckets, m)
+            total += np.bincount((c.before(m["end_class"]) * k + c.klass[c.index])[c.tokens.training], minlength=k * k)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["code", "n"])
+
+    return run
+
+
 def _score(folds: int, fold: int, buckets: int, model):
     def run(batches):
         m = model.value
         for chunk in each_chunk(batches):
-            tokens = _Tokens(chunk, folds, fold)
-            distinct, index = np.unique(tokens.hashes, return_inverse=True)
-            bounds, counts = _bounds(distinct, buckets), np.zeros(len(distinct), np.int64)
-            for answer in chunk.answers:
-                s, e = bounds[answer["bucket"]], bounds[answer["bucket"] + 1]
-                counts[s:e] = unpack(answer["blob"], 8 * answer["n"]).view(np.int64)
-            ids = _ids(m["common"], distinct)
-            klass = m["classes"][ids]
-            rare = ids == len(m["common"])
-            emission = np.where(rare, np.log10((counts + 1) / m["rare_total"]), m["emission"][ids])
+            c = _Classed(chunk, folds, fold, buckets, m)
+            tokens, index, counts = c.tokens, c.index, c.counts
+            rare = c.klass == m["rare_class"]
+            emission = np.log10(np.where(rare, (counts + 1) / m["rare_total"], np.maximum(counts, 1) / np.maximum(m["in_class"][c.klass], 1)))
             base = np.log10((counts + 1) / (m["tokens"] + m["vocabulary"] + 1))
-            now = klass[index]
-            before = np.empty_like(now)
-            before[1:] = now[:-1]
-            before[tokens.places[:-1]] = m["end_class"]
-            model_score = m["transition"][before, now] + emission[index]
+            model_score = m["transition"][c.before(m["end_class"]), c.klass[index]] + emission[index]
             sums = lambda x: np.add.reduceat(x, tokens.places[:-1])  # noqa: E731  every document has an end
             yield pa.RecordBatch.from_arrays(
                 [
@@ -338,7 +451,7 @@ def _score(folds: int, fold: int, buckets: int, model):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, classes: int = CLASSES, least_share: float = LEAST_SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, classes: int = CLASSES, least_share: float = LEAST_SHARE, rounds: int = ROUNDS, least_count: int = LEAST_COUNT) -> DataFrame:
     """Log10 probabilities of every whole text under a smoothed unigram base and a class bigram model.
 
     The texts whose crc32(id) modulo ``folds`` is not ``fold`` are learned from; a row without an id is one of them.
@@ -346,8 +459,11 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, classes: int
     as often as they come; an empty table gives no rows. Without any training text every probability is that of an
     unknown word.
 
-    P(word | before) = P(class | class before) x P(word | class), where a class keeps ``PRIOR`` counts for the classes'
-    shares of all tokens, and the rare class one for every word and one for all unknown words.
+    P(word | before) = P(class | class before) x P(word | class), where a class keeps ``PRIOR`` counts for the used classes'
+    shares of all tokens, and the rare class one for every word and one for all unknown words. Words of ``least_share``
+    of the tokens are exchanged among the classes; then every other word with ``least_count`` occurrences joins one, in
+    its own hash bucket, which tells the chunks: no list of words outgrows a bucket or reaches the driver. Bigrams are
+    counted again over all training texts with the classes of all words.
     """
     chunks = chunk_table(docs)
     buckets = max(FEWEST_BUCKETS, text_bytes(chunks) // BUCKET_BYTES)
@@ -371,23 +487,32 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, classes: int
     pairs = cut_lineage(pairs.groupBy("bucket").applyInArrow(lambda t: _sum_pairs(t), _COUNTS))
     klass, bigrams = exchange_clustering(pairs, counts, at_end, classes, rounds)
 
+    spark = docs.sparkSession
+    model = {"common": common, "classes": klass, "end_class": classes - 2, "rare_class": classes - 1, "least_count": least_count}
+    sent = spark.sparkContext.broadcast(model)
+    answers = told.where(F.col("chunk_id") != _NO_CHUNK).select("bucket", "chunk_id", "n", "blob")
+    asking = with_answers(chunks, answers).mapInArrow(_ask_classes(folds, fold, buckets, sent, classes), _JOIN)
+    join = _tell_classes(bigrams, classes - 2)
+    joined = cut_lineage(asking.groupBy("bucket").applyInArrow(lambda t: join(t), _JOIN))
+    totals = joined.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    classed = joined.where(F.col("chunk_id") != _NO_CHUNK).select("bucket", "chunk_id", "n", "blob")
+    whole = with_answers(chunks, answers, classed)
+    found = whole.mapInArrow(_class_bigrams(folds, fold, buckets, sent, classes), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    bigrams = np.zeros(classes * classes, np.int64)
+    for row in found.collect():  # at most a row for two classes
+        bigrams[row["code"]] = row["n"]
+    bigrams = bigrams.reshape(classes, classes)
+
     seen = bigrams.sum(axis=0)
-    share = (seen + 1) / (seen.sum() + classes)
+    # a class without words gets no share: nothing could come out of it; the end and the rare words always may
+    share = (seen + 1) * ((seen > 0) | (np.arange(classes) >= classes - 2))
+    share = share / share.sum()
     transition = (bigrams + PRIOR * share[None, :]) / (bigrams.sum(axis=1, keepdims=True) + PRIOR)
-    in_class = np.bincount(klass[:-1], weights=counts, minlength=classes)
+    known = vocabulary - int((counts > 0).sum()) - int(totals[0])
+    rare_total = float(n - int(counts.sum()) - int(totals[1]) + known + 1)
     with np.errstate(divide="ignore"):
-        emission = np.log10(np.maximum(counts, 1) / np.maximum(in_class[klass[:-1]], 1))
-    model = {
-        "common": common,
-        "classes": klass,
-        "end_class": classes - 2,
-        "transition": np.log10(transition),
-        "emission": np.append(emission, 0.0),
-        "rare_total": float(n - counts.sum() + vocabulary - (counts > 0).sum() + 1),
-        "tokens": n,
-        "vocabulary": vocabulary,
-    }
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+        transition = np.log10(transition)
+    model |= {"transition": transition, "in_class": seen, "rare_total": rare_total, "tokens": n, "vocabulary": vocabulary}
+    sent = spark.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = told.where(F.col("chunk_id") != _NO_CHUNK).select("bucket", "chunk_id", "n", "blob")
-    return with_answers(chunks, answers).mapInArrow(_score(folds, fold, buckets, sent), schema)
+    return whole.mapInArrow(_score(folds, fold, buckets, sent), schema)

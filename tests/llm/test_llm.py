@@ -203,6 +203,82 @@ def test_lm_base_scores_equal_brute_force_and_model_sums_to_one(docs, rows):
     assert all(r["score"] < 0 for r in out)
 
 
+def test_lm_score_equals_brute_force_and_sums_to_one(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(60)] + ["fixed"]
+    shares = 1 / np.arange(1, 61)
+    texts = [" ".join(f"w{i}" for i in rng.choice(60, rng.integers(0, 30), p=shares / shares.sum())) for _ in range(120)] + [None, "only once", "fixed fixed"]
+    # from here on held out: every word behind every other one, and unknown words
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held_ids = iter(i for i in range(10_000, 60_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    known = sorted({w for t in texts for w in SPACED.findall(t or "")})
+    asked = [f"{a} {b}" for a in ("w0", "w17", "once", "fixed") for b in [*known, "unseen"]] + ["w0", "w17", "once", "fixed"]
+    rows = list(zip(ids, texts)) + [(next(held_ids), t) for t in asked]
+    kept = {}
+
+    def remember(folds, fold, buckets, sent):
+        kept.update(sent.value)
+        return score(folds, fold, buckets, sent)
+
+    score = brown._score
+    monkeypatch.setattr(brown, "_score", remember)
+    out = {r["doc_id"]: r["score"] for r in brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), classes=8, least_share=1 / 20, rounds=3, least_count=4).collect()}
+    counts = Counter(w for t in texts for w in SPACED.findall(t or ""))
+    frequent = {w for w in counts if counts[w] >= 4}
+    total = sum(counts.values()) + len(texts)
+    assert 0 < sum(counts[w] / total >= 1 / 20 for w in counts) < len(frequent) < len(counts)
+    # what is conditional on the word before: P(a b) = P(a) P(b | a) P(end | b)
+    single = {t: out[i] for i, t in rows if i >= 10_000}
+    p = np.power(10.0, kept["transition"])
+    assert p.sum(axis=1) == pytest.approx(1)
+    seen, end = kept["in_class"], kept["end_class"]
+    assert seen.sum() == total
+    classes = [c for c in range(8) if c not in (end, kept["rare_class"]) and seen[c]]
+
+    def fits(word, before, klass):
+        chance = (counts[word] + 1) / kept["rare_total"] if word not in frequent else counts[word] / max(seen[klass], 1)
+        return p[before, klass] * chance
+
+    # the class of a word is the one that explains all its scores
+    own = {}
+    for w in ("w0", "w17", "once", "fixed"):
+        options = [kept["rare_class"]] if w not in frequent else classes
+        own[w] = next(c for c in options if math.log10(fits(w, end, c) * p[c, end]) == pytest.approx(single[w], abs=1e-9, rel=0))
+    assert kept["rare_total"] == pytest.approx(sum(counts[w] + 1 for w in counts if w not in frequent) + 1)
+    for a, ca in own.items():
+        chances, of_class = [], Counter()
+        for b in [*known, "unseen"]:
+            first = fits(a, end, ca)
+            options = [kept["rare_class"]] if b not in frequent else classes
+            found = [c for c in options if math.log10(first * fits(b, ca, c) * p[c, end]) == pytest.approx(single[f"{a} {b}"], abs=1e-9, rel=0)]
+            assert found, (a, b)
+            chances.append(fits(b, ca, found[0]))
+            of_class[found[0]] += counts[b]
+        assert sum(chances) + p[ca, end] == pytest.approx(1)
+        assert all(of_class[c] == seen[c] for c in classes)
+
+
+def test_joining_class_lifts_the_likelihood_most():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        table = rng.poisson(4, (6, 6)) + 20 * (np.arange(6) == 5)
+        before, after = rng.permutation(4)[:2], rng.integers(0, 4, 2)
+        pairs = [(int(c), -1) for c in before] + [(-1, int(c)) for c in set(after.tolist()) - set(before.tolist())]  # -1: the word
+        counts = rng.integers(1, 9, len(pairs))
+        for (x, y), n in zip(pairs, counts, strict=True):  # the word is in the rare class so far
+            table[x if x >= 0 else 5, y if y >= 0 else 5] += n
+        found = []
+        for c in range(4):
+            moved = table.astype(float).copy()
+            for (x, y), n in zip(pairs, counts, strict=True):  # from the rare class, the last one, to c
+                moved[x if x >= 0 else 5, y if y >= 0 else 5] -= n
+                moved[x if x >= 0 else c, y if y >= 0 else c] += n
+            found.append(brown.likelihood(moved))
+        codes = np.array([x if x >= 0 else 6 + y for x, y in pairs])
+        got = brown.joining_class(codes, counts, table.astype(float), 4)
+        assert found[got] == pytest.approx(max(found), abs=1e-6)
+
+
 def test_exchange_never_lowers_the_likelihood_of_a_single_move():
     rng = np.random.default_rng(1)
     words, k = 30, 6
