@@ -33,7 +33,7 @@ def _with_effects(requests: DataFrame, options: DataFrame, namespaces: DataFrame
     ):
         targets = rows.withColumn("scope", F.lit(scope)).withColumn("target_labels", labels)
         rows = (
-            evaluate_filter_rules(targets, rules, ["request_id"])
+            evaluate_filter_rules(targets, rules)
             .withColumnsRenamed({"api_hide": f"{prefix}_hide", "deny": f"{prefix}_deny", "deny_message": f"{prefix}_text"})
             .drop("ui_hide", "scope", "target_labels")
         )

@@ -1,8 +1,10 @@
 """Ordered first-match label rules.
 
 A rule set known while the plan is built becomes a ``CASE`` chain (first match by definition, no shuffle). Rules
-held in a table are joined to their targets by kind, either as one ordered array per (kind, scope), when every
-list is short, or as plain rows reduced with ``min``. All three forms give the same result.
+held in a table are turned into an inverted index: what each rule needs is posted under (kind, scope, source, key,
+value) and joined to the labels of the distinct contexts. A rule matches where everything it needs was found and
+nothing that it forbids, so a context meets only the rules that ask about its labels, however many there are. Both
+forms give the same result, and neither runs a job while the plan is built.
 
 A label map may be absent (null). Filter rules never match an absent map; activity rules read it as empty.
 """
@@ -25,14 +27,9 @@ from fleetloom.functions.labels import (
     is_label_value,
     labels_map,
     selector_matches,
-    stored_selector_matches,
     stored_selector_valid,
 )
 from fleetloom.operators.report import violation
-from fleetloom.session import settled
-
-# Rules per (kind, scope) up to which the array form is used.
-MAX_ARRAY_RULES = 200
 
 SOURCES = ("namespace", "image", "pod")
 
@@ -159,6 +156,95 @@ def activity_rule_table(kinds: DataFrame, rules: list[ActivityRule]) -> DataFram
     )
 
 
+# --- the index -------------------------------------------------------------------------------------------------
+
+_NEED = "struct<source:string,key:string,values:array<string>,forbids:boolean>"
+
+
+def _need(source: Column, key: Column, values: Column, forbids: bool) -> Column:
+    """Something asked of a label: one of ``values``, or (null) any value; ``forbids`` turns it round."""
+    return F.struct(
+        source.alias("source"), key.alias("key"), values.alias("values"), F.lit(forbids).alias("forbids")
+    ).cast(_NEED)
+
+
+def _needs_of(condition: Column) -> Column:
+    """What a valid condition needs; one that asks for no label needs the map itself, posted under an empty key."""
+    source = F.when(condition["source"].isin("namespace", "image"), condition["source"]).otherwise(F.lit("pod"))
+    any_value = F.lit(None).cast("array<string>")
+    nothing = F.array().cast(f"array<{_NEED}>")
+    exact = F.transform(
+        F.map_entries(condition["match_labels"]),
+        lambda e: _need(source, e["key"], F.array_compact(F.array(e["value"])), False),
+    )
+    listed = lambda r: F.array_distinct(F.array_compact(r["values"]))
+    asked = F.transform(
+        condition["match_exprs"],
+        lambda r: F.when(r["op"] == "In", _need(source, r["key"], listed(r), False))
+        .when(r["op"] == "Exists", _need(source, r["key"], any_value, False))
+        .when(r["op"] == "NotIn", _need(source, r["key"], listed(r), True))
+        .otherwise(_need(source, r["key"], any_value, True)),
+    )
+    needs = F.concat(F.coalesce(exact, nothing), F.coalesce(asked, nothing))
+    the_map = F.array(_need(source, F.lit(""), any_value, False))
+    return F.when(F.exists(needs, lambda n: ~n["forbids"]), needs).otherwise(F.concat(needs, the_map))
+
+
+def _labels_seen(maps: dict[str, Column]) -> Column:
+    """(source, key, value) of every label, of every map that is there (empty key), and one entry that is always there."""
+    kind = "array<struct<source:string,key:string,value:string>>"
+
+    def of(source: str, labels: Column) -> Column:
+        entry = lambda key, value: F.struct(F.lit(source).alias("source"), key.alias("key"), value.alias("value"))
+        named = F.filter(F.array_sort(F.map_entries(labels)), lambda e: e["key"] != "")
+        there = F.array(entry(F.lit(""), _text(None)))
+        seen = F.concat(there, F.transform(named, lambda e: entry(e["key"], e["value"])))
+        return F.when(labels.isNotNull(), seen.cast(kind)).otherwise(F.array().cast(kind))
+
+    always = F.array(F.struct(F.lit("").alias("source"), F.lit("").alias("key"), _text(None).alias("value"))).cast(kind)
+    return F.concat(always, *[of(source, labels) for source, labels in maps.items()])
+
+
+def _postings(rules: DataFrame, group: list[str], answer: list[str]) -> DataFrame:
+    """One row per value that a rule needs or forbids, with the number of its needs; a rule without any needs always."""
+    always = F.array(_need(F.lit(""), F.lit(""), F.lit(None).cast("array<string>"), False))
+    needs = F.flatten(F.transform("conditions", _needs_of))
+    needs = F.when(F.coalesce(F.size("conditions"), F.lit(0)) > 0, needs).otherwise(always)
+    one_each = rules.select(*group, F.struct("rule_idx", *answer).alias("rule"), needs.alias("needs")).distinct()
+    rows = one_each.select(
+        *group, "rule", F.size(F.filter("needs", lambda n: ~n["forbids"])).alias("needed"), F.explode("needs").alias("n")
+    )
+    values = F.coalesce("n.values", F.array(_text(None)))
+    return rows.select(*group, "rule", "needed", "n.source", "n.key", "n.forbids", F.explode(values).alias("value"))
+
+
+def first_matching(
+    targets: DataFrame, rules: DataFrame, group: list[str], maps: dict[str, Column], answer: list[str]
+) -> DataFrame:
+    """``targets`` with ``hit``: rule_idx and the columns ``answer`` of the first rule of its group that matches, or null.
+
+    ``rules`` holds the columns of ``group``, rule_idx (unique in its kind; repeated rows count once), valid
+    ``conditions`` and ``answer``. Equal labels in equal groups are judged once. A null in a group's columns has no rules.
+    """
+    known = targets.withColumn("_seen", _labels_seen(maps))
+    known = known.withColumn("_context", F.unhex(F.sha2(F.to_json(F.struct(*group, "_seen")), 256)))
+    contexts = known.select("_context", *group, "_seen").distinct()
+    # every label is looked up with its value and, for rules that take any, without
+    plain = F.transform("_seen", lambda s: s.withField("value", _text(None)))
+    looked_up = F.concat(plain, F.filter("_seen", lambda s: s["value"].isNotNull()))
+    asked = contexts.select("_context", *group, F.explode(looked_up).alias("s")).select("_context", *group, "s.*")
+    found = (
+        join_null_safe(asked, _postings(rules, group, answer), [*group, "source", "key", "value"], "inner")
+        .filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in group]))
+        .groupBy("_context", "rule", "needed")
+        .agg(F.count_if(~F.col("forbids")).alias("met"), F.bool_or("forbids").alias("broken"))
+        .filter((F.col("met") == F.col("needed")) & ~F.col("broken"))
+        .groupBy("_context")
+        .agg(F.min("rule").alias("hit"))
+    )
+    return known.drop("_seen").join(found, "_context", "left").drop("_context")
+
+
 # --- filter rules ----------------------------------------------------------------------------------------------
 
 
@@ -245,68 +331,19 @@ def usable_filter_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("conditions", valid).filter(F.size("conditions") > 0)
 
 
-def _pick(source: Column, maps: dict[str, Column]) -> Column:
-    return F.when(source == "namespace", maps["namespace"]).when(source == "image", maps["image"]).otherwise(maps["pod"])
-
-
-def _conditions_match_ctx(conditions: Column, maps: dict[str, Column]) -> Column:
-    def matches(c: Column) -> Column:
-        labels = _pick(c["source"], maps)
-        return labels.isNotNull() & stored_selector_matches(labels, c["match_labels"], c["match_exprs"])
-
-    return F.forall(conditions, matches)
-
-
-def _longest_list(rules: DataFrame, keys: list[str]) -> int:
-    longest = rules.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return longest or 0
-
-
-def _ordered_lists(rules: DataFrame, keys: list[str]) -> DataFrame:
-    """One array of rules per key, in rule order. Used only after the list length has been checked."""
-    fields = F.struct(*[column for column in rules.columns if column not in keys])
-    ordered = F.array_sort(F.collect_list(fields), lambda a, b: a["rule_idx"] - b["rule_idx"])
-    return rules.groupBy(*keys).agg(ordered.alias("rules"))
-
-
-def _filter_array(targets: DataFrame, rules: DataFrame) -> DataFrame:
-    lists = _ordered_lists(rules, ["kind", "scope"])
-    joined = targets.join(lists, ["kind", "scope"], "left")
-    maps = source_maps(targets)
-    # found once in a step of its own, then read field by field
-    first = F.get(F.filter("rules", lambda r: _conditions_match_ctx(r["conditions"], maps)), F.lit(0))
-    joined = joined.withColumn("hit", first).drop("rules")
+def _filter_index(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    answer = ["ui_hide", "api_hide", "deny", "deny_message"]
+    judged = first_matching(targets, usable_filter_rules(rules), ["kind", "scope"], source_maps(targets), answer)
     effect = _effect(F.col("hit.ui_hide"), F.col("hit.api_hide"), F.col("hit.deny"), F.col("hit.deny_message"))
-    return joined.withColumn("effect", effect).drop("hit")
-
+    return judged.withColumn("effect", effect).drop("hit")
 
-def _filter_rows(targets: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    maps = source_maps(targets)
-    matched = (
-        targets.join(rules, ["kind", "scope"])
-        .filter(_conditions_match_ctx(F.col("conditions"), maps))
-        .groupBy(*keys, "scope")
-        .agg(F.min(F.struct("rule_idx", "ui_hide", "api_hide", "deny", "deny_message")).alias("hit"))
-    )
-    effect = _effect(F.col("hit.ui_hide"), F.col("hit.api_hide"), F.col("hit.deny"), F.col("hit.deny_message"))
-    return join_null_safe(targets, matched, [*keys, "scope"], "left").withColumn("effect", effect).drop("hit")
 
-
-def evaluate_filter_rules(
-    targets: DataFrame, rules: list[FilterRule] | DataFrame, keys: list[str], form: str | None = None
-) -> DataFrame:
+def evaluate_filter_rules(targets: DataFrame, rules: list[FilterRule] | DataFrame) -> DataFrame:
     """First matching rule per target; adds ui_hide, api_hide, deny, deny_message (all false without a match).
 
-    ``targets`` holds kind, scope, target_labels, namespace_labels, image_labels, pod_labels and is unique by
-    ``keys`` and scope. ``form`` may force ``array`` or ``rows`` for rules in a table.
+    ``targets`` holds kind, scope, target_labels, namespace_labels, image_labels and pod_labels.
     """
-    if isinstance(rules, list):
-        result = _filter_case(targets, rules)
-    else:
-        usable = usable_filter_rules(rules)
-        if form is None:
-            form = "array" if _longest_list(usable, ["kind", "scope"]) <= MAX_ARRAY_RULES else "rows"
-        result = _filter_array(targets, usable) if form == "array" else _filter_rows(targets, usable, keys)
+    result = _filter_case(targets, rules) if isinstance(rules, list) else _filter_index(targets, rules)
     # the effect columns are read several times below; selecting them once keeps the plan small
     return result.select("*", "effect.*").drop("effect")
 
@@ -327,7 +364,7 @@ def visible_kinds(kinds: DataFrame, rules, contexts: DataFrame, namespaces: Data
             none.alias("pod_labels"),
         )
     )
-    seen = evaluate_filter_rules(targets, rules, ["kind", "namespace"]).filter(~F.col("api_hide"))
+    seen = evaluate_filter_rules(targets, rules).filter(~F.col("api_hide"))
     return seen.select(
         "kind",
         "namespace",
@@ -369,7 +406,7 @@ def list_option_values(
     targets = listed.withColumn("found", F.col("labels").isNotNull()).withColumn(
         "target_labels", F.when(F.col("labels").isNotNull(), labels_map(F.col("labels")))
     )
-    values = evaluate_filter_rules(targets, rules, ["context_id", "target_id"])
+    values = evaluate_filter_rules(targets, rules)
     counts = usage.select("kind", "option_type", F.col("id").alias("target_id"), "workspaces")
     found = F.col("found")
     message = F.format_string(
@@ -467,67 +504,34 @@ def _activity_case(workspaces: DataFrame, rules: list[ActivityRule]) -> DataFram
     return workspaces.withColumn("decision", nothing if chain is F else chain.otherwise(nothing))
 
 
-def _rule_status(conditions: Column) -> Column:
-    """matched, no, or error: conditions are read in order and the first one not matching decides."""
-    maps = {"namespace": F.col("namespace_labels"), "image": F.col("pod_labels"), "pod": F.col("pod_labels")}
-
-    def outcome(c: Column) -> Column:
-        matches = stored_selector_matches(_pick(c["source"], maps), c["match_labels"], c["match_exprs"])
-        return F.when(~c["valid"], F.lit("error")).when(~matches, F.lit("no"))
+def _until_invalid(rules: DataFrame) -> DataFrame:
+    """Rules of the pause effect with the conditions before the first invalid one, and ``failed``: is there one?
 
-    stops = F.filter(F.transform(conditions, outcome), lambda o: o.isNotNull())
-    return F.coalesce(F.get(stops, F.lit(0)), F.lit("matched"))
-
-
-def _with_validity(rules: DataFrame) -> DataFrame:
-    """Rules of the pause effect, each condition marked valid or not: checked once per rule, not per workspace."""
-    marked = F.transform(
-        "conditions", lambda c: c.withField("valid", stored_selector_valid(c["match_labels"], c["match_exprs"]))
-    )
-    return rules.filter(F.col("pause").isNotNull()).withColumn("conditions", marked)
-
-
-def _activity_table(workspaces: DataFrame, rules: DataFrame) -> DataFrame:
-    lists = _ordered_lists(rules, ["kind"])
-    joined = workspaces.join(lists, "kind", "left")
-    judged = F.transform("rules", lambda r: F.struct(_rule_status(r["conditions"]).alias("status"), r.alias("rule")))
-    joined = joined.withColumn("hit", F.get(F.filter(judged, lambda j: j["status"] != "no"), F.lit(0))).drop("rules")
-    status = F.coalesce("hit.status", F.lit("none"))
+    Conditions are read in order and the first one not matching ends the rule, so an invalid one is reached exactly
+    where all before it match.
+    """
+    valid = F.transform("conditions", lambda c: stored_selector_valid(c["match_labels"], c["match_exprs"]))
+    first = F.coalesce(F.array_position(valid, F.lit(False)), F.lit(0))
+    before = F.when(first > 0, F.slice("conditions", F.lit(1), (first - 1).cast("int"))).otherwise(F.col("conditions"))
+    return rules.filter(F.col("pause").isNotNull()).withColumn("failed", first > 0).withColumn("conditions", before)
+
+
+def _activity_index(contexts: DataFrame, rules: DataFrame) -> DataFrame:
+    pod = F.col("pod_labels")
+    maps = {"namespace": F.col("namespace_labels"), "image": pod, "pod": pod}
+    answer = ["failed", "pause", "seconds_since_active", "min_running_seconds"]
+    judged = first_matching(contexts, _until_invalid(rules), ["kind"], maps, answer)
+    failed = F.col("hit.failed")
+    status = F.when(failed.isNull(), F.lit("none")).when(failed, F.lit("error")).otherwise(F.lit("matched"))
     good = status == "matched"
     decision = _activity_struct(
         status,
-        F.col("hit.rule.rule_idx"),
-        F.when(good, F.col("hit.rule.pause")),
-        F.when(good, F.col("hit.rule.seconds_since_active")),
-        F.col("hit.rule.min_running_seconds"),
-    )
-    return joined.withColumn("decision", decision).drop("hit")
-
-
-def _activity_rows(workspaces: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    status = _rule_status(F.col("conditions"))
-    reached = (
-        workspaces.join(rules, "kind")
-        .withColumn("status", status)
-        .filter(F.col("status") != "no")
-        .groupBy(*keys)
-        .agg(
-            F.min(
-                F.struct("rule_idx", "status", "pause", "seconds_since_active", "min_running_seconds")
-            ).alias("hit")
-        )
-    )
-    joined = join_null_safe(workspaces, reached, keys, "left")
-    found = F.coalesce(F.col("hit.status"), F.lit("none"))
-    good = found == "matched"
-    decision = _activity_struct(
-        found,
         F.col("hit.rule_idx"),
         F.when(good, F.col("hit.pause")),
         F.when(good, F.col("hit.seconds_since_active")),
         F.col("hit.min_running_seconds"),
     )
-    return joined.withColumn("decision", decision).drop("hit")
+    return judged.withColumn("decision", decision).drop("hit")
 
 
 def evaluate_activity_rules(
@@ -535,7 +539,6 @@ def evaluate_activity_rules(
     options: DataFrame,
     namespaces: DataFrame,
     rules: list[ActivityRule] | DataFrame,
-    form: str | None = None,
 ) -> DataFrame:
     """First rule that configures the pause effect and matches; adds status, rule_idx, pause and its settings.
 
@@ -559,11 +562,8 @@ def evaluate_activity_rules(
     # rules in a table cost more per row, and the answer depends on kind, namespace and pod option only:
     # judge each combination once and join the answers back
     contexts = with_labels(workspaces.select(*CONTEXT).distinct())
-    if form is None:
-        form = "array" if _longest_list(rules, ["kind"]) <= MAX_ARRAY_RULES else "rows"
-    rules = _with_validity(rules)
-    judged = _activity_table(contexts, rules) if form == "array" else _activity_rows(contexts, rules, CONTEXT)
-    answers = settled(judged.select(*[F.col(key).alias(f"_{key}") for key in CONTEXT], "decision.*"))
+    judged = _activity_index(contexts, rules)
+    answers = judged.select(*[F.col(key).alias(f"_{key}") for key in CONTEXT], "decision.*")
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in CONTEXT]
     return workspaces.join(answers, reduce(Column.__and__, same)).drop(*[f"_{key}" for key in CONTEXT])
 

@@ -1,7 +1,7 @@
 """Ordered computations over state history, probes, activity levels and logs.
 
 Per-workspace answers are partial aggregates; where the previous row is needed it comes from
-:func:`fleetloom.functions.chunked.with_previous`, so no workspace is gathered in one task.
+:mod:`fleetloom.functions.chunked`, so no workspace is gathered in one task.
 """
 
 from __future__ import annotations
@@ -10,32 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetloom import constants as C
-from fleetloom.functions.chunked import with_previous
-from fleetloom.functions.columns import parse_rfc3339
+from fleetloom.functions.chunked import in_ranges, previous_in, sum_beside, with_previous
+from fleetloom.functions.columns import join_null_safe, parse_rfc3339
 
 WORKSPACE = ["namespace", "workspace"]
 HOUR_MS = 3_600_000
 
 
-def _time_chunk(column: str, width_ms: int) -> Column:
-    return F.floor(F.col(column) / F.lit(width_ms))
+def with_entered(history: DataFrame) -> DataFrame:
+    """The state history with ``entered``: does the row enter Running?
 
-
-def with_entered(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
-    """The state history with ``entered``: does the row enter Running?"""
-    rows = with_previous(history, WORKSPACE, ["ts_ms", "seq"], ["state"], _time_chunk("ts_ms", chunk_ms))
+    The result reads the table ``dealt``, its attribute, which a stream
+    forgets once the result has been written.
+    """
+    order = ["ts_ms", "seq"]
+    dealt = in_ranges(history, WORKSPACE, order)
+    rows = previous_in(dealt, WORKSPACE, order, ["state"])
     entered = (F.col("state") == "Running") & ~F.coalesce(F.col("prev.state") == "Running", F.lit(False))
-    return rows.withColumn("entered", F.coalesce(entered, F.lit(False))).drop("prev")
+    told = rows.withColumn("entered", F.coalesce(entered, F.lit(False))).drop("prev")
+    told.dealt = dealt
+    return told
 
 
-def running_epochs(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
+def running_epochs(history: DataFrame) -> DataFrame:
     """Rows of the state history that enter Running: the start of each continuous run."""
-    return with_entered(history, chunk_ms).filter("entered").drop("entered")
+    return with_entered(history).filter("entered").drop("entered")
 
 
-def running_since(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
+def running_since(history: DataFrame) -> DataFrame:
     """Start of the latest run (0 when never running), the number of runs and the latest state per workspace."""
-    starts = running_epochs(history, chunk_ms).groupBy(*WORKSPACE).agg(
+    starts = running_epochs(history).groupBy(*WORKSPACE).agg(
         F.max("ts_ms").alias("last_running_ms"), F.count("*").alias("runs")
     )
     latest = history.groupBy(*WORKSPACE).agg(F.max_by("state", F.struct("ts_ms", "seq")).alias("state"))
@@ -48,9 +52,9 @@ def running_since(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
     )
 
 
-def pause_time(history: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
+def pause_time(history: DataFrame) -> DataFrame:
     """When the current pause began; 0 for a workspace that is not paused."""
-    rows = with_previous(history, WORKSPACE, ["ts_ms", "seq"], ["paused"], _time_chunk("ts_ms", chunk_ms))
+    rows = with_previous(history, WORKSPACE, ["ts_ms", "seq"], ["paused"])
     entered = F.col("paused") & ~F.coalesce(F.col("prev.paused"), F.lit(False))
     return (
         rows.groupBy(*WORKSPACE)
@@ -193,25 +197,27 @@ def activity_level(workspaces: DataFrame, now_ms: int) -> DataFrame:
 
 
 def escalations(
-    levels: DataFrame, first_snapshot: int | None = None, chunk_size: int = 24, carry: list[str] | None = None
+    levels: DataFrame, first_snapshot: int | None = None, carry: list[str] | None = None
 ) -> DataFrame:
     """Rises of the activity level between consecutive snapshots that a user is told about.
 
     A workspace absent from the previous snapshot starts from none; nothing is reported for the first snapshot;
-    falling from critical to warning is silent. ``carry`` names extra columns to keep.
+    falling from critical to warning is silent. ``carry`` names extra columns to keep. The result reads the table ``dealt``,
+    its attribute, which a stream forgets once the result has been written.
     """
-    if first_snapshot is None:
-        first_snapshot = levels.agg(F.min("snapshot_id")).first()[0]
-    chunk = F.floor(F.col("snapshot_id") / F.lit(chunk_size))
-    rows = with_previous(levels, WORKSPACE, ["snapshot_id"], ["snapshot_id", "level"], chunk)
+    dealt = in_ranges(levels, WORKSPACE, ["snapshot_id"])
+    first = dealt.agg(F.min("snapshot_id")).first()[0] if first_snapshot is None else first_snapshot
+    rows = previous_in(dealt, WORKSPACE, ["snapshot_id"], ["snapshot_id", "level"])
     before = F.when(F.col("prev.snapshot_id") == F.col("snapshot_id") - 1, F.col("prev.level"))
     before = F.coalesce(before, F.lit("none"))
     rises = ((before == "none") & F.col("level").isin("warning", "critical")) | (
         (before == "warning") & (F.col("level") == "critical")
     )
-    return rows.filter(rises & (F.col("snapshot_id") > F.lit(first_snapshot))).select(
+    told = rows.filter(rises & (F.col("snapshot_id") > F.lit(first))).select(
         *WORKSPACE, "snapshot_id", before.alias("from_level"), F.col("level").alias("to_level"), *(carry or [])
     )
+    told.dealt = dealt
+    return told
 
 
 def log_tail(
@@ -221,21 +227,45 @@ def log_tail(
     previous: bool = False,
     container: str | None = None,
     byte_cap: int | None = None,
+    slice_ms: int = HOUR_MS,
 ) -> DataFrame:
     """The last lines of each container, oldest first, cut where their bytes exceed the cap, if there is one.
 
-    The row number filter lets Spark keep only ``lines`` rows per container and task before the shuffle.
+    Ranks come from counts. Lines are counted per container and slice of time, without reading their text, and only the
+    slices that hold the last ``lines`` go on. These are dealt by ranges, whose counts and sizes place each line among the
+    others, so neither many asked lines nor one busy container, hour or moment is one task. (ts, seq) orders a
+    container's lines; lines without a time are the oldest.
     """
+    group = ["namespace", "workspace", "container"]
     wanted = logs.filter((F.col("previous") == previous) & (F.col("container") == (container or C.MAIN_CONTAINER)))
     if since is not None:
         wanted = wanted.filter(F.col("ts") >= since)
-    group = ["namespace", "workspace", "container"]
-    newest = Window.partitionBy(*group).orderBy(F.desc("ts"), F.desc("seq"))
-    oldest = Window.partitionBy(*group).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    tail = wanted.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= lines).drop("_n")
-    size = F.sum(F.octet_length("line").cast("bigint") + 1).over(oldest)
-    tail = tail.withColumn("bytes", size)
-    return tail if byte_cap is None else tail.filter(F.col("bytes") <= byte_cap)
+    earliest = F.lit(-(2**63)).cast("bigint")
+    wanted = wanted.withColumn("_slice", F.coalesce(F.floor(F.unix_millis("ts") / F.lit(slice_ms)), earliest))
+    per_slice = wanted.groupBy(*group, F.col("_slice").alias("_range")).agg(F.count("*").alias("n"))
+    start = (
+        sum_beside(per_slice, group, "n", "_later", later=True)
+        .filter(F.col("_later") < lines)
+        .groupBy(*group)
+        .agg(F.min("_range").alias("_start"))
+    )
+    near = join_null_safe(wanted, start, group, "inner").filter(F.col("_slice") >= F.col("_start"))
+    dealt = in_ranges(near.drop("_slice", "_start"), group, ["ts", "seq"])
+    place = [*group, "_range"]
+    counts = sum_beside(dealt.groupBy(*place).agg(F.count("*").alias("n")), group, "n", "_later", later=True)
+    newest = Window.partitionBy(*place).orderBy(F.desc("ts"), F.desc("seq"))
+    tail = (
+        join_null_safe(dealt, counts.filter(F.col("_later") < lines).drop("n"), place, "inner")
+        .withColumn("_rank", F.row_number().over(newest) + F.col("_later"))
+        .filter(F.col("_rank") <= lines)
+        .drop("_later", "_rank")
+    )
+    size = F.octet_length("line").cast("bigint") + 1
+    before = sum_beside(tail.groupBy(*place).agg(F.sum(size).alias("n")), group, "n", "_before").drop("n")
+    oldest = Window.partitionBy(*place).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    told = join_null_safe(tail, before, place, "inner").withColumn("bytes", F.sum(size).over(oldest) + F.col("_before"))
+    told = told.drop("_before", "_range")
+    return told if byte_cap is None else told.filter(F.col("bytes") <= byte_cap)
 
 
 def log_availability(requests: DataFrame, workspaces: DataFrame, pods: DataFrame) -> DataFrame:

@@ -43,8 +43,6 @@ _FILTER = f"""with {_CTX}, hits as (
     union all select namespace, name, 'WORKSPACE_KIND', {_CASES["kind"]} from ctx where kind_known)
   select namespace, name, scope, {_EFFECT} from hits"""
 
-_KEYS = ["namespace", "name"]
-
 
 def _targets(t: Fleet) -> DataFrame:
     targets = R.workspace_targets(t.workspaces, t.options, t.namespaces)
@@ -57,17 +55,17 @@ def _effects(df: DataFrame) -> DataFrame:
 
 @query("evaluate_filter_rules", _FILTER)
 def _filter_case(t: Fleet) -> DataFrame:
-    return _effects(R.evaluate_filter_rules(_targets(t), FILTER_RULES, _KEYS))
+    return _effects(R.evaluate_filter_rules(_targets(t), FILTER_RULES))
 
 
 @query("evaluate_filter_rules_stored", _FILTER)
 def _filter_stored(t: Fleet) -> DataFrame:
-    return _effects(R.evaluate_filter_rules(_targets(t), t.filter_rules, _KEYS))
+    return _effects(R.evaluate_filter_rules(_targets(t), t.filter_rules))
 
 
 @query("match_rules", _FILTER)
 def _filter_rows(t: Fleet) -> DataFrame:
-    return _effects(R.evaluate_filter_rules(_targets(t), t.filter_rules, _KEYS, form="rows"))
+    return _effects(R.evaluate_filter_rules(_targets(t), t.filter_rules))
 
 
 @query(
@@ -337,7 +335,7 @@ def _activity_stored(t: Fleet) -> DataFrame:
 @query("evaluate_activity_rules_rows", _ACTIVITY_SQL)
 def _activity_rows(t: Fleet) -> DataFrame:
     rules = t.activity_rules
-    return _decision(R.evaluate_activity_rules(t.workspaces, t.options, t.namespaces, rules, form="rows"))
+    return _decision(R.evaluate_activity_rules(t.workspaces, t.options, t.namespaces, rules))
 
 
 @query("evaluate_activity_rules", f"{_ACTIVITY_SQL} where kind_known")

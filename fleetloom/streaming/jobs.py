@@ -2,7 +2,7 @@
 
 Row filters and joins to static tables run as plain streaming queries. Jobs that keep a status by key run the batch
 operators on each micro-batch and merge what it changes into a keyed table: re-running a batch after a failure gives the
-same table, and a workspace holding a third of the rows is spread by the same chunked windows and partial aggregates as
+same table, and a workspace holding a third of the rows is spread by the same ranges and partial aggregates as
 in batch, instead of filling one stateful task.
 """
 
@@ -182,7 +182,8 @@ def fold_facts(status: DataFrame, facts: DataFrame) -> DataFrame:
     )
     every = last.unionByName(facts.filter(states).select(*WORKSPACE, "ts_ms", "seq", "state", F.lit(False).alias("old")))
     # one aggregate tells the newest state and when the last new run began
-    newest = T.with_entered(every).groupBy(*WORKSPACE).agg(
+    entered = T.with_entered(every)
+    newest = entered.groupBy(*WORKSPACE).agg(
         F.max_by(F.struct("state", "ts_ms", "seq"), F.struct("ts_ms", "seq")).alias("s"),
         F.max(F.when(F.col("entered") & ~F.col("old"), F.col("ts_ms"))).alias("entered_ms"),
     )
@@ -206,7 +207,7 @@ def fold_facts(status: DataFrame, facts: DataFrame) -> DataFrame:
     joined = join_full_null_safe(base, told, WORKSPACE)
     running = F.coalesce("last_running_ms", "run_ms", zero)
     result = F.coalesce("last_probe.result", "last_probe_result")
-    return joined.select(
+    folded = joined.select(
         *WORKSPACE, "state", "state_ms", "state_seq", running.alias("last_running_ms"),
         T.folded_activity(F.coalesce("last_activity_ms", zero), running).alias("last_activity_ms"),
         F.coalesce("updated_ms", "last_update_ms", zero).alias("last_update_ms"),
@@ -215,6 +216,8 @@ def fold_facts(status: DataFrame, facts: DataFrame) -> DataFrame:
         result.alias("last_probe_result"),
         (F.col("last_probe.result").eqNullSafe("Success")).alias("fresh"), F.coalesce("late", zero).alias("late"),
     )
+    folded.dealt = entered.dealt
+    return folded
 
 
 class ActivityTable:
@@ -266,9 +269,11 @@ def keep_activity(
         late = cut_lineage(late_workspaces(stored, facts)) if known else None
         if late is None or late.isEmpty():
             found = fold_facts(stored, facts)
+            dealt = found.dealt
         else:
             again = table.journal.like(late, batch_id + 1)
             found = fold_facts(_without(stored, late), _without(facts, late).unionByName(again))
+            dealt = found.dealt
             counted = late.unionByName(_held_late(stored, late)).groupBy(*WORKSPACE).agg(F.sum("new_late").alias("new_late"))
             # of a status that was made again the newest probe may have come long ago
             arrived = facts.filter("fact = 'probe'").groupBy(*WORKSPACE).agg(F.max("ts_ms").alias("arrived_ms"))
@@ -279,7 +284,7 @@ def keep_activity(
         table.status.merge(changed, batch_id)
         if after is not None:
             after(changed, batch_id)
-        forget(changed, *([late] if late is not None else []))
+        forget(changed, dealt, *([late] if late is not None else []))
 
     return handle
 
@@ -353,7 +358,9 @@ def keep_escalations(levels: KeyedTable, found: VersionedTable) -> Callable[[Dat
             first = batch.agg(F.min("snapshot_id")).first()[0]
         before = levels.like(batch, batch_id)
         every = before.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
-        found.write(T.escalations(every, first, carry=["old"]).filter(~F.col("old")).drop("old"), batch_id)
+        rises = T.escalations(every, first, carry=["old"])
+        found.write(rises.filter(~F.col("old")).drop("old"), batch_id)
+        forget(rises.dealt)
         last = every.groupBy(*WORKSPACE).agg(F.max_by(F.struct("snapshot_id", "level"), "snapshot_id").alias("l"))
         levels.merge(last.select(*WORKSPACE, "l.snapshot_id", "l.level"), batch_id, {"first_snapshot": first})
         forget(batch)

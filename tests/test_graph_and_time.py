@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetloom.functions.chunked import with_previous
+from fleetloom.functions.chunked import in_ranges, with_previous
 from fleetloom.operators import ordering as O
 from fleetloom.operators import redirects as G
 from fleetloom.operators import states as S
@@ -112,11 +112,23 @@ def history(spark, seed, n=400):
     return spark.createDataFrame(data, "namespace string, workspace string, ts_ms bigint, seq bigint, state string, paused boolean")
 
 
-@pytest.mark.parametrize("width", [700, 10**9])
-def test_chunked_previous_equals_global_lag(spark, width):
-    df = history(spark, width)
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges as they are dealt: Spark joins the tiny ones of a test into one otherwise."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("one_moment", [False, True])
+def test_previous_equals_global_lag_and_a_hot_key_is_spread(spark, small_ranges, one_moment):
+    df = history(spark, 700)
+    if one_moment:
+        df = df.withColumn("ts_ms", F.when(F.col("seq") % 50 > 0, F.lit(7).cast("bigint")))
     order = ["ts_ms", "seq"]
-    chunked = with_previous(df, T.WORKSPACE, order, ["state", "seq"], F.floor(F.col("ts_ms") / width))
+    hot = in_ranges(df, T.WORKSPACE, order).filter("workspace = 'hot'")
+    assert hot.select("_range").distinct().count() > 1
+    chunked = with_previous(df, T.WORKSPACE, order, ["state", "seq"])
     window = Window.partitionBy(*T.WORKSPACE).orderBy(*order)
     plain = df.withColumn("prev", F.lag(F.struct("state", "seq")).over(window))
     columns = ["workspace", "ts_ms", "seq", "prev"]
@@ -130,16 +142,16 @@ def test_row_order_does_not_matter(spark):
     assert rows(T.pause_time(df)) == rows(T.pause_time(shuffled))
 
 
-def test_pause_time(spark):
+def test_pause_time(spark, small_ranges):
     data = [("a", 1, True), ("a", 2, True), ("b", 1, True), ("b", 2, False), ("c", 1, False), ("c", 2, True), ("c", 3, True)]
     df = spark.createDataFrame(
         [("n", w, ts, ts, "Paused", p) for w, ts, p in data],
         "namespace string, workspace string, ts_ms bigint, seq bigint, state string, paused boolean",
     )
-    assert rows(T.pause_time(df, 1), "workspace", "pause_ms") == [("a", 1), ("b", 0), ("c", 2)]
+    assert rows(T.pause_time(df), "workspace", "pause_ms") == [("a", 1), ("b", 0), ("c", 2)]
 
 
-def test_escalations(spark):
+def test_escalations(spark, small_ranges):
     levels = {
         "up": ["none", "warning", "critical"],
         "jump": ["none", "critical", "critical"],
@@ -149,7 +161,7 @@ def test_escalations(spark):
     }
     data = [("n", w, i, level) for w, line in levels.items() for i, level in enumerate(line) if level]
     df = spark.createDataFrame(data, "namespace string, workspace string, snapshot_id bigint, level string")
-    got = rows(T.escalations(df, chunk_size=1), "workspace", "snapshot_id", "from_level", "to_level")
+    got = rows(T.escalations(df), "workspace", "snapshot_id", "from_level", "to_level")
     assert got == [
         ("fall", 2, "warning", "critical"),
         ("gone", 2, "none", "critical"),
@@ -226,6 +238,26 @@ def test_log_tail_hot_container(spark):
     assert got == [("v", 1, 2), ("w", 45, 10), ("w", 46, 20), ("w", 47, 30)]
 
 
+@pytest.mark.parametrize("lines", [1, 40, 333, 10**6])
+def test_log_tail_equals_ranks_over_whole_containers(spark, small_ranges, lines):
+    rng = random.Random(lines)
+    data = [
+        (rng.choice(["n", None]), rng.choice(["hot"] * 5 + ["a"]), "main", False, rng.choice([None, 5, 5, 5, rng.randint(0, 10**7)]), i, "x" * rng.randint(0, 9))
+        for i in range(700)
+    ]
+    df = spark.createDataFrame(
+        data, "namespace string, workspace string, container string, previous boolean, t bigint, seq bigint, line string"
+    ).withColumn("ts", F.timestamp_millis("t"))
+    expected = []
+    for key in {row[:2] for row in data}:
+        last = sorted((row for row in data if row[:2] == key), key=lambda r: (r[4] is not None, r[4] or 0, r[5]))[-lines:]
+        sizes = [sum(len(r[6]) + 1 for r in last[: i + 1]) for i in range(len(last))]
+        expected += [(*key, r[5], size) for r, size in zip(last, sizes, strict=True)]
+    got = rows(T.log_tail(df, lines=lines), "namespace", "workspace", "seq", "bytes")
+    assert got == sorted(expected, key=repr)
+    assert T.log_tail(df.filter("false"), lines=lines).count() == 0
+
+
 def test_pages(spark):
     df = spark.range(95).withColumn("k", F.when(F.col("id") % 9 > 0, F.col("id") % 7)).repartition(5)
     order = [F.col("k").desc_nulls_last(), F.col("id").asc()]

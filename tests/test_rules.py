@@ -1,4 +1,4 @@
-"""Rule engine: null semantics, first match, error order, eligibility, agreement of the three forms."""
+"""Rule engine: null semantics, first match, error order, eligibility, agreement of both forms."""
 
 from __future__ import annotations
 
@@ -71,14 +71,13 @@ def test_selector_validity(spark, chosen, valid):
     assert got is valid
 
 
-def effects(spark, rules, targets, form=None):
+def effects(spark, rules, targets, stored=False):
     df = spark.createDataFrame(targets, TARGETS)
-    if form is None:
-        used = rules
-    else:
+    used = rules
+    if stored:
         kinds = spark.createDataFrame([("k1",), ("k2",)], "name string")
         used = R.filter_rule_table(kinds, rules)
-    out = R.evaluate_filter_rules(df, used, ["kind", "id"], form)
+    out = R.evaluate_filter_rules(df, used)
     return rows(out, "kind", "id", "scope", "ui_hide", "api_hide", "deny", "deny_message")
 
 
@@ -98,11 +97,11 @@ def test_first_match_wins_and_scope_is_respected(spark):
         ("k1", "b", SCOPE_IMAGE, False, False, True, "no"),
         ("k1", "c", SCOPE_IMAGE, False, False, False, None),
     ]
-    for form in (None, "array", "rows"):
-        assert effects(spark, rules, targets, form) == expected
+    for stored in (False, True):
+        assert effects(spark, rules, targets, stored) == expected
 
 
-def test_the_three_forms_agree_on_random_rules(spark):
+def test_both_forms_agree_on_random_rules(spark):
     rng = random.Random(7)
 
     def labels():
@@ -135,18 +134,40 @@ def test_the_three_forms_agree_on_random_rules(spark):
             rng.choice([None, None, ("k1",), ("k2",)]),
         )
 
-    rules = [rule() for _ in range(25)]
+    rules = [rule() for _ in range(60)]
     targets = [
         (rng.choice(["k1", "k2"]), f"t{i}", scope, labels(), labels(), labels(), labels())
         for i in range(150)
         for scope in [rng.choice([SCOPE_KIND, SCOPE_IMAGE, SCOPE_POD])]
     ]
     case = effects(spark, rules, targets)
-    assert case == effects(spark, rules, targets, "array") == effects(spark, rules, targets, "rows")
+    assert case == effects(spark, rules, targets, stored=True)
     assert len({row[3:] for row in case}) > 3
 
 
-def activity(spark, rules, pods=None, namespaces=None, form=None, kinds=("k",)):
+def test_hundreds_of_rules_repeated_rows_and_null_values(spark):
+    """First of 600 rules a kind; a repeated rule row counts once, a null label or wanted value equals nothing."""
+    rules = [R.FilterRule(SCOPE_POD, (R.Condition("pod", selector({"n": f"v{i % 300}"}, need("m", "NotIn", f"w{i}"))),), deny=True, deny_message=str(i)) for i in range(600)]
+    targets = [
+        ("k1", "a", SCOPE_POD, {"n": "v7"}, None, None, None),
+        ("k1", "b", SCOPE_POD, {"n": "v7", "m": "w7"}, None, None, None),
+        ("k1", "c", SCOPE_POD, {"n": None, "m": "w7"}, None, None, None),
+        ("k1", "d", SCOPE_POD, {"": "x", "n": "v299", "m": None}, {}, {}, {}),
+        (None, "e", SCOPE_POD, {"n": "v7"}, None, None, None),
+        ("k2", "f", SCOPE_POD, None, None, None, {"n": "v7"}),
+    ]
+    table = R.filter_rule_table(spark.createDataFrame([("k1",), ("k1",)], "name string"), rules)
+    nulls = table.filter("rule_idx = 0").withColumn("rule_idx", F.lit(-1)).withColumn(
+        "conditions", F.transform("conditions", lambda c: c.withField("match_labels", F.create_map(F.lit("n"), F.lit(None).cast("string"))))
+    )
+    df = spark.createDataFrame(targets, TARGETS)
+    out = R.evaluate_filter_rules(df, table.unionByName(nulls))
+    assert rows(out, "id", "deny_message") == [("a", "7"), ("b", "307"), ("c", None), ("d", "299"), ("e", None), ("f", None)]
+    assert R.evaluate_filter_rules(df, table.filter("false")).filter("deny").count() == 0
+    assert R.evaluate_filter_rules(df.filter("false"), table).count() == 0
+
+
+def activity(spark, rules, pods=None, namespaces=None, stored=False, kinds=("k",)):
     workspaces = spark.createDataFrame(
         [("n1", "w1", "k", "p1"), ("n2", "w2", "k", "p2"), ("gone", "w3", "k", "gone")],
         "namespace string, name string, kind string, pod_id string",
@@ -157,29 +178,29 @@ def activity(spark, rules, pods=None, namespaces=None, form=None, kinds=("k",)):
     )
     spaces = spark.createDataFrame([("n1", {"tier": "dev"}), ("n2", {})], "name string, labels map<string,string>")
     used = rules
-    if form:
+    if stored:
         used = R.activity_rule_table(spark.createDataFrame([(k,) for k in kinds], "name string"), rules)
-    out = R.evaluate_activity_rules(workspaces, options, spaces, used, form)
+    out = R.evaluate_activity_rules(workspaces, options, spaces, used)
     return rows(out, "name", "status", "rule_idx", "pause", "seconds_since_active", "min_running_seconds")
 
 
-@pytest.mark.parametrize("form", [None, "array", "rows"])
-def test_activity_rules(spark, form):
+@pytest.mark.parametrize("stored", [False, True])
+def test_activity_rules(spark, stored):
     gpu = R.Condition("pod", selector(None, need("gpu", "Exists")))
     not_dev = R.Condition("namespace", selector(None, need("tier", "NotIn", "dev")))
     bad = R.Condition("pod", selector(None, need("gpu", "Near", "1")))
     dev = R.Condition("namespace", selector({"tier": "dev"}))
     # a rule without the effect falls through; a matched false exempts; missing labels count as empty
-    got = activity(spark, [R.ActivityRule(), R.ActivityRule((gpu,), False), R.ActivityRule((not_dev,), True, 60, 5)], form=form)
+    got = activity(spark, [R.ActivityRule(), R.ActivityRule((gpu,), False), R.ActivityRule((not_dev,), True, 60, 5)], stored=stored)
     assert got == [
         ("w1", "matched", 1, False, 0, 0),
         ("w2", "matched", 2, True, 60, 5),
         ("w3", "matched", 2, True, 60, 5),
     ]
     # an invalid selector is an error only where it is reached: after a match it is not, nor after a failed condition
-    got = activity(spark, [R.ActivityRule((gpu,), False), R.ActivityRule((dev, bad), True, 1)], form=form)
+    got = activity(spark, [R.ActivityRule((gpu,), False), R.ActivityRule((dev, bad), True, 1)], stored=stored)
     assert [row[1] for row in got] == ["matched", "none", "none"]
-    got = activity(spark, [R.ActivityRule((dev, bad), True, 1), R.ActivityRule((), True, 9)], form=form)
+    got = activity(spark, [R.ActivityRule((dev, bad), True, 1), R.ActivityRule((), True, 9)], stored=stored)
     assert [row[1:3] for row in got] == [("error", 0), ("matched", 1), ("matched", 1)]
 
 
