@@ -632,6 +632,38 @@ class Fleet:
     def activity_rules(self) -> DataFrame:
         return activity_rule_table(self.kinds, ACTIVITY_RULES)
 
+    @cached_property
+    def part_rules(self) -> DataFrame:
+        """A rule of its brand's kind for every part, so a kind has as many as it has parts.
+
+        It asks for the part's type and for a region of the namespace: the part's (each seventh: any but that). Each
+        eleventh names no region at all, which is not a valid condition.
+        """
+        regions = self.given("region").select(F.col("r_regionkey").alias("region_key"), F.col("r_name").alias("region"))
+        parts = self.given("part").withColumn("region_key", F.col("p_partkey") % 5).join(regions, "region_key")
+        key, effect = F.col("p_partkey"), F.col("p_size") % 4
+        no_exprs = F.array().cast("array<struct<key:string,op:string,values:array<string>>>")
+        op = F.when(key % 7 == 0, F.lit("NotIn")).otherwise(F.lit("In"))
+        values = F.when(key % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("region"))
+        conditions = F.array(
+            _struct(source=F.lit("image"), match_labels=F.create_map(F.lit("type"), F.col("p_type")), match_exprs=no_exprs),
+            _struct(
+                source=F.lit("namespace"),
+                match_labels=F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
+                match_exprs=F.array(_struct(key=F.lit("region"), op=op, values=values)),
+            ),
+        )
+        return parts.select(
+            F.col("p_brand").alias("kind"),
+            key.alias("rule_idx"),
+            F.lit(C.SCOPE_IMAGE).alias("scope"),
+            (effect == 2).alias("ui_hide"),
+            (effect == 1).alias("api_hide"),
+            (effect == 0).alias("deny"),
+            F.col("p_name").alias("deny_message"),
+            conditions.alias("conditions"),
+        )
+
     @cached_property
     def mounts(self) -> DataFrame:
         return self.view("mounts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.constants import PROBE_INTERVAL_S
+from fleetloom.constants import PROBE_INTERVAL_S, SCOPE_IMAGE
 from fleetloom.operators import admission as M
 from fleetloom.operators import rules as R
 from fleetloom.operators.aggregates import option_usage
@@ -68,6 +68,38 @@ def _filter_rows(t: Fleet) -> DataFrame:
     return _effects(R.evaluate_filter_rules(_targets(t), t.filter_rules))
 
 
+# a rule for each part; ``loose`` where its condition on the region is not valid
+_PART_RULES = """part_rules as (select p_brand as kind, p_partkey as rule_idx, p_type, p_size % 4 as effect, p_name,
+      r_name as asked, p_partkey % 7 = 0 as turned, p_partkey % 11 = 0
+        or not regexp_full_match(r_name, '[A-Za-z0-9]([A-Za-z0-9_.-]*[A-Za-z0-9])?') as loose
+    from part join region on r_regionkey = p_partkey % 5)"""
+
+
+@query(
+    "match_rules_of_parts",
+    f"""with {_CTX}, {_PART_RULES}, first as (select namespace, name, min(rule_idx) as rule_idx from ctx
+      join part_rules r on r.kind = ctx.kind and image_known and image_type = p_type and (loose or (ns_known and
+        case when turned then region is distinct from asked else region = asked end)) group by namespace, name)
+    select c.namespace, c.name, 'IMAGE_CONFIG' as scope, coalesce(effect = 2, false) as ui_hide,
+      coalesce(effect = 1, false) as api_hide, coalesce(effect = 0, false) as deny,
+      case when effect = 0 then p_name end as deny_message
+    from ctx c left join first using (namespace, name) left join part_rules r using (rule_idx) where image_known""",
+)
+def _match_rules_of_parts(t: Fleet) -> DataFrame:
+    images = _targets(t).filter(F.col("scope") == SCOPE_IMAGE)
+    return _effects(R.evaluate_filter_rules(images, t.part_rules))
+
+
+@query(
+    "lint_rules_of_parts",
+    f"""with {_PART_RULES} select kind, rule_idx, 'match[1]' as field, 'invalid label selector' as message
+      from part_rules where loose
+    union all select kind, rule_idx, 'effect', 'rule has no effect' from part_rules where effect = 3""",
+)
+def _lint_rules_of_parts(t: Fleet) -> DataFrame:
+    return R.lint_filter_rules(t.part_rules)
+
+
 @query(
     "condition_source",
     f"""with {_CTX} select namespace, name, 'IMAGE_CONFIG' as scope, image_type as image_type, gpu_label from ctx
