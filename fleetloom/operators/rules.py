@@ -196,7 +196,7 @@ def _labels_seen(maps: dict[str, Column]) -> Column:
 
     def of(source: str, labels: Column) -> Column:
         entry = lambda key, value: F.struct(F.lit(source).alias("source"), key.alias("key"), value.alias("value"))
-        named = F.filter(F.array_sort(F.map_entries(labels)), lambda e: e["key"] != "")
+        named = F.filter(F.map_entries(labels), lambda e: e["key"] != "")
         there = F.array(entry(F.lit(""), _text(None)))
         seen = F.concat(there, F.transform(named, lambda e: entry(e["key"], e["value"])))
         return F.when(labels.isNotNull(), seen.cast(kind)).otherwise(F.array().cast(kind))
@@ -224,25 +224,41 @@ def first_matching(
     """``targets`` with ``hit``: rule_idx and the columns ``answer`` of the first rule of its group that matches, or null.
 
     ``rules`` holds the columns of ``group``, rule_idx (unique in its kind; repeated rows count once), valid
-    ``conditions`` and ``answer``. Equal labels in equal groups are judged once. A null in a group's columns has no rules.
+    ``conditions`` and ``answer``. Equal labels in equal groups are judged once, as far as any
+    rule of the group asks for them. A null in a group's columns has no rules.
     """
-    known = targets.withColumn("_seen", _labels_seen(maps))
-    known = known.withColumn("_context", F.unhex(F.sha2(F.to_json(F.struct(*group, "_seen")), 256)))
-    contexts = known.select("_context", *group, "_seen").distinct()
+    posted = _postings(rules.dropna(subset=group), group, answer)
+    # of a label that no rule of the group asks for nothing depends: one array of its rules' keys for each group
+    keys = posted.groupBy(*group).agg(F.collect_set(F.concat("source", F.lit(":"), "key")).alias("_keys"))
+    told = {source: f"labels_{source}" for source in maps}
+
+    def asked_of(source: str, labels: Column) -> Column:
+        return F.map_filter(labels.cast("map<string,string>"), lambda k, _v: F.array_contains("_keys", F.concat(F.lit(f"{source}:"), k)))
+
+    # a text that can be read back; equal maps written in another order only make another context
+    context = F.struct(*group, *[asked_of(source, labels).alias(told[source]) for source, labels in maps.items()])
+    known = targets.join(keys, group, "left").withColumn("_context", F.to_json(context)).select(*targets.columns, "_context")
+    schema = ", ".join([*(f"{c} string" for c in group), *(f"{column} map<string,string>" for column in told.values())])
+    contexts = (
+        known.select("_context")
+        .distinct()
+        .select("_context", F.from_json("_context", schema).alias("c"))
+        .select("_context", "c.*")
+        .withColumn("_seen", _labels_seen({source: F.col(column) for source, column in told.items()}))
+    )
     # every label is looked up with its value and, for rules that take any, without
     plain = F.transform("_seen", lambda s: s.withField("value", _text(None)))
     looked_up = F.concat(plain, F.filter("_seen", lambda s: s["value"].isNotNull()))
     asked = contexts.select("_context", *group, F.explode(looked_up).alias("s")).select("_context", *group, "s.*")
     found = (
-        join_null_safe(asked, _postings(rules, group, answer), [*group, "source", "key", "value"], "inner")
-        .filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in group]))
+        join_null_safe(asked, posted, [*group, "source", "key", "value"], "inner")
         .groupBy("_context", "rule", "needed")
         .agg(F.count_if(~F.col("forbids")).alias("met"), F.bool_or("forbids").alias("broken"))
         .filter((F.col("met") == F.col("needed")) & ~F.col("broken"))
         .groupBy("_context")
         .agg(F.min("rule").alias("hit"))
     )
-    return known.drop("_seen").join(found, "_context", "left").drop("_context")
+    return known.join(found, "_context", "left").drop("_context")
 
 
 # --- filter rules ----------------------------------------------------------------------------------------------
