@@ -13,6 +13,8 @@ from fleetloom.session import cut_lineage
 #: Places that each seed looks at. Any two substitutions in thirteen words leave a place for one of the seeds.
 SEEDS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 SPAN = 9
+#: Items too short for the seeds are looked for whole, from this many words on; shorter ones only as a whole text.
+WHOLE = 5
 #: Words that an overlap needs, and the share of them that must be equal.
 OVERLAP = 13
 PERCENT_EQUAL = 80
@@ -23,17 +25,26 @@ _HITS = 1 << 16  # hits verified at once
 _FILTER = 22  # bits of the first look-up
 
 
-def _seed_hashes(hashes: np.ndarray, seed: int) -> np.ndarray:
-    n = max(0, len(hashes) - SEEDS[seed][-1])
-    out = np.full(n, U64(seed + 1))
-    for place in SEEDS[seed]:
+def _hashes_at(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
+    """A hash for each place, of the words that lie under ``mask`` there."""
+    n = max(0, len(hashes) - mask[-1])
+    out = np.full(n, U64(salt))
+    for place in mask:
         out = out * U64(0x9E3779B97F4A7C15) + hashes[place : place + n]
         out ^= out >> U64(32)
     return mix(out)
 
 
+def _seed_hashes(hashes: np.ndarray, seed: int) -> np.ndarray:
+    return _hashes_at(hashes, SEEDS[seed], seed + 1)
+
+
+def _whole_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    return _hashes_at(hashes, tuple(range(n)), len(SEEDS) + n)
+
+
 class Benchmark:
-    """A block of benchmark items: their words and, in the order of the hashes, where each seed occurs."""
+    """A block of benchmark items: their words and, in the order of the hashes, where each seed or short item occurs."""
 
     def __init__(self, items: list[tuple[int, str]]):
         column = pa.array([text for _, text in items], pa.large_string())
@@ -53,6 +64,13 @@ class Benchmark:
         order = np.argsort(found, kind="stable")
         self.seeds, self.at = found[order], at[order]
         self.item = item
+        self.short = {}
+        for n in range(1, SPAN):
+            of = np.flatnonzero(self.ends - self.starts == n)
+            if len(of):
+                values = _whole_hashes(self.hashes, n)[self.starts[of]]
+                order = np.argsort(values, kind="stable")
+                self.short[n] = values[order], of[order]
         self.likely = np.zeros(1 << _FILTER, bool)
         self.likely[(self.seeds >> U64(64 - _FILTER)).astype(np.int64)] = True
 
@@ -70,6 +88,26 @@ class Benchmark:
                 row = np.searchsorted(ends, k, "right")
                 yield place[row], self.at[low[row] + k - (ends - n)[row]]
 
+    def whole(self, hashes: np.ndarray, row_of: np.ndarray, places: np.ndarray):
+        """Rows of a slice and the short items that they hold whole, a bounded number at a time."""
+        for n, (known, items) in self.short.items():
+            values = _whole_hashes(hashes, n)
+            if n < WHOLE:
+                place = places[:-1][np.diff(places) == n]
+            else:
+                place = np.flatnonzero(np.arange(len(values)) + n <= places[row_of[: len(values)] + 1])
+            low = np.searchsorted(known, values[place], "left")
+            count = np.searchsorted(known, values[place], "right") - low
+            place, low, count = place[count > 0], low[count > 0], count[count > 0]
+            ends = np.cumsum(count)
+            for s in range(0, int(ends[-1]) if len(ends) else 0, _HITS):
+                k = np.arange(s, min(s + _HITS, int(ends[-1])))
+                hit = np.searchsorted(ends, k, "right")
+                item = items[low[hit] + k - (ends - count)[hit]]
+                reach = np.arange(n)
+                equal = (hashes[place[hit][:, None] + reach] == self.hashes[self.starts[item][:, None] + reach]).all(axis=1)
+                yield row_of[place[hit][equal]], item[equal]
+
     def verified(self, hashes: np.ndarray, place: np.ndarray, at: np.ndarray, row_start: np.ndarray, row_end: np.ndarray) -> np.ndarray:
         """Which hits lie in an aligned overlap long and equal enough, inside the row and the item."""
         item = self.item[at]
@@ -107,6 +145,10 @@ def _scan(sent, carried: list[str], name: str, so_far: str):
                         pairs = np.unique(np.stack([row[good] + low, block.ids[block.item[at[good]]]]), axis=1)
                         rows.append(pairs[0])
                         ids.append(pairs[1])
+                    for row, item in block.whole(hashes, row_of, places):
+                        pairs = np.unique(np.stack([row + low, block.ids[item]]), axis=1)
+                        rows.append(pairs[0])
+                        ids.append(pairs[1])
             # rows without a text or a hit keep what earlier blocks have found
             found: list[set] = [set(x) for x in batch.column(so_far).to_pylist()]
             for row, item in zip(np.concatenate(rows).tolist(), np.concatenate(ids).tolist(), strict=True):
@@ -121,8 +163,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> Dat
     """``columns`` of every row of ``docs`` with ``items``: ids of the benchmark items that its text overlaps.
 
     Words are runs of ASCII letters, digits and all beyond ASCII, lower-cased in A-Z. A text overlaps an item if, laid
-    beside it, thirteen neighbouring words of both agree in at least eleven places; an item of nine to twelve words
-    must be there whole; shorter items are too little evidence and are not looked for. Null texts, ids and tables
+    beside it, thirteen neighbouring words of both agree in at least eleven places; an item of five to twelve words
+    must be there whole; one of fewer words is common speech in a longer text, so it must be the whole text. An item
+    without words overlaps nothing. Null texts, ids and tables
     without rows overlap nothing; items without an id are left out; repeated rows are judged alike. The new column is
     ``items``, with an underscore more where ``columns`` has that name.
 

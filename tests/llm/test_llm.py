@@ -166,6 +166,11 @@ def test_decontamination_equals_brute_force(spark, docs, rows):
     rng = np.random.default_rng(2)
     long = [t for _, t, *_ in rows if t and len(t.split()) > 30]
     items = [(i, " ".join(long[i].split()[3 : 3 + n])) for i, n in enumerate((13, 20, 9, 8, 25, 12))] + [(90, None), (None, "x")]
+    items += [(40 + n, " ".join(long[n].split()[5 : 5 + n])) for n in range(1, 9)]  # short ones, some found whole in many texts
+    items += [(60, ""), (61, "..."), (62, "short whole text"), (63, "Five words, and no more."), (64, "five words and no more")]
+    texts = ["Short: whole text!", "a short whole text", "so five words and no MORE of it", "five words and nothing more"]
+    docs = docs.unionByName(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"), allowMissingColumns=True)
+    rows = [*rows, *((9000 + i, t) for i, t in enumerate(texts))]
     for i in range(6, 12):  # with substitutions
         w = long[i].split()[2:22]
         for j in rng.integers(0, 20, i - 5):
@@ -179,7 +184,7 @@ def test_decontamination_equals_brute_force(spark, docs, rows):
             x = cut(other)
             size = min(13, len(x))
             needed = 11 if size == 13 else size
-            if item is not None and size >= 9 and any(
+            if item is not None and (size >= 5 or 0 < size == len(w)) and any(
                 sum(w[p + k] == x[q + k] for k in range(size)) >= needed for p in range(len(w) - size + 1) for q in range(len(x) - size + 1)
             ):
                 found.append(item)
@@ -385,6 +390,12 @@ def test_url_rules_and_model(spark):
     assert out[3] == ("a.net", "/es/", "net/es/", "block")
     assert all(out[i][:3] == ("", "", None) for i in (4, 5, 6))
     assert (out[7][3], out[8][3]) == ("block", "allow")
+    unseen = [("free-slots", 1), ("casino-win", 1), ("cheap-pills", 1), ("adult-x", 1), ("spam-farm", 1), ("bakery", 0), ("ththre", 0), ("village-hall", 0), ("lighthouse", 0), ("gardening", 0)]
+    taught = {name for r in urls.labelled_urls(spark).collect() for name in r["url"].split("/")[2].split(".")}
+    assert not taught & {name for name, _ in unseen}
+    sites = spark.createDataFrame([(n, f"http://www.{n}.example.com/fr/{y}", y) for n, y in unseen], "name string, url string, y int")
+    judged = urls.judge_urls(sites, [], model, ["name", "y"]).collect()
+    assert all((r["verdict"] == "block") == bool(r["y"]) for r in judged), judged
     assert urls.train(spark.createDataFrame([], "url string, unwanted int"))[1] == 0.0
     assert urls.judge_urls(pages.where("false"), queries.URL_RULES, model, ["page_id"]).count() == 0
 
