@@ -17,37 +17,40 @@ STEPS = 40
 RATE = 80.0
 SHRINK = 0.001
 
-# fixed values: words that make up the small labelled table (1: unwanted site, 0: ordinary site)
+# fixed values: names that make up the small labelled table (1: unwanted site, 0: ordinary site)
 _UNWANTED = (
-    "casino", "casino-win", "poker", "slots", "free-bets", "bets", "betting", "lottery", "jackpot", "adult", "adult-x",
-    "xxx", "porn", "sex-cams", "escort", "cheap-pills", "pills", "viagra", "pharma-deals", "spam", "spam-farm", "link-farm",
-    "ads", "ads-track", "adserver", "tracker", "clickbait", "popunder", "warez", "crack-keygen", "torrent", "payday-loans",
+    "casino", "online-casino", "royal-casino", "poker", "poker-room", "roulette", "slots", "lucky-slots", "bets", "live-bets",
+    "betting", "sports-betting", "lottery", "jackpot", "bonus-win", "win-cash", "win-prizes", "free-money", "free-prizes",
+    "free-spins", "adult", "adult-video", "adult-chat", "xxx", "xxx-tube", "x-rated", "porn", "sex-cams", "escort", "pills",
+    "diet-pills", "buy-pills", "cheap-meds", "cheap-watches", "cheap-replica", "viagra", "pharma-deals", "spam", "spam-mail",
+    "spam-links", "link-farm", "click-farm", "ads", "ads-network", "ads-banner", "adserver", "track-pixel", "click-track",
+    "tracker", "clickbait", "popunder", "warez", "crack-keygen", "torrent", "payday-loans",
 )
 _ORDINARY = (
-    "news", "library", "university", "school", "museum", "weather", "travel", "recipes", "garden", "science", "history",
-    "health", "government", "council", "archive", "wiki", "docs", "journal", "books", "music", "sports", "forum",
-    "research", "hospital", "theatre", "maps", "letters", "blog", "shop", "kitchen", "mountain", "river", "northern",
-    "weatherman", "brother", "mother", "other", "therein", "nation", "station", "ration", "motion", "reading", "writing",
-    "evening", "morning", "string", "ring", "thing", "table", "able", "stable", "noble", "hand", "sand", "land", "wind",
-    "east", "west", "coast", "forest", "honest", "linen", "onion", "union", "region", "reason", "season", "person",
-    "heron", "baron", "iron", "enter", "winter", "inter", "water", "letter", "seed", "need", "feed", "wheat", "heat",
-    "that", "thin", "three", "thorn", "north", "earth", "worth", "youth", "south", "mouth", "daily", "family", "early",
-    "rely", "only", "ash", "fish", "dish", "wash", "area", "idea", "sea", "tea", "year", "hour", "four", "your", "house",
-    "schule", "bericht", "einheit", "zeitung", "wetter", "stadt", "maison", "école", "jardin", "musique", "ciudad",
-    "escuela", "tiempo", "noticias",
+    "news", "library", "city-library", "university", "school", "museum", "weather", "travel", "recipes", "garden", "science",
+    "data-science", "history", "health", "well-being", "government", "council", "archive", "film-archive", "wiki", "docs",
+    "journal", "books", "music", "sports", "forum", "research", "hospital", "theatre", "maps", "letters", "blog", "shop",
+    "kitchen", "mountain", "river", "northern", "free-software", "open-source", "organic-farm", "farm-life", "railway-track",
+    "city-guide", "long-read", "home-page", "weatherman", "brother", "mother", "other", "therein", "nation", "station",
+    "ration", "motion", "reading", "writing", "evening", "morning", "string", "ring", "thing", "table", "able", "stable",
+    "noble", "hand", "sand", "land", "wind", "east", "west", "coast", "forest", "honest", "linen", "onion", "union", "region",
+    "reason", "season", "person", "heron", "baron", "iron", "enter", "winter", "inter", "water", "letter", "seed", "need",
+    "feed", "wheat", "heat", "that", "thin", "three", "thorn", "north", "earth", "worth", "youth", "south", "mouth", "daily",
+    "family", "early", "rely", "only", "ash", "fish", "dish", "wash", "area", "idea", "sea", "tea", "year", "hour", "four",
+    "your", "house", "schule", "bericht", "einheit", "zeitung", "wetter", "stadt", "maison", "école", "jardin", "musique",
+    "ciudad", "escuela", "tiempo", "noticias",
 )
-_HOSTS = ("{}.example.com", "www.{}.example.org", "m.{}.example.net", "blog.{}.example.com")
+_HOSTS = ("{}.com", "www.{}.org", "m.{}.net", "blog.{}.info", "{}.co.uk")
 _PATHS = ("/", "/en/12.html", "/page/7?ref=x", "/de/index")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, unwanted): every listed word as a site, with neutral paths."""
+    """The small labelled table (url, unwanted): every listed name under each form of host, with neutral paths."""
     rows = []
     for label, names in ((1, _UNWANTED), (0, _ORDINARY)):
         for i, name in enumerate(names):
-            for j in range(2):
-                host = _HOSTS[(i + j * 2) % len(_HOSTS)].format(name)
-                rows.append((f"https://{host}{_PATHS[(i + j) % len(_PATHS)]}", label))
+            for j, host in enumerate(_HOSTS):
+                rows.append((f"https://{host.format(name)}{_PATHS[(i + j) % len(_PATHS)]}", label))
     return spark.createDataFrame(rows, "url string, unwanted int")
 
 
