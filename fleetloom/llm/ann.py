@@ -18,8 +18,8 @@ LEAF = 128
 #: Queries whose neighbours are found by brute force to set the number of leaves to visit, and the recall they must reach.
 CALIBRATION = 128
 RECALL = 0.96
-#: Queries that are compared with the visited leaves in one pass over the index.
-QUERY_BLOCK = 4096
+#: Rows and queries of a leaf that one task compares at once; a leaf with more of either is cut into cells.
+CELL = 32_768
 
 
 class Tree:
@@ -79,13 +79,13 @@ class Tree:
 
     def visits(self, vector: np.ndarray, enough: int, sizes: np.ndarray | None = None, fewest: int = 0) -> list[int]:
         """``enough`` leaves in the order of a best-bin-first traversal, and more until they hold ``fewest`` of ``sizes``."""
-        distance = ((self.centres - vector) ** 2).sum(axis=1)
         queue, found, held = [(0.0, 0)], [], 0
         while queue and (len(found) < enough or held < fewest):
             _, node = heapq.heappop(queue)
-            if self.children[node]:
-                for child in self.children[node]:
-                    heapq.heappush(queue, (distance[child], child))
+            if children := self.children[node]:
+                distance = ((self.centres[children] - vector) ** 2).sum(axis=1)
+                for ahead in zip(distance.tolist(), children, strict=True):
+                    heapq.heappush(queue, ahead)
             else:
                 found.append(self.leaf_number[node])
                 held += 0 if sizes is None else int(sizes[found[-1]])
@@ -123,18 +123,30 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 10, every: int = 100, fit_sample: int = FIT_SAMPLE, leaf: int = LEAF, recall: float = RECALL, calibration: int = CALIBRATION
+    vectors: DataFrame,
+    k: int = 10,
+    every: int = 100,
+    fit_sample: int = FIT_SAMPLE,
+    leaf: int = LEAF,
+    recall: float = RECALL,
+    calibration: int = CALIBRATION,
+    cell: int = CELL,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row whose id is divisible by ``every``.
 
     Nearness is Euclidean distance on the given vectors; ties go to the smaller id; a query with fewer candidates gets
     all. Vectors that are null, empty, zero, or hold null or non-finite parts take no part, nor do rows without an id
-    and vectors of another than the commonest dimension. Repeated rows count once. An empty table gives no rows.
+    and vectors of another than the commonest dimension. Repeated rows count once. An id with several different vectors
+    stands for as many rows: each is asked and each is a candidate, and the answers are ranked together. An empty table
+    gives no rows.
 
     Equal vectors are one row of the index with their ``k + 1`` smallest ids, more of which no result can hold, so a
     vector in a third of all rows is no hot leaf. The tree is fitted on at most ``fit_sample`` of the vectors and
     indexes all. How many leaves are visited is widened until the true neighbours of ``calibration`` queries, found by
     brute force over all rows, are covered to ``recall``; a query whose leaves hold too few ids for ``k`` visits more.
+
+    Queries meet the rows of their leaves by a shuffle on the leaf. Where a leaf has more than ``cell`` rows or queries,
+    both are dealt into cells, so that each pair of them meets in one cell and no task holds more than ``cell`` of either.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors)
@@ -165,9 +177,9 @@ def nearest_neighbours(
     searches = cut_lineage(asked.select("v").distinct().withColumn("search", F.monotonically_increasing_id()))
     trial = np.array([r["v"] for r in searches.orderBy(F.xxhash64("v")).limit(calibration).collect()], float).reshape(-1, common["d"])
     visits = _calibrated(placed, tree, trial, k, recall)
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("ids")).collect():
-        sizes[r["leaf"]] = r["ids"]
+    sizes, rows_of = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+    for r in placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("ids"), F.count("*").alias("rows")).collect():
+        sizes[r["leaf"]], rows_of[r["leaf"]] = r["ids"], r["rows"]
 
     def choose(batches):
         for batch in batches:
@@ -175,14 +187,19 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([batch.column("search"), batch.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["search", "v", "leaves"])
 
     chosen = cut_lineage(searches.select("search", "v").mapInArrow(choose, "search long, v array<double>, leaves array<int>"))
-    blocks = -(-chosen.count() // QUERY_BLOCK)
-    near = None
-    for i in range(blocks):
-        block = chosen.where(F.pmod(F.xxhash64("search"), F.lit(blocks)) == i).collect()
-        part = placed.mapInArrow(_scan(spark.sparkContext.broadcast(block), tree.leaves, k + 1), "search long, vec_id long, score double")
-        near = part if near is None else near.unionByName(part)
-    if near is None:
-        return spark.createDataFrame([], out)
+    requests = chosen.select("search", F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
+    # a row for each leaf, at most a quarter of the fitted sample
+    asked_of = {r["leaf"]: r["count"] for r in requests.groupBy("leaf").count().collect()}
+    parts = spark.createDataFrame(
+        [(i, -(-int(rows_of[i]) // cell), -(-n // cell)) for i, n in asked_of.items() if rows_of[i]], "leaf int, row_parts int, query_parts int"
+    )
+    # a side keeps its own part and goes to all parts of the other
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = placed.join(parts, "leaf").withColumn("row_part", F.pmod(F.xxhash64("v"), "row_parts")).withColumn("query_part", all_of("query_parts"))
+    there = requests.join(parts, "leaf").withColumn("query_part", F.pmod(F.xxhash64("search"), "query_parts")).withColumn("row_part", all_of("row_parts"))
+    key = ["leaf", "row_part", "query_part"]
+    there, here = there.select(*[F.col(c).cast("int") for c in key], "search", "q"), here.select(*[F.col(c).cast("int") for c in key], "v", "ids")
+    near = there.groupBy(*key).cogroup(here.groupBy(*key)).applyInArrow(_compare(k + 1), "search long, vec_id long, score double")
     by_score = Window.partitionBy("search").orderBy("score", "vec_id")
     near = near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1).select("search", "vec_id", "score")
     named = asked.select(F.col("vec_id").alias("query_id"), "v").join(searches, "v").select("query_id", "search")
@@ -191,35 +208,18 @@ def nearest_neighbours(
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _scan(sent, leaves: int, k: int):
-    """The nearest rows of a partition for each query of a block, among the rows of the leaves that it visits."""
+def _compare(k: int):
+    """The nearest rows of a cell for each of its queries."""
 
-    def run(batches):
-        block = sent.value
-        if not block:
-            return
-        queries = np.array([r["v"] for r in block], float)
-        visited = np.zeros((len(block), leaves), bool)
-        for i, r in enumerate(block):
-            visited[i, r["leaves"]] = True
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(block)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            leaf, rows, ids = batch.column("leaf").to_numpy(zero_copy_only=False), _matrix(batch.column("v")), batch.column("ids").to_pylist()
-            for i in range(len(block)):
-                own = np.flatnonzero(visited[i][leaf])
-                if len(own) == 0:
-                    continue
-                ((distance, found, _),) = _nearest(queries[i : i + 1], rows[own], [ids[j] for j in own.tolist()], k)
-                distance, found = np.concatenate([best[i][0], distance]), np.concatenate([best[i][1], found])
-                order = np.lexsort((found, distance))[:k]
-                best[i] = (distance[order], found[order])
-        n = [len(x) for x, _ in best]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([r["search"] for r in block], n), pa.int64()), pa.array(np.concatenate([x for _, x in best])), pa.array(np.concatenate([x for x, _ in best]))],
-            names=["search", "vec_id", "score"],
-        )
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        searches, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if asked.num_rows and rows.num_rows:
+            near = _nearest(_matrix(asked.column("q")), _matrix(rows.column("v")), rows.column("ids").to_pylist(), k)
+            for search, (distance, ids, _) in zip(asked.column("search").to_pylist(), near, strict=True):
+                searches.append(np.full(len(ids), search, np.int64))
+                found.append(ids)
+                scores.append(distance)
+        return pa.table({"search": np.concatenate(searches), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return run
 

@@ -409,6 +409,8 @@ def test_neighbours_reach_recall_and_exact_scores(spark):
     out = defaultdict(list)
     for r in ann.nearest_neighbours(table, leaf=16).orderBy("query_id", "rank").collect():
         out[r["query_id"]].append((r["vec_id"], r["score"]))
+    in_cells = ann.nearest_neighbours(table, leaf=16, cell=3).orderBy("query_id", "rank").collect()  # leaves cut on both sides
+    assert [tuple(r) for r in in_cells] == [(q, i + 1, *x) for q in sorted(out) for i, x in enumerate(out[q])]
     hits = 0
     for q in range(0, 1500, 100):
         distance = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
