@@ -18,7 +18,7 @@ LEAF = 128
 #: Queries whose neighbours are found by brute force to set the number of leaves to visit, and the recall they must reach.
 CALIBRATION = 128
 RECALL = 0.96
-#: Rows and queries of a leaf that one task compares at once; a leaf with more of either is cut into cells.
+#: Rows and queries that one task compares at once: small leaves share a cell, big ones are cut into several.
 CELL = 32_768
 
 
@@ -99,15 +99,18 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int):
-    """The ``k`` nearest (distance, id) of every query; equal distances by the smaller id."""
+def _nearest(queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int, visited=None):
+    """The ``k`` nearest (distance, id) of every query, of the rows that it visits; equal distances by the smaller id."""
     lengths = np.array([len(x) for x in ids])
     flat = np.concatenate([np.array(x, np.int64) for x in ids])
     owner = np.repeat(np.arange(len(ids)), lengths)
-    for q in queries:
-        distance = np.sqrt(((rows - q) ** 2).sum(axis=1))
-        kth = np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.inf
-        close = np.flatnonzero((distance <= kth)[owner])
+    for i, q in enumerate(queries):
+        own = np.arange(len(rows)) if visited is None else np.flatnonzero(visited(i))
+        to_own = np.sqrt(((rows[own] - q) ** 2).sum(axis=1))
+        kth = np.partition(to_own, k - 1)[k - 1] if len(to_own) > k else np.inf
+        distance, near = np.full(len(rows), np.inf), np.zeros(len(rows), bool)
+        distance[own], near[own] = to_own, to_own <= kth
+        close = np.flatnonzero(near[owner])
         order = close[np.lexsort((flat[close], distance[owner[close]]))[:k]]
         yield distance[owner[order]], flat[order], owner[order]
 
@@ -145,8 +148,9 @@ def nearest_neighbours(
     indexes all. How many leaves are visited is widened until the true neighbours of ``calibration`` queries, found by
     brute force over all rows, are covered to ``recall``; a query whose leaves hold too few ids for ``k`` visits more.
 
-    Queries meet the rows of their leaves by a shuffle on the leaf. Where a leaf has more than ``cell`` rows or queries,
-    both are dealt into cells, so that each pair of them meets in one cell and no task holds more than ``cell`` of either.
+    Queries meet the rows of their leaves by a shuffle on groups of neighbouring leaves, of about ``cell`` rows. Where a
+    group has more rows or queries, both are dealt into cells, so that each pair of them meets in one cell and a task
+    holds about ``cell`` of either; a query goes to a group once, with its leaves there.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors)
@@ -181,25 +185,37 @@ def nearest_neighbours(
     for r in placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("ids"), F.count("*").alias("rows")).collect():
         sizes[r["leaf"]], rows_of[r["leaf"]] = r["ids"], r["rows"]
 
+    group_of = (np.cumsum(rows_of) - rows_of) // cell
+
     def choose(batches):
         for batch in batches:
-            leaves = [sent.value.visits(q, visits, sizes, k + 1) for q in _matrix(batch.column("v"))]
-            yield pa.RecordBatch.from_arrays([batch.column("search"), batch.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["search", "v", "leaves"])
-
-    chosen = cut_lineage(searches.select("search", "v").mapInArrow(choose, "search long, v array<double>, leaves array<int>"))
-    requests = chosen.select("search", F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
-    # a row for each leaf, at most a quarter of the fitted sample
-    asked_of = {r["leaf"]: r["count"] for r in requests.groupBy("leaf").count().collect()}
-    parts = spark.createDataFrame(
-        [(i, -(-int(rows_of[i]) // cell), -(-n // cell)) for i, n in asked_of.items() if rows_of[i]], "leaf int, row_parts int, query_parts int"
-    )
+            row, group, leaves = [], [], []
+            for i, q in enumerate(_matrix(batch.column("v"))):
+                visited = np.array(sent.value.visits(q, visits, sizes, k + 1))
+                for g in np.unique(group_of[visited]).tolist():
+                    row.append(i)
+                    group.append(g)
+                    leaves.append(visited[group_of[visited] == g].tolist())
+            kept = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("search").take(kept), batch.column("v").take(kept), pa.array(group, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))],
+                names=["search", "q", "group", "leaves"],
+            )
+
+    requests = cut_lineage(searches.select("search", "v").mapInArrow(choose, "search long, q array<double>, group long, leaves array<int>"))
+    # a row for each group or leaf, of which there are at most a quarter of the fitted sample
+    asked_of = {r["group"]: r["count"] for r in requests.groupBy("group").count().collect()}
+    rows_in = np.bincount(group_of, weights=rows_of)
+    parts = spark.createDataFrame([(g, -(-int(rows_in[g]) // cell), -(-n // cell)) for g, n in asked_of.items() if rows_in[g]], "group long, row_parts int, query_parts int")
+    groups = spark.createDataFrame(list(enumerate(group_of.tolist())), "leaf int, group long")
     # a side keeps its own part and goes to all parts of the other
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    here = placed.join(parts, "leaf").withColumn("row_part", F.pmod(F.xxhash64("v"), "row_parts")).withColumn("query_part", all_of("query_parts"))
-    there = requests.join(parts, "leaf").withColumn("query_part", F.pmod(F.xxhash64("search"), "query_parts")).withColumn("row_part", all_of("row_parts"))
-    key = ["leaf", "row_part", "query_part"]
-    there, here = there.select(*[F.col(c).cast("int") for c in key], "search", "q"), here.select(*[F.col(c).cast("int") for c in key], "v", "ids")
-    near = there.groupBy(*key).cogroup(here.groupBy(*key)).applyInArrow(_compare(k + 1), "search long, vec_id long, score double")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    part_of = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    here = placed.join(groups, "leaf").join(parts, "group").withColumn("row_part", part_of("v", "row_parts")).withColumn("query_part", all_of("query_parts"))
+    there = requests.join(parts, "group").withColumn("query_part", part_of("search", "query_parts")).withColumn("row_part", all_of("row_parts"))
+    key = ["group", "row_part", "query_part"]
+    there, here = there.select(*key, "search", "q", "leaves"), here.select(*key, "leaf", "v", "ids")
+    near = there.groupBy(*key).cogroup(here.groupBy(*key)).applyInArrow(_compare(tree.leaves, k + 1), "search long, vec_id long, score double")
     by_score = Window.partitionBy("search").orderBy("score", "vec_id")
     near = near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1).select("search", "vec_id", "score")
     named = asked.select(F.col("vec_id").alias("query_id"), "v").join(searches, "v").select("query_id", "search")
@@ -208,13 +224,20 @@ def nearest_neighbours(
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _compare(k: int):
-    """The nearest rows of a cell for each of its queries."""
+def _compare(leaves: int, k: int):
+    """The nearest rows of a cell for each of its queries, among those of the leaves that it visits."""
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         searches, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if asked.num_rows and rows.num_rows:
-            near = _nearest(_matrix(asked.column("q")), _matrix(rows.column("v")), rows.column("ids").to_pylist(), k)
+            leaf, wanted = rows.column("leaf").to_numpy(), asked.column("leaves").to_pylist()
+
+            def visited(i):
+                mask = np.zeros(leaves, bool)
+                mask[wanted[i]] = True
+                return mask[leaf]
+
+            near = _nearest(_matrix(asked.column("q")), _matrix(rows.column("v")), rows.column("ids").to_pylist(), k, visited)
             for search, (distance, ids, _) in zip(asked.column("search").to_pylist(), near, strict=True):
                 searches.append(np.full(len(ids), search, np.int64))
                 found.append(ids)
