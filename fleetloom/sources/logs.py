@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions.columns import parse_rfc3339
 
-PARTITIONS = "namespace STRING, workspace STRING, container STRING, value STRING"
+CONTAINER = ["namespace", "workspace", "container"]
 
 
 def parse_log_lines(df: DataFrame) -> DataFrame:
@@ -22,10 +22,41 @@ def parse_log_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Text files under ``namespace=…/workspace=…/container=…`` folders."""
-    return parse_log_lines(spark.read.schema(PARTITIONS).option("basePath", path).text(path))
+def prefixed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``value`` with the ``keys`` before it, ``[ws-1/main] text``, as a collector writes the lines of many containers
+    to one file. A null key is empty, a null ``value`` too; the names themselves hold no slash, blank or bracket."""
+    told = F.concat_ws("/", *[F.coalesce(F.col(key), F.lit("")) for key in keys])
+    value = F.concat(F.lit("["), told, F.lit("] "), F.coalesce("value", F.lit("")))
+    return lines.withColumn("value", value).drop(*keys)
 
 
-def stream_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_log_lines(spark.readStream.schema(PARTITIONS).option("basePath", path).text(path))
+def unprefixed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``keys`` that :func:`prefixed` put before ``value``; lines without them keep the whole text, keys are null."""
+    if not keys:
+        return lines
+    pattern = r"^\[" + "/".join([r"([^/\] ]*)"] * len(keys)) + r"\] "
+    found = [F.regexp_extract("value", pattern, n).alias(key) for n, key in enumerate(keys, 1)]
+    told = [F.when(F.col(key) != "", F.col(key)).alias(key) for key in keys]
+    rest = F.regexp_replace("value", pattern, "").alias("value")
+    others = [column for column in lines.columns if column != "value"]
+    return lines.select(*others, *found, rest).select(*others, *told, "value")
+
+
+def _lines(reader, path: str, folders: list[str]) -> DataFrame:
+    schema = ", ".join(f"{name} STRING" for name in [*folders, "value"])
+    lines = reader.schema(schema).option("basePath", path).text(path)
+    keyed = unprefixed(lines, [key for key in CONTAINER if key not in folders])
+    return parse_log_lines(keyed).select(*CONTAINER, "ts", "line")
+
+
+def read_logs(spark: SparkSession, path: str, folders: list[str] = CONTAINER) -> DataFrame:
+    """Text files under ``namespace=…/workspace=…/container=…`` folders.
+
+    With fewer ``folders`` the other keys stand before each line (:func:`prefixed`): a folder for each container is a
+    file at least for each, which a large fleet's logs should not be.
+    """
+    return _lines(spark.read, path, folders)
+
+
+def stream_logs(spark: SparkSession, path: str, folders: list[str] = CONTAINER) -> DataFrame:
+    return _lines(spark.readStream, path, folders)

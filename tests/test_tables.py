@@ -14,7 +14,7 @@ from fleetloom.operators import aggregates as A
 from fleetloom.operators import diffs as D
 from fleetloom.operators.filters import relevant_event
 from fleetloom.sources import snapshots as S
-from fleetloom.sources.logs import read_logs
+from fleetloom.sources.logs import CONTAINER, prefixed, read_logs, stream_logs
 from fleetloom.sources.usage import read_usage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,6 +42,33 @@ def test_read_logs_and_usage(spark, tmp_path):
     assert rows(read_usage(spark, str(tmp_path / "u")), "container", "cpu", "memory") == [("main", "50m", "64Mi")]
 
 
+@pytest.mark.parametrize("folders", [["namespace"], []])
+def test_logs_of_many_containers_share_files(spark, tmp_path, folders):
+    path = str(tmp_path / "logs")
+    data = [("n", f"w{i}", c, f"2024-01-01T00:00:01Z [a/b] {i}") for i in range(300) for c in ("main", "proxy")]
+    data += [("n", "w1", "main", "no time"), ("n", "w1", "main", None), ("n", None, "main", "2024-01-01T00:00:01Z  x ")]
+    lines = spark.createDataFrame(data, "namespace string, workspace string, container string, value string").coalesce(2)
+    keys = [key for key in CONTAINER if key not in folders]
+    prefixed(lines, keys).write.partitionBy(*folders).text(path)
+    assert len(list((tmp_path / "logs").rglob("*.txt"))) == 2
+    expected = [("n", f"w{i}", c, 1704067201, f"[a/b] {i}") for i in range(300) for c in ("main", "proxy")]
+    expected += [("n", "w1", "main", None, "no time"), ("n", "w1", "main", None, ""), ("n", None, "main", 1704067201, " x ")]
+    read = read_logs(spark, path, folders)
+    assert rows(read, *CONTAINER, F.unix_seconds("ts"), "line") == sorted(expected, key=repr)
+    stream = stream_logs(spark, path, folders)
+    assert stream.isStreaming and stream.schema == read.schema
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="given tables are not here")
+@pytest.mark.parametrize("name", ["read_logs", "stream_logs"])
+def test_log_queries_write_few_files(spark, name, tmp_path, monkeypatch):
+    from fleetloom.plans.queries import scans
+
+    monkeypatch.setattr(scans, "_folder", lambda t, made=[]: made.append(0) or str(tmp_path / f"f{len(made)}"))
+    assert entry_module.queries()[name](spark, FOLDER).select("workspace").distinct().count() > 50
+    assert len(list(tmp_path.rglob("*.txt"))) < 26 * 16
+
+
 def test_only_changes_are_written(spark, tmp_path):
     schema = "namespace string, name string, v string, m map<string,string>"
     old = spark.createDataFrame([("n", "a", "1", {"x": "1", "y": "2"}), ("n", "b", None, None), ("n", "c", "1", {})], schema)
