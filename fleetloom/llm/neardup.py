@@ -14,6 +14,8 @@ from fleetloom.session import cut_lineage, forget
 #: 0.75 fewer than ten of 32 has a chance of 1e-8.
 RETAINED = 32
 LEAST_SHARED = 10
+#: Links that a task of the components takes: a round over few links needs no more tasks than the cluster has cores.
+LINKS_PER_TASK = 1 << 17
 #: Documents that one task compares among themselves when a list is compared in blocks.
 BLOCK = 512
 
@@ -125,19 +127,25 @@ def connected(links: DataFrame) -> DataFrame:
 
     Alternating star contraction: every node hands its larger, then its smaller neighbours to the smallest one it
     knows, until all links are stars. Rows never outgrow the links, and each round is written, so a lost executor
-    repeats one round only.
+    repeats one round only. Rounds have as many tasks as their links need: every round is a handful of stages, which cost
+    most where many partitions hold next to nothing.
     """
+    cores = links.sparkSession.sparkContext.defaultParallelism
+
+    def gathered(df: DataFrame) -> DataFrame:
+        return df.coalesce(max(cores, before[0] // LINKS_PER_TASK))
+
     links = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _digest(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut_lineage(large.where("a <> b").distinct())
+        large = cut_lineage(gathered(gathered(large.where("a <> b")).distinct()))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        done = cut_lineage(small.where("a <> b").distinct())
+        done = cut_lineage(gathered(gathered(small.where("a <> b")).distinct()))
         settled = (now := _digest(done)) == before
         forget(large, done if settled else links)
         if settled:
@@ -173,14 +181,31 @@ def _held(column) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
 
 
-def _holders(values: np.ndarray, row: np.ndarray):
-    """For every value with several rows, in order: the value and its rows."""
+#: Rows of a block that make a value frequent there, and how many frequent values are counted at a time.
+_FREQUENT, _AT_ONCE = 64, 1024
+
+
+def _common(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many values every two of a block's rows share; a row holds a value once.
+
+    Frequent values are counted by a product of matrices, for each of them pair by pair would be the square of a block.
+    """
     order = np.argsort(values, kind="stable")
     values, row = values[order], row[order]
     edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
-    several = np.flatnonzero(np.diff(edges) > 1)
-    for s, e in zip(edges[several].tolist(), edges[several + 1].tolist(), strict=True):
-        yield values[s], row[s:e]
+    held = np.diff(edges)
+    shared = np.zeros((rows, rows), np.float32)
+    frequent = np.flatnonzero(held >= _FREQUENT)
+    for low in range(0, len(frequent), _AT_ONCE):
+        some = frequent[low : low + _AT_ONCE]
+        holds = np.zeros((rows, len(some)), np.float32)
+        for k, v in enumerate(some.tolist()):
+            holds[row[edges[v] : edges[v + 1]], k] = 1
+        shared += holds @ holds.T
+    rare = np.flatnonzero((held > 1) & (held < _FREQUENT))
+    for s, e in zip(edges[rare].tolist(), edges[rare + 1].tolist(), strict=True):
+        shared[np.ix_(row[s:e], row[s:e])] += 1
+    return shared
 
 
 def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -203,14 +228,11 @@ def _candidates(table: pa.Table, retained: int, least: int, percent: int) -> pa.
     comps, sizes, sides, value = _columns(table, "component", "n", "side", "value")
     fits = np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * percent
     open_pairs = _apart(comps, sides) & fits
-    for code, held in _holders(*_held(table.column("listed"))):
-        if code >= value[0]:
-            break
-        open_pairs[np.ix_(held, held)] = False
+    listed, row = _held(table.column("listed"))
+    earlier = listed < value[0]
+    open_pairs &= _common(listed[earlier], row[earlier], len(comps)) == 0
     if open_pairs.any():
-        shared = np.zeros(open_pairs.shape, np.int16)
-        for _, held in _holders(*_held(table.column("sketch"))):
-            shared[np.ix_(held, held)] += 1
+        shared = _common(*_held(table.column("sketch")), len(comps))
         open_pairs &= shared >= np.minimum(least, -(-np.minimum(np.minimum.outer(sizes, sizes), retained) * percent // 100))
     return table.select(["value", "home", "other", "side", "node", "n", "component"]).filter(pa.array(open_pairs.any(axis=0)))
 
@@ -219,9 +241,7 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
     """Links by exact Jaccard among the rows of a block, only as many as join their components: fewer than rows."""
     nodes, comps, sizes, sides = _columns(table, "node", "component", "n", "side")
     blobs = [np.frombuffer(x.as_buffer(), U64) for x in table.column("members")]
-    both = np.zeros((len(nodes), len(nodes)), np.int32)
-    for _, held in _holders(np.concatenate(blobs), np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])):
-        both[np.ix_(held, held)] += 1
+    both = _common(np.concatenate(blobs), np.repeat(np.arange(len(blobs)), [len(x) for x in blobs]), len(nodes)).astype(np.int64)
     linked = _apart(comps, sides) & (100 * both >= percent * (np.add.outer(sizes, sizes) - both))
     leader = {c: c for c in comps.tolist()}
 
@@ -242,7 +262,8 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
 def _block_links(lists: DataFrame, described: DataFrame, sets: DataFrame, retained: int, least: int, percent: int, block: int) -> DataFrame:
     """What still links the components of a list, compared in blocks of about ``block`` rows.
 
-    A component of that size has blocks of its own, which are compared with all blocks but its own; smaller ones share
+    Blocks are few bytes and much work, so they are dealt over all partitions, which adaptive execution would coalesce to
+    a task or two. A component of that size has blocks of its own, which are compared with all blocks but its own; smaller ones share
     blocks. The sketches choose which rows of two blocks have partners, the full sets of these decide; at most a
     forest of links leaves a task.
     """
@@ -260,14 +281,15 @@ def _block_links(lists: DataFrame, described: DataFrame, sets: DataFrame, retain
     pairs = blocks.join(blocks.select("value", F.col("home").alias("other")), "value")
     pairs = pairs.where((F.col("home") <= F.col("other")) & (F.col("home.own").isNull() | ~F.col("home.own").eqNullSafe(F.col("other.own"))))
     key = ["value", "home", "other"]
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = dealt.join(pairs, ["value", "home"]).select(*key, "node", "n", "component", F.lit(0).alias("side"))
     second = dealt.withColumnRenamed("home", "other").join(pairs.where("home <> other"), ["value", "other"])
     second = second.select(*key, "node", "n", "component", F.lit(1).alias("side"))
     met = first.unionByName(second).join(described, "node")
     chosen = met.select(*key, "side", "node", "n", "component").schema
-    partners = met.groupBy(*key).applyInArrow(lambda t: _candidates(t, retained, least, percent), chosen)
+    partners = met.repartition(tasks, *key).groupBy(*key).applyInArrow(lambda t: _candidates(t, retained, least, percent), chosen)
     full = cut_lineage(partners).join(sets, "node")
-    return full.groupBy(*key).applyInArrow(lambda t: _forest(t, percent), "a long, b long").distinct()
+    return full.repartition(tasks, *key).groupBy(*key).applyInArrow(lambda t: _forest(t, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
