@@ -54,7 +54,7 @@ def _chunked(batches):
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """The texts and ids of ``docs`` (null text: empty) as a written table of chunks."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, "16m")  # chunks of CHUNK_BYTES are cut from a batch
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut_lineage(columns.mapInArrow(_chunked, _SCHEMA))
 

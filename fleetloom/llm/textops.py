@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at a time (a longer document is a slice of its own).
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BLOCK = 1 << 20
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -150,11 +150,19 @@ def frugal(run):
     return wrapped
 
 
-def bounded_batches(spark) -> None:
-    """Arrow batches of at most 16 MB, unless the session has another size than Spark's own."""
+#: Sizes that :func:`bounded_batches` has set.
+_BATCHES: set[str] = set()
+
+
+def bounded_batches(spark, most: str = "4m") -> None:
+    """Arrow batches of at most ``most``, unless the session has another size than Spark's own or one set here.
+
+    A batch lies in the JVM's own memory, in the worker's and once more on its way back, beside what the step makes of it.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB"):
-        spark.conf.set(key, "16m")
+    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB", *_BATCHES):
+        _BATCHES.add(most)
+        spark.conf.set(key, most)
 
 
 def free_name(name: str, taken) -> str:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, queries, repeats, suffix_dedup, urls
+from fleetloom.llm import ann, brown, decontam, fm_dedup, langid, lines, neardup, packing, queries, repeats, suffix_dedup, textops, urls
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -116,6 +116,53 @@ def test_a_frequent_phrase_in_different_texts_is_spread_over_shards(spark, of_wo
     assert told(repeats.repeated(table, windows, guarded, module._digested, columns, not of_words), "*") == told(whole(table, digest=True), "*")
 
 
+def test_blocks_are_dealt_over_all_partitions_and_rounds_are_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df: df)
+    lists = spark.createDataFrame([(1, n, 1, n) for n in range(8)], "value long, node long, n long, component long")
+    described = spark.createDataFrame([(n, [1], [1]) for n in range(8)], "node long, listed array<long>, sketch array<long>")
+    sets = spark.createDataFrame([(n, bytes(8)) for n in range(8)], "node long, members binary")
+    found = neardup._block_links(lists, described, sets, 32, 10, 75, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
+    assert {x for r in found.collect() for x in r} == set(range(8))
+    monkeypatch.undo()
+    written = []
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df, f=neardup.cut_lineage: written.append(f(df)) or written[-1])
+    before, key = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(neardup, "forget", lambda *tables: None)
+    spark.conf.set(key, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        chain = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+        assert {r["component"] for r in neardup.connected(chain).collect()} == {0}
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(len(table.inputFiles()) <= spark.sparkContext.defaultParallelism for table in written[1:])
+
+
+def test_values_that_rows_of_a_block_share():
+    rng = np.random.default_rng(5)
+    rows = [rng.choice(300, 40, replace=False) if i % 3 else np.arange(30) for i in range(150)]
+    rows[7] = np.zeros(0, np.int64)
+    got = neardup._common(np.concatenate(rows), np.repeat(np.arange(150), [len(r) for r in rows]), 150)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in rows] for a in rows]
+
+
+def test_arrow_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, most, left in (("64m", "4m", "4m"), ("4m", "16m", "16m"), ("16m", "4m", "4m"), ("3m", "4m", "3m")):
+            spark.conf.set(key, given)
+            textops.bounded_batches(spark, most)
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, before)
+    low, high = next(iter(textops.slices(np.arange(0, 1 << 22, 1 << 10))))
+    assert (high - low) << 10 <= 1 << 18
+
+
 def test_near_duplicates_equal_brute_force(docs, rows):
     sets = []
     for _, text, *_ in rows:
