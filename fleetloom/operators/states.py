@@ -42,8 +42,9 @@ def _text(message: str, *values: Column) -> Column:
     return F.format_string(message, *[F.coalesce(value, F.lit("")) for value in values])
 
 
-def _last_condition(kind: str) -> Column:
-    return F.try_element_at(F.filter("pod.conditions", lambda c: c["type"] == kind), F.lit(-1))
+def _last_condition(kind: str, *fields: str) -> Column:
+    last = F.try_element_at(F.filter("conditions", lambda c: c["type"] == kind), F.lit(-1))
+    return F.when(last.isNotNull(), F.struct(*[last[field].alias(field) for field in fields]))
 
 
 # Types of which a workspace owns one object each, in the order in which doubles are found.
@@ -55,9 +56,10 @@ def owned_census(sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
 
     ``owned`` has the number and the smallest name of the objects of each type, ``set`` is the set of smallest name.
     ``others`` are (namespace, owner, type, name); types that a workspace may own many of are not counted. Objects are
-    reduced before they move, so an owner of most objects is one row a task.
+    reduced before they move, so an owner of most objects is one row a task. A ``warning`` of ``sets`` stays with its set.
     """
-    chosen = F.struct("name", "uid", "generation", "observed_generation", "update_revision").alias("set")
+    told = ["warning"] if "warning" in sets.columns else []
+    chosen = F.struct("name", "uid", "generation", "observed_generation", "update_revision", *told).alias("set")
     rows = sets.select("namespace", "owner", F.lit(SET).alias("type"), "name", chosen)
     if others is not None:
         told = others.filter(F.col("type").isin(ACCOUNT, SERVICE, ROUTE)).select("namespace", "owner", "type", "name")
@@ -82,35 +84,46 @@ def state_inputs(
     events: DataFrame,
     others: DataFrame | None = None,
 ) -> DataFrame:
-    """Everything the decision list reads, one row per workspace. ``others`` are owned objects besides sets.
+    """What the decision list reads, one row per workspace. ``others`` are owned objects besides sets.
 
-    Events are reduced to the last warning per uid before they are joined, so a crashing pod that owns most of
-    them adds a single row.
+    Events are reduced to the last warning per uid before they are joined, so a crashing pod that owns most of them adds
+    a single row. The rows of workspaces are the widest, so warnings are joined to sets and pods instead, pods are reduced
+    to what is read of them, and names of owned objects stay only where there are several: the rows move for their
+    options, their name and their pod.
     """
-    rows = resolve_workspaces(
-        workspaces.select("namespace", "name", "kind", "paused", "image_id", "pod_id"), options, closure
-    )
     known = kinds.select(F.col("name").alias("kind"), F.lit(True).alias("kind_known"))
     ports = first_port_error(options, kinds)
+    asked = workspaces.select("namespace", "name", "kind", "paused", "image_id", "pod_id")
+    # ports and images have the same key, so that they share a shuffle
+    rows = resolve_workspaces(asked.join(ports, ["kind", "image_id"], "left"), options, closure)
+    rows = rows.join(known, "kind", "left").select(
+        "namespace", "name", "kind", "paused", "kind_known", "image_error", "pod_error", "port_error"
+    )
+    warnings = last_warning(events).select("namespace", "uid", F.struct("message").alias("warning"))
+    census = owned_census(sets.join(warnings, ["namespace", "uid"], "left"), others)
+
+    def several(kind: str) -> Column:
+        count, first = F.col(f"owned.{kind}.count"), F.col(f"owned.{kind}.first")
+        return F.struct(count.alias("count"), F.when(count > 1, first).alias("first")).alias(kind)
+
+    owned = F.struct(*[several(kind) for kind in (ACCOUNT, SET, SERVICE, ROUTE)])
+    main = main_container(F.col("containers"))
+    waiting = F.struct(*[main[field].alias(field) for field in ("waiting_reason", "waiting_message")])
     pod = pods.select(
         "namespace",
+        "uid",
         F.col("name").alias("pod_name"),
-        F.struct("name", "uid", "owner_uid", "revision", "phase", "deleting", "conditions", "containers").alias("pod"),
+        F.struct("name", "uid", "owner_uid", "revision", "phase", "deleting").alias("pod"),
+        _last_condition("PodScheduled", "status", "reason", "message").alias("scheduled"),
+        _last_condition("Ready", "status", "message").alias("ready"),
+        F.when(main.isNotNull(), waiting).alias("main"),
     )
-    warnings = last_warning(events).select("namespace", "uid", F.struct("message").alias("w"))
+    pod = pod.join(warnings.withColumnRenamed("warning", "pod_warning"), ["namespace", "uid"], "left").drop("uid")
     return (
-        rows.join(known, "kind", "left")
-        .join(owned_census(sets, others), ["namespace", "name"], "left")
-        .join(ports, ["kind", "image_id"], "left")
+        rows.join(census.withColumn("owned", F.when(F.col("owned").isNotNull(), owned)), ["namespace", "name"], "left")
         .withColumn("pod_name", F.concat("set.name", F.lit("-0")))
         .join(pod, ["namespace", "pod_name"], "left")
-        .withColumn("set_uid", F.col("set.uid"))
-        .withColumn("pod_uid", F.col("pod.uid"))
-        .join(warnings.withColumnsRenamed({"uid": "set_uid", "w": "set_warning"}), ["namespace", "set_uid"], "left")
-        .join(warnings.withColumnsRenamed({"uid": "pod_uid", "w": "pod_warning"}), ["namespace", "pod_uid"], "left")
-        .withColumn("scheduled", _last_condition("PodScheduled"))
-        .withColumn("ready", _last_condition("Ready"))
-        .withColumn("main", main_container(F.col("pod.containers")))
+        .withColumn("set_warning", F.col("set.warning"))
     )
 
 

@@ -316,3 +316,9 @@ def test_census_of_owned_types_counts_and_names_the_first(spark):
     assert S.derive_state(row).first()["state_message"] == "Workspace owns multiple StatefulSets: s1 and 1 more"
     alone = row.withColumn("owned", F.col("owned").withField("StatefulSet", F.struct(F.lit(1).cast("bigint").alias("count"), F.lit("s1").alias("first"))))
     assert S.derive_state(alone).first()["state_message"] == "Workspace owns multiple Services: svc-1 and 2 more"
+
+
+def test_a_warning_of_a_set_moves_with_it(spark):
+    schema = "namespace string, owner string, name string, uid string, generation bigint, observed_generation bigint, update_revision string, warning struct<message:string>"
+    sets = spark.createDataFrame([("n", "w", "s2", "u2", 1, 1, "r", ("late",)), ("n", "w", "s1", "u1", 1, 1, "r", ("first",)), ("n", "v", "s3", "u3", 1, 1, "r", None)], schema)
+    assert rows(S.owned_census(sets), "name", "set.uid", "set.warning.message") == [("v", "u3", None), ("w", "u1", "first")]
