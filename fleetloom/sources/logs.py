@@ -12,14 +12,12 @@ CONTAINER = ["namespace", "workspace", "container"]
 
 def parse_log_lines(df: DataFrame) -> DataFrame:
     """Split ``value`` into its leading timestamp and the text; lines without one keep the whole text."""
-    parts = F.split("value", " ", 2)
-    ts = parse_rfc3339(parts[0])
-    rest = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    return df.select(
-        *[column for column in df.columns if column != "value"],
-        ts.alias("ts"),
-        F.when(ts.isNotNull(), rest).otherwise(F.col("value")).alias("line"),
-    )
+    others = [column for column in df.columns if column != "value"]
+    # a projection for each step, so that nothing is taken from a line twice
+    told = df.withColumn("_first_word", F.substring_index("value", " ", 1))
+    told = told.withColumn("_told_ts", parse_rfc3339(F.col("_first_word")))
+    rest = F.expr("if(_told_ts is null, value, substring(value, length(_first_word) + 2))")
+    return told.select(*others, F.col("_told_ts").alias("ts"), rest.alias("line"))
 
 
 def prefixed(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,12 +32,15 @@ def unprefixed(lines: DataFrame, keys: list[str]) -> DataFrame:
     """The ``keys`` that :func:`prefixed` put before ``value``; lines without them keep the whole text, keys are null."""
     if not keys:
         return lines
-    pattern = r"^\[" + "/".join([r"([^/\] ]*)"] * len(keys)) + r"\] "
-    found = [F.regexp_extract("value", pattern, n).alias(key) for n, key in enumerate(keys, 1)]
-    told = [F.when(F.col(key) != "", F.col(key)).alias(key) for key in keys]
-    rest = F.regexp_replace("value", pattern, "").alias("value")
     others = [column for column in lines.columns if column != "value"]
-    return lines.select(*others, *found, rest).select(*others, *told, "value")
+    pattern = r"^\[" + "/".join([r"[^/\]]*"] * len(keys)) + r"\]\z"
+    told = lines.withColumn("_told", F.substring_index("value", " ", 1))
+    there = F.col("_told").rlike(pattern) & (F.length("_told") < F.length("value"))
+    names = F.split(F.expr("substring(_told, 2, length(_told) - 2)"), "/")
+    told = told.withColumn("_names", F.when(there, names))
+    found = [F.nullif(F.get("_names", F.lit(n)), F.lit("")).alias(key) for n, key in enumerate(keys)]
+    rest = F.expr("if(_names is null, value, substring(value, length(_told) + 2))").alias("value")
+    return told.select(*others, *found, rest)
 
 
 def _lines(reader, path: str, folders: list[str]) -> DataFrame:

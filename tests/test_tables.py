@@ -14,7 +14,7 @@ from fleetloom.operators import aggregates as A
 from fleetloom.operators import diffs as D
 from fleetloom.operators.filters import relevant_event
 from fleetloom.sources import snapshots as S
-from fleetloom.sources.logs import CONTAINER, prefixed, read_logs, stream_logs
+from fleetloom.sources.logs import CONTAINER, prefixed, read_logs, stream_logs, unprefixed
 from fleetloom.sources.usage import read_usage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,6 +59,36 @@ def test_logs_of_many_containers_share_files(spark, tmp_path, folders):
     assert stream.isStreaming and stream.schema == read.schema
 
 
+def test_only_whole_prefixes_are_taken_off(spark):
+    odd = ["[n/w/c]", "[n/w/c] ", "[n/w] x", "[n/w/c/d] x", "[n /w/c] x", "[n]/w/c] x", "n/w/c] x", "[n/w/c]x y", "[//] x", " [n/w/c] x", "", None]
+    lines = spark.createDataFrame([(value,) for value in odd], "value string")
+    got = [tuple(row) for row in unprefixed(lines, CONTAINER).select(*CONTAINER, "value").collect()]
+    expected = [(None, None, None, value) for value in odd]
+    expected[1], expected[8] = ("n", "w", "c", ""), (None, None, None, "x")
+    assert got == expected
+
+
+@pytest.mark.parametrize("name", ["read_logs", "stream_logs"])
+def test_log_files_do_not_grow_with_namespaces(spark, name, tmp_path, monkeypatch):
+    from fleetloom.plans.queries import scans
+
+    documents = [(i, f"one {i}\r\nb\n") for i in range(100)] + [(None, "x"), (100, None)]
+    spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(i, 1, "user" if i % 2 else "assistant", "a\n\rb") for i in range(100)] + [(3, 2, "user", None)]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    spark.createDataFrame(turns, schema).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(scans, "_folder", lambda t, made=[]: made.append(0) or str(tmp_path / f"f{len(made)}"))
+    got = entry_module.queries()[name](spark, str(tmp_path))
+    assert got.count() == 100 * 3 + 1 + 101
+    assert got.select("namespace").distinct().count() == 27
+    assert rows(got.filter("workspace = 'ws-7'"), "namespace", "container", "ts_ms", "line") == sorted(
+        [("NATION_7", "main", 1704067200000, "one 7 "), ("NATION_7", "main", 1704067201000, "b"), ("NATION_7", "main", 1704067202000, "")]
+        + [("NATION_7", "main", 1704067260000, "a b")],
+        key=repr,
+    )
+    assert len(list(tmp_path.rglob("*.txt"))) <= 2
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="given tables are not here")
 @pytest.mark.parametrize("name", ["read_logs", "stream_logs"])
 def test_log_queries_write_few_files(spark, name, tmp_path, monkeypatch):
