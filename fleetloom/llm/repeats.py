@@ -24,6 +24,8 @@ from fleetloom.session import cut_lineage
 
 #: Windows of one segment at most (a longer stretch under one anchor is cut, as every window is judged on its own).
 SEGMENT_WINDOWS = 64
+#: Windows whose anchors are found in one pass, so that its arrays stay in the processor's cache.
+PASS_WINDOWS = 1 << 15
 #: Text for which there is one bucket of anchors, and shards at least.
 BUCKET_BYTES = 16 << 20
 FEWEST_BUCKETS = 12
@@ -72,10 +74,12 @@ class Windows:
     def stretches(self, tokens: np.ndarray, places: np.ndarray):
         """Stretches of neighbouring windows under one anchor: anchors, first window, windows, document."""
         none = np.zeros(0, np.int64)
-        grams = self._grams(tokens)
         if len(tokens) < self.width:
             return np.zeros(0, U64), none, none, none
-        least = sliding_minimum(grams, self.width - self.gram + 1)
+        least = np.empty(len(tokens) - self.width + 1, U64)
+        for low in range(0, len(least), PASS_WINDOWS):
+            grams = self._grams(tokens[low : low + PASS_WINDOWS + self.width - 1])
+            least[low : low + PASS_WINDOWS] = sliding_minimum(grams, self.width - self.gram + 1)
         counts = np.maximum(np.diff(places) - self.width + 1, 0)
         has = np.flatnonzero(counts)
         if len(has) == 0:
@@ -190,9 +194,11 @@ def _tell(windows: Windows):
 
 
 def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_documents: bool):
-    """Shared stretches of a chunk: shard, first window, windows, document, number of the distinct content in its shard.
+    """Shared stretches of a chunk (first window, windows, document, number of the content) and its distinct contents
+    (shard, first stretch, bytes).
 
-    Contents are numbered shard by shard in the order of their first place, alike whenever the chunk is read.
+    Contents are numbered shard by shard, and in a shard in the order of their first place, alike whenever the chunk is
+    read. Equal contents have equal anchors, so they are in one shard.
     """
     tokens, places = windows.tokens(chunk)
     anchors, starts, counts, doc = windows.stretches(tokens, places)
@@ -216,37 +222,30 @@ def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_d
         spans = (starts[alone] * width).tolist()
         homes[alone] = mix(np.array([zlib.crc32(raw[s : s + windows.width * width]) for s in spans], U64))
     shard = bucket_of(homes, shards)
-    number, seen = np.zeros(len(starts), np.int64), {}
-    per_shard: dict[int, list[int]] = {}
-    spans = zip(shard.tolist(), (starts * width).tolist(), ((starts + counts + windows.width - 1) * width).tolist(), strict=True)
-    for i, (home, s, e) in enumerate(spans):
-        key = (home, raw[s:e])
-        if (found := seen.get(key)) is None:
-            held = per_shard.setdefault(home, [])
-            found = seen[key] = len(held)
-            held.append(i)
-        number[i] = found
-    return tokens, places, shard, starts, counts, doc, number, per_shard, raw, width
+    seen: dict[bytes, int] = {}
+    spans = zip((starts * width).tolist(), ((starts + counts + windows.width - 1) * width).tolist(), strict=True)
+    number = np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in spans), np.int64, len(starts))
+    firsts = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+    order = np.argsort(shard[firsts], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    texts = list(seen)
+    return tokens, places, starts, counts, doc, place[number], shard[firsts[order]], firsts[order], [texts[i] for i in order.tolist()]
 
 
 def _send(windows: Windows, buckets: int, shards: int, other_documents: bool):
     def run(batches):
         for chunk in each_chunk(batches):
-            _, _, shard, starts, counts, doc, number, per_shard, raw, width = _segments(windows, chunk, buckets, shards, other_documents)
-            order = np.argsort(shard, kind="stable")
-            rank, rows = chunk.rank[doc], []
-            edges = {int(h): (s, e) for h, s, e in zip(*_groups(shard[order]), strict=True)}
-            for home, firsts in per_shard.items():
-                s, e = edges[home]
-                own = order[s:e]
-                low, high = np.full(len(firsts), np.iinfo(np.int64).max), np.full(len(firsts), np.iinfo(np.int64).min)
-                np.minimum.at(low, number[own], rank[own])
-                np.maximum.at(high, number[own], rank[own])
-                places = np.bincount(number[own], minlength=len(firsts)).astype(np.int64)
-                lengths = counts[firsts] + windows.width - 1
-                text = b"".join(raw[starts[i] * width : (starts[i] + n) * width] for i, n in zip(firsts, lengths.tolist(), strict=True))
-                head = np.concatenate([lengths.astype(np.int64), low, high, places]).tobytes()
-                rows.append((home, chunk.id, len(firsts), head + pack(np.frombuffer(text, np.uint8))))
+            _, _, _, counts, doc, number, homes, firsts, texts = _segments(windows, chunk, buckets, shards, other_documents)
+            rank = chunk.rank[doc]
+            head = np.zeros((4, len(firsts)), np.int64)  # lengths, smallest and largest document, places
+            head[0], head[1], head[2] = counts[firsts] + windows.width - 1, np.iinfo(np.int64).max, np.iinfo(np.int64).min
+            np.minimum.at(head[1], number, rank)
+            np.maximum.at(head[2], number, rank)
+            head[3] = np.bincount(number, minlength=len(firsts))
+            rows = []
+            for home, s, e in zip(*(x.tolist() for x in _groups(homes)), strict=True):
+                rows.append((home, chunk.id, e - s, head[:, s:e].tobytes() + pack(np.frombuffer(b"".join(texts[s:e]), np.uint8))))
             yield _rows(rows)
 
     return run
@@ -316,21 +315,19 @@ def _solve(windows: Windows, solver: Callable):
 
 def _covered(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_documents: bool):
     """Which tokens of a chunk a repeated window covers, and the documents' offsets among them."""
-    tokens, places, shard, starts, _, doc, number, per_shard, _, _ = _segments(windows, chunk, buckets, shards, other_documents)
+    tokens, places, starts, _, doc, number, homes, _, _ = _segments(windows, chunk, buckets, shards, other_documents)
     depth = np.zeros(len(tokens) + 1, np.int32)
-    order = np.lexsort((number, shard))
-    rank, sorted_number = chunk.rank[doc], number[order]
-    edges = {int(h): (s, e) for h, s, e in zip(*_groups(shard[order]), strict=True)}
-    for answer in chunk.answers:
-        if answer["kind"] != 1:
-            continue
-        runs = unpack(answer["blob"], answer["n"] * _RUN.itemsize).view(_RUN)
-        s, e = edges[answer["bucket"]]
-        low = s + np.searchsorted(sorted_number[s:e], runs["number"], "left")
-        high = s + np.searchsorted(sorted_number[s:e], runs["number"], "right")
-        n = high - low
+    order = np.argsort(number, kind="stable")
+    times = np.bincount(number, minlength=len(homes))
+    begins = np.cumsum(times) - times
+    rank = chunk.rank[doc]
+    held = dict(zip(*(x.tolist() for x in _groups(homes)[:2]), strict=True))
+    for answers in _some_runs(chunk.answers):
+        runs = np.concatenate([unpack(x["blob"], x["n"] * _RUN.itemsize).view(_RUN) for x in answers])
+        content = runs["number"] + np.repeat([held[x["bucket"]] for x in answers], [x["n"] for x in answers])
+        n = times[content]
         row = np.repeat(np.arange(len(runs)), n)
-        place = order[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]]
+        place = order[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begins[content][row]]
         hit = rank[place] > runs["least"][row]
         row, place = row[hit], place[hit]
         np.add.at(depth, starts[place] + runs["first"][row], 1)
@@ -338,6 +335,21 @@ def _covered(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_do
     return np.cumsum(depth[:-1]) > 0, places
 
 
+def _some_runs(answers: list[dict], most: int = 1 << 16):
+    """The shards' answers, some at a time: as many as have ``most`` runs, or one."""
+    some, n = [], 0
+    for answer in answers:
+        if answer["kind"] != 1:
+            continue
+        if some and n + answer["n"] > most:
+            yield some
+            some, n = [], 0
+        some.append(answer)
+        n += answer["n"]
+    if some:
+        yield some
+
+
 def repeated(docs: DataFrame, windows: Windows, solver: Callable, finish: Callable, schema: str, other_documents: bool) -> DataFrame:
     """``finish(chunk, covered, places)`` of every chunk of ``docs``, with the tokens that repeated windows cover.
 

@@ -14,69 +14,82 @@ from fleetloom.llm.repeats import Shard, Windows, repeated
 _BITS = 21  # three names of so many bits fit into one sort key
 
 
-def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense names from 1 of triples, in their order."""
+def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Numbers in the order of triples."""
     top = int(max(a.max(), b.max(), c.max())) + 1
     if top <= 1 << _BITS:
-        key = (a << (2 * _BITS)) | (b << _BITS) | c
-    else:
-        _, pairs = np.unique(a * top + b, return_inverse=True)
-        key = pairs * top + c
-    values, names = np.unique(key, return_inverse=True)
-    return names + 1, len(values)
+        return (a << (2 * _BITS)) | (b << _BITS) | c
+    _, pairs = np.unique(a * top + b, return_inverse=True)
+    return pairs * top + c
 
 
 def _merged(values: np.ndarray, added: np.ndarray) -> np.ndarray:
-    """How many of the sorted ``values`` come before each of ``added``, sorted too: one merge of two runs."""
-    order = np.argsort(np.concatenate([added, values]), kind="stable")
+    """How many of ``values`` come before each of ``added``, both sorted first: one merge of two runs."""
+    order = np.argsort(np.concatenate([np.sort(added), np.sort(values)]), kind="stable")
     places = np.empty(len(order), np.int64)
     places[order] = np.arange(len(order))
     return places[: len(added)] - np.arange(len(added))
 
 
-def suffix_array(letters: np.ndarray) -> np.ndarray:
+def suffix_array(letters: np.ndarray, depth: int | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
     """Starts of the suffixes of integers from 1 up, in their order, by the difference cover {1, 2} modulo 3.
 
     The triples at the sampled places are sorted and named; equal names are resolved by the suffix array of the names.
     The other suffixes are sorted by their first letter and the rank of what follows, and merged in by counting how
     many sampled ones come before each.
+
+    With a ``depth`` the order is that of the first ``depth`` letters, and suffixes that agree in them stand together in
+    any order: names are resolved no further than that, and what is merged may be out of order among such suffixes only.
+    With ``wanted``, a flag for each place, only the suffixes that start there are merged and returned.
     """
     n = len(letters)
+    wanted = np.ones(n, bool) if wanted is None else wanted
     if n < 16:
         listed = letters.tolist()
-        return np.array(sorted(range(n), key=lambda i: listed[i:]), np.int64)
-    s = np.concatenate([letters, np.zeros(3, np.int64)])
+        return np.array(sorted(np.flatnonzero(wanted).tolist(), key=lambda i: listed[i:]), np.int64)
+    s = np.concatenate([letters, np.zeros(4, np.int64)])
+    if depth is not None and depth <= 3:
+        places = np.flatnonzero(wanted)
+        return places[np.argsort(_keys(s[places], s[places + 1], s[places + 2]))] if len(places) else places
     ones = np.arange(1, n + 1 if n % 3 == 1 else n, 3)  # with one empty triple where the last letter has place 0
-    sample = np.concatenate([ones, np.arange(2, n, 3)])
-    names, distinct = _names(s[sample], s[sample + 1], s[sample + 2])
-    if distinct < len(sample):
-        order = suffix_array(names)
+    twos = np.arange(2, n, 3)
+    sample = np.concatenate([ones, twos])
+    triples = [np.concatenate([s[1 + k :: 3][: len(ones)], s[2 + k :: 3][: len(twos)]]) for k in range(3)]
+    values, names = np.unique(_keys(*triples), return_inverse=True)
+    if len(values) < len(sample):
+        looked_up = np.concatenate([wanted, [True, True]])  # ranks of wanted places and of the two that follow
+        looked_up[1:-1] |= wanted
+        looked_up[2:] |= wanted
+        order = suffix_array(names + 1, None if depth is None else -(-depth // 3), looked_up[sample])
     else:
         order = np.empty(len(sample), np.int64)
-        order[names - 1] = np.arange(len(sample))
+        order[names] = np.arange(len(sample))
     rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
     sampled = sample[order]
-    sampled = sampled[sampled < n]
+    rank[sampled] = np.arange(1, len(order) + 1)
+    kept = np.concatenate([wanted, [False]])[sampled]
+    sampled, is_one = sampled[kept], order[kept] < len(ones)
 
     base = n + 4
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3)[wanted[::3]]
     key_one = s[rest] * base + rank[rest + 1]
     by_key = np.argsort(key_one)
     rest, key_one = rest[by_key], key_one[by_key]
-    first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    first, second = sampled[is_one], sampled[~is_one]
     before = _merged(s[first] * base + rank[first + 1], key_one)
+    both = np.concatenate([second, rest])
     if int(letters.max()) < 1 << _BITS and base <= 1 << _BITS:
-        pair = (s[:-1] << _BITS) | s[1:]
+        pair = (s[both] << _BITS) | s[both + 1]
         shift = 1 << _BITS
     else:
-        _, pair = np.unique(s[:-1] * (int(letters.max()) + 1) + s[1:], return_inverse=True)
+        _, pair = np.unique(s[both] * (int(letters.max()) + 1) + s[both + 1], return_inverse=True)
         shift = base
-    before += _merged(pair[second] * shift + rank[second + 2], pair[rest] * shift + rank[rest + 2])
-    out = np.empty(n, np.int64)
+    keys = pair * shift + rank[both + 2]
+    before += _merged(keys[: len(second)], keys[len(second) :])
+    out = np.empty(len(rest) + len(sampled), np.int64)
     places = np.arange(len(rest)) + before
     out[places] = rest
-    left = np.ones(n, bool)
+    left = np.ones(len(out), bool)
     left[places] = False
     out[left] = sampled
     return out
@@ -88,43 +101,44 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
-def byte_suffixes(data: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of a byte string, in their order.
+def byte_suffixes(data: np.ndarray, depth: int | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of a byte string, in their order; ``depth`` and ``wanted`` as in :func:`suffix_array`.
 
     A letter is the eight bytes from a place. Written one after the other for each of the eight alignments, the
     letters are one string whose suffixes are those of the bytes, so that a triple covers 24 bytes.
     """
     n = len(data)
     _, letters = np.unique(_eights(data), return_inverse=True)
-    places = np.concatenate([np.append(np.arange(r, n, 8), -1) for r in range(8)])
+    places = np.concatenate([np.append(np.arange(r, n, 8), n) for r in range(8)])
     # a place past the end stands between the alignments; letters start at 2
-    sorted_places = places[suffix_array(np.where(places < 0, 1, letters[places] + 2))]
-    return sorted_places[sorted_places >= 0]
+    written = np.append(letters + 2, 1)[places]
+    flags = np.append(np.ones(n, bool) if wanted is None else wanted, False)[places]
+    return places[suffix_array(written, None if depth is None else -(-depth // 8), flags)]
 
 
 def earliest_windows(shard: Shard, width: int):
     """The windows of a shard's contents that several documents may have: content, window, smallest document.
 
-    All contents are one byte string; its suffixes are sorted and those that start a window are compared with their
-    neighbours over ``width`` bytes.
+    All contents are one byte string; its suffixes are sorted by ``width`` bytes and those that start a window are compared
+    with their neighbours over as many.
     """
     data = np.frombuffer(b"".join(shard.contents), np.uint8)
     ends = np.cumsum(shard.lengths)
-    order = byte_suffixes(data)
-    content = np.repeat(np.arange(len(ends)), shard.lengths)[order]
-    good = order + width <= ends[content]
-    order, content = order[good], content[good]
+    contents = np.repeat(np.arange(len(ends)), shard.lengths)
+    wanted = np.arange(len(data)) + width <= ends[contents]
+    order = byte_suffixes(data, width, wanted)
     eights = _eights(data)
     same = np.ones(max(0, len(order) - 1), bool)
     for step in [*range(0, width - 7, 8), width - 8]:
         part = eights[order + step]
         same &= part[1:] == part[:-1]
     starts = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(shard.low[content], starts) if len(starts) else np.zeros(0, np.int64)
-    least = np.repeat(least, np.diff(np.append(starts, len(order))))
-    window = order - (ends - shard.lengths)[content]
-    back = np.argsort(order)
-    return content[back], window[back], least[back]
+    least = np.minimum.reduceat(shard.low[contents[order]], starts) if len(starts) else np.zeros(0, np.int64)
+    found = np.zeros(len(data), np.int64)
+    found[order] = np.repeat(least, np.diff(np.append(starts, len(order))))
+    places = np.flatnonzero(wanted)
+    content = contents[places]
+    return content, places - (ends - shard.lengths)[content], found[places]
 
 
 def _finish(chunk: Chunk, covered: np.ndarray, places: np.ndarray) -> pa.RecordBatch:

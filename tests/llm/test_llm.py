@@ -97,6 +97,59 @@ def test_fm_dedup_equals_brute_force(docs, rows):
     assert told(fm_dedup.remove_repeated_words(docs), "*") == expected
 
 
+def test_suffixes_are_sorted_as_deep_and_where_they_are_wanted():
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 70), 400, 1000]:
+        for kinds, period in ((1, 1), (2, n), (3, 7), (200, 90)):
+            data = np.resize(rng.integers(1, kinds + 1, period), n).astype(np.uint8)
+            data[rng.integers(0, n, 3)] = 1
+            raw, wanted = data.tobytes(), rng.random(n) < 0.4
+            letters = data.astype(np.int64)
+            assert suffix_dedup.suffix_array(letters).tolist() == sorted(range(n), key=lambda i: raw[i:])  # noqa: B023
+            for depth in (1, 3, 4, 9, 10, 27, 50, None):
+                for found in (suffix_dedup.suffix_array(letters, depth, wanted), suffix_dedup.byte_suffixes(data, depth, wanted)):
+                    assert sorted(found.tolist()) == np.flatnonzero(wanted).tolist()
+                    starts = [raw[i : i + (depth or n)] for i in found.tolist()]
+                    assert starts == sorted(starts)
+
+
+def test_windows_of_a_shard_are_sorted_no_deeper_than_their_width(monkeypatch):
+    rng = np.random.default_rng(10)
+    text = rng.integers(97, 123, 3000).astype(np.uint8).tobytes()
+    shard = object.__new__(repeats.Shard)
+    shard.contents = [text, text[:2900] + b"!" + text[2900:], text[100:], b"a" * 900, text[7:57]]
+    shard.lengths, shard.low = np.array([len(c) for c in shard.contents]), np.array([5, 3, 9, 1, 2])
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s, *more, f=suffix_dedup.suffix_array: sizes.append(len(s)) or f(s, *more))
+    got = list(zip(*(x.tolist() for x in suffix_dedup.earliest_windows(shard, 50)), strict=True))
+    least = {}
+    for c, low in zip(shard.contents, shard.low.tolist(), strict=True):
+        for p in range(len(c) - 49):
+            least[c[p : p + 50]] = min(low, least.get(c[p : p + 50], low))
+    assert got == [(i, p, least[c[p : p + 50]]) for i, c in enumerate(shard.contents) for p in range(len(c) - 49)]
+    assert len(sizes) == 2  # letters of 8 bytes, and names of 24: three of these cover a window
+
+
+@pytest.mark.parametrize("windows", [repeats.Windows(50, 24, False, 1000), repeats.Windows(35, 10, True, 1000)])
+def test_anchors_do_not_depend_on_the_passes(windows, monkeypatch):
+    rng = np.random.default_rng(11)
+    tokens = rng.integers(0, 4, 900).astype(np.uint64 if windows.of_words else np.uint8)
+    places = np.array([0, 10, 10, 400, 436, 900])
+    found = []
+    for size in (1, 7, 100, 1 << 15):
+        monkeypatch.setattr(repeats, "PASS_WINDOWS", size)
+        found.append([x.tolist() for x in windows.stretches(tokens, places)])
+    assert found[0] == found[1] == found[2] == found[3] and found[0][0]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 16])
+def test_answers_are_taken_some_at_a_time_and_none_is_lost(most):
+    answers = [{"kind": int(i % 5 != 0), "n": n, "bucket": i} for i, n in enumerate([4, 1, 1, 1, 9, 2, 3, 1])]
+    some = list(repeats._some_runs(answers, most))
+    assert [a for group in some for a in group] == [a for a in answers if a["kind"] == 1]
+    assert all(len(group) == 1 or sum(a["n"] for a in group) <= most for group in some)
+
+
 @pytest.mark.parametrize("of_words", [False, True])
 def test_a_frequent_phrase_in_different_texts_is_spread_over_shards(spark, of_words):
     rng = np.random.default_rng(6)
