@@ -194,8 +194,8 @@ def _tell(windows: Windows):
 
 
 def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_documents: bool):
-    """Shared stretches of a chunk (first window, windows, document, number of the content) and its distinct contents
-    (shard, first stretch, bytes).
+    """Shared stretches of a chunk (first window, windows, document, number of the content), its distinct contents (shard,
+    first stretch), its tokens as bytes and the bytes of a token.
 
     Contents are numbered shard by shard, and in a shard in the order of their first place, alike whenever the chunk is
     read. Equal contents have equal anchors, so they are in one shard.
@@ -229,23 +229,23 @@ def _segments(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_d
     order = np.argsort(shard[firsts], kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    texts = list(seen)
-    return tokens, places, starts, counts, doc, place[number], shard[firsts[order]], firsts[order], [texts[i] for i in order.tolist()]
+    return tokens, places, starts, counts, doc, place[number], shard[firsts[order]], firsts[order], raw, width
 
 
 def _send(windows: Windows, buckets: int, shards: int, other_documents: bool):
     def run(batches):
         for chunk in each_chunk(batches):
-            _, _, _, counts, doc, number, homes, firsts, texts = _segments(windows, chunk, buckets, shards, other_documents)
+            _, _, starts, counts, doc, number, homes, firsts, raw, width = _segments(windows, chunk, buckets, shards, other_documents)
             rank = chunk.rank[doc]
             head = np.zeros((4, len(firsts)), np.int64)  # lengths, smallest and largest document, places
             head[0], head[1], head[2] = counts[firsts] + windows.width - 1, np.iinfo(np.int64).max, np.iinfo(np.int64).min
             np.minimum.at(head[1], number, rank)
             np.maximum.at(head[2], number, rank)
             head[3] = np.bincount(number, minlength=len(firsts))
-            rows = []
+            begins, ends, rows = (starts[firsts] * width).tolist(), ((starts[firsts] + head[0]) * width).tolist(), []
             for home, s, e in zip(*(x.tolist() for x in _groups(homes)), strict=True):
-                rows.append((home, chunk.id, e - s, head[:, s:e].tobytes() + pack(np.frombuffer(b"".join(texts[s:e]), np.uint8))))
+                text = b"".join(raw[b:t] for b, t in zip(begins[s:e], ends[s:e], strict=True))
+                rows.append((home, chunk.id, e - s, head[:, s:e].tobytes() + pack(np.frombuffer(text, np.uint8))))
             yield _rows(rows)
 
     return run
@@ -315,7 +315,7 @@ def _solve(windows: Windows, solver: Callable):
 
 def _covered(windows: Windows, chunk: Chunk, buckets: int, shards: int, other_documents: bool):
     """Which tokens of a chunk a repeated window covers, and the documents' offsets among them."""
-    tokens, places, starts, _, doc, number, homes, _, _ = _segments(windows, chunk, buckets, shards, other_documents)
+    tokens, places, starts, _, doc, number, homes = _segments(windows, chunk, buckets, shards, other_documents)[:7]
     depth = np.zeros(len(tokens) + 1, np.int32)
     order = np.argsort(number, kind="stable")
     times = np.bincount(number, minlength=len(homes))

@@ -23,6 +23,13 @@ def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return pairs * top + c
 
 
+def _names(s: np.ndarray, ones: int, twos: int) -> tuple[np.ndarray, int]:
+    """Dense names from 1 of the triples at the places 1, 4, … and 2, 5, …, in their order, and how many there are."""
+    a, b, c = (np.concatenate([s[1 + k :: 3][:ones], s[2 + k :: 3][:twos]]) for k in range(3))
+    values, names = np.unique(_keys(a, b, c), return_inverse=True)
+    return names + 1, len(values)
+
+
 def _merged(values: np.ndarray, added: np.ndarray) -> np.ndarray:
     """How many of ``values`` come before each of ``added``, both sorted first: one merge of two runs."""
     order = np.argsort(np.concatenate([np.sort(added), np.sort(values)]), kind="stable")
@@ -54,16 +61,15 @@ def suffix_array(letters: np.ndarray, depth: int | None = None, wanted: np.ndarr
     ones = np.arange(1, n + 1 if n % 3 == 1 else n, 3)  # with one empty triple where the last letter has place 0
     twos = np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    triples = [np.concatenate([s[1 + k :: 3][: len(ones)], s[2 + k :: 3][: len(twos)]]) for k in range(3)]
-    values, names = np.unique(_keys(*triples), return_inverse=True)
-    if len(values) < len(sample):
+    names, distinct = _names(s, len(ones), len(twos))
+    if distinct < len(sample):
         looked_up = np.concatenate([wanted, [True, True]])  # ranks of wanted places and of the two that follow
         looked_up[1:-1] |= wanted
         looked_up[2:] |= wanted
-        order = suffix_array(names + 1, None if depth is None else -(-depth // 3), looked_up[sample])
+        order = suffix_array(names, None if depth is None else -(-depth // 3), looked_up[sample])
     else:
         order = np.empty(len(sample), np.int64)
-        order[names] = np.arange(len(sample))
+        order[names - 1] = np.arange(len(sample))
     rank = np.zeros(n + 3, np.int64)
     sampled = sample[order]
     rank[sampled] = np.arange(1, len(order) + 1)
